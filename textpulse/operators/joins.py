@@ -1,0 +1,18 @@
+"""Join helpers: broadcast only behind a checked size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Upper bound on rows for a lookup table we are willing to ship to every
+# executor (a full emotion lexicon is ~14k rows, a lemma dictionary ~1M).
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Return ``small`` with a broadcast hint when it holds at most
+    ``max_rows`` rows; otherwise unchanged, so the planner falls back to a
+    shuffle (sort-merge) join. The check is one count over the small side."""
+    n = small.limit(max_rows + 1).count()
+    return F.broadcast(small) if n <= max_rows else small
