@@ -169,7 +169,15 @@ SAMPLE_SEED = 42
 WS_CLASS = (r"\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}"
             r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 WS = "[" + WS_CLASS + "]"
+WS_NOT_SPACE = "[" + WS_CLASS.replace(" ", "") + "]"
 NOT_WS = "[^" + WS_CLASS + "]"
+# The same white space as literal characters, minus the plain space, for
+# character-level translation (cheaper than a regex class scan).
+WS_CHARS_NOT_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+                      + "".join(chr(c) for c in range(0x2000, 0x200B))
+                      + "\u2028\u2029\u202f\u205f\u3000")
+# Characters whose presence means a value may hold an emoji.
+EMOJI_HINT = r"[\x{A9}\x{AE}\x{2000}-\x{3299}\x{FE0F}\x{1F000}-\x{1FAFF}\x{E0020}-\x{E007F}]"
 # Word character in the sense of Python's Unicode \w.
 WORD_CLASS = r"\p{L}\p{N}_"
 # Token pattern: letters, marks, digits, underscore.
@@ -198,7 +206,11 @@ def emoji_pattern() -> str:
     parts = []
     for lo, hi in EMOJI_RANGES:
         parts.append(r"\x{%s}" % lo if lo == hi else r"\x{%s}-\x{%s}" % (lo, hi))
-    return r"[0-9#*]\x{FE0F}?\x{20E3}|[" + "".join(parts) + "]"
+    return "[" + "".join(parts) + "]"
 
 
-EMOJI = emoji_pattern()
+# Keycap sequences (digit, #, * + optional VS16 + U+20E3) go first, then
+# single emoji code points.
+KEYCAP = r"[0-9#*]\x{FE0F}?\x{20E3}"
+EMOJI_CLASS = emoji_pattern()
+EMOJI = KEYCAP + "|" + EMOJI_CLASS

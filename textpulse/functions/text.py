@@ -1,7 +1,9 @@
 """Text column functions: cleaning, normalisation, tokens.
 
 All of these return ``Column`` expressions that run inside the JVM (regex,
-higher-order array functions). The only Python step is Unicode NFC, which
+higher-order array functions). Steps that read their input several times
+bind it to a lambda variable first (``bind``), so the chained expression tree
+stays linear. The only Python step is Unicode NFC, which
 Spark has no built-in for; it is an Arrow-batched pandas UDF that only
 receives the non-ASCII values.
 """
@@ -46,61 +48,120 @@ def is_blank(col) -> Column:
     return c.isNull() | ~c.rlike(K.NOT_WS)
 
 
+def bind(col, fn) -> Column:
+    """Evaluate ``fn`` on one value that it may read several times.
+
+    ``fn`` receives a lambda variable bound to ``col`` (through a one-element
+    array), so the optimizer never inlines ``col`` repeatedly into ``fn``'s
+    expression tree; chained steps stay a linear tree however often each
+    step looks at its input (guards read it two or three times)."""
+    return F.element_at(F.transform(F.array(_c(col)), fn), 1)
+
+
+def _guarded(needle: str, replaced) -> callable:
+    """Run an expensive regex only on values that contain ``needle`` (a plain
+    substring every match must contain); other values pass through. A byte
+    search is far cheaper than a regex scan, and most posts have no URL,
+    mention or contraction. The result is identical either way."""
+    return lambda x: F.when(x.contains(needle), replaced(x)).otherwise(x)
+
+
 def remove_urls(col) -> Column:
     """STR-3: drop ``https?://`` followed by non-space characters."""
-    return F.regexp_replace(_c(col), "https?://" + K.NOT_WS + "+", "")
+    return bind(col, _guarded("://", lambda x: F.regexp_replace(x, "https?://" + K.NOT_WS + "+", "")))
 
 
-def remove_mentions(col) -> Column:
-    """STR-4: drop ``u/name`` then ``r/name`` that start at a word boundary."""
-    c = _c(col)
+def _drop_mentions(x: Column) -> Column:
     for prefix in ("u", "r"):
-        c = F.regexp_replace(
-            c, "(^|[^" + K.WORD_CLASS + "])" + prefix + "/[" + K.WORD_CLASS + "]+", "$1")
-    return c
+        pat = "(^|[^" + K.WORD_CLASS + "])" + prefix + "/[" + K.WORD_CLASS + "]+"
+        x = F.regexp_replace(x, pat, "$1")
+    return x
+
+
+def remove_mentions(col) -> Column:
+    """STR-4: drop ``u/name`` then ``r/name`` starting at a word boundary
+    (two passes, like two separate substitutions)."""
+    return bind(col, _guarded("/", _drop_mentions))
+
+
+def _unify_ws(x: Column) -> Column:
+    is_ascii = F.octet_length(x) == F.length(x)
+    has_ctrl = x.contains("\x1c") | x.contains("\x1d") | x.contains("\x1e") | x.contains("\x1f")
+    return F.when(is_ascii & ~has_ctrl, x).otherwise(
+        F.translate(x, K.WS_CHARS_NOT_SPACE, " " * len(K.WS_CHARS_NOT_SPACE)))
 
 
-def normalize_whitespace(col) -> Column:
-    """STR-5: collapse white-space runs to one space and strip."""
-    c = F.regexp_replace(_c(col), K.WS + "+", " ")
-    return F.regexp_replace(c, "^ | $", "")
+def collapse_whitespace(col) -> Column:
+    """STR-5a: every white-space run becomes one space.
+
+    Unicode / control white space is first mapped to a plain space with a
+    character translation (only on values that can contain it), then runs
+    of ASCII white space are collapsed with the JVM's fast ``\\s`` class."""
+    return F.regexp_replace(bind(col, _unify_ws), r"\s+", " ")
+
+
+def strip_spaces(col) -> Column:
+    """STR-5b: drop the (single, after collapsing) leading / trailing space."""
+    return F.regexp_replace(_c(col), "^ | $", "")
+
+
+def _drop_emoji(x: Column) -> Column:
+    is_ascii = F.octet_length(x) == F.length(x)
+    no_keycap = F.regexp_replace(x, K.EMOJI_CLASS, "")
+    keycap = F.regexp_replace(F.regexp_replace(x, K.KEYCAP, ""), K.EMOJI_CLASS, "")
+    return (F.when(is_ascii | ~x.rlike(K.EMOJI_HINT), x)
+            .when(x.contains("\u20e3"), keycap)
+            .otherwise(no_keycap))
 
 
 def remove_emoji(col) -> Column:
-    """STR-6: drop emoji code points, keycaps and joiners."""
-    return F.regexp_replace(_c(col), K.EMOJI, "")
+    """STR-6: drop emoji code points, keycaps and joiners.
 
+    The full emoji class is only scanned on values holding a candidate code
+    point (a much cheaper test); keycap sequences only when U+20E3 occurs."""
+    return bind(col, _drop_emoji)
 
-def expand_contractions(col) -> Column:
-    """STR-7: case-insensitive left fold over the ordered contraction list."""
+
+def contraction_candidate(col) -> Column:
+    """True when a value may hold a contraction: an apostrophe or one of the
+    apostrophe-free slang words (any case)."""
     c = _c(col)
+    slang = [p for p, _ in K.CONTRACTIONS if "'" not in p]
+    return c.contains("'") | c.rlike("(?i)" + "|".join(slang))
+
+
+def _expand(x: Column) -> Column:
+    t = x
     for pattern, repl in K.CONTRACTIONS:
-        c = F.regexp_replace(c, "(?i)" + pattern, repl)
-    return c
+        t = F.regexp_replace(t, "(?i)" + pattern, repl)
+    return F.when(contraction_candidate(x), t).otherwise(x)
+
+
+def expand_contractions(col) -> Column:
+    """STR-7: case-insensitive left fold over the ordered contraction list,
+    run only on values that may hold one (see ``contraction_candidate``)."""
+    return bind(col, _expand)
 
 
 def clean_text(col, lang=None, compat: bool = True) -> Column:
     """STR-1: full cleaning of one text column.
 
-    Order: blank -> "", NFC, URLs, mentions, white space, emoji, contractions.
+    Order: blank -> "", NFC, URLs, u/ and r/ mentions, white space, emoji,
+    contractions.
 
-    ``compat=True`` keeps the analysed behaviour exactly: emoji are removed
-    after the white-space pass (so ``"hi 😀"`` keeps its trailing space) and
-    contractions are expanded on every row, French included. With
-    ``compat=False`` emoji go first and contractions apply only where
-    ``lang`` is ``en``.
+    ``compat=True`` keeps the analysed behaviour exactly: emoji go after the
+    white-space pass (``"hi 😀"`` keeps its trailing space) and contractions
+    are expanded on every row, French included. ``compat=False`` removes
+    emoji first and expands contractions only where ``lang`` is ``en``.
     """
     c = _c(col)
-    t = nfc(c)
-    t = remove_urls(t)
-    t = remove_mentions(t)
+    t = remove_mentions(remove_urls(nfc(c)))
     if compat:
-        t = remove_emoji(normalize_whitespace(t))
-        t = expand_contractions(t)
+        t = expand_contractions(remove_emoji(strip_spaces(collapse_whitespace(t))))
     else:
-        t = normalize_whitespace(remove_emoji(t))
+        t = strip_spaces(collapse_whitespace(remove_emoji(t)))
         if lang is not None:
-            t = F.when(_c(lang) == "en", expand_contractions(t)).otherwise(t)
+            t = bind(t, lambda x: F.when(_c(lang) == "en", expand_contractions(x)).otherwise(x))
     return F.when(is_blank(c), F.lit("")).otherwise(t)
 
 
@@ -117,8 +178,11 @@ def word_count(col) -> Column:
 
 
 def raw_tokens(col) -> Column:
-    """TOK-1: lower-case word tokens (letters, marks, digits, underscore)."""
-    return F.regexp_extract_all(F.lower(_c(col)), F.lit(K.TOKEN_PATTERN), F.lit(0))
+    """TOK-1: lower-case word tokens (letters, marks, digits, underscore).
+    Tokens are extracted first and lower-cased one by one (same result as
+    lower-casing the text, since the token class is closed under case)."""
+    return F.transform(F.regexp_extract_all(_c(col), F.lit(K.TOKEN_PATTERN), F.lit(0)),
+                       lambda t: F.lower(t))
 
 
 def _content_filter(arr: Column) -> Column:

@@ -39,24 +39,30 @@ def detected_language(text_col, lang_col) -> Column:
             .otherwise("other"))
 
 
+def clean_text_column(df: DataFrame, src: str, dst: str, lang: str | None = None,
+                      compat: bool = True) -> DataFrame:
+    """STR-1: clean ``src`` into ``dst`` (see ``functions.text.clean_text``)."""
+    return df.withColumn(dst, TX.clean_text(src, lang=lang, compat=compat))
+
+
 def add_clean_columns(df: DataFrame, compat: bool = True) -> DataFrame:
     """PRJ-1..4, STR-1..9, DAT-1..2: columns that need no language id."""
     is_empty = F.col("_body_clean") == ""
     has_title = F.col("title").isNotNull()
-    out = (df
-           .withColumn("lang", forum_lang("forum"))
-           .withColumn("_body_clean", TX.clean_text("text", lang="lang", compat=compat))
+    out = df.withColumn("lang", forum_lang("forum"))
+    out = clean_text_column(out, "text", "_body_clean", lang="lang", compat=compat)
+    out = clean_text_column(out, "title", "_title_clean", lang="lang", compat=compat)
+    out = (out
            .withColumn("is_empty", is_empty)
            .withColumn("text_clean",
-                       F.when(is_empty & has_title,
-                              TX.clean_text("title", lang="lang", compat=compat))
+                       F.when(is_empty & has_title, F.col("_title_clean"))
                        .otherwise(F.col("_body_clean")))
            .withColumn("text_source",
                        F.when(is_empty & has_title, "titre")
                        .when(~is_empty & has_title, "titre+texte")
                        .otherwise("texte"))
            .withColumn("n_chars_clean", F.length("text_clean"))
-           .drop("_body_clean"))
+           .drop("_body_clean", "_title_clean"))
     if "category" in df.columns:
         out = out.withColumn("category", TX.strip_unicode("category"))
     if "posted_raw" in df.columns:

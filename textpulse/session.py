@@ -18,6 +18,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     master = master or os.environ.get("TEXTPULSE_MASTER", "local[*]")
     b = (SparkSession.builder.master(master).appName(app_name)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
