@@ -30,7 +30,26 @@ def grid_mean(col, digits: int = 4) -> Column:
     scale = 10 ** digits
     c = _c(col)
     ints = F.sum(F.round(c * float(scale)).cast("long"))
-    return (F.floor(ints / F.count(c) + 0.5) / float(scale)).cast("double")
+    return (F.floor(F.try_divide(ints, F.count(c)) + 0.5) / float(scale)).cast("double")
+
+
+def grid_std(col, digits: int = 4) -> Column:
+    """Sample standard deviation (n - 1) of values on a 10^-digits grid,
+    rounded to the same grid; null for fewer than two values.
+
+    Computed from exact integer sums (n, sum k, sum k^2 with k = v * 10^d)
+    so it is independent of summation order; the only floating steps are one
+    division and one square root of exact integers."""
+    scale = 10 ** digits
+    c = _c(col)
+    k = F.round(c * float(scale)).cast("long")
+    n = F.count(c)
+    dec = "decimal(38,0)"
+    s1 = F.sum(k).cast(dec)
+    s2 = F.sum(k * k).cast(dec)
+    num = n.cast(dec) * s2 - s1 * s1
+    var = num.cast("double") / (n * (n - 1)).cast("double")
+    return F.when(n >= 2, rnd(F.sqrt(var) / float(scale), digits))
 
 
 def pct(num, den, digits: int = 2) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textpulse import constants as K
 from textpulse.functions import dates as D
-from textpulse.functions.numeric import grid_mean, pct, rnd
+from textpulse.functions.numeric import grid_mean, grid_std, pct, rnd
 
 SENTIMENT_SCORES = ["score_pos", "score_neu", "score_neg", "score_cont"]
 
@@ -23,7 +23,7 @@ SENTIMENT_SCORES = ["score_pos", "score_neu", "score_neg", "score_cont"]
 def exact_mean(col, digits: int = 4) -> Column:
     """Mean of an integer column: exact integer sum, one division, rounded."""
     c = F.col(col) if isinstance(col, str) else col
-    return rnd(F.sum(c).cast("double") / F.count(c), digits)
+    return rnd(F.try_divide(F.sum(c).cast("double"), F.count(c)), digits)
 
 
 def dominant(col) -> Column:
@@ -41,7 +41,7 @@ def measures(columns: list[str]) -> list[Column]:
     for c in SENTIMENT_SCORES:
         if c in have:
             m.append(grid_mean(c).alias(f"mean_{c}"))
-            m.append(rnd(F.stddev_samp(c)).alias(f"std_{c}"))
+            m.append(grid_std(c).alias(f"std_{c}"))
     if "sentiment_label" in have:
         for lab in ("positive", "neutral", "negative"):
             m.append(pct(F.count_if(F.col("sentiment_label") == lab), n_all).alias(f"pct_{lab}"))
@@ -53,7 +53,7 @@ def measures(columns: list[str]) -> list[Column]:
     if "distress_score" in have:
         d = F.col("distress_score")
         m += [grid_mean(d).alias("mean_distress"),
-              rnd(F.stddev_samp(d)).alias("std_distress"),
+              grid_std(d).alias("std_distress"),
               rnd(F.max(d)).alias("max_distress"),
               pct(F.count_if(d >= K.HIGH_DISTRESS_THRESHOLD), n_all).alias("pct_high_distress")]
     if "distress_level" in have:

@@ -1 +1,86 @@
-"""Registered queries: aggregates, quality profile and chart datasets."""
+"""Registered queries: temporal aggregates (AGG-1..5, 17, 18)."""
+
+from __future__ import annotations
+
+from textpulse import constants as K
+from textpulse.operators import aggregate as A
+from textpulse.plans import sqlgen as S
+from textpulse.plans.registry import register
+from textpulse.plans.stages import enriched_table
+
+
+def _with(cte: str, select: str) -> str:
+    return f"WITH {cte}\n{select}"
+
+
+def _mode_sql(src: str, keys: list[str], col: str, alias: str) -> str:
+    k = ", ".join(keys)
+    return f"""{alias} AS (
+  SELECT {k}, first(v ORDER BY n DESC, v ASC) AS {alias}
+  FROM (SELECT {k}, {col} AS v, count(*) AS n FROM {src} WHERE {col} IS NOT NULL GROUP BY {k}, {col})
+  GROUP BY {k})"""
+
+
+def measures_sql(src: str, keys: list[str], extra_select: str = "", order: str = "") -> str:
+    """SQL twin of ``aggregate.summarize`` over the enriched CTE."""
+    k = ", ".join(keys)
+    notnull = " AND ".join(f"{x} IS NOT NULL" for x in keys)
+    m = ["CAST(count(*) AS BIGINT) AS nb_posts",
+         "CAST(count(*) FILTER (WHERE lang = 'en') AS BIGINT) AS nb_posts_en",
+         "CAST(count(*) FILTER (WHERE lang = 'fr') AS BIGINT) AS nb_posts_fr"]
+    for c in A.SENTIMENT_SCORES:
+        m.append(f"{S.grid_mean(c)} AS mean_{c}")
+        m.append(f"{S.grid_std(c)} AS std_{c}")
+    for lab in ("positive", "neutral", "negative"):
+        m.append(f"{S.pct(f'count(*) FILTER (WHERE sentiment_label = {S.q(lab)})', 'count(*)')} AS pct_{lab}")
+    for e in K.EMOTIONS:
+        m.append(f"{S.grid_mean(f'emotion_{e}')} AS mean_{e}")
+    m += [f"{S.grid_mean('distress_score')} AS mean_distress",
+          f"{S.grid_std('distress_score')} AS std_distress",
+          f"{S.rnd('max(distress_score)')} AS max_distress",
+          f"{S.pct(f'count(*) FILTER (WHERE distress_score >= {K.HIGH_DISTRESS_THRESHOLD})', 'count(*)')}"
+          " AS pct_high_distress",
+          f"{S.rnd('CAST(sum(n_tokens) AS DOUBLE) / count(n_tokens)')} AS mean_nb_tokens"]
+    modes = [_mode_sql("base", keys, "emotion_dominant", "dominant_emotion"),
+             _mode_sql("base", keys, "distress_level", "dominant_distress_level")]
+    join = " ".join(f"LEFT JOIN {a} USING ({k})" for a in ("dominant_emotion", "dominant_distress_level"))
+    return f""",
+base AS (SELECT * FROM {src} WHERE {notnull}),
+agg AS (SELECT {k}, {', '.join(m)} FROM base GROUP BY {k}),
+{', '.join(modes)}
+SELECT *{extra_select} FROM agg {join}{order}"""
+
+
+def _agg_sql(src_select: str, keys: list[str], extra_select: str = "") -> str:
+    return ("WITH " + S.enriched_cte() + f", src AS ({src_select})"
+            + measures_sql("src", keys, extra_select=extra_select))
+
+
+@register("agg_month", sql=lambda: _agg_sql(
+    "SELECT * FROM enriched", ["month", "lang", "forum"],
+    extra_select=", lpad(CAST(month AS VARCHAR), 2, '0') AS period"))
+def agg_month(spark, sf_dir):
+    """AGG-2 (+ AGG-1, 17, 18, FLT-6, STR-16, SRT-1): month x lang x forum."""
+    return A.by_month(enriched_table(spark, sf_dir))
+
+
+@register("agg_season", sql=lambda: _agg_sql(
+    f"SELECT *, {S.season('month')} AS season FROM enriched", ["season", "lang", "forum"]))
+def agg_season(spark, sf_dir):
+    """AGG-3 (+ DAT-6, SRT-2): academic season x lang x forum."""
+    return A.by_season(enriched_table(spark, sf_dir))
+
+
+@register("agg_weekday", sql=lambda: _agg_sql(
+    "SELECT *, dayname(posted_at) AS weekday_name, "
+    "CAST((dayofweek(posted_at) + 6) % 7 AS INTEGER) AS weekday FROM enriched",
+    ["weekday_name", "weekday", "lang"]))
+def agg_weekday(spark, sf_dir):
+    """AGG-4 (+ DAT-4, DAT-5): weekday name, weekday number x lang."""
+    return A.by_weekday(enriched_table(spark, sf_dir))
+
+
+@register("agg_global", sql=lambda: _agg_sql("SELECT * FROM enriched", ["lang", "forum"]))
+def agg_global(spark, sf_dir):
+    """AGG-5: lang x forum."""
+    return A.by_lang_forum(enriched_table(spark, sf_dir))

@@ -1 +1,73 @@
-"""Registered queries: sentiment and emotion scoring."""
+"""Registered queries: sentiment and emotion scoring (SEN, EMO, MTH, WIN-2/3)."""
+
+from __future__ import annotations
+
+from textpulse import constants as K
+from textpulse.operators import emotions as EM
+from textpulse.operators.scoring import sentiment_classifier
+from textpulse.operators.sentiment import fold_sentiment
+from textpulse.plans import fixtures as FX
+from textpulse.plans import sqlgen as S
+from textpulse.plans.registry import register
+from textpulse.plans.stages import clean_table, enriched_table, scored_table
+
+SENT_OUT = ["post_id", "model_key", "sentiment_label", "score_pos", "score_neu", "score_neg",
+            "score_cont"]
+LEX_OUT = ["post_id", "n_tokens"] + [f"lex_{e}" for e in K.EMOTIONS] + ["lex_dominant"]
+MODEL_OUT = ["post_id"] + [f"model_{e}" for e in K.EMOTIONS] + ["model_dominant"]
+COMB_OUT = (["post_id"] + [f"emotion_{e}" for e in K.EMOTIONS]
+            + ["emotion_dominant", "distress_score", "distress_level"])
+ENRICH_OUT = ["post_id", "lang", "forum", "sentiment_label", "score_cont", "lex_dominant",
+              "model_dominant", "emotion_dominant", "distress_score", "distress_level"]
+
+
+def _with(cte: str, select: str) -> str:
+    return f"WITH {cte}\n{select}"
+
+
+@register("sentiment_fold", sql=lambda: _with(S.enriched_cte(), f"SELECT {', '.join(SENT_OUT)} FROM enriched"))
+def sentiment_fold_query(spark, sf_dir):
+    """SEN-1, SEN-2, MTH-4, ARR-3, MAP-1: fold model label scores."""
+    return fold_sentiment(scored_table(spark, sf_dir)).select(*SENT_OUT)
+
+
+@register("lexicon_emotions", sql=lambda: _with(S.enriched_cte(), f"SELECT {', '.join(LEX_OUT)} FROM enriched"))
+def lexicon_emotions_query(spark, sf_dir):
+    """SRC-5 filter, JOI-2, EMO-1, EMO-2, SET-3, FLT-8: lexicon scores."""
+    return EM.lexicon_scores(clean_table(spark, sf_dir), FX.lexicon_df(spark)).select(*LEX_OUT)
+
+
+@register("model_emotions_fold", sql=lambda: _with(S.enriched_cte(), f"SELECT {', '.join(MODEL_OUT)} FROM enriched"))
+def model_emotions_query(spark, sf_dir):
+    """EMO-3, MTH-5: fold emotion-model labels into the eight emotions."""
+    return EM.model_emotion_scores(scored_table(spark, sf_dir)).select(*MODEL_OUT)
+
+
+@register("combined_distress", sql=lambda: _with(S.enriched_cte(), f"SELECT {', '.join(COMB_OUT)} FROM enriched"))
+def combined_query(spark, sf_dir):
+    """EMO-4, MTH-1..3, WIN-2, WIN-3: blend, dominant, distress."""
+    return enriched_table(spark, sf_dir).select(*COMB_OUT)
+
+
+@register("lexicon_only_distress",
+          sql=lambda: _with(S.enriched_cte(with_model=False), f"SELECT {', '.join(COMB_OUT)} FROM enriched"))
+def lexicon_only_query(spark, sf_dir):
+    """EMO-5 in lexicon-only mode (no model scores)."""
+    return enriched_table(spark, sf_dir, with_model=False).select(*COMB_OUT)
+
+
+@register("enrich_stage", sql=lambda: _with(S.enriched_cte(), f"SELECT {', '.join(ENRICH_OUT)} FROM enriched"))
+def enrich_query(spark, sf_dir):
+    """EMO-5, SEN-4, JOI-4: clean -> sentiment -> emotions, row count kept."""
+    return enriched_table(spark, sf_dir).select(*ENRICH_OUT)
+
+
+@register("sentiment_classifier")
+def sentiment_classifier_query(spark, sf_dir):
+    """SEN-3, SEN-4, UDF-3: a Spark ML text classifier trained on the
+    labelled documents scores every document; its probabilities become the
+    ``{label, score}`` array that the fold turns into sentiment columns."""
+    docs = FX.read_table(spark, sf_dir, "documents")
+    labels = FX.read_table(spark, sf_dir, "labels")
+    out = sentiment_classifier(docs, labels, text_col="text", key="doc_id", label_col="quality")
+    return out.select("doc_id", "sentiment_label", "score_pos", "score_neu", "score_neg", "score_cont")

@@ -36,6 +36,16 @@ def grid_mean(expr: str, digits: int = 4) -> str:
             f" / count({expr}) + 0.5::DOUBLE) / {float(scale)!r} AS DOUBLE)")
 
 
+def grid_std(expr: str, digits: int = 4) -> str:
+    scale = float(10 ** digits)
+    k = f"CAST(round(CAST({expr} AS DOUBLE) * {scale!r}) AS BIGINT)"
+    n = f"count({expr})"
+    num = (f"(CAST({n} AS HUGEINT) * CAST(sum({k} * {k}) AS HUGEINT) - "
+           f"CAST(sum({k}) AS HUGEINT) * CAST(sum({k}) AS HUGEINT))")
+    var = f"(CAST({num} AS DOUBLE) / CAST({n} * ({n} - 1) AS DOUBLE))"
+    return f"(CASE WHEN {n} >= 2 THEN {rnd(f'sqrt({var}) / {scale!r}', digits)} END)"
+
+
 def pct(num: str, den: str, digits: int = 2) -> str:
     scale = float(10 ** digits)
     return (f"(CASE WHEN {den} > 0 THEN CAST(floor(CAST({num} AS DOUBLE) * {100.0 * scale!r} / {den}"
