@@ -58,6 +58,16 @@ def bind(col, fn) -> Column:
     return F.element_at(F.transform(F.array(_c(col)), fn), 1)
 
 
+def bind_many(cols: dict, fn) -> Column:
+    """Like ``bind`` for several inputs: ``fn`` receives a dict of lambda
+    variables (one per named column). Used wherever a derived value reads
+    its inputs more than once, so that optimizer rewrites that substitute
+    column definitions (predicate pushdown, projection collapsing) copy each
+    input once instead of multiplying the tree at every stage."""
+    packed = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in cols.items()])
+    return F.element_at(F.transform(F.array(packed), lambda x: fn({n: x[n] for n in cols})), 1)
+
+
 def _guarded(needle: str, replaced) -> callable:
     """Run an expensive regex only on values that contain ``needle`` (a plain
     substring every match must contain); other values pass through. A byte
@@ -177,6 +187,14 @@ def word_count(col) -> Column:
                       F.lit(0))
 
 
+def has_min_words(col, n: int) -> Column:
+    """``len(s.split()) >= n`` without splitting the whole text: an anchored
+    regex that stops after the n-th word. Null -> False."""
+    c = _c(col)
+    pat = "^" + K.WS + "*(" + K.NOT_WS + "+" + K.WS + "+){" + str(n - 1) + "}" + K.NOT_WS
+    return F.coalesce(c.rlike(pat), F.lit(False))
+
+
 def raw_tokens(col) -> Column:
     """TOK-1: lower-case word tokens (letters, marks, digits, underscore).
     Tokens are extracted first and lower-cased one by one (same result as
@@ -217,6 +235,8 @@ def excerpt(col, n: int = K.EXCERPT_CHARS) -> Column:
 
 def format_count_pct(n_col, total_col) -> Column:
     """STR-15: ``1,234 (5.6%)``; null when the total is 0."""
+    from textpulse.functions.numeric import rnd
     n = _c(n_col)
     total = _c(total_col)
-    return F.when(total > 0, F.format_string("%,d (%.1f%%)", n, n * 100.0 / total))
+    share = rnd(n.cast("double") * 100.0 / total, 1)  # rounded first: same text everywhere
+    return F.when(total > 0, F.format_string("%,d (%.1f%%)", n, share))

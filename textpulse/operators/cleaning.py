@@ -33,7 +33,7 @@ def detected_language(text_col, lang_col) -> Column:
     """LID-1 post-rules on a raw detector label: fewer than 5 words ->
     ``unknown``; en / fr kept; any other label -> ``other``; null -> unknown."""
     lab = F.col(lang_col) if isinstance(lang_col, str) else lang_col
-    return (F.when(TX.word_count(text_col) < K.MIN_TOKENS, "unknown")
+    return (F.when(~TX.has_min_words(text_col, K.MIN_TOKENS), "unknown")
             .when(lab.isin("en", "fr"), lab)
             .when(lab.isNull(), "unknown")
             .otherwise("other"))

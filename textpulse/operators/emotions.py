@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textpulse import constants as K
 from textpulse.functions.numeric import argmax_name, distress_level, distress_score, rnd
+from textpulse.functions.text import bind, bind_many
 from textpulse.operators.joins import broadcast_if_small
 
 
@@ -89,13 +90,21 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, key: str = "post_id",
         joined = _hit_counts_inline(df, lex, tokens_col)
     else:
         joined = _hit_counts_join(df, lex, key, tokens_col)
-    n = F.size(F.col(tokens_col))
-    any_hit = sum((F.coalesce(F.col(f"_h_{e}"), F.lit(0)) for e in K.EMOTIONS), F.lit(0)) > 0
-    scores = {f"{prefix}{e}": F.when(any_hit & (n > 0), rnd(F.col(f"_h_{e}") / n)).otherwise(F.lit(0.0))
-              for e in K.EMOTIONS}
-    out = joined.withColumns(scores)
-    dom = argmax_name({e: F.col(f"{prefix}{e}") for e in K.EMOTIONS})
-    return out.withColumn(f"{prefix}dominant", dom).drop(*[f"_h_{e}" for e in K.EMOTIONS])
+    inputs = {e: F.coalesce(F.col(f"_h_{e}"), F.lit(0)) for e in K.EMOTIONS}
+    inputs["_n"] = F.size(F.col(tokens_col))
+
+    def score(d):
+        any_hit = sum((d[e] for e in K.EMOTIONS), F.lit(0)) > 0
+        vals = {e: F.when(any_hit & (d["_n"] > 0), rnd(d[e] / d["_n"])).otherwise(F.lit(0.0))
+                for e in K.EMOTIONS}
+        return bind_many(vals, lambda v: F.struct(
+            *[v[e].alias(e) for e in K.EMOTIONS],
+            argmax_name({e: v[e] for e in K.EMOTIONS}).alias("dominant")))
+
+    out = joined.withColumn("_lx", bind_many(inputs, score))
+    cols = {f"{prefix}{e}": F.col("_lx")[e] for e in K.EMOTIONS}
+    cols[f"{prefix}dominant"] = F.col("_lx")["dominant"]
+    return out.withColumns(cols).drop("_lx", *[f"_h_{e}" for e in K.EMOTIONS])
 
 
 def _emotion_of(label: Column) -> Column:
@@ -113,41 +122,56 @@ def model_emotion_scores(df: DataFrame, raw_col: str = "emotion_raw",
     raw = F.col(raw_col)
     mapped = F.transform(raw, lambda x: F.struct(_emotion_of(x["label"]).alias("e"),
                                                  x["score"].alias("s")))
-    tmp = df.withColumn("_m", mapped)
-    def emotion_sum(e):
-        return F.coalesce(F.aggregate(F.col("_m"), F.lit(0.0),
+
+    def emotion_sum(m, e):
+        return F.coalesce(F.aggregate(m, F.lit(0.0),
                                       lambda acc, x: acc + F.when(x["e"] == e, x["s"])
                                       .otherwise(F.lit(0.0))), F.lit(0.0))
-    sums = {e: emotion_sum(e) for e in K.EMOTIONS}
-    tmp = tmp.withColumns({f"_s_{e}": sums[e] for e in K.EMOTIONS})
-    total = None
-    for e in K.EMOTIONS:
-        total = F.col(f"_s_{e}") if total is None else total + F.col(f"_s_{e}")
-    tmp = tmp.withColumn("_tot", total)
-    scores = {f"{prefix}{e}": F.when(F.col("_tot") > 0, rnd(F.col(f"_s_{e}") / F.col("_tot")))
-              .otherwise(F.lit(0.0)) for e in K.EMOTIONS}
-    out = tmp.withColumns(scores)
-    out = out.withColumn(f"{prefix}dominant",
-                         argmax_name({e: F.col(f"{prefix}{e}") for e in K.EMOTIONS}))
-    return out.drop("_m", "_tot", *[f"_s_{e}" for e in K.EMOTIONS])
+
+    def normalise(d):
+        total = None
+        for e in K.EMOTIONS:
+            total = d[e] if total is None else total + d[e]
+        vals = {e: F.when(total > 0, rnd(d[e] / total)).otherwise(F.lit(0.0)) for e in K.EMOTIONS}
+        return bind_many(vals, lambda v: F.struct(
+            *[v[e].alias(e) for e in K.EMOTIONS],
+            argmax_name({e: v[e] for e in K.EMOTIONS}).alias("dominant")))
+
+    folded = bind(mapped, lambda m: bind_many({e: emotion_sum(m, e) for e in K.EMOTIONS}, normalise))
+    out = df.withColumn("_md", folded)
+    cols = {f"{prefix}{e}": F.col("_md")[e] for e in K.EMOTIONS}
+    cols[f"{prefix}dominant"] = F.col("_md")["dominant"]
+    return out.withColumns(cols).drop("_md")
 
 
 def combine_emotions(df: DataFrame, has_model: bool = True) -> DataFrame:
     """EMO-4 / MTH-1..3: blend, dominant emotion, distress score and level."""
-    cols = {}
-    for e in K.EMOTIONS:
-        lex = F.coalesce(F.col(f"lex_{e}"), F.lit(0.0))
-        if has_model:
-            mod = F.coalesce(F.col(f"model_{e}"), F.lit(0.0))
-            cols[f"emotion_{e}"] = rnd(K.LEXICON_WEIGHT * lex + K.MODEL_WEIGHT * mod)
-        else:
-            cols[f"emotion_{e}"] = rnd(lex)
-    out = df.withColumns(cols)
-    out = out.withColumn("emotion_dominant",
-                         argmax_name({e: F.col(f"emotion_{e}") for e in K.EMOTIONS}))
-    out = out.withColumn("distress_score",
-                         distress_score("emotion_anger", "emotion_fear", "emotion_sadness"))
-    return out.withColumn("distress_level", distress_level("distress_score"))
+    inputs = {f"lex_{e}": F.coalesce(F.col(f"lex_{e}"), F.lit(0.0)) for e in K.EMOTIONS}
+    if has_model:
+        inputs.update({f"model_{e}": F.coalesce(F.col(f"model_{e}"), F.lit(0.0)) for e in K.EMOTIONS})
+
+    def blend(d):
+        vals = {}
+        for e in K.EMOTIONS:
+            if has_model:
+                vals[e] = rnd(K.LEXICON_WEIGHT * d[f"lex_{e}"] + K.MODEL_WEIGHT * d[f"model_{e}"])
+            else:
+                vals[e] = rnd(d[f"lex_{e}"])
+
+        def finish(v):
+            score = distress_score(v["anger"], v["fear"], v["sadness"])
+            return F.struct(*[v[e].alias(e) for e in K.EMOTIONS],
+                            argmax_name({e: v[e] for e in K.EMOTIONS}).alias("dominant"),
+                            score.alias("distress_score"),
+                            bind(score, distress_level).alias("distress_level"))
+        return bind_many(vals, finish)
+
+    out = df.withColumn("_cb", bind_many(inputs, blend))
+    cols = {f"emotion_{e}": F.col("_cb")[e] for e in K.EMOTIONS}
+    cols["emotion_dominant"] = F.col("_cb")["dominant"]
+    cols["distress_score"] = F.col("_cb")["distress_score"]
+    cols["distress_level"] = F.col("_cb")["distress_level"]
+    return out.withColumns(cols).drop("_cb")
 
 
 def extract_emotions(df: DataFrame, lexicon: DataFrame, model_raw_col: str | None = "emotion_raw",

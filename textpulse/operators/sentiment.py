@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textpulse import constants as K
 from textpulse.functions.numeric import argmax_name, rnd
-from textpulse.functions.text import is_blank
+from textpulse.functions.text import bind, bind_many, is_blank
 
 SENTIMENT_OUTPUT = ["sentiment_label", "score_pos", "score_neu", "score_neg", "score_cont"]
 
@@ -46,19 +46,20 @@ def fold_sentiment(df: DataFrame, raw_col: str = "sentiment_raw",
     five nulls. The continuous score is taken before rounding."""
     raw = F.col(raw_col)
     key = F.col(key_col)
-    tmp = df.withColumn("_m", F.transform(raw, lambda x: F.struct(
-        _unified_class(x["label"], key).alias("c"), x["score"].alias("s"))))
-    tmp = tmp.withColumns({f"_s_{c}": class_sum(F.col("_m"), c) for c in K.SENTIMENT_CLASSES})
-    s = {c: F.col(f"_s_{c}") for c in K.SENTIMENT_CLASSES}
-    ok = raw.isNotNull()
-    out = tmp.withColumns({
-        "sentiment_label": F.when(ok, argmax_name(s, null_if_zero=False)),
-        "score_pos": F.when(ok, rnd(s["positive"])),
-        "score_neu": F.when(ok, rnd(s["neutral"])),
-        "score_neg": F.when(ok, rnd(s["negative"])),
-        "score_cont": F.when(ok, rnd(s["positive"] - s["negative"])),
-    })
-    return out.drop("_m", *[f"_s_{c}" for c in K.SENTIMENT_CLASSES])
+    mapped = F.transform(raw, lambda x: F.struct(
+        _unified_class(x["label"], key).alias("c"), x["score"].alias("s")))
+
+    def fold(m):
+        sums = {c: class_sum(m, c) for c in K.SENTIMENT_CLASSES}
+        return bind_many(sums, lambda d: F.when(raw.isNotNull(), F.struct(
+            argmax_name(d, null_if_zero=False).alias("sentiment_label"),
+            rnd(d["positive"]).alias("score_pos"),
+            rnd(d["neutral"]).alias("score_neu"),
+            rnd(d["negative"]).alias("score_neg"),
+            rnd(d["positive"] - d["negative"]).alias("score_cont"))))
+
+    tmp = df.withColumn("_sent", bind(mapped, fold))
+    return tmp.withColumns({c: F.col("_sent")[c] for c in SENTIMENT_OUTPUT}).drop("_sent")
 
 
 def placeholder_text(col) -> Column:

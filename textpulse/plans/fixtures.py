@@ -69,7 +69,7 @@ def posts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.expr(f"TIMESTAMP_NTZ '2023-01-01 00:00:00' + "
                 f"make_dt_interval(CAST((doc_id * 37) % {DATE_SPAN_DAYS} AS INT), "
                 f"CAST((doc_id * 7) % 24 AS INT), 0, 0)")
-    detected = (F.when(TX.word_count("text") < K.MIN_TOKENS, "unknown")
+    detected = (F.when(~TX.has_min_words("text", K.MIN_TOKENS), "unknown")
                 .when(F.col("lang").isin("en", "fr"), F.col("lang"))
                 .otherwise("other"))
     base = d.select(

@@ -27,7 +27,7 @@ def register(name: str, sql: Callable[[], str] | None = None):
 
 def _load_all() -> None:
     # Importing the modules runs their @register decorators.
-    from textpulse.plans import q_aggregate, q_clean, q_scores, q_topics  # noqa: F401
+    from textpulse.plans import q_aggregate, q_clean, q_quality, q_scores, q_topics  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:

@@ -79,6 +79,11 @@ def word_count(e: str) -> str:
     return f"coalesce(len(regexp_extract_all({e}, {q(K.NOT_WS + '+')})), 0)"
 
 
+def has_min_words(e: str, n: int) -> str:
+    pat = "^" + K.WS + "*(" + K.NOT_WS + "+" + K.WS + "+){" + str(n - 1) + "}" + K.NOT_WS
+    return f"coalesce(regexp_matches({e}, {q(pat)}), false)"
+
+
 def sql_list(words) -> str:
     return "[" + ", ".join(q(w) for w in words) + "]"
 
@@ -143,7 +148,7 @@ def posts_cte() -> str:
     CASE WHEN doc_id % {FX.NULL_TEXT_MOD} = 0 THEN NULL ELSE text || {suffix} END AS text,
     '  ' || lang || ' ' AS category,
     CASE WHEN doc_id % {FX.BAD_DATE_MOD} = 0 THEN 'not a date' ELSE strftime({ts}, '%Y-%m-%d %H:%M:%S') END AS posted_raw,
-    CASE WHEN {word_count('text')} < {K.MIN_TOKENS} THEN 'unknown'
+    CASE WHEN NOT {has_min_words('text', K.MIN_TOKENS)} THEN 'unknown'
          WHEN lang IN ('en', 'fr') THEN lang ELSE 'other' END AS lang_detected,
     doc_id AS row_pos
   FROM documents),
