@@ -1,11 +1,21 @@
-"""Topic operators (placeholder; filled below)."""
+"""Topic operators (ML-1..9, WIN-4, STR-17, FLT-1, FLT-2, FLT-7, JOI-3, PRJ-10).
+
+Term statistics are plain DataFrame work (explode -> groupBy -> window), so
+they scale with the corpus. Per-topic tables (sizes, labels, c-TF-IDF top
+words) are bounded by the number of topics, which is what lets them be
+broadcast back onto the posts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.clustering import LDA, KMeans
+from pyspark.ml.feature import PCA, CountVectorizer, NGram, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpulse import constants as K
+from textpulse.functions.numeric import rnd
 
 
 def topic_input(df: DataFrame, text_col: str = "text_clean", lemma_col: str = "text_lemma") -> DataFrame:
@@ -15,3 +25,173 @@ def topic_input(df: DataFrame, text_col: str = "text_clean", lemma_col: str = "t
     text = F.when(F.trim(F.coalesce(lemma, F.lit(""))) != "", lemma).otherwise(F.col(text_col))
     return (df.filter(F.col("lang").isin("en", "fr") & (F.col("n_tokens") >= K.MIN_TOKENS))
               .withColumn("topic_text", text))
+
+
+def with_bigrams(df: DataFrame, tokens_col: str = "tokens", out_col: str = "terms") -> DataFrame:
+    """Uni- and bi-grams of a token array (Spark ML ``NGram`` for the pairs)."""
+    ng = NGram(n=2, inputCol=tokens_col, outputCol="_bigrams").transform(df)
+    return ng.withColumn(out_col, F.concat(F.col(tokens_col), F.col("_bigrams"))).drop("_bigrams")
+
+
+def ngram_doc_freq(df: DataFrame, tokens_col: str = "tokens", min_df: int = K.NGRAM_MIN_DF,
+                   max_df: float = K.NGRAM_MAX_DF) -> DataFrame:
+    """ML-4: document frequency of uni+bi-grams, kept when df >= min_df and
+    df <= max_df * #documents (the CountVectorizer vocabulary rule)."""
+    terms = with_bigrams(df.select(tokens_col), tokens_col)
+    n_docs = df.count()  # one scalar
+    dfreq = (terms.select(F.explode(F.array_distinct("terms")).alias("term"))
+                  .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    return dfreq.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
+
+
+def class_term_counts(df: DataFrame, class_col: str, tokens_col: str = "tokens") -> DataFrame:
+    """tf(term, class): term occurrences per class."""
+    return (df.select(F.col(class_col).alias("topic"), F.explode(tokens_col).alias("term"))
+              .groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def ctfidf(tf: DataFrame) -> DataFrame:
+    """ML-5: class-based TF-IDF, w(t, c) = tf(t, c) * ln(1 + A / f(t)) with
+    f(t) the frequency of t over all classes and A the mean number of words
+    per class. ``tf`` is (topic, term, tf)."""
+    totals = tf.groupBy().agg((F.sum("tf") / F.countDistinct("topic")).alias("A")).first()
+    avg_words = float(totals["A"]) if totals and totals["A"] is not None else 0.0
+    f_t = F.sum("tf").over(Window.partitionBy("term"))
+    return tf.withColumn("f", f_t).withColumn(
+        "weight", F.col("tf") * F.log(1.0 + F.lit(avg_words) / F.col("f")))
+
+
+def top_words(weights: DataFrame, k: int = K.TOPIC_REPORT_WORDS) -> DataFrame:
+    """WIN-4: the k best terms per topic (weight desc, then term)."""
+    w = Window.partitionBy("topic").orderBy(F.desc("weight"), F.col("term"))
+    return weights.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def topic_ids_by_size(df: DataFrame, class_col: str) -> DataFrame:
+    """Topic ids 0..n-1 by descending size (ties by class value). One row per
+    class: bounded by the number of topics."""
+    sizes = df.groupBy(F.col(class_col).alias("topic")).agg(F.count(F.lit(1)).alias("count"))
+    w = Window.orderBy(F.desc("count"), F.col("topic"))
+    return sizes.withColumn("topic_id", (F.row_number().over(w) - 1).cast("int"))
+
+
+def topic_label(topic_id: Column, words: Column, n_words: int = K.TOPIC_LABEL_WORDS) -> Column:
+    """STR-17: -1 -> ``outlier``; ``T{id}: w1 | w2 | w3``; no words -> ``T{id}``."""
+    head = F.slice(words, 1, n_words)
+    base = F.concat(F.lit("T"), topic_id.cast("string"))
+    return (F.when(topic_id == -1, F.lit("outlier"))
+             .when(F.coalesce(F.size(head), F.lit(0)) > 0,
+                   F.concat(base, F.lit(": "), F.array_join(head, " | ")))
+             .otherwise(base))
+
+
+def topic_table(df: DataFrame, class_col: str, tokens_col: str = "tokens") -> DataFrame:
+    """Per topic: id (by size), count, ordered top words and weights."""
+    ids = topic_ids_by_size(df, class_col)
+    tops = top_words(ctfidf(class_term_counts(df, class_col, tokens_col)))
+    words = (tops.groupBy("topic")
+                 .agg(F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))).alias("_w")))
+    return (ids.join(words, "topic", "left")
+               .select("topic", "topic_id", "count",
+                       F.transform("_w", lambda x: x["term"]).alias("words"),
+                       F.transform("_w", lambda x: x["weight"]).alias("weights")))
+
+
+def assign_labels(df: DataFrame, topics: DataFrame, class_col: str) -> DataFrame:
+    """JOI-3: topic id and label onto every post (topic table broadcast: one
+    row per topic)."""
+    lab = topics.select(F.col("topic").alias(class_col), "topic_id",
+                        topic_label(F.col("topic_id"), F.col("words")).alias("topic_label"))
+    return df.join(F.broadcast(lab), class_col, "left")
+
+
+def topic_report(topics: DataFrame, k: int = K.TOPIC_REPORT_WORDS) -> DataFrame:
+    """ML-8 / FLT-7 / STR-12: id, count and ``word (0.123), ...`` for the top
+    k words, outlier topic excluded."""
+    pairs = F.transform(F.slice(F.arrays_zip("words", "weights"), 1, k),
+                        lambda x: F.format_string("%s (%.3f)", x["words"], rnd(x["weights"], 3)))
+    return (topics.where(F.col("topic_id") != -1)
+                  .select("topic_id", "count", F.array_join(pairs, ", ").alias("top_words")))
+
+
+# ---------------------------------------------------------------------------
+# Model-based topics (embeddings -> reduced space -> clusters)
+# ---------------------------------------------------------------------------
+
+def cluster_topics(df: DataFrame, vec_col: str, key: str, k: int = K.NR_TOPICS,
+                   dims: int = K.REDUCED_DIMS, min_size: int = K.MIN_TOPIC_SIZE,
+                   outlier_quantile: float = 0.95, seed: int = K.TOPIC_SEED) -> DataFrame:
+    """ML-1..3, ML-7: L2-normalise the embeddings (cosine geometry), reduce
+    with PCA, cluster with k-means. Points farther from their centre than the
+    ``outlier_quantile`` of all distances, and clusters smaller than
+    ``min_size``, become topic -1. Remaining ids are re-ranked by size.
+    ``topic_prob`` is the softmax of negative centre distances (its max)."""
+    vec = df.select(key, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_raw"))
+    norm = Normalizer(inputCol="_raw", outputCol="_n", p=2.0).transform(vec)
+    pca = PCA(k=dims, inputCol="_n", outputCol="_r").fit(norm)
+    red = pca.transform(norm).select(key, "_r")
+    km = KMeans(k=k, seed=seed, featuresCol="_r", predictionCol="_c").fit(red)
+    centres = [list(map(float, c)) for c in km.clusterCenters()]  # k x dims, bounded
+    pts = km.transform(red).withColumn("_x", vector_to_array("_r"))
+    cen = F.array(*[F.array(*[F.lit(v) for v in c]) for c in centres])
+    dists = F.transform(cen, lambda c: F.sqrt(F.aggregate(
+        F.zip_with(c, F.col("_x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)))
+    pts = pts.withColumn("_d", dists)
+    pts = pts.withColumn("_dmin", F.array_min("_d"))
+    expd = F.transform("_d", lambda d: F.exp(-d))
+    pts = pts.withColumn("_prob", F.array_max(expd) / F.aggregate(expd, F.lit(0.0), lambda s, v: s + v))
+    cut = pts.approxQuantile("_dmin", [outlier_quantile], 0.001)[0]
+    pts = pts.withColumn("_c", F.when(F.col("_dmin") > cut, F.lit(-1)).otherwise(F.col("_c")))
+    sizes = pts.where(F.col("_c") >= 0).groupBy("_c").agg(F.count(F.lit(1)).alias("_size"))
+    w = Window.orderBy(F.desc("_size"), F.col("_c"))
+    ranked = (sizes.where(F.col("_size") >= min_size)
+                   .withColumn("topic_id", (F.row_number().over(w) - 1).cast("int")))
+    out = pts.join(F.broadcast(ranked.select("_c", "topic_id")), "_c", "left")
+    return out.select(key, F.coalesce("topic_id", F.lit(-1)).alias("topic_id"),
+                      rnd("_prob").alias("topic_prob"))
+
+
+def lda_topics(df: DataFrame, tokens_col: str, key: str, k: int = K.NR_TOPICS,
+               seed: int = K.TOPIC_SEED, max_iter: int = 20) -> DataFrame:
+    """ML-9: Spark ML LDA over term counts; dominant topic and its weight."""
+    cv = CountVectorizer(inputCol=tokens_col, outputCol="_tf", minDF=2.0).fit(df)
+    feats = cv.transform(df.select(key, tokens_col))
+    model = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_tf",
+                topicDistributionCol="_td").fit(feats)
+    td = model.transform(feats).withColumn("_p", vector_to_array("_td"))
+    return td.select(key, F.array_position("_p", F.array_max("_p")).cast("int").alias("_pos"),
+                     rnd(F.array_max("_p")).alias("topic_prob")) \
+             .select(key, (F.col("_pos") - 1).alias("topic_id"), "topic_prob")
+
+
+def merge_topics(df: DataFrame, class_col: str, nr_topics: int, tokens_col: str = "tokens",
+                 max_rounds: int = 1000) -> DataFrame:
+    """ML-6: merge the smallest topic into its most similar one (cosine of
+    c-TF-IDF vectors) until ``nr_topics`` remain. Each round is one
+    distributed similarity computation (topic x topic through a join on
+    term); the driver only sees the per-topic winner (bounded by #topics).
+    Returns (original class, merged topic id by size)."""
+    mapping = df.select(F.col(class_col).alias("orig")).distinct().withColumn("topic", F.col("orig"))
+    mapping = mapping.checkpoint()  # cut lineage between rounds (reliable dir)
+    base = df.select(F.col(class_col).alias("orig"), tokens_col)
+    for _ in range(max_rounds):
+        cur = base.join(F.broadcast(mapping), "orig").select("topic", tokens_col)
+        sizes = cur.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+        n_topics = sizes.count()
+        if n_topics <= nr_topics:
+            break
+        smallest = sizes.orderBy("n", "topic").first()["topic"]
+        wts = ctfidf(class_term_counts(cur, "topic", tokens_col)).select("topic", "term", "weight")
+        a = wts.where(F.col("topic") == smallest).select("term", F.col("weight").alias("wa"))
+        b = wts.where(F.col("topic") != smallest)
+        norms = wts.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+        dots = b.join(a, "term").groupBy("topic").agg(F.sum(F.col("weight") * F.col("wa")).alias("dot"))
+        sims = dots.join(norms, "topic").withColumn("sim", F.col("dot") / F.col("norm"))
+        best = sims.orderBy(F.desc("sim"), F.col("topic")).first()
+        target = best["topic"] if best else sizes.where(F.col("topic") != smallest) \
+            .orderBy(F.desc("n"), "topic").first()["topic"]
+        mapping = mapping.withColumn("topic", F.when(F.col("topic") == smallest, F.lit(target))
+                                     .otherwise(F.col("topic"))).checkpoint()
+    ids = topic_ids_by_size(base.join(F.broadcast(mapping), "orig"), "topic")
+    return mapping.join(F.broadcast(ids.select("topic", "topic_id")), "topic").select(
+        F.col("orig").alias(class_col), "topic_id")

@@ -1 +1,118 @@
-"""Registered queries: n-grams, class-based TF-IDF, topic models."""
+"""Registered queries: n-grams, class-based TF-IDF, topic models, language id.
+
+Class-based topics use the forum as the class over the topic-model input
+(en / fr posts with at least five tokens)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textpulse import constants as K
+from textpulse.functions.numeric import rnd
+from textpulse.operators import langid as LID
+from textpulse.operators import topics as TP
+from textpulse.plans import fixtures as FX
+from textpulse.plans import sqlgen as S
+from textpulse.plans.registry import register
+from textpulse.plans.stages import clean_table
+
+TI_CTE = f", ti AS (SELECT * FROM clean WHERE lang IN ('en', 'fr') AND n_tokens >= {K.MIN_TOKENS})"
+
+CTFIDF_CTE = TI_CTE + """,
+tf AS (SELECT topic, term, count(*) AS tf FROM (SELECT forum AS topic, unnest(tokens) AS term FROM ti) GROUP BY 1, 2),
+avgw AS (SELECT CAST(sum(tf) AS DOUBLE) / count(DISTINCT topic) AS a FROM tf),
+w AS (SELECT topic, term, tf, sum(tf) OVER (PARTITION BY term) AS f FROM tf),
+ww AS (SELECT topic, term, tf * ln(1 + (SELECT a FROM avgw) / f) AS weight FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM ww),
+sizes AS (SELECT forum AS topic, count(*) AS cnt FROM ti GROUP BY 1),
+ids AS (SELECT topic, CAST(row_number() OVER (ORDER BY cnt DESC, topic) - 1 AS INTEGER) AS topic_id, cnt FROM sizes),
+words AS (SELECT topic, list(term ORDER BY rank) AS words, list(weight ORDER BY rank) AS weights
+          FROM r WHERE rank <= 10 GROUP BY topic)"""
+
+
+def _clean(select: str) -> str:
+    return f"WITH {S.clean_cte()}{select}"
+
+
+def _topic_input(spark, sf_dir):
+    return TP.topic_input(clean_table(spark, sf_dir))
+
+
+@register("ngram_df_filter", sql=lambda: _clean(TI_CTE + f""",
+terms AS (SELECT list_concat(tokens, [tokens[i] || ' ' || tokens[i + 1] for i in range(1, len(tokens))]) AS terms FROM ti),
+dfq AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(terms)) AS term FROM terms) GROUP BY term)
+SELECT term, df FROM dfq
+WHERE df >= {K.NGRAM_MIN_DF} AND df <= {K.NGRAM_MAX_DF} * (SELECT count(*) FROM ti)"""))
+def ngram_query(spark, sf_dir):
+    """ML-4: uni+bi-gram document frequencies with the min_df / max_df rule."""
+    return TP.ngram_doc_freq(_topic_input(spark, sf_dir)).select("term", "df")
+
+
+@register("ctfidf_top_words", sql=lambda: _clean(CTFIDF_CTE + f"""
+SELECT topic, CAST(rank AS INTEGER) AS rank, term, {S.rnd('weight')} AS weight FROM r WHERE rank <= 10"""))
+def ctfidf_query(spark, sf_dir):
+    """ML-5, WIN-4: class-based TF-IDF, ten best words per class."""
+    ti = _topic_input(spark, sf_dir)
+    tops = TP.top_words(TP.ctfidf(TP.class_term_counts(ti, "forum")))
+    return tops.select("topic", F.col("rank").cast("int").alias("rank"), "term",
+                       rnd("weight").alias("weight"))
+
+
+@register("topic_labels", sql=lambda: _clean(CTFIDF_CTE + """,
+lab AS (SELECT ids.topic, topic_id,
+  CASE WHEN topic_id = -1 THEN 'outlier'
+       WHEN coalesce(len(words[1:3]), 0) > 0 THEN 'T' || CAST(topic_id AS VARCHAR) || ': ' || array_to_string(words[1:3], ' | ')
+       ELSE 'T' || CAST(topic_id AS VARCHAR) END AS topic_label
+  FROM ids LEFT JOIN words ON words.topic = ids.topic)
+SELECT ti.post_id, lab.topic_id, lab.topic_label FROM ti LEFT JOIN lab ON lab.topic = ti.forum"""))
+def topic_labels_query(spark, sf_dir):
+    """STR-17, JOI-3, ARR-4: topic id (by size) and label for every post."""
+    ti = _topic_input(spark, sf_dir)
+    topics = TP.topic_table(ti, "forum")
+    return TP.assign_labels(ti, topics, "forum").select("post_id", "topic_id", "topic_label")
+
+
+@register("topic_report", sql=lambda: _clean(CTFIDF_CTE + f"""
+SELECT ids.topic_id, ids.cnt AS count,
+  string_agg(r.term || ' (' || printf('%.3f', {S.rnd('r.weight', 3)}) || ')', ', ' ORDER BY r.rank) AS top_words
+FROM ids JOIN r ON r.topic = ids.topic AND r.rank <= {K.TOPIC_REPORT_WORDS}
+WHERE ids.topic_id <> -1 GROUP BY ids.topic_id, ids.cnt"""))
+def topic_report_query(spark, sf_dir):
+    """ML-8, FLT-7, STR-12, SNK-4: id, size and top-10 ``word (weight)``."""
+    ti = _topic_input(spark, sf_dir)
+    return TP.topic_report(TP.topic_table(ti, "forum"))
+
+
+@register("topic_clusters")
+def topic_clusters_query(spark, sf_dir):
+    """ML-1, ML-2, ML-3, ML-7: embeddings -> PCA(5) -> k-means topics with
+    outliers (-1) and probabilities (rows-only check: iterative ML)."""
+    emb = FX.read_table(spark, sf_dir, "embeddings")
+    return TP.cluster_topics(emb, "embedding", "vec_id")
+
+
+@register("topic_merge")
+def topic_merge_query(spark, sf_dir):
+    """ML-6: merge forum topics by c-TF-IDF similarity down to four
+    (iterative; rows-only check)."""
+    ti = _topic_input(spark, sf_dir)
+    return TP.merge_topics(ti, "forum", nr_topics=4)
+
+
+@register("lda_topics")
+def lda_query(spark, sf_dir):
+    """ML-9: LDA topics over the topic-model input (rows-only check)."""
+    ti = _topic_input(spark, sf_dir)
+    return TP.lda_topics(ti, "tokens", "post_id", k=K.NR_TOPICS)
+
+
+@register("langid_ngrams")
+def langid_query(spark, sf_dir):
+    """LID-1: character-trigram naive Bayes trained on the labelled
+    documents, applied to every document, plus the post-rules
+    (< 5 words -> unknown; en / fr kept; else other). Rows-only check; a
+    brute-force pandas twin is in the tests."""
+    docs = FX.read_table(spark, sf_dir, "documents")
+    model = LID.train(docs, text_col="text", label_col="lang")
+    pred = LID.predict(docs, model, key="doc_id", text_col="text")
+    return pred.select("doc_id", "lang_pred", "lang_detected")
