@@ -35,9 +35,10 @@ def measures(columns: list[str]) -> list[Column]:
     """AGG-1: the measure set, each only if its input column exists."""
     have = set(columns)
     n_all = F.count(F.lit(1))
-    m = [n_all.alias("nb_posts"),
-         F.count_if(F.col("lang") == "en").alias("nb_posts_en"),
-         F.count_if(F.col("lang") == "fr").alias("nb_posts_fr")]
+    m = [n_all.alias("nb_posts")]
+    if "lang" in have:
+        m += [F.count_if(F.col("lang") == "en").alias("nb_posts_en"),
+              F.count_if(F.col("lang") == "fr").alias("nb_posts_fr")]
     for c in SENTIMENT_SCORES:
         if c in have:
             m.append(grid_mean(c).alias(f"mean_{c}"))
