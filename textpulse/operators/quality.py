@@ -130,3 +130,38 @@ def boxplot(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
         F.count_if((F.col("_v") < lo_f) | (F.col("_v") > hi_f)).alias("n_outliers"),
         F.count("_v").alias("n"))
     return out.orderBy(group_col)
+
+
+def counter_columns(df: DataFrame) -> list[Column]:
+    """AGG-16: the run counters logged by the stages, as aggregate columns."""
+    from textpulse.functions.numeric import grid_mean
+    cols = [F.count_if("lang_conflict").cast("double").alias("conflicts"),
+            F.count_if("is_too_short").cast("double").alias("too_short"),
+            F.count_if(F.col("text_clean") == "").cast("double").alias("empty_after_fallback"),
+            F.count_if(F.col("n_tokens") == 0).cast("double").alias("zero_token_posts"),
+            rnd(F.try_divide(F.sum("n_tokens").cast("double"), F.count("n_tokens"))).alias("mean_tokens")]
+    if "score_cont" in df.columns:
+        cols.append(grid_mean("score_cont").alias("mean_score"))
+    if "distress_score" in df.columns:
+        cols.append(grid_mean("distress_score").alias("mean_distress"))
+    return cols
+
+
+def observe_counters(df: DataFrame, name: str = "stage_counters"):
+    """AGG-16 without an extra job: attach the counters to ``df`` with
+    ``DataFrame.observe``; they are filled in when ``df`` runs its action.
+    Returns (observed frame, Observation)."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    return df.observe(obs, *counter_columns(df)), obs
+
+
+def run_counters(raw: DataFrame, enriched: DataFrame, key: str = "post_id") -> DataFrame:
+    """AGG-16 as a table (counter, value): duplicates removed (rows minus
+    distinct ids, null ids counting as one) plus the stage counters."""
+    dup = raw.agg((F.count(F.lit(1)) - F.count_distinct(key)
+                   - F.max(F.when(F.col(key).isNull(), 1).otherwise(0))).cast("double").alias("duplicates_removed"))
+    stats = enriched.agg(*counter_columns(enriched))
+    long = [dup.unpivot([], ["duplicates_removed"], "counter", "value"),
+            stats.unpivot([], stats.columns, "counter", "value")]
+    return long[0].unionByName(long[1])

@@ -276,3 +276,19 @@ FROM enriched ORDER BY distress_score DESC NULLS LAST, post_id LIMIT 10"""))
 def top_distress_query(spark, sf_dir):
     """SRT-4, STR-13, CHT-9: the ten most distressed posts with excerpts."""
     return CH.top_distress(enriched_table(spark, sf_dir))
+
+
+@register("run_counters", sql=lambda: _enriched(f"""
+SELECT 'duplicates_removed' AS counter,
+  CAST((SELECT count(*) FROM posts_raw) - (SELECT count(*) FROM dedup) AS DOUBLE) AS value
+UNION ALL SELECT 'conflicts', CAST(count(*) FILTER (WHERE lang_conflict) AS DOUBLE) FROM enriched
+UNION ALL SELECT 'too_short', CAST(count(*) FILTER (WHERE is_too_short) AS DOUBLE) FROM enriched
+UNION ALL SELECT 'empty_after_fallback', CAST(count(*) FILTER (WHERE text_clean = '') AS DOUBLE) FROM enriched
+UNION ALL SELECT 'zero_token_posts', CAST(count(*) FILTER (WHERE n_tokens = 0) AS DOUBLE) FROM enriched
+UNION ALL SELECT 'mean_tokens', {S.rnd('CAST(sum(n_tokens) AS DOUBLE) / count(n_tokens)')} FROM enriched
+UNION ALL SELECT 'mean_score', {S.grid_mean('score_cont')} FROM enriched
+UNION ALL SELECT 'mean_distress', {S.grid_mean('distress_score')} FROM enriched"""))
+def run_counters_query(spark, sf_dir):
+    """AGG-16: stage run counters (duplicates removed, conflicts, short,
+    empty, zero-token posts, mean tokens / score / distress)."""
+    return QU.run_counters(FX.posts_raw(spark, sf_dir), enriched_table(spark, sf_dir))
