@@ -81,12 +81,13 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", n: i
 
 
 def predict(docs: DataFrame, model: LangModel, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    grams = (docs.select(key, F.explode(char_grams(text_col, model.n)).alias("gram"))
-                 .groupBy(key, "gram").agg(F.count(F.lit(1)).alias("m")))
+    # Every trigram occurrence probes the (size-checked, broadcast) model;
+    # all occurrences of a text sit in one partition, so the per-text sums
+    # combine map-side and only one partial row per text is shuffled.
+    grams = docs.select(key, F.explode(char_grams(text_col, model.n)).alias("gram"))
     matched = (grams.join(broadcast_if_small(model.logp), "gram")
                     .groupBy(key)
-                    .agg(*[F.sum(F.when(F.col("lang") == lg,
-                                        F.col("m") * (F.col("logp") - F.lit(model.unseen[lg]))))
+                    .agg(*[F.sum(F.when(F.col("lang") == lg, F.col("logp") - F.lit(model.unseen[lg])))
                            .alias(f"_m_{lg}") for lg in model.langs]))
     n_grams = n_char_grams(text_col, model.n)
     base = docs.select(key, n_grams.alias("_n"),

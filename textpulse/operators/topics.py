@@ -38,10 +38,19 @@ def ngram_doc_freq(df: DataFrame, tokens_col: str = "tokens", min_df: int = K.NG
     """ML-4: document frequency of uni+bi-grams, kept when df >= min_df and
     df <= max_df * #documents (the CountVectorizer vocabulary rule)."""
     terms = with_bigrams(df.select(tokens_col), tokens_col)
-    n_docs = df.count()  # one scalar
-    dfreq = (terms.select(F.explode(F.array_distinct("terms")).alias("term"))
+    # Every document also emits a sentinel term (a control character, which
+    # no token or bigram can contain): its document frequency is the number
+    # of documents, so one aggregation yields both, and the count joins back
+    # as a one-row broadcast on a constant key (no second pass, no cross join).
+    sentinel = "\u0001"
+    per_doc = F.array_union(F.array_distinct("terms"), F.array(F.lit(sentinel)))
+    dfreq = (terms.select(F.explode(per_doc).alias("term"))
                   .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    return dfreq.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
+    n_docs = dfreq.where(F.col("term") == sentinel).select(F.col("df").alias("_n"), F.lit(1).alias("_k"))
+    out = (dfreq.where(F.col("term") != sentinel).withColumn("_k", F.lit(1))
+                .join(F.broadcast(n_docs), "_k"))
+    return out.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("_n"))) \
+              .select("term", "df")
 
 
 def class_term_counts(df: DataFrame, class_col: str, tokens_col: str = "tokens") -> DataFrame:
@@ -54,11 +63,13 @@ def ctfidf(tf: DataFrame) -> DataFrame:
     """ML-5: class-based TF-IDF, w(t, c) = tf(t, c) * ln(1 + A / f(t)) with
     f(t) the frequency of t over all classes and A the mean number of words
     per class. ``tf`` is (topic, term, tf)."""
-    totals = tf.groupBy().agg((F.sum("tf") / F.countDistinct("topic")).alias("A")).first()
-    avg_words = float(totals["A"]) if totals and totals["A"] is not None else 0.0
+    # A (one row) joins back on a constant key: broadcast, no driver trip.
+    avg = (tf.groupBy().agg((F.sum("tf") / F.countDistinct("topic")).alias("_A"))
+             .withColumn("_k", F.lit(1)))
     f_t = F.sum("tf").over(Window.partitionBy("term"))
-    return tf.withColumn("f", f_t).withColumn(
-        "weight", F.col("tf") * F.log(1.0 + F.lit(avg_words) / F.col("f")))
+    out = tf.withColumn("f", f_t).withColumn("_k", F.lit(1)).join(F.broadcast(avg), "_k")
+    return out.withColumn("weight", F.col("tf") * F.log(1.0 + F.col("_A") / F.col("f"))) \
+              .drop("_k", "_A")
 
 
 def top_words(weights: DataFrame, k: int = K.TOPIC_REPORT_WORDS) -> DataFrame:
