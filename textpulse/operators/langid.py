@@ -60,6 +60,8 @@ class LangModel:
 
 
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", n: int = 3) -> LangModel:
+    from textpulse.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(docs.sparkSession)  # the cluster's folder; own one only if unset
     lab = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     counts = (lab.select(F.col(label_col).alias("lang"), F.explode(char_grams(text_col, n)).alias("gram"))
                  .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c")))

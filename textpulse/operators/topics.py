@@ -182,6 +182,8 @@ def merge_topics(df: DataFrame, class_col: str, nr_topics: int, tokens_col: str
     distributed similarity computation (topic x topic through a join on
     term); the driver only sees the per-topic winner (bounded by #topics).
     Returns (original class, merged topic id by size)."""
+    from textpulse.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)  # the cluster's folder; own one only if unset
     mapping = df.select(F.col(class_col).alias("orig")).distinct().withColumn("topic", F.col("orig"))
     mapping = mapping.checkpoint()  # cut lineage between rounds (reliable dir)
     base = df.select(F.col(class_col).alias("orig"), tokens_col)
