@@ -33,8 +33,8 @@ def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
 MAX_INLINE_LEXICON = 200_000
 
 
-def _hit_counts_inline(df: DataFrame, lex: DataFrame, tokens_col: str) -> DataFrame:
-    rows = lex.collect()  # bounded by MAX_INLINE_LEXICON (checked by the caller)
+def _hit_counts_inline(df: DataFrame, lex: DataFrame, tokens_col: str, rows) -> DataFrame:
+    # ``rows``: the lexicon, at most MAX_INLINE_LEXICON pairs (checked by the caller)
     has_lang = "lang" in lex.columns
     words: dict[tuple, list[str]] = {}
     for r in rows:
@@ -85,9 +85,10 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, key: str = "post_id",
     broadcast-or-shuffle join -> count per post -> left join back.
     """
     lex = prepare_lexicon(lexicon)
-    n_lex = lex.limit(MAX_INLINE_LEXICON + 1).count()
-    if n_lex <= MAX_INLINE_LEXICON:
-        joined = _hit_counts_inline(df, lex, tokens_col)
+    # One bounded fetch serves as both the size check and the inline table.
+    rows = lex.limit(MAX_INLINE_LEXICON + 1).collect()
+    if len(rows) <= MAX_INLINE_LEXICON:
+        joined = _hit_counts_inline(df, lex, tokens_col, rows)
     else:
         joined = _hit_counts_join(df, lex, key, tokens_col)
     inputs = {e: F.coalesce(F.col(f"_h_{e}"), F.lit(0)) for e in K.EMOTIONS}
