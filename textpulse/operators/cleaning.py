@@ -46,33 +46,34 @@ def clean_text_column(df: DataFrame, src: str, dst: str, lang: str | None = None
 
 
 def add_clean_columns(df: DataFrame, compat: bool = True) -> DataFrame:
-    """PRJ-1..4, STR-1..9, DAT-1..2: columns that need no language id."""
-    is_empty = F.col("_body_clean") == ""
-    has_title = F.col("title").isNotNull()
-    out = df.withColumn("lang", forum_lang("forum"))
-    out = clean_text_column(out, "text", "_body_clean", lang="lang", compat=compat)
-    out = clean_text_column(out, "title", "_title_clean", lang="lang", compat=compat)
-    out = (out
-           .withColumn("is_empty", is_empty)
-           .withColumn("text_clean",
-                       F.when(is_empty & has_title, F.col("_title_clean"))
-                       .otherwise(F.col("_body_clean")))
-           .withColumn("text_source",
-                       F.when(is_empty & has_title, "titre")
-                       .when(~is_empty & has_title, "titre+texte")
-                       .otherwise("texte"))
-           .withColumn("n_chars_clean", F.length("text_clean"))
-           .drop("_body_clean", "_title_clean"))
+    """PRJ-1..4, STR-1..9, DAT-1..2: columns that need no language id.
+
+    Independent columns are added together (``withColumns``) to keep the
+    number of plan re-analyses small."""
+    lang = forum_lang("forum")
+    first = {"lang": lang,
+             "_body_clean": TX.clean_text("text", lang=lang, compat=compat),
+             "_title_clean": TX.clean_text("title", lang=lang, compat=compat)}
     if "category" in df.columns:
-        out = out.withColumn("category", TX.strip_unicode("category"))
+        first["category"] = TX.strip_unicode("category")
     if "posted_raw" in df.columns:
-        out = out.withColumn("posted_at", D.parse_timestamp("posted_raw"))
+        first["posted_at"] = D.parse_timestamp("posted_raw")
     elif "posted_at" in df.columns:
-        out = out.withColumn("posted_at", D.parse_timestamp("posted_at"))
+        first["posted_at"] = D.parse_timestamp("posted_at")
+    out = df.withColumns(first)
+    is_empty = F.col("_body_clean") == ""
+    has_title = F.col("title").isNotNull()
+    text_clean = F.when(is_empty & has_title, F.col("_title_clean")).otherwise(F.col("_body_clean"))
+    second = {"is_empty": is_empty,
+              "text_clean": text_clean,
+              "text_source": (F.when(is_empty & has_title, "titre")
+                              .when(~is_empty & has_title, "titre+texte")
+                              .otherwise("texte"))}
     if "posted_at" in out.columns:
-        out = (out.withColumn("year", F.year("posted_at"))
-               .withColumn("month", F.month("posted_at")))
-    return out
+        second["year"] = F.year("posted_at")
+        second["month"] = F.month("posted_at")
+    out = out.withColumns(second).drop("_body_clean", "_title_clean")
+    return out.withColumn("n_chars_clean", F.length("text_clean"))
 
 
 def resolve_language(df: DataFrame, detected_col: str = "lang_detected") -> DataFrame:
@@ -80,17 +81,17 @@ def resolve_language(df: DataFrame, detected_col: str = "lang_detected") -> Data
     with the forum language, then trust the detector (flag stays True)."""
     det = F.coalesce(F.col(detected_col), F.lit("unknown"))
     conflict = (det != "unknown") & (det != F.col("lang"))
-    return (df.withColumn(detected_col, det)
-            .withColumn("lang_conflict", conflict)
-            .withColumn("lang", F.when(conflict, det).otherwise(F.col("lang"))))
+    out = df.withColumns({detected_col: det, "lang_conflict": conflict})
+    return out.withColumn("lang", F.when(F.col("lang_conflict"), F.col(detected_col))
+                          .otherwise(F.col("lang")))
 
 
 def add_tokens(df: DataFrame, text_col: str = "text_clean", lang_col: str = "lang") -> DataFrame:
     """TOK-5 + PRJ-7: tokens, lemma text, token count, short flag."""
-    return (df.withColumn("tokens", TX.tokens_for(text_col, lang_col))
-            .withColumn("text_lemma", F.array_join("tokens", " "))
-            .withColumn("n_tokens", F.size("tokens"))
-            .withColumn("is_too_short", F.col("n_tokens") < K.MIN_TOKENS))
+    out = df.withColumn("tokens", TX.tokens_for(text_col, lang_col))
+    n = F.size("tokens")
+    return out.withColumns({"text_lemma": F.array_join("tokens", " "), "n_tokens": n,
+                            "is_too_short": n < K.MIN_TOKENS})
 
 
 def clean_posts(posts: DataFrame, detector=None, compat: bool = True,
