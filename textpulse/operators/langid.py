@@ -23,31 +23,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textpulse import constants as K
-from textpulse.functions.text import bind, has_min_words
+from textpulse.functions.text import has_min_words
 from textpulse.operators.joins import broadcast_if_small
 
 
-def _chars(col) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return F.split(F.lower(c), "")
-
-
 def char_grams(col, n: int = 3) -> Column:
     """All overlapping character n-grams of the lower-cased text.
 
-    The text is split into characters once and bound to a lambda variable,
-    so each gram is an O(1) array access (no per-gram substring scan)."""
-    def grams(cs):
-        k = F.size(cs) - (n - 1)
-        return F.when(k > 0, F.transform(
-            F.sequence(F.lit(0), k - 1),
-            lambda i: F.concat(*[F.element_at(cs, i + (j + 1)) for j in range(n)]))
-        ).otherwise(F.array().cast("array<string>"))
-    return bind(_chars(col), grams)
+    A zero-width look-ahead capturing ``n`` characters matches at every
+    position, so one compiled regex pass returns every gram (no per-gram
+    substring scan, no interpreted lambda)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.regexp_extract_all(F.lower(c), F.lit("(?s)(?=(.{%d}))" % n), F.lit(1))
 
 
 def n_char_grams(col, n: int = 3) -> Column:
-    return F.greatest(F.size(_chars(col)) - (n - 1), F.lit(0))
+    c = F.col(col) if isinstance(col, str) else col
+    return F.greatest(F.length(c) - (n - 1), F.lit(0))
 
 
 @dataclass
@@ -65,7 +57,10 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", n: i
     lab = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     counts = (lab.select(F.col(label_col).alias("lang"), F.explode(char_grams(text_col, n)).alias("gram"))
                  .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c")))
-    counts = counts.checkpoint()  # reused three times below; reliable, cuts lineage
+    # Reused three times below: written once as Parquet under the checkpoint
+    # folder (one computation, columnar re-reads, survives executor loss).
+    from textpulse.sources.sinks import materialize
+    counts = materialize(docs.sparkSession, counts, "langid-counts")
     vocab = counts.select("gram").distinct().count()
     per_lang = counts.groupBy("lang").agg(F.sum("c").alias("total")).collect()   # one row per language
     docs_per_lang = {r["lang"]: r["cnt"] for r in
