@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from textpulse import constants as K
 from textpulse.operators import aggregate as A
 from textpulse.plans import sqlgen as S
@@ -21,7 +23,8 @@ def _mode_sql(src: str, keys: list[str], col: str, alias: str) -> str:
   GROUP BY {k})"""
 
 
-def measures_sql(src: str, keys: list[str], extra_select: str = "", order: str = "") -> str:
+def measures_sql(src: str, keys: list[str], extra_select: str = "", order: str = "",
+                 topics: bool = False) -> str:
     """SQL twin of ``aggregate.summarize`` over the enriched CTE."""
     k = ", ".join(keys)
     notnull = " AND ".join(f"{x} IS NOT NULL" for x in keys)
@@ -43,7 +46,12 @@ def measures_sql(src: str, keys: list[str], extra_select: str = "", order: str =
           f"{S.rnd('CAST(sum(n_tokens) AS DOUBLE) / count(n_tokens)')} AS mean_nb_tokens"]
     modes = [_mode_sql("base", keys, "emotion_dominant", "dominant_emotion"),
              _mode_sql("base", keys, "distress_level", "dominant_distress_level")]
-    join = " ".join(f"LEFT JOIN {a} USING ({k})" for a in ("dominant_emotion", "dominant_distress_level"))
+    mode_names = ["dominant_emotion", "dominant_distress_level"]
+    if topics:
+        m.append("CAST(count(DISTINCT topic_label) AS BIGINT) AS nb_unique_topics")
+        modes.append(_mode_sql("base", keys, "topic_label", "dominant_topic"))
+        mode_names.append("dominant_topic")
+    join = " ".join(f"LEFT JOIN {a} USING ({k})" for a in mode_names)
     return f""",
 base AS (SELECT * FROM {src} WHERE {notnull}),
 agg AS (SELECT {k}, {', '.join(m)} FROM base GROUP BY {k}),
@@ -84,3 +92,30 @@ def agg_weekday(spark, sf_dir):
 def agg_global(spark, sf_dir):
     """AGG-5: lang x forum."""
     return A.by_lang_forum(enriched_table(spark, sf_dir))
+
+
+def _agg_topics_sql() -> str:
+    from textpulse.plans.q_topics import CTFIDF_CTE
+    cte = CTFIDF_CTE.replace("FROM clean WHERE", "FROM enriched WHERE") \
+                    .replace("forum AS topic", "CAST(month AS VARCHAR) AS topic")
+    lab = """,
+lab AS (SELECT ids.topic, topic_id,
+  CASE WHEN topic_id = -1 THEN 'outlier'
+       WHEN coalesce(len(words[1:3]), 0) > 0 THEN 'T' || CAST(topic_id AS VARCHAR) || ': ' || array_to_string(words[1:3], ' | ')
+       ELSE 'T' || CAST(topic_id AS VARCHAR) END AS topic_label
+  FROM ids LEFT JOIN words ON words.topic = ids.topic),
+src AS (SELECT ti.*, lab.topic_label FROM ti LEFT JOIN lab ON lab.topic = CAST(ti.month AS VARCHAR))"""
+    return "WITH " + S.enriched_cte() + cte + lab + measures_sql("src", ["lang", "forum"], topics=True)
+
+
+@register("agg_topics", sql=_agg_topics_sql)
+def agg_topics(spark, sf_dir):
+    """AGG-1 with the topic measures (AGG-17 distinct topics, AGG-18 mode of
+    the topic label) over the topic-model input, topics = class-based TF-IDF
+    labels with the posting month as class; grouped by lang x forum."""
+    from textpulse.operators import topics as TP
+    ti = TP.topic_input(enriched_table(spark, sf_dir)).withColumn(
+        "_month_class", F.col("month").cast("string"))
+    topics = TP.topic_table(ti, "_month_class")
+    labelled = TP.assign_labels(ti, topics, "_month_class")
+    return A.by_lang_forum(labelled.drop("topic_id"))
