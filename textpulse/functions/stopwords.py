@@ -1,26 +1,17 @@
 """Stop-word lists.
 
-The lists are Spark ML's own defaults (the ones ``StopWordsRemover`` loads).
-They are read straight from the Spark ML jar that ships with PySpark, so the
-same words can be used without a JVM (for SQL generation and tests).
+The lists are the defaults of Spark ML's ``StopWordsRemover``, shipped as
+package data so that no jar or JVM is needed to read them (a test holds them
+against ``StopWordsRemover.loadDefaultStopWords``).
 """
 
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
+from importlib import resources
 
 
 @functools.lru_cache(maxsize=None)
 def stop_words(language: str) -> list[str]:
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars",
-                                  "spark-mllib_*.jar"))
-    if not jars:  # pragma: no cover - only without a PySpark install
-        raise RuntimeError("spark-mllib jar not found; cannot load stop words")
-    with zipfile.ZipFile(jars[0]) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt")
-    return [w for w in raw.decode("utf-8").split("\n") if w.strip()]
+    raw = (resources.files("textpulse.data") / f"stopwords_{language}.txt").read_text("utf-8")
+    return [w for w in raw.split("\n") if w.strip() and not w.startswith("#")]
