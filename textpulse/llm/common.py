@@ -111,11 +111,12 @@ def span_hashes(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def word_hashes(texts: list[str], chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], chunk: int = 1 << 20, endings: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts (A-Z lowered), and for each text the
     place of its first word, with one more for the end. Texts are worked
     through in groups of about ``chunk`` bytes, so memory follows the longest
-    text, not the batch."""
+    text, not the batch. ``endings`` gets each word's last two bytes as a
+    number."""
     out, counts, group, size = [], [], [], 0
 
     def flush() -> None:
@@ -124,6 +125,8 @@ def word_hashes(texts: list[str], chunk: int = 1 << 20) -> tuple[np.ndarray, np.
             data = b" ".join(group).translate(LOWER)
             a, s, e = word_spans(data)
             out.append(span_hashes(a, s, e))
+            if endings is not None:
+                endings.append(np.where(e - s > 1, a[np.maximum(e - 2, 0)], 0).astype(np.uint16) << 8 | a[e - 1] if len(e) else np.zeros(0, np.uint16))
             ends = np.cumsum([len(g) + 1 for g in group])
             upto = np.searchsorted(s, ends)
             counts.extend(np.diff(np.concatenate(([0], upto))).tolist())
