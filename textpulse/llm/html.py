@@ -112,7 +112,6 @@ def blocks(page: str) -> list[tuple[int, str]]:
                     if name in INLINE or name == "p":
                         if any(x[0] not in INLINE and x[0] != "p" for x in stack[i + 1 :]):
                             break
-                    flush()
                     del stack[i:]
                     break
         elif name in RAW and not m["attrs"].endswith("/"):
@@ -123,8 +122,6 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 at = close.end()
         elif name not in VOID and not m["attrs"].endswith("/"):
             own = _is_chrome(name, m["attrs"]) and not (name == "header" and main)
-            if own and not chrome:
-                flush()
             stack.append((name, chrome or own, main or (name in MAIN and not chrome)))
         chrome, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     flush()

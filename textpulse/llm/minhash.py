@@ -215,4 +215,6 @@ def deduplicate(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERC
     """The rows of documents that stay, with all their columns; rows that share
     an id stay or go together."""
     kept = near_groups(docs, words, percent).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    ident = F.col(f"c{docs.columns.index('doc_id')}").cast("long")
+    return plain.join(kept, ident.eqNullSafe(F.col("_kept_id")), "left_semi").toDF(*docs.columns)

@@ -1,18 +1,19 @@
 """Mixing sources to target weights by Pfair scheduling (DataFrame only).
 
 Every source is cut into blocks of ``block_docs`` documents, in a
-pseudo-random order of its documents. Target weights are whole parts of a
-cycle of ``parts`` slots. In a cycle of L slots in which source i has a_i
-blocks, its q-th block is released at floor(q L / a_i) and due at
-ceil((q + 1) L / a_i); in each slot the released block with the earliest
-deadline goes first (ties: the smaller source name). After any number of
-slots each source is less than one block from its share.
-
-A source that runs out in a cycle takes part with what it has left, and the
-others share the later cycles in proportion to their weights: every document
-is placed once, none is dropped or repeated. Cycles differ only where some
-source runs out, so there are at most 2 * sources + 1 kinds, and the schedule
-of a kind is one small aggregate over its slots.
+pseudo-random order of its documents. Target weights are whole parts p_i of a
+cycle. An ideal, divisible schedule would give source i in each cycle p_i
+blocks at an even pace; a source that runs out stops there, and the others
+share its time in proportion to their weights. Written as t(v), the slots
+that the ideal schedule has used when it is a share v through the cycle, block
+q of source i is released at floor(t(q / p_i)) and due at ceil(t((q + 1) /
+p_i)). In each slot the released block with the earliest deadline goes first
+(ties: the smaller source name). So after any number of slots each source is
+less than one block from the ideal schedule.
+
+Every document is placed once, none is dropped or repeated. Cycles differ only
+where some source runs out, so there are at most 2 * sources + 1 kinds, and
+the schedule of a kind is one small aggregate over its slots.
 
 Documents get their place in two levels, with no window over a whole source:
 the order within (source, bucket) and the summed sizes of the buckets before.
@@ -66,14 +67,17 @@ def schedule(sources: DataFrame) -> DataFrame:
              .withColumn("_a", F.transform("_all", lambda x: F.greatest(F.lit(0), F.least(x["_parts"], x["_blocks"] - x["_parts"] * F.col("_from"))).cast("long")))
              .withColumn("_len", F.aggregate("_a", F.lit(0).cast("long"), lambda t, x: t + x))
              .filter("_len > 0"))
-    # State: blocks that each source has had, and the source of each slot so far.
-    release = lambda q, a: F.floor(q * F.col("_len") / a)
-    due = lambda q, a: F.ceil((q + 1) * F.col("_len") / a)
+    # Windows of each source's blocks. Shares of the cycle are fractions of p_i,
+    # so sums of whole numbers over p_i are exact.
+    used = lambda q, p: F.aggregate("_both", F.lit(0).cast("long"), lambda t, x: t + F.least(x["a"] * p, x["p"] * q))
+    window = lambda q, p: F.struct(F.floor(used(q, p) / p).cast("long").alias("release"), F.ceil(used(q + 1, p) / p).cast("long").alias("due"))
+    kinds = (kinds.withColumn("_both", F.zip_with("_a", "_all", lambda a, x: F.struct(a.alias("a"), x["_parts"].alias("p"))))
+             .withColumn("_windows", F.transform("_both", lambda x: F.when(x["a"] > 0, F.transform(F.sequence(F.lit(0).cast("long"), x["a"] - 1), lambda q: window(q, x["p"]))))))
 
+    # State: blocks that each source has had, and the source of each slot so far.
     def step(state: Column, slot: Column) -> Column:
-        waiting = F.zip_with(state["had"], "_a", lambda q, a: F.struct(q.alias("q"), a.alias("a")))
-        ready = F.transform(waiting, lambda x, i: F.when((x["q"] < x["a"]) & (release(x["q"], x["a"]) <= slot),
-                                                         F.struct(due(x["q"], x["a"]).cast("long").alias("due"), i.cast("int").alias("i"))))
+        waiting = F.zip_with(state["had"], "_windows", lambda q, w: F.when(q < F.size(w), F.get(w, q.cast("int"))))
+        ready = F.transform(waiting, lambda w, i: F.when(w["release"] <= slot, F.struct(w["due"].alias("due"), i.cast("int").alias("i"))))
         return F.struct(state["had"].alias("had"), state["order"].alias("order"), F.array_min(ready)["i"].alias("pick"))
 
     def take(state: Column) -> Column:
@@ -83,12 +87,12 @@ def schedule(sources: DataFrame) -> DataFrame:
     begin = F.struct(F.transform("_a", lambda x: F.lit(0).cast("long")).alias("had"), F.expr("CAST(array() AS array<int>)").alias("order"), F.lit(None).cast("int").alias("pick"))
     both = F.expr("sequence(CAST(0 AS BIGINT), _len * 2 - 1)")  # pick, then take: the pick is bound once
     run = F.aggregate(both, begin, lambda st, t: F.when(t % 2 == 0, step(st, F.floor(t / 2))).otherwise(take(st)))
-    slots = kinds.withColumn("_order", run["order"]).select("_from", "_len", "_a", F.posexplode("_order").alias("_slot", "_i"))
+    slots = kinds.withColumn("_order", run["order"]).select("_from", "_len", "_windows", F.posexplode("_order").alias("_slot", "_i"))
     q = F.row_number().over(Window.partitionBy("_from", "_i").orderBy("_slot")) - 1
     out = slots.withColumn("_q", q.cast("long"))
-    a = F.expr("_a[_i]")
+    w = F.expr("_windows[_i][CAST(_q AS INT)]")
     return out.select("_from", "_i", "_q", F.col("_slot").cast("long").alias("_slot"), "_len",
-                      release(F.col("_q"), a).cast("long").alias("_release"), due(F.col("_q"), a).cast("long").alias("_due"))
+                      w["release"].alias("_release"), w["due"].alias("_due"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float], source_col: str = "source", id_col: str = "doc_id",
@@ -142,6 +146,9 @@ def mix(docs: DataFrame, weights: dict[str, float], source_col: str = "source",
                          at_slot("_release").alias("mix_release"), at_slot("_due").alias("mix_due"), "mix_place")
 
 
-def interleave(docs: DataFrame, weights: dict[str, float], **how) -> DataFrame:
+def interleave(docs: DataFrame, weights: dict[str, float], source_col: str = "source", id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` in the order of the mix, with their own columns."""
-    return mix(docs, weights, **how).orderBy("mix_slot", "mix_place").select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"i{k}" for k in range(len(names))])
+    mixed = mix(plain, weights, f"i{names.index(source_col)}", f"i{names.index(id_col)}", **how)
+    return mixed.orderBy("mix_slot", "mix_place").select(*plain.columns).toDF(*names)

@@ -4,11 +4,12 @@ Every document becomes its token ids and an end id; documents longer than a
 sequence are cut into whole sequences, the first piece taking what is left
 over. Pieces are dealt to partitions of bounded size and packed there by
 best-fit decreasing. Dual feasible functions give each partition a lower
-bound of its bins: equal means that partition is certified optimal and done.
-Partitions with a gap hand over the pieces of their unfilled bins; these are
-dealt anew among fewer partitions and packed again. Rounds end when all is
-certified, or when a round within one partition, or without gain, shows that
-exchange has no more to give; a round never makes the packing worse.
+bound of its bins; as many bins certify it. Partitions with a gap hand over the
+pieces of all their unfilled bins, certified ones those of their emptiest (a
+bound is rounded up, so that bin may be one too many over all); they are dealt
+anew among fewer partitions and packed again. Rounds end when nothing is left,
+or when a round within one partition, or without gain, shows that exchange has
+no more to give; a round never makes the packing worse.
 
 Only lengths and ids move between partitions, never texts.
 
@@ -244,22 +245,25 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _pack_groups(rows: DataFrame, round_no: int, sequence: int) -> DataFrame:
-    """Pack each _group; _gap is the group's bins beyond its lower bound. Where
-    the group came with a packing that is no worse, that one stays."""
+    """Pack each _group; pieces whose _gap isn't 0 are for exchange. Where the
+    group came with a packing that is no worse, that one stays."""
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         lengths = g["length"].to_numpy(np.int64)
         place, offset, fill = best_fit(lengths, sequence)
         bins, least = len(fill), lower_bound(lengths, sequence)
         before = g["sequence_id"].nunique() if round_no else bins + 1
         if before <= bins:
-            bins, done = before, g["sequence_id"].map(g.groupby("sequence_id")["length"].sum()).to_numpy() == sequence
+            bins, filled = before, g.groupby("sequence_id")["length"].transform("sum").to_numpy()
         else:
             g = g.assign(sequence_id=(round_no << 56) + (int(key[0]) << 24) + place, offset=offset)
-            done = fill[place] == sequence
-        # A certified group, or a full bin, needs no exchange: its gap is 0.
-        gap = 0 if bins == least else bins - least
-        return g.assign(_gap=np.where(done, 0, gap))[PACKED_COLS]
+            filled = fill[place]
+        # Full bins are done. Of a certified group only the emptiest bin goes
+        # on, as its bound was rounded up; of others, every bin with room.
+        on = filled < sequence
+        if bins == least and on.any():
+            on = g["sequence_id"].to_numpy() == g["sequence_id"].to_numpy()[np.argmin(filled)]
+        return g.assign(_gap=np.where(on, 1 + bins - least, 0))[PACKED_COLS]
 
     return rows.groupBy("_group").applyInPandas(run, PACKED)
 
