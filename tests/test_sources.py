@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from textpulse.sources import readers as R
 
 
@@ -14,9 +16,42 @@ def test_resolve_and_read_exports(spark):
     b.write.parquet(os.path.join(d, "02_posts_of_etudiants_new.parquet"))
     assert R.resolve_export(d, "posts_of_etudiants_new", "parquet").endswith("02_posts_of_etudiants_new.parquet")
     assert R.resolve_export(d, "posts_of_Student_new", "parquet") is None
-    df = R.read_exports(spark, d)
-    rows = sorted((r["post_id"], r["file_rank"], r["text"]) for r in df.collect())
-    assert rows == [(1, 0, "x"), (2, 3, None)]
+    for where in (d, f"file://{d}"):  # a path, and a URI that only Spark's file systems read
+        df = R.read_exports(spark, where)
+        rows = sorted((r["post_id"], r["file_rank"], r["text"]) for r in df.collect())
+        assert rows == [(1, 0, "x"), (2, 3, None)]
+    with pytest.raises(FileNotFoundError):
+        R.read_exports(spark, os.path.join(d, "nothing"))
+
+
+def test_export_names():
+    assert R.DEFAULT_EXPORTS == ["posts_of_college_new", "posts_of_collegerant_new", "posts_of_csMajors_new",
+                                 "posts_of_etudiants_new", "posts_of_Student_new", "posts_of_Students_new"]
+
+
+def test_rows_keep_the_order_of_their_files(spark):
+    """However files are split: by path, then by row."""
+    from textpulse.operators.dedup import keep_first
+    d = tempfile.mkdtemp(prefix="tp-ord-")
+    p = os.path.join(d, "posts_of_college_new.parquet")
+    spark.createDataFrame([(i % 50, f"t{i}") for i in range(400)], "post_id long, text string").repartitionByRange(4, "text").write.parquet(p)
+    want = {}
+    for r in sorted(spark.read.parquet(p).select("post_id", "text", "_metadata.file_path", "_metadata.row_index").collect(), key=lambda r: (r[2], r[3])):
+        want.setdefault(r[0], r[1])
+    for size in ("1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = keep_first(R.read_exports(spark, d), "post_id", ["file_rank", "row_pos"])
+        assert {r["post_id"]: r["text"] for r in got.collect()} == want
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_typed_csv(spark):
+    d = tempfile.mkdtemp(prefix="tp-csv-")
+    with open(os.path.join(d, "a.csv"), "w", encoding="utf-8-sig") as f:
+        f.write('post_id,score,text\n1,0.5,"a ""q"" b"\n2,,c\n')
+    df = R.read_table(spark, d, "csv")
+    assert df.dtypes == [("post_id", "int"), ("score", "double"), ("text", "string")]
+    assert [tuple(r) for r in df.collect()] == [(1, 0.5, 'a "q" b'), (2, None, "c")]
 
 
 def test_read_lexicon_and_pick_stage(spark):

@@ -136,8 +136,13 @@ MONTH_LABELS_FR = ["Jan", "Fév", "Mar", "Avr", "Mai", "Jun",
                    "Jul", "Aoû", "Sep", "Oct", "Nov", "Déc"]
 WEEKDAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday",
                  "Friday", "Saturday", "Sunday"]
-WEEKDAY_LABELS_FR = ["Lundi", "Mardi", "Mercredi", "Jeudi",
-                     "Vendredi", "Samedi", "Dimanche"]
+WEEKDAY_LABELS_FR = ["Lun", "Mar", "Mer", "Jeu", "Ven", "Sam", "Dim"]
+
+# Raw export names, in ingest order.
+EXPORT_NAMES = [
+    "posts_of_college_new", "posts_of_collegerant_new", "posts_of_csMajors_new",
+    "posts_of_etudiants_new", "posts_of_Student_new", "posts_of_Students_new",
+]
 
 # Histogram bin counts.
 TOKEN_HIST_BINS = 50
@@ -183,34 +188,33 @@ WORD_CLASS = r"\p{L}\p{N}_"
 # Token pattern: letters, marks, digits, underscore.
 TOKEN_PATTERN = r"[\p{L}\p{M}\p{N}_]+"
 
-# Emoji: keycap sequences, then pictographic ranges plus the joiners and
-# variation selector that glue sequences together.
-EMOJI_RANGES = [
-    ("1F000", "1FAFF"),   # mahjong .. symbols & pictographs ext-A, flags
-    ("2600", "27BF"),     # miscellaneous symbols, dingbats
-    ("2300", "23FF"),     # miscellaneous technical (watch, hourglass, ...)
-    ("2B05", "2B07"), ("2B1B", "2B1C"), ("2B50", "2B50"), ("2B55", "2B55"),
-    ("2934", "2935"), ("25AA", "25AB"), ("25B6", "25B6"), ("25C0", "25C0"),
-    ("25FB", "25FE"), ("2194", "2199"), ("21A9", "21AA"),
-    ("203C", "203C"), ("2049", "2049"), ("2122", "2122"), ("2139", "2139"),
-    ("24C2", "24C2"), ("3030", "3030"), ("303D", "303D"),
-    ("3297", "3297"), ("3299", "3299"), ("00A9", "00A9"), ("00AE", "00AE"),
-    ("200D", "200D"),     # zero width joiner
-    ("FE0F", "FE0F"),     # variation selector 16
-    ("20E3", "20E3"),     # combining keycap
-    ("E0020", "E007F"),   # tag sequences
-]
+# Code points with the Unicode property Emoji (emoji-data, version 16; digits,
+# "#" and "*" count only in keycaps).
+EMOJI_RANGES = """
+A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 23CF 23E9-23F3 23F8-23FA 24C2 25AA-25AB 25B6 25C0
+25FB-25FE 2600-2604 260E 2611 2614-2615 2618 261D 2620 2622-2623 2626 262A 262E-262F 2638-263A 2640 2642
+2648-2653 265F-2660 2663 2665-2666 2668 267B 267E-267F 2692-2697 2699 269B-269C 26A0-26A1 26A7 26AA-26AB
+26B0-26B1 26BD-26BE 26C4-26C5 26C8 26CE-26CF 26D1 26D3-26D4 26E9-26EA 26F0-26F5 26F7-26FA 26FD 2702 2705
+2708-270D 270F 2712 2714 2716 271D 2721 2728 2733-2734 2744 2747 274C 274E 2753-2755 2757 2763-2764 2795-2797
+27A1 27B0 27BF 2934-2935 2B05-2B07 2B1B-2B1C 2B50 2B55 3030 303D 3297 3299 1F004 1F0CF 1F170-1F171 1F17E-1F17F
+1F18E 1F191-1F19A 1F1E6-1F1FF 1F201-1F202 1F21A 1F22F 1F232-1F23A 1F250-1F251 1F300-1F321 1F324-1F393
+1F396-1F397 1F399-1F39B 1F39E-1F3F0 1F3F3-1F3F5 1F3F7-1F4FD 1F4FF-1F53D 1F549-1F54E 1F550-1F567 1F56F-1F570
+1F573-1F57A 1F587 1F58A-1F58D 1F590 1F595-1F596 1F5A4-1F5A5 1F5A8 1F5B1-1F5B2 1F5BC 1F5C2-1F5C4 1F5D1-1F5D3
+1F5DC-1F5DE 1F5E1 1F5E3 1F5E8 1F5EF 1F5F3 1F5FA-1F64F 1F680-1F6C5 1F6CB-1F6D2 1F6D5-1F6D7 1F6DC-1F6E5 1F6E9
+1F6EB-1F6EC 1F6F0 1F6F3-1F6FC 1F7E0-1F7EB 1F7F0 1F90C-1F93A 1F93C-1F945 1F947-1F9FF 1FA70-1FA7C 1FA80-1FA89
+1FA8F-1FAC6 1FACE-1FADC 1FADF-1FAE9 1FAF0-1FAF8
+""".split()
 
 
 def emoji_pattern() -> str:
-    parts = []
-    for lo, hi in EMOJI_RANGES:
-        parts.append(r"\x{%s}" % lo if lo == hi else r"\x{%s}-\x{%s}" % (lo, hi))
-    return "[" + "".join(parts) + "]"
+    ends = [r.split("-") for r in EMOJI_RANGES]
+    return "[" + "".join("-".join(r"\x{%s}" % x for x in e) for e in ends) + "]"
 
 
-# Keycap sequences (digit, #, * + optional VS16 + U+20E3) go first, then
-# single emoji code points.
+# A keycap is a digit, "#" or "*" with U+20E3. An emoji is one code point, what
+# modifies it (variation selector, tags), and further emoji joined to it by
+# U+200D; a joiner elsewhere belongs to its word.
 KEYCAP = r"[0-9#*]\x{FE0F}?\x{20E3}"
-EMOJI_CLASS = emoji_pattern()
-EMOJI = KEYCAP + "|" + EMOJI_CLASS
+EMOJI_ONE = emoji_pattern() + r"[\x{FE0F}\x{E0020}-\x{E007F}]*"
+EMOJI_SEQUENCE = EMOJI_ONE + r"(?:\x{200D}" + EMOJI_ONE + ")*"
+EMOJI = KEYCAP + "|" + EMOJI_SEQUENCE

@@ -8,23 +8,18 @@ from pyspark.sql import functions as F
 
 from textpulse import constants as K
 
-DEFAULT_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm",
-                   "yyyy-MM-dd")
-
-
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def parse_timestamp(col, formats=DEFAULT_FORMATS) -> Column:
-    """DAT-1: first format that parses wins; anything else is null.
+def parse_timestamp(col) -> Column:
+    """DAT-1: ISO dates and times (blank or ``T`` between them, fractions and
+    a zone allowed) as written, anything else null.
 
-    ANSI mode is on by default, so only ``try_`` parsers are used.
-    Already-typed timestamps pass through.
+    Text goes straight to TIMESTAMP_NTZ, so no session zone shifts it; a zone
+    in the text is dropped. Typed timestamps keep their local time.
     """
-    c = _c(col)
-    parsed = [F.try_to_timestamp(c.cast("string"), F.lit(f)) for f in formats]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    return F.trim(_c(col).cast("string")).try_cast("timestamp_ntz")
 
 
 def season(month_col) -> Column:

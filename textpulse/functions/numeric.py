@@ -18,9 +18,11 @@ def _c(col) -> Column:
 
 
 def rnd(col, digits: int = 4) -> Column:
-    """MTH-6: round half-up to ``digits`` places (null stays null)."""
+    """MTH-6: round half-up to ``digits`` places (null stays null, NaN
+    becomes null: a failed score must not look like a real zero)."""
     scale = float(10 ** digits)
-    return (F.floor(_c(col) * scale + 0.5) / scale).cast("double")
+    value = F.nanvl(_c(col).cast("double"), F.lit(None).cast("double"))
+    return (F.floor(value * scale + 0.5) / scale).cast("double")
 
 
 def grid_mean(col, digits: int = 4) -> Column:
@@ -28,7 +30,7 @@ def grid_mean(col, digits: int = 4) -> Column:
     same grid. Summed as integers so the result does not depend on the order
     rows are added in (partition layout, engine)."""
     scale = 10 ** digits
-    c = _c(col)
+    c = F.nanvl(_c(col).cast("double"), F.lit(None).cast("double"))
     ints = F.sum(F.round(c * float(scale)).cast("long"))
     return (F.floor(F.try_divide(ints, F.count(c)) + 0.5) / float(scale)).cast("double")
 
@@ -39,19 +41,25 @@ def grid_std(col, digits: int = 4) -> Column:
 
     Computed from exact integer sums (n, sum k, sum k^2 with k = v * 10^d)
     so it is independent of summation order; the only floating steps are one
-    division and one square root of exact integers."""
+    division and one square root of exact integers. Sums and products are
+    decimals: n * (n - 1) leaves a long above 3e9 rows in a group."""
     scale = 10 ** digits
-    c = _c(col)
+    c = F.nanvl(_c(col).cast("double"), F.lit(None).cast("double"))
     k = F.round(c * float(scale)).cast("long")
     n = F.count(c)
-    dec = "decimal(38,0)"
-    s1 = F.sum(k).cast(dec)
-    s2 = F.sum(k * k).cast(dec)
-    num = n.cast(dec) * s2 - s1 * s1
-    var = num.cast("double") / (n * (n - 1)).cast("double")
+    s1 = F.sum(k.cast("decimal(19,0)"))
+    s2 = F.sum((k * k).cast("decimal(19,0)"))
+    var = variance_of(n, s1, s2)
     return F.when(n >= 2, rnd(F.sqrt(var) / float(scale), digits))
 
 
+def variance_of(n: Column, s1: Column, s2: Column) -> Column:
+    """Sample variance from a count, a sum and a sum of squares of integers."""
+    dec = "decimal(38,0)"
+    num = n.cast(dec) * s2.cast(dec) - s1.cast(dec) * s1.cast(dec)
+    return num.cast("double") / (n.cast(dec) * (n.cast(dec) - 1)).cast("double")
+
+
 def pct(num, den, digits: int = 2) -> Column:
     """MTH-7: ``num / den * 100`` rounded; null when ``den`` is 0."""
     scale = float(10 ** digits)

@@ -117,15 +117,15 @@ def strip_spaces(col) -> Column:
 
 def _drop_emoji(x: Column) -> Column:
     is_ascii = F.octet_length(x) == F.length(x)
-    no_keycap = F.regexp_replace(x, K.EMOJI_CLASS, "")
-    keycap = F.regexp_replace(F.regexp_replace(x, K.KEYCAP, ""), K.EMOJI_CLASS, "")
+    no_keycap = F.regexp_replace(x, K.EMOJI_SEQUENCE, "")
+    keycap = F.regexp_replace(x, K.EMOJI, "")
     return (F.when(is_ascii | ~x.rlike(K.EMOJI_HINT), x)
             .when(x.contains("\u20e3"), keycap)
             .otherwise(no_keycap))
 
 
 def remove_emoji(col) -> Column:
-    """STR-6: drop emoji code points, keycaps and joiners.
+    """STR-6: drop emoji (with their joiners and selectors) and keycaps.
 
     The full emoji class is only scanned on values holding a candidate code
     point (a much cheaper test); keycap sequences only when U+20E3 occurs."""

@@ -15,7 +15,6 @@ from textpulse import constants as K
 from textpulse.functions import dates as D
 from textpulse.functions.numeric import grid_mean
 from textpulse.functions.text import excerpt
-from textpulse.operators.joins import broadcast_if_small
 
 
 def _domain(spark: SparkSession, name: str, values: list, ordinal: str = "ord") -> DataFrame:
@@ -55,7 +54,7 @@ def distress_levels_dense(df: DataFrame) -> DataFrame:
     return counts.select(F.explode(rows).alias("r")).select("r.*").orderBy("ord")
 
 
-def mean_by_lang(df: DataFrame, key: str, value: str, langs=("en", "fr")) -> DataFrame:
+def mean_by_lang(df: DataFrame, key: str, value: str, langs=("en", "fr", "other", "unknown")) -> DataFrame:
     """AGG-8: per-key mean of ``value``, one column per language."""
     return (df.filter(F.col(key).isNotNull()).groupBy(key)
               .agg(*[grid_mean(F.when(F.col("lang") == lg, F.col(value))).alias(lg) for lg in langs])
@@ -104,11 +103,12 @@ def top_distress(df: DataFrame, n: int = K.TOP_DISTRESS_POSTS) -> DataFrame:
     by post id) with an excerpt. ``orderBy().limit()`` plans as a per-
     partition top-n and a merge of n rows per partition; no global sort.
     The limit is the report itself (a top-k)."""
+    shown = [c for c in ("post_id", "forum", "lang", "distress_score", "distress_level",
+                         "sentiment_label", "emotion_dominant") if c in df.columns]
     return (df.orderBy(F.desc_nulls_last("distress_score"), F.col("post_id")).limit(n)
-              .select("post_id", "forum", "lang", "distress_score", "distress_level",
-                      excerpt("text_clean").alias("excerpt")))
+              .select(*shown, excerpt("text_clean").alias("excerpt")))
 
 
 __all__ = ["emotion_means", "emotion_by", "emotion_heatmap", "distress_levels_dense",
            "mean_by_lang", "distress_season_dense", "weekday_patterns", "monthly_counts",
-           "top_distress", "broadcast_if_small"]
+           "top_distress"]

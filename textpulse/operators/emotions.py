@@ -1,8 +1,7 @@
 """Emotion stage (EMO-1..5, JOI-2, MTH-1..5, WIN-2, WIN-3, SRC-5 filtering).
 
 Lexicon scoring runs in the JVM, never as a per-token dictionary probe in
-Python: a size-checked lexicon is planned as hash-set membership tests inside
-one projection; beyond the bound it becomes explode -> join -> count.
+Python: explode -> join -> count, the same for a lexicon of any size.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 from textpulse import constants as K
 from textpulse.functions.numeric import argmax_name, distress_level, distress_score, rnd
 from textpulse.functions.text import bind, bind_many
-from textpulse.operators.joins import broadcast_if_small
 
 
 def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
@@ -28,48 +26,16 @@ def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
     return lex.filter(F.col("emotion").isin(K.EMOTIONS)).select(*cols).distinct()
 
 
-# Lexicons up to this many (word, emotion) pairs are inlined into the plan as
-# hash-set membership tests (no shuffle, no join, one pass over the posts).
-MAX_INLINE_LEXICON = 200_000
-
-
-def _hit_counts_inline(df: DataFrame, lex: DataFrame, tokens_col: str, rows) -> DataFrame:
-    # ``rows``: the lexicon, at most MAX_INLINE_LEXICON pairs (checked by the caller)
-    has_lang = "lang" in lex.columns
-    words: dict[tuple, list[str]] = {}
-    for r in rows:
-        words.setdefault((r["lang"] if has_lang else None, r["emotion"]), []).append(r["word"])
-    toks = F.col(tokens_col)
-
-    def count_in(ws):
-        ws = sorted(set(ws))
-        # ``isin`` over a long literal list is planned as InSet: a hash lookup.
-        return F.size(F.filter(toks, lambda t: t.isin(ws)))
-
-    cols = {}
-    for e in K.EMOTIONS:
-        if has_lang:
-            expr = F.lit(0)
-            for (lang, emo), ws in words.items():
-                if emo == e:
-                    expr = F.when(F.col("lang") == lang, count_in(ws)).otherwise(expr)
-            cols[f"_h_{e}"] = expr
-        else:
-            ws = words.get((None, e), [])
-            cols[f"_h_{e}"] = count_in(ws) if ws else F.lit(0)
-    return df.withColumns(cols)
-
-
-def _hit_counts_join(df: DataFrame, lex: DataFrame, key: str, tokens_col: str) -> DataFrame:
+def lexicon_hits(df: DataFrame, lex: DataFrame, key: str, tokens_col: str) -> DataFrame:
+    """Per key with a hit, the lexicon hits of each emotion. No size decides
+    how: tokens are exploded and joined with the lexicon (which side is small
+    enough to broadcast is the planner's matter, from runtime sizes), and the
+    counts of a post combine in its task before they are shuffled."""
     on = ["word", "lang"] if "lang" in lex.columns else ["word"]
-    sel = [F.col(key), F.explode(F.col(tokens_col)).alias("word")]
-    if "lang" in on:
-        sel.insert(1, F.col("lang"))
-    hits = (df.select(*sel)
-            .join(broadcast_if_small(lex), on, "inner")
-            .groupBy(key)
-            .agg(*[F.count_if(F.col("emotion") == e).alias(f"_h_{e}") for e in K.EMOTIONS]))
-    return df.join(hits, key, "left")
+    words = lex.groupBy(*on).agg(*[F.count_if(F.col("emotion") == e).alias(f"_e_{e}") for e in K.EMOTIONS])
+    cols = [F.col(key).alias("_hit_key"), *([F.col("lang")] if "lang" in on else []), F.explode(F.col(tokens_col)).alias("word")]
+    return (df.select(*cols).join(words, on).groupBy("_hit_key")
+              .agg(*[F.sum(f"_e_{e}").alias(f"_h_{e}") for e in K.EMOTIONS]))
 
 
 def lexicon_scores(df: DataFrame, lexicon: DataFrame, key: str = "post_id",
@@ -79,18 +45,11 @@ def lexicon_scores(df: DataFrame, lexicon: DataFrame, key: str = "post_id",
     tokens. A word may carry several emotions (one-to-many). When the lexicon
     has a ``lang`` column the lookup is on (lang, word).
 
-    A lexicon of bounded size (checked) becomes one hash-set membership test
-    per emotion inside the projection: a single narrow pass, no shuffle and no
-    second read of the posts. A larger one is joined: explode tokens ->
-    broadcast-or-shuffle join -> count per post -> left join back.
+    ``key`` names a row (a null key is one row, like in the clean stage); the
+    counts join back null-safe. ``df`` is read twice: pass a written table.
     """
-    lex = prepare_lexicon(lexicon)
-    # One bounded fetch serves as both the size check and the inline table.
-    rows = lex.limit(MAX_INLINE_LEXICON + 1).collect()
-    if len(rows) <= MAX_INLINE_LEXICON:
-        joined = _hit_counts_inline(df, lex, tokens_col, rows)
-    else:
-        joined = _hit_counts_join(df, lex, key, tokens_col)
+    hits = lexicon_hits(df, prepare_lexicon(lexicon), key, tokens_col)
+    joined = df.join(hits, df[key].eqNullSafe(hits["_hit_key"]), "left").drop("_hit_key")
     inputs = {e: F.coalesce(F.col(f"_h_{e}"), F.lit(0)) for e in K.EMOTIONS}
     inputs["_n"] = F.size(F.col(tokens_col))
 

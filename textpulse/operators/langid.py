@@ -5,7 +5,7 @@ A character-trigram naive Bayes model:
 * train: explode the trigrams of every labelled text -> count per
   (language, trigram) -> add-one smoothed log-probabilities;
 * predict: explode the trigrams of every text -> count per (text, trigram)
-  -> join the model (broadcast when its size check passes) -> per-language
+  -> join the model, one row per trigram -> per-language
   sums -> argmax, then the analysed post-rules (fewer than five words ->
   ``unknown``; en / fr kept; any other language -> ``other``).
 
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from textpulse import constants as K
 from textpulse.functions.text import has_min_words
-from textpulse.operators.joins import broadcast_if_small
 
 
 def char_grams(col, n: int = 3) -> Column:
@@ -78,14 +77,13 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", n: i
 
 
 def predict(docs: DataFrame, model: LangModel, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    # Every trigram occurrence probes the (size-checked, broadcast) model;
+    # Every trigram occurrence meets one model row with a gain per language;
     # all occurrences of a text sit in one partition, so the per-text sums
     # combine map-side and only one partial row per text is shuffled.
     grams = docs.select(key, F.explode(char_grams(text_col, model.n)).alias("gram"))
-    matched = (grams.join(broadcast_if_small(model.logp), "gram")
-                    .groupBy(key)
-                    .agg(*[F.sum(F.when(F.col("lang") == lg, F.col("logp") - F.lit(model.unseen[lg])))
-                           .alias(f"_m_{lg}") for lg in model.langs]))
+    gains = model.logp.groupBy("gram").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == lg, F.col("logp") - F.lit(model.unseen[lg]))), F.lit(0.0))
+                                             .alias(f"_g_{lg}") for lg in model.langs])  # one row per trigram
+    matched = grams.join(gains, "gram").groupBy(key).agg(*[F.sum(f"_g_{lg}").alias(f"_m_{lg}") for lg in model.langs])
     n_grams = n_char_grams(text_col, model.n)
     base = docs.select(key, n_grams.alias("_n"),
                        has_min_words(text_col, K.MIN_TOKENS).alias("_enough"))

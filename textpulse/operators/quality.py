@@ -1,11 +1,10 @@
 """Quality profile (AGG-6, AGG-7, AGG-9..13, AGG-16, STR-15, SRT-3, SRT-5).
 
 Everything is a distributed aggregate. Statistics that need a per-group
-parameter (histogram range, box-plot fences) compute that parameter in a
-small aggregate (one row per group, so its size is bounded by the group
-domain, e.g. the four languages) and broadcast it back. Quantiles use Spark's exact
-``percentile``, whose buffer is a value -> count map, so memory grows with
-the number of distinct values (token counts), not with rows.
+parameter (histogram range, box-plot fences) work on one table of (group,
+value, count), so the posts are read once. Quantiles use Spark's exact
+``percentile`` over those counts: memory grows with the number of distinct
+values (token counts), not with rows.
 """
 
 from __future__ import annotations
@@ -83,53 +82,49 @@ def quality_flags(df: DataFrame) -> DataFrame:
     return out.withColumn("valid_ref", F.col("total") - F.col("n_empty") - F.col("n_too_short"))
 
 
+def _value_table(df: DataFrame, value_col: str, group: Column) -> DataFrame:
+    """(_g, _v, _n): how often each value occurs in each group. Ranges,
+    quantiles and bins all come from this one aggregate (its exchange is
+    reused), so the derivation of the value runs once. Nulls drop out after
+    the aggregate (see ``value_counts``)."""
+    v = F.nanvl(F.col(value_col).cast("double"), F.lit(None).cast("double"))
+    return (df.select(group.alias("_g"), v.alias("_v")).groupBy("_g", "_v")
+              .agg(F.count(F.lit(1)).alias("_n"), F.count("_v").alias("_nn"))
+              .where(F.col("_nn") > 0).drop("_nn"))
+
+
 def histogram(df: DataFrame, value_col: str, n_bins: int, group_col: str | None = None) -> DataFrame:
     """AGG-12: ``n_bins`` equal bins over each group's [min, max] (last bin
     closed), densified so empty bins report 0. Output: group, bin, lo, hi, n."""
-    v = F.col(value_col).cast("double")
-    # A global histogram is a histogram over one constant group.
-    gcol = group_col or "_all"
-    g = F.col(group_col) if group_col else F.lit(0).alias("_all")
-    # Nulls are skipped by the aggregates themselves (no pre-filter on the
-    # derived value; see value_counts).
-    base = df.select(g, v.alias("_v"))
-    stats = (base.groupBy(gcol).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-                 .where(F.col("_lo").isNotNull()))
-    keys = [gcol]
-    # one row per group: bounded by the group domain (languages), broadcast
-    binned = base.join(F.broadcast(stats), keys, "inner")
+    values = _value_table(df, value_col, F.col(group_col) if group_col else F.lit(0))
+    stats = values.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    binned = values.join(stats, "_g")
     counts = (binned.withColumn("bin", hist_bin("_v", "_lo", "_hi", n_bins))
-                    .groupBy(*keys, "bin").agg(F.count("_v").alias("n")))
-    domain = stats.select(*keys, "_lo", "_hi",
+                    .groupBy("_g", "bin").agg(F.sum("_n").alias("n")))
+    domain = stats.select("_g", "_lo", "_hi",
                           F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     lo, hi = bin_edges("_lo", "_hi", "bin", n_bins)
-    out = (domain.join(counts, keys + ["bin"], "left")
-                 .select(*keys, "bin", lo.alias("lo"), hi.alias("hi"),
+    out = (domain.join(counts, ["_g", "bin"], "left")
+                 .select(*([F.col("_g").alias(group_col)] if group_col else []), "bin", lo.alias("lo"), hi.alias("hi"),
                          F.coalesce("n", F.lit(0)).cast("long").alias("n")))
-    if not group_col:
-        out = out.drop("_all")
     return out.orderBy(*([group_col] if group_col else []), "bin")
 
 
 def boxplot(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
     """AGG-13: quartiles (linear), 1.5 IQR whiskers and outlier count per group."""
-    v = F.col(value_col).cast("double")
-    base = df.select(F.col(group_col), v.alias("_v"))
-    q = (base.groupBy(group_col).agg(
-        F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-        F.count("_v").alias("_nn"))
-        .where((F.col("_nn") > 0) & F.col(group_col).isNotNull()))
-    q = q.select(group_col, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
-    j = base.join(F.broadcast(q), group_col)  # one row per group (bounded)
+    values = _value_table(df, value_col, F.col(group_col))
+    q = (values.groupBy("_g").agg(F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("_q"))
+               .where(F.col("_g").isNotNull()))
+    q = q.select("_g", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    j = values.join(q, "_g")
     lo_f = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    out = j.groupBy(group_col, "q1", "median", "q3").agg(
+    out = j.groupBy("_g", "q1", "median", "q3").agg(
         F.min(F.when(F.col("_v") >= lo_f, F.col("_v"))).alias("whisker_lo"),
         F.max(F.when(F.col("_v") <= hi_f, F.col("_v"))).alias("whisker_hi"),
-        F.count_if((F.col("_v") < lo_f) | (F.col("_v") > hi_f)).alias("n_outliers"),
-        F.count("_v").alias("n"))
-    return out.orderBy(group_col)
+        F.sum(F.when((F.col("_v") < lo_f) | (F.col("_v") > hi_f), F.col("_n")).otherwise(0)).alias("n_outliers"),
+        F.sum("_n").alias("n"))
+    return out.withColumnRenamed("_g", group_col).orderBy(group_col)
 
 
 def counter_columns(df: DataFrame) -> list[Column]:

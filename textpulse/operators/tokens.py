@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textpulse.operators.joins import broadcast_if_small
-
 
 def lemmatize(df: DataFrame, dictionary: DataFrame, key: str = "post_id",
               tokens_col: str = "tokens", lang_col: str = "lang",
@@ -14,8 +12,8 @@ def lemmatize(df: DataFrame, dictionary: DataFrame, key: str = "post_id",
     """TOK-2: replace each token by its dictionary lemma (``coalesce`` to the
     form), keeping token order.
 
-    ``dictionary`` is a ``(lang, form, lemma)`` table; it is broadcast only
-    when its size check passes, otherwise joined with a shuffle. Tokens are
+    ``dictionary`` is a ``(lang, form, lemma)`` table of any size; how it is
+    joined is the planner's matter. Tokens are
     exploded with their position, joined, and re-collected per post; the
     group is one post's tokens, and the input is already hash-partitioned by
     ``key`` after the clean stage, so the re-collect adds no exchange.
@@ -24,7 +22,7 @@ def lemmatize(df: DataFrame, dictionary: DataFrame, key: str = "post_id",
     d = dictionary.select(F.col("lang").alias("_dlang"), F.col("form").alias("_form"),
                           F.col("lemma").alias("_lemma")).dropDuplicates(["_dlang", "_form"])
     exploded = df.select(key, lang_col, F.posexplode_outer(tokens_col).alias("_pos", "_tok"))
-    joined = exploded.join(broadcast_if_small(d),
+    joined = exploded.join(d,
                            (F.col("_dlang") == F.col(lang_col)) & (F.col("_form") == F.col("_tok")),
                            "left")
     item = F.when(F.col("_tok").isNotNull(),

@@ -9,7 +9,7 @@ broadcast back onto the posts.
 from __future__ import annotations
 
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import PCA, CountVectorizer, NGram, Normalizer
+from pyspark.ml.feature import IDF, PCA, HashingTF, NGram, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,38 +38,35 @@ def ngram_doc_freq(df: DataFrame, tokens_col: str = "tokens", min_df: int = K.NG
     """ML-4: document frequency of uni+bi-grams, kept when df >= min_df and
     df <= max_df * #documents (the CountVectorizer vocabulary rule)."""
     terms = with_bigrams(df.select(tokens_col), tokens_col)
-    # Every document also emits a sentinel term (a control character, which
-    # no token or bigram can contain): its document frequency is the number
-    # of documents, so one aggregation yields both, and the count joins back
-    # as a one-row broadcast on a constant key (no second pass, no cross join).
-    sentinel = "\u0001"
-    per_doc = F.array_union(F.array_distinct("terms"), F.array(F.lit(sentinel)))
-    dfreq = (terms.select(F.explode(per_doc).alias("term"))
+    dfreq = (terms.select(F.explode(F.array_distinct("terms")).alias("term"))
                   .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    n_docs = dfreq.where(F.col("term") == sentinel).select(F.col("df").alias("_n"), F.lit(1).alias("_k"))
-    out = (dfreq.where(F.col("term") != sentinel).withColumn("_k", F.lit(1))
-                .join(F.broadcast(n_docs), "_k"))
-    return out.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("_n"))) \
-              .select("term", "df")
+    n_docs = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    # The bounds are checked on a struct of the aggregate, so that they aren't
+    # pushed below it (a second count of everything).
+    return (dfreq.select(F.struct("term", "df").alias("_t")).filter(F.col("_t.df") >= min_df)
+                 .filter(F.col("_t.df") <= F.lit(max_df) * n_docs).select("_t.term", "_t.df"))
 
 
-def class_term_counts(df: DataFrame, class_col: str, tokens_col: str = "tokens") -> DataFrame:
-    """tf(term, class): term occurrences per class."""
-    return (df.select(F.col(class_col).alias("topic"), F.explode(tokens_col).alias("term"))
-              .groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf")))
+def class_term_counts(df: DataFrame, class_col: str, tokens_col: str = "tokens",
+                      vocabulary: DataFrame | None = None) -> DataFrame:
+    """tf(term, class): term occurrences per class. With a ``vocabulary`` (see
+    ``ngram_doc_freq``) uni- and bigrams that it holds, else all unigrams."""
+    if vocabulary is None:
+        return (df.select(F.col(class_col).alias("topic"), F.explode(tokens_col).alias("term"))
+                  .groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf")))
+    both = with_bigrams(df.select(F.col(class_col).alias("topic"), tokens_col), tokens_col)
+    tf = both.select("topic", F.explode("terms").alias("term")).groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return tf.join(vocabulary.select("term"), "term", "left_semi").select("topic", "term", "tf")
 
 
 def ctfidf(tf: DataFrame) -> DataFrame:
     """ML-5: class-based TF-IDF, w(t, c) = tf(t, c) * ln(1 + A / f(t)) with
     f(t) the frequency of t over all classes and A the mean number of words
-    per class. ``tf`` is (topic, term, tf)."""
-    # A (one row) joins back on a constant key: broadcast, no driver trip.
-    avg = (tf.groupBy().agg((F.sum("tf") / F.countDistinct("topic")).alias("_A"))
-             .withColumn("_k", F.lit(1)))
+    per class (a scalar subquery). ``tf`` is (topic, term, tf)."""
+    mean = tf.agg((F.sum("tf") / F.countDistinct("topic")).alias("a")).scalar()
     f_t = F.sum("tf").over(Window.partitionBy("term"))
-    out = tf.withColumn("f", f_t).withColumn("_k", F.lit(1)).join(F.broadcast(avg), "_k")
-    return out.withColumn("weight", F.col("tf") * F.log(1.0 + F.col("_A") / F.col("f"))) \
-              .drop("_k", "_A")
+    return (tf.withColumn("f", f_t).withColumn("_A", mean)
+              .withColumn("weight", F.col("tf") * F.log(1.0 + F.col("_A") / F.col("f"))).drop("_A"))
 
 
 def top_words(weights: DataFrame, k: int = K.TOPIC_REPORT_WORDS) -> DataFrame:
@@ -96,10 +93,14 @@ def topic_label(topic_id: Column, words: Column, n_words: int = K.TOPIC_LABEL_WO
              .otherwise(base))
 
 
-def topic_table(df: DataFrame, class_col: str, tokens_col: str = "tokens") -> DataFrame:
-    """Per topic: id (by size), count, ordered top words and weights."""
+def topic_table(df: DataFrame, class_col: str, tokens_col: str = "tokens",
+                vocabulary: DataFrame | None = None, by_size: bool = True) -> DataFrame:
+    """Per topic: id (by size; the class itself where it is a topic id), count,
+    ordered top words and weights."""
     ids = topic_ids_by_size(df, class_col)
-    tops = top_words(ctfidf(class_term_counts(df, class_col, tokens_col)))
+    if not by_size:
+        ids = ids.withColumn("topic_id", F.col("topic").cast("int"))
+    tops = top_words(ctfidf(class_term_counts(df, class_col, tokens_col, vocabulary)))
     words = (tops.groupBy("topic")
                  .agg(F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))).alias("_w")))
     return (ids.join(words, "topic", "left")
@@ -109,11 +110,10 @@ def topic_table(df: DataFrame, class_col: str, tokens_col: str = "tokens") -> Da
 
 
 def assign_labels(df: DataFrame, topics: DataFrame, class_col: str) -> DataFrame:
-    """JOI-3: topic id and label onto every post (topic table broadcast: one
-    row per topic)."""
+    """JOI-3: topic id and label onto every post (one row per topic)."""
     lab = topics.select(F.col("topic").alias(class_col), "topic_id",
                         topic_label(F.col("topic_id"), F.col("words")).alias("topic_label"))
-    return df.join(F.broadcast(lab), class_col, "left")
+    return df.join(lab, class_col, "left")
 
 
 def topic_report(topics: DataFrame, k: int = K.TOPIC_REPORT_WORDS) -> DataFrame:
@@ -157,16 +157,19 @@ def cluster_topics(df: DataFrame, vec_col: str, key: str, k: int = K.NR_TOPICS,
     w = Window.orderBy(F.desc("_size"), F.col("_c"))
     ranked = (sizes.where(F.col("_size") >= min_size)
                    .withColumn("topic_id", (F.row_number().over(w) - 1).cast("int")))
-    out = pts.join(F.broadcast(ranked.select("_c", "topic_id")), "_c", "left")
+    out = pts.join(ranked.select("_c", "topic_id"), "_c", "left")
     return out.select(key, F.coalesce("topic_id", F.lit(-1)).alias("topic_id"),
                       rnd("_prob").alias("topic_prob"))
 
 
 def lda_topics(df: DataFrame, tokens_col: str, key: str, k: int = K.NR_TOPICS,
-               seed: int = K.TOPIC_SEED, max_iter: int = 20) -> DataFrame:
-    """ML-9: Spark ML LDA over term counts; dominant topic and its weight."""
-    cv = CountVectorizer(inputCol=tokens_col, outputCol="_tf", minDF=2.0).fit(df)
-    feats = cv.transform(df.select(key, tokens_col))
+               seed: int = K.TOPIC_SEED, max_iter: int = 20, features: int = 1 << 16) -> DataFrame:
+    """ML-9: Spark ML LDA over term counts; dominant topic and its weight.
+
+    Terms are hashed into ``features`` counts, so no term is left out and no
+    vocabulary is gathered; terms that share a place count together."""
+    tf = HashingTF(inputCol=tokens_col, outputCol="_tf", numFeatures=features)
+    feats = tf.transform(df.select(key, tokens_col))
     model = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_tf",
                 topicDistributionCol="_td").fit(feats)
     td = model.transform(feats).withColumn("_p", vector_to_array("_td"))
@@ -175,36 +178,56 @@ def lda_topics(df: DataFrame, tokens_col: str, key: str, k: int = K.NR_TOPICS,
              .select(key, (F.col("_pos") - 1).alias("topic_id"), "topic_prob")
 
 
-def merge_topics(df: DataFrame, class_col: str, nr_topics: int, tokens_col: str = "tokens",
-                 max_rounds: int = 1000) -> DataFrame:
+def merge_topics(df: DataFrame, class_col: str, nr_topics: int, tokens_col: str = "tokens") -> DataFrame:
     """ML-6: merge the smallest topic into its most similar one (cosine of
-    c-TF-IDF vectors) until ``nr_topics`` remain. Each round is one
-    distributed similarity computation (topic x topic through a join on
-    term); the driver only sees the per-topic winner (bounded by #topics).
-    Returns (original class, merged topic id by size)."""
-    from textpulse.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)  # the cluster's folder; own one only if unset
-    mapping = df.select(F.col(class_col).alias("orig")).distinct().withColumn("topic", F.col("orig"))
-    mapping = mapping.checkpoint()  # cut lineage between rounds (reliable dir)
-    base = df.select(F.col(class_col).alias("orig"), tokens_col)
-    for _ in range(max_rounds):
-        cur = base.join(F.broadcast(mapping), "orig").select("topic", tokens_col)
-        sizes = cur.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-        n_topics = sizes.count()
-        if n_topics <= nr_topics:
-            break
-        smallest = sizes.orderBy("n", "topic").first()["topic"]
-        wts = ctfidf(class_term_counts(cur, "topic", tokens_col)).select("topic", "term", "weight")
+    c-TF-IDF vectors) until ``nr_topics`` remain; -1 leaves them as they are.
+
+    The posts are read once, into a written table of (class, term, tf); rounds
+    work on that table. The driver holds the mapping (a row per topic) and
+    each round's winner. Returns (original class, merged topic id by size)."""
+    from textpulse.sources.sinks import materialize
+    spark = df.sparkSession
+    tf = materialize(spark, class_term_counts(df, class_col, tokens_col).withColumnRenamed("topic", "orig"), "merge-tf")
+    sizes = {r["topic"]: r["count"] for r in topic_ids_by_size(df, class_col).collect()}
+    kind = df.schema[class_col].dataType.simpleString()
+    mapping = {t: t for t in sizes}
+
+    def size(topic) -> int:
+        return sum(sizes[o] for o, t in mapping.items() if t == topic)
+
+    while nr_topics > 0 and len(set(mapping.values())) > nr_topics:
+        smallest = min(set(mapping.values()), key=lambda t: (size(t), str(t)))
+        now = spark.createDataFrame(list(mapping.items()), f"orig {kind}, topic {kind}")
+        wts = ctfidf(tf.join(now, "orig").groupBy("topic", "term").agg(F.sum("tf").alias("tf"))).select("topic", "term", "weight")
         a = wts.where(F.col("topic") == smallest).select("term", F.col("weight").alias("wa"))
-        b = wts.where(F.col("topic") != smallest)
-        norms = wts.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-        dots = b.join(a, "term").groupBy("topic").agg(F.sum(F.col("weight") * F.col("wa")).alias("dot"))
-        sims = dots.join(norms, "topic").withColumn("sim", F.col("dot") / F.col("norm"))
+        sims = (wts.where(F.col("topic") != smallest).join(a, "term", "left").groupBy("topic")
+                   .agg((F.sum(F.col("weight") * F.coalesce("wa", F.lit(0.0))) / F.sqrt(F.sum(F.col("weight") * F.col("weight")))).alias("sim")))
         best = sims.orderBy(F.desc("sim"), F.col("topic")).first()
-        target = best["topic"] if best else sizes.where(F.col("topic") != smallest) \
-            .orderBy(F.desc("n"), "topic").first()["topic"]
-        mapping = mapping.withColumn("topic", F.when(F.col("topic") == smallest, F.lit(target))
-                                     .otherwise(F.col("topic"))).checkpoint()
-    ids = topic_ids_by_size(base.join(F.broadcast(mapping), "orig"), "topic")
-    return mapping.join(F.broadcast(ids.select("topic", "topic_id")), "topic").select(
-        F.col("orig").alias(class_col), "topic_id")
+        others = set(mapping.values()) - {smallest}
+        target = best["topic"] if best and best["sim"] else max(others, key=lambda t: (size(t), str(t)))
+        mapping = {o: target if t == smallest else t for o, t in mapping.items()}
+    order = sorted(set(mapping.values()), key=lambda t: (-size(t), str(t)))
+    return spark.createDataFrame([(o, order.index(t)) for o, t in mapping.items()], f"{class_col} {kind}, topic_id int")
+
+
+def text_vectors(df: DataFrame, tokens_col: str = "tokens", key: str = "post_id", dims: int = 256) -> DataFrame:
+    """(key, vector): hashed, IDF-weighted term counts, all in the JVM. Stands
+    where an embedding model would: any (key, vector) table clusters the same."""
+    tf = HashingTF(inputCol=tokens_col, outputCol="_tf", numFeatures=dims).transform(df.select(key, tokens_col))
+    return IDF(inputCol="_tf", outputCol="_v").fit(tf).transform(tf).select(key, vector_to_array("_v").alias("vector"))
+
+
+def discover_topics(df: DataFrame, key: str = "post_id", tokens_col: str = "tokens", vectors: DataFrame | None = None,
+                    k: int = K.NR_TOPICS, min_size: int = K.MIN_TOPIC_SIZE) -> tuple[DataFrame, DataFrame]:
+    """ML-1..8 end to end: cluster the posts' vectors, take the vocabulary of
+    uni- and bigrams, weigh it per cluster, label the clusters and put topic
+    id, probability and label on every post. Topic -1 holds the outliers.
+    Returns (posts with topic columns, topic table). ``df`` is read several
+    times: pass a written table."""
+    if vectors is None:
+        vectors = text_vectors(df, tokens_col, key)
+    found = cluster_topics(vectors, "vector", key, k=k, min_size=min_size)
+    posts = df.drop("topic_id", "topic_prob", "topic_label").join(found, key)
+    topics = topic_table(posts, "topic_id", tokens_col, ngram_doc_freq(df, tokens_col), by_size=False)
+    labelled = posts.join(topics.select("topic_id", topic_label(F.col("topic_id"), F.col("words")).alias("topic_label")), "topic_id")
+    return labelled, topics

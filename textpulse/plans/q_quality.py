@@ -60,7 +60,8 @@ def month_lang_pivot_query(spark, sf_dir):
 
 
 @register("mean_by_lang_pivot", sql=lambda: _enriched(f"""
-SELECT month, {_gmean_if("lang = 'en'", 'score_cont')} AS en, {_gmean_if("lang = 'fr'", 'score_cont')} AS fr
+SELECT month, {_gmean_if("lang = 'en'", 'score_cont')} AS en, {_gmean_if("lang = 'fr'", 'score_cont')} AS fr,
+  {_gmean_if("lang = 'other'", 'score_cont')} AS other, {_gmean_if("lang = 'unknown'", 'score_cont')} AS unknown
 FROM enriched WHERE month IS NOT NULL GROUP BY month"""))
 def mean_by_lang_query(spark, sf_dir):
     """AGG-8, CHT-2: monthly mean sentiment score, one column per language."""
@@ -257,27 +258,46 @@ def corpus_overview_query(spark, sf_dir):
 
 @register("timeline", sql=lambda: _clean("""
 SELECT make_date(year, month, 1) AS period, lpad(CAST(month AS VARCHAR), 2, '0') AS month_label,
-  count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'fr') AS fr
+  count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'fr') AS fr,
+  count(*) FILTER (WHERE lang = 'other') AS other, count(*) FILTER (WHERE lang = 'unknown') AS unknown
 FROM clean WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY 1, 2"""))
 def timeline_query(spark, sf_dir):
-    """CHT-12, SRT-3, DAT-3, FLT-5: posts per calendar month for en / fr."""
-    c = clean_table(spark, sf_dir)
-    return (QU.lang_pivot_counts(c.withColumn("month_label", D.period_label("month")),
-                                 D.month_start("year", "month"), "period", langs=("en", "fr"))
-            .join(c.filter(F.col("month").isNotNull())
-                   .select(D.month_start("year", "month").alias("period"),
-                           D.period_label("month").alias("month_label")).distinct(), "period")
-            .select("period", "month_label", "en", "fr").orderBy("period"))
+    """CHT-12, SRT-3, DAT-3, FLT-5: posts per calendar month, every language."""
+    counts = QU.lang_pivot_counts(clean_table(spark, sf_dir), D.month_start("year", "month"), "period")
+    return (counts.withColumn("month_label", D.period_label(F.month("period")))
+            .select("period", "month_label", "en", "fr", "other", "unknown").orderBy("period"))
 
 
 @register("top_distress", sql=lambda: _enriched("""
-SELECT post_id, forum, lang, distress_score, distress_level, substr(text_clean, 1, 80) || '...' AS excerpt
+SELECT post_id, forum, lang, distress_score, distress_level, sentiment_label, emotion_dominant, substr(text_clean, 1, 80) || '...' AS excerpt
 FROM enriched ORDER BY distress_score DESC NULLS LAST, post_id LIMIT 10"""))
 def top_distress_query(spark, sf_dir):
     """SRT-4, STR-13, CHT-9: the ten most distressed posts with excerpts."""
     return CH.top_distress(enriched_table(spark, sf_dir))
 
 
+@register("sentiment_label_counts", sql=lambda: _enriched("""
+SELECT sentiment_label, lang, count(*) AS n FROM enriched WHERE sentiment_label IS NOT NULL GROUP BY 1, 2"""))
+def sentiment_label_counts_query(spark, sf_dir):
+    """CHT-2: posts per sentiment label and language (the shares of the pie)."""
+    e = enriched_table(spark, sf_dir)
+    return (e.groupBy("sentiment_label", "lang").agg(F.count(F.lit(1)).alias("n"), F.count("sentiment_label").alias("_nn"))
+             .where(F.col("_nn") > 0).drop("_nn"))
+
+
+@register("distress_by_month_lang", sql=lambda: _enriched(f"""
+SELECT month, {_gmean_if("lang = 'en'", 'distress_score')} AS en, {_gmean_if("lang = 'fr'", 'distress_score')} AS fr,
+  {_gmean_if("lang = 'other'", 'distress_score')} AS other, {_gmean_if("lang = 'unknown'", 'distress_score')} AS unknown,
+  {S.grid_mean('distress_score')} AS mean
+FROM enriched WHERE month IS NOT NULL GROUP BY month"""))
+def distress_by_month_query(spark, sf_dir):
+    """CHT-4, AGG-8: monthly mean distress, over all and one column per language."""
+    e = enriched_table(spark, sf_dir)
+    from textpulse.functions.numeric import grid_mean
+    means = [grid_mean(F.when(F.col("lang") == lg, F.col("distress_score"))).alias(lg) for lg in ("en", "fr", "other", "unknown")]
+    return e.filter(F.col("month").isNotNull()).groupBy("month").agg(*means, grid_mean("distress_score").alias("mean"))
+
+
 @register("run_counters", sql=lambda: _enriched(f"""
 SELECT 'duplicates_removed' AS counter,
   CAST((SELECT count(*) FROM posts_raw) - (SELECT count(*) FROM dedup) AS DOUBLE) AS value

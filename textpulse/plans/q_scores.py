@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from textpulse import constants as K
 from textpulse.operators import emotions as EM
 from textpulse.operators.scoring import sentiment_classifier
@@ -9,7 +11,7 @@ from textpulse.operators.sentiment import fold_sentiment
 from textpulse.plans import fixtures as FX
 from textpulse.plans import sqlgen as S
 from textpulse.plans.registry import register
-from textpulse.plans.stages import clean_table, enriched_table, scored_table
+from textpulse.plans.stages import clean_written, enriched_table, scored_table
 
 SENT_OUT = ["post_id", "model_key", "sentiment_label", "score_pos", "score_neu", "score_neg",
             "score_cont"]
@@ -34,7 +36,31 @@ def sentiment_fold_query(spark, sf_dir):
 @register("lexicon_emotions", sql=lambda: _with(S.enriched_cte(), f"SELECT {', '.join(LEX_OUT)} FROM enriched"))
 def lexicon_emotions_query(spark, sf_dir):
     """SRC-5 filter, JOI-2, EMO-1, EMO-2, SET-3, FLT-8: lexicon scores."""
-    return EM.lexicon_scores(clean_table(spark, sf_dir), FX.lexicon_df(spark)).select(*LEX_OUT)
+    return EM.lexicon_scores(clean_written(spark, sf_dir), FX.lexicon_df(spark)).select(*LEX_OUT)
+
+
+def _corpus_lexicon_sql() -> str:
+    emotion = "CASE length(word) % 8 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(K.EMOTIONS)) + " END"
+    hits = ", ".join(f"count(*) FILTER (WHERE emotion = '{e}') AS h_{e}" for e in K.EMOTIONS)
+    total = " + ".join(f"coalesce(h_{e}, 0)" for e in K.EMOTIONS)
+    score = {e: f"(CASE WHEN n_tokens > 0 AND ({total}) > 0 THEN {S.rnd(f'CAST(coalesce(h_{e}, 0) AS DOUBLE) / n_tokens')} ELSE 0.0 END)" for e in K.EMOTIONS}
+    return _with(S.clean_cte() + f""",
+words AS (SELECT DISTINCT unnest(tokens) AS word FROM clean),
+lexicon AS (SELECT word, {emotion} AS emotion FROM words WHERE length(word) % 2 = 0),
+tok AS (SELECT post_id, unnest(tokens) AS word FROM clean),
+hits AS (SELECT post_id, {hits} FROM tok JOIN lexicon USING (word) GROUP BY post_id)""",
+        f"SELECT c.post_id, {', '.join(f'{score[e]} AS lex_{e}' for e in K.EMOTIONS)} FROM clean c LEFT JOIN hits h ON h.post_id = c.post_id")
+
+
+@register("lexicon_of_the_corpus", sql=_corpus_lexicon_sql)
+def corpus_lexicon_query(spark, sf_dir):
+    """JOI-2, EMO-1 with a lexicon that grows with the corpus: every second
+    distinct token, its emotion by its length."""
+    c = clean_written(spark, sf_dir)
+    words = c.select(F.explode("tokens").alias("word")).distinct().filter(F.length("word") % 2 == 0)
+    emotion = F.element_at(F.array(*[F.lit(e) for e in K.EMOTIONS]), F.length("word") % 8 + 1)
+    lexicon = words.select("word", emotion.alias("emotion"), F.lit(1).alias("association"))
+    return EM.lexicon_scores(c, lexicon).select("post_id", *[f"lex_{e}" for e in K.EMOTIONS])
 
 
 @register("model_emotions_fold", sql=lambda: _with(S.enriched_cte(), f"SELECT {', '.join(MODEL_OUT)} FROM enriched"))

@@ -8,18 +8,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textpulse import constants as K
-from textpulse.functions.numeric import rnd
+from textpulse.functions.numeric import grid_mean, rnd
 from textpulse.operators import langid as LID
 from textpulse.operators import topics as TP
 from textpulse.plans import fixtures as FX
 from textpulse.plans import sqlgen as S
 from textpulse.plans.registry import register
 from textpulse.plans.stages import clean_table
+from textpulse.sources.sinks import materialize
 
 TI_CTE = f", ti AS (SELECT * FROM clean WHERE lang IN ('en', 'fr') AND n_tokens >= {K.MIN_TOKENS})"
 
 CTFIDF_CTE = TI_CTE + """,
-tf AS (SELECT topic, term, count(*) AS tf FROM (SELECT forum AS topic, unnest(tokens) AS term FROM ti) GROUP BY 1, 2),
+tt AS (SELECT forum AS topic, list_concat(tokens, [tokens[i] || ' ' || tokens[i + 1] for i in range(1, len(tokens))]) AS terms FROM ti),
+voc AS (SELECT term FROM (SELECT unnest(list_distinct(terms)) AS term FROM tt) GROUP BY term
+        HAVING count(*) >= {min_df} AND count(*) <= {max_df} * (SELECT count(*) FROM ti)),
+tf AS (SELECT topic, term, count(*) AS tf FROM (SELECT topic, unnest(terms) AS term FROM tt)
+       WHERE term IN (SELECT term FROM voc) GROUP BY 1, 2),
 avgw AS (SELECT CAST(sum(tf) AS DOUBLE) / count(DISTINCT topic) AS a FROM tf),
 w AS (SELECT topic, term, tf, sum(tf) OVER (PARTITION BY term) AS f FROM tf),
 ww AS (SELECT topic, term, tf * ln(1 + (SELECT a FROM avgw) / f) AS weight FROM w),
@@ -27,7 +32,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term
 sizes AS (SELECT forum AS topic, count(*) AS cnt FROM ti GROUP BY 1),
 ids AS (SELECT topic, CAST(row_number() OVER (ORDER BY cnt DESC, topic) - 1 AS INTEGER) AS topic_id, cnt FROM sizes),
 words AS (SELECT topic, list(term ORDER BY rank) AS words, list(weight ORDER BY rank) AS weights
-          FROM r WHERE rank <= 10 GROUP BY topic)"""
+          FROM r WHERE rank <= 10 GROUP BY topic)""".format(min_df=K.NGRAM_MIN_DF, max_df=K.NGRAM_MAX_DF)
 
 
 def _clean(select: str) -> str:
@@ -35,7 +40,8 @@ def _clean(select: str) -> str:
 
 
 def _topic_input(spark, sf_dir):
-    return TP.topic_input(clean_table(spark, sf_dir))
+    """Written once: the topic queries read it more than once."""
+    return materialize(spark, TP.topic_input(clean_table(spark, sf_dir)), "topic-input")
 
 
 @register("ngram_df_filter", sql=lambda: _clean(TI_CTE + f""",
@@ -51,9 +57,10 @@ def ngram_query(spark, sf_dir):
 @register("ctfidf_top_words", sql=lambda: _clean(CTFIDF_CTE + f"""
 SELECT topic, CAST(rank AS INTEGER) AS rank, term, {S.rnd('weight')} AS weight FROM r WHERE rank <= 10"""))
 def ctfidf_query(spark, sf_dir):
-    """ML-5, WIN-4: class-based TF-IDF, ten best words per class."""
+    """ML-5, WIN-4: class-based TF-IDF over the uni- and bigrams of the ML-4
+    vocabulary, ten best terms per class."""
     ti = _topic_input(spark, sf_dir)
-    tops = TP.top_words(TP.ctfidf(TP.class_term_counts(ti, "forum")))
+    tops = TP.top_words(TP.ctfidf(TP.class_term_counts(ti, "forum", vocabulary=TP.ngram_doc_freq(ti))))
     return tops.select("topic", F.col("rank").cast("int").alias("rank"), "term",
                        rnd("weight").alias("weight"))
 
@@ -68,7 +75,7 @@ SELECT ti.post_id, lab.topic_id, lab.topic_label FROM ti LEFT JOIN lab ON lab.to
 def topic_labels_query(spark, sf_dir):
     """STR-17, JOI-3, ARR-4: topic id (by size) and label for every post."""
     ti = _topic_input(spark, sf_dir)
-    topics = TP.topic_table(ti, "forum")
+    topics = TP.topic_table(ti, "forum", vocabulary=TP.ngram_doc_freq(ti))
     return TP.assign_labels(ti, topics, "forum").select("post_id", "topic_id", "topic_label")
 
 
@@ -80,7 +87,27 @@ WHERE ids.topic_id <> -1 GROUP BY ids.topic_id, ids.cnt"""))
 def topic_report_query(spark, sf_dir):
     """ML-8, FLT-7, STR-12, SNK-4: id, size and top-10 ``word (weight)``."""
     ti = _topic_input(spark, sf_dir)
-    return TP.topic_report(TP.topic_table(ti, "forum"))
+    return TP.topic_report(TP.topic_table(ti, "forum", vocabulary=TP.ngram_doc_freq(ti)))
+
+
+@register("topics_of_posts")
+def topics_of_posts_query(spark, sf_dir):
+    """ML-1..7, STR-17, JOI-3 end to end: discovered topic, probability and
+    label of every post, -1 the outliers (rows-only check: iterative ML)."""
+    posts, _ = TP.discover_topics(_topic_input(spark, sf_dir))
+    return posts.select("post_id", "topic_id", "topic_prob", "topic_label")
+
+
+@register("topics_found")
+def topics_found_query(spark, sf_dir):
+    """ML-8, FLT-7, AGG-16, AGG-17: report of the discovered topics with the
+    share of assigned posts and the mean probability (rows-only check)."""
+    posts, topics = TP.discover_topics(_topic_input(spark, sf_dir))
+    posts = materialize(spark, posts.select("topic_id", "topic_prob"), "topics-of-posts")
+    stats = posts.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_posts"), grid_mean("topic_prob").alias("mean_prob"))
+    counters = posts.agg(F.struct(F.count_if(F.col("topic_id") == -1).alias("o"), F.count_if(F.col("topic_id") != -1).alias("a")).alias("c")).scalar()
+    return (TP.topic_report(topics).join(stats, "topic_id").withColumn("_c", counters)
+            .select("topic_id", "count", "top_words", "n_posts", "mean_prob", F.col("_c.o").alias("outliers"), F.col("_c.a").alias("assigned")))
 
 
 @register("topic_clusters")

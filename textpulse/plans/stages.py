@@ -8,6 +8,7 @@ from textpulse.operators.cleaning import clean_posts
 from textpulse.operators.emotions import extract_emotions
 from textpulse.operators.sentiment import fold_sentiment
 from textpulse.plans import fixtures as FX
+from textpulse.sources.sinks import materialize
 
 
 def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +16,15 @@ def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_posts(FX.posts_raw(spark, sf_dir))
 
 
+def clean_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean table, written once to the shared folder: for queries that
+    read it more than once."""
+    return materialize(spark, clean_table(spark, sf_dir), "clean")
+
+
 def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean posts plus the (stand-in) model outputs as array<struct> columns."""
-    df = clean_table(spark, sf_dir)
+    df = clean_written(spark, sf_dir)
     df = df.withColumn("model_key", FX.model_key("lang"))
     return (df.withColumn("sentiment_raw", FX.sentiment_raw())
               .withColumn("emotion_raw", FX.emotion_raw()))

@@ -36,12 +36,20 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder (``spark.checkpoint.dir``).
 
-    A cluster names a shared folder there; only when it is unset (local runs,
-    tests) a private scratch folder is created and registered.
+    A cluster names a shared folder there. Only a local master may go without:
+    it gets a private scratch folder. Elsewhere a missing setting is an error,
+    since each executor would write to its own disk. The folder is registered
+    once per context (registering it again would nest a new folder in it).
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    d = sc.getConf().get("spark.checkpoint.dir", None) or _LOCAL.get(sc.applicationId)
     if not d:
-        d = tempfile.mkdtemp(prefix="textpulse-ckpt-")
-    sc.setCheckpointDir(d)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        d = _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="textpulse-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
+
+
+_LOCAL: dict[str, str] = {}

@@ -7,18 +7,16 @@ applied later are pushed into the Parquet scan by Catalyst.
 from __future__ import annotations
 
 import fnmatch
-import os
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Default export names of the analysed corpus, in ingest order.
-DEFAULT_EXPORTS = [
-    "posts_of_college_new", "posts_of_CollegeRant_new", "posts_of_csMajors_new",
-    "posts_of_etudiants_new", "posts_of_Student_new", "posts_of_Students_new",
-]
+from textpulse import constants as K
+
+DEFAULT_EXPORTS = K.EXPORT_NAMES
 
 LEXICON_SCHEMA = T.StructType([
     T.StructField("word", T.StringType()),
@@ -27,36 +25,59 @@ LEXICON_SCHEMA = T.StructType([
 ])
 
 
-def _listdir(d: str) -> list[str]:
-    try:
-        return sorted(os.listdir(d))
-    except FileNotFoundError:
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path and the path itself: any store that
+    Spark reads will do."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return bool(fs.exists(p))
+
+
+def _listdir(spark: SparkSession, d: str) -> list[str]:
+    fs, p = _file_system(spark, d)
+    if not fs.exists(p):
         return []
+    return sorted(x.getPath().getName() for x in fs.listStatus(p))
 
 
-def resolve_export(input_dir: str, name: str, ext: str) -> str | None:
+def resolve_export(input_dir: str, name: str, ext: str, spark: SparkSession | None = None) -> str | None:
     """SRC-2: exact ``name.ext``; else the lexicographically smallest file
     matching ``*name.ext`` (numeric prefixes); else None (caller skips it)."""
-    exact = os.path.join(input_dir, f"{name}.{ext}")
-    if os.path.exists(exact):
-        return exact
-    hits = [f for f in _listdir(input_dir) if fnmatch.fnmatch(f, f"*{name}.{ext}")]
-    return os.path.join(input_dir, hits[0]) if hits else None
+    spark = spark or SparkSession.getActiveSession()
+    names = _listdir(spark, input_dir)
+    hits = [f for f in names if f == f"{name}.{ext}"] or [f for f in names if fnmatch.fnmatchcase(f, f"*{name}.{ext}")]
+    return f"{input_dir.rstrip('/')}/{hits[0]}" if hits else None
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
-               schema: T.StructType | None = None) -> DataFrame:
-    """SRC-3: one stage table. CSV is read with a header, multi-line
-    records and quote escaping (the UTF-8 BOM is skipped by Spark)."""
+               schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """SRC-3: one stage table. CSV has a header and quote escaping (the UTF-8
+    BOM is skipped by Spark); columns take the given schema, or else types
+    inferred from the data. ``multi_line`` allows line ends inside quotes, at
+    the price of one task per file."""
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
     if fmt == "csv":
-        return (r.option("header", True).option("multiLine", True)
+        return (r.option("header", True).option("multiLine", multi_line).option("inferSchema", schema is None)
                 .option("escape", '"').csv(path))
     return r.format(fmt).load(path)
 
 
+def file_order(fmt: str) -> Column:
+    """A row's place in its files: by path, then by row. It doesn't depend on
+    how files are split into tasks."""
+    if fmt == "parquet":
+        return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
 def union_by_name(frames: Iterable[DataFrame]) -> DataFrame | None:
     """SET-1: bag union by column name; missing columns become null."""
     out = None
@@ -69,24 +90,21 @@ def read_exports(spark: SparkSession, input_dir: str, names: list[str] | None =
                  fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
     """SRC-1: read every export that exists and union them by name.
 
-    Adds ``file_rank`` (position in ``names``) and ``row_pos`` (a stable
-    row ordinal inside the file) so keep-first de-duplication is defined.
-    Files that are missing are skipped; none at all -> empty frame.
+    Adds ``file_rank`` (position in ``names``) and ``row_pos`` (the row's
+    place in its files) so keep-first de-duplication is defined. Single
+    missing exports are skipped; none at all is an error.
     """
     names = names or DEFAULT_EXPORTS
     frames = []
     for rank, name in enumerate(names):
-        path = resolve_export(input_dir, name, fmt)
+        path = resolve_export(input_dir, name, fmt, spark)
         if path is None:
             continue
         df = read_table(spark, path, fmt, schema)
-        frames.append(df.withColumn("file_rank", F.lit(rank))
-                        .withColumn("row_pos", F.monotonically_increasing_id()))
+        frames.append(df.select("*", F.lit(rank).alias("file_rank"), file_order(fmt).alias("row_pos")))
     out = union_by_name(frames)
     if out is None:
-        base = schema or T.StructType([])
-        out = spark.createDataFrame([], base.add("file_rank", T.IntegerType())
-                                    .add("row_pos", T.LongType()))
+        raise FileNotFoundError(f"no export of {', '.join(names)} in {input_dir}")
     return out
 
 
@@ -98,12 +116,12 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 def pick_stage(spark: SparkSession, candidates: list[str], fmt: str = "parquet") -> DataFrame | None:
     """SRC-4: the most enriched stage table that exists and can be read."""
     for path in candidates:
-        if not os.path.exists(path):
+        if not path_exists(spark, path):
             continue
         try:
             df = read_table(spark, path, fmt)
             df.schema  # noqa: B018 - forces the footer read
             return df
-        except Exception:  # unreadable -> try the next one
+        except AnalysisException:  # unreadable -> try the next one
             continue
     return None
