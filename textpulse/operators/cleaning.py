@@ -94,20 +94,27 @@ def add_tokens(df: DataFrame, text_col: str = "text_clean", lang_col: str = "lan
                             "is_too_short": n < K.MIN_TOKENS})
 
 
-def clean_posts(posts: DataFrame, detector=None, compat: bool = True,
+def clean_posts(posts: DataFrame, detector=None, compat: bool = True, lemmas: DataFrame | None = None,
                 key: str = "post_id", order_by=("file_rank", "row_pos")) -> DataFrame:
     """CLN-1: raw posts -> clean table.
 
     ``detector``: optional callable ``(DataFrame, text_col) -> DataFrame`` that
     adds ``lang_detected``; when omitted the input must carry that column.
+    ``lemmas``: optional (lang, form, lemma) dictionary; tokens are replaced by
+    their lemmas in ``text_lemma`` (without it, the surface tokens).
     """
     order = [c for c in order_by if c in posts.columns] or [key]
     df = keep_first(posts, key, order)
     df = add_clean_columns(df, compat=compat)
     if detector is not None:
         df = detector(df, "text_clean")
-    df = resolve_language(df)
-    return add_tokens(df)
+    df = add_tokens(resolve_language(df))
+    if lemmas is not None:
+        from textpulse.operators.tokens import lemmatize
+        found = lemmatize(df, lemmas, key=key).select(F.col(key).alias("_key"), F.array_join("lemmas", " ").alias("_lemmas"))
+        df = (df.join(found, df[key].eqNullSafe(found["_key"]), "left")
+                .withColumn("text_lemma", F.coalesce("_lemmas", F.lit(""))).drop("_key", "_lemmas"))
+    return df
 
 
 CLEAN_COLUMNS = ["post_id", "forum", "author", "title", "text", "category",

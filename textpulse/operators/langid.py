@@ -87,7 +87,7 @@ def predict(docs: DataFrame, model: LangModel, key: str = "doc_id", text_col: st
     n_grams = n_char_grams(text_col, model.n)
     base = docs.select(key, n_grams.alias("_n"),
                        has_min_words(text_col, K.MIN_TOKENS).alias("_enough"))
-    j = base.join(matched, key, "left")
+    j = base.join(matched.withColumnRenamed(key, "_match"), F.col(key).eqNullSafe(F.col("_match")), "left").drop("_match")
     scores = F.array(*[F.struct(
         (F.lit(model.prior[lg]) + F.col("_n") * F.lit(model.unseen[lg])
          + F.coalesce(F.col(f"_m_{lg}"), F.lit(0.0))).alias("s"), F.lit(lg).alias("lang"))
@@ -106,5 +106,7 @@ def detector(model: LangModel, key: str = "post_id"):
     ``lang_detected`` computed on the clean text."""
     def run(df: DataFrame, text_col: str) -> DataFrame:
         pred = predict(df.select(key, text_col), model, key=key, text_col=text_col)
-        return df.drop("lang_detected").join(pred.select(key, "lang_detected"), key, "left")
+        found = pred.select(F.col(key).alias("_key"), F.col("lang_detected").alias("_detected"))
+        return (df.drop("lang_detected").join(found, df[key].eqNullSafe(found["_key"]), "left").drop("_key")
+                  .withColumnRenamed("_detected", "lang_detected"))
     return run

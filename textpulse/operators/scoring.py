@@ -3,11 +3,11 @@
 Two ways to obtain per-post ``array<struct<label, score>>`` model outputs:
 
 * ``score_with``: the public extension point for any Python model (for
-  example a transformer pipeline). Rows stream through ``mapInPandas`` in
-  Arrow batches; the model is built once per Python worker by ``factory``
-  and applied to inner batches of ``batch_size`` texts. A batch that raises
-  yields null arrays for its rows (the fold then emits nulls), like the
-  analysed pipeline.
+  example a transformer pipeline). Texts cross to Python in Arrow batches;
+  the model is built once per Python worker by ``factory`` and applied to
+  inner batches of ``batch_size`` texts. A batch that raises yields null
+  arrays for its rows (the fold then emits nulls), like the analysed
+  pipeline, and is flagged, so ``failures`` can count it.
 * ``sentiment_classifier``: a Spark ML text classifier (tokens -> hashed TF
   -> IDF -> logistic regression) trained on a labelled table; all JVM, no
   Python in the scoring path.
@@ -32,44 +32,72 @@ from textpulse.operators.sentiment import fold_sentiment, placeholder_text
 SCORES_TYPE = T.ArrayType(T.StructType([T.StructField("label", T.StringType()),
                                         T.StructField("score", T.DoubleType())]))
 
-_MODELS: dict[int, object] = {}
+_MODELS: dict[str, object] = {}
 
 
-def score_with(df: DataFrame, text_col: str, factory: Callable[[], Callable[[list[str]], list]],
+def _model(name: str, factory: Callable[[], Callable[[list[str]], list]]):
+    """The model of that name in this Python worker, built on first use. Held
+    in the module, so the worker's later tasks find it."""
+    if name not in _MODELS:
+        _MODELS[name] = factory()
+    return _MODELS[name]
+
+
+def score_with(df: DataFrame, text_col: str, factory: Callable[[], Callable[[list[str]], list]], name: str,
                out_col: str = "raw_scores", batch_size: int = 8) -> DataFrame:
-    """Append ``out_col`` = model(text) for every row (UDF-3).
+    """Append ``out_col`` = model(text) and ``{out_col}_failed`` (the row was in
+    a batch that raised; its scores are null) for every row (UDF-3).
 
-    ``factory()`` returns ``predict(texts) -> list[list[{label, score}]]``.
-    Blank texts are sent as ``"."`` (PRJ-11). Filter rows *before* calling
-    this: Catalyst cannot push filters through ``mapInPandas``.
+    ``factory()`` returns ``predict(texts) -> list[list[{label, score}]]``;
+    ``name`` tells models apart: one name, one model per Python worker. Blank
+    texts are sent as ``"."`` (PRJ-11). Only the text crosses to Python.
+    ``failures`` counts the failed rows.
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, SCORES_TYPE)])
-    key = id(factory)
-    tmp = "__model_text"
-    src = df.withColumn(tmp, placeholder_text(text_col))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _MODELS.get(key)
-        if model is None:
-            model = _MODELS[key] = factory()
-        for pdf in batches:
-            texts = pdf[tmp].tolist()
-            out: list = []
-            for i in range(0, len(texts), batch_size):
-                chunk = texts[i:i + batch_size]
+    kind = T.StructType([T.StructField("scores", SCORES_TYPE), T.StructField("failed", T.BooleanType())])
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = _model(name, factory)
+        for t in texts:
+            rows = t.tolist()
+            scores: list = []
+            failed: list[bool] = []
+            for i in range(0, len(rows), batch_size):
+                chunk = rows[i:i + batch_size]
                 try:
-                    res = model(chunk)
-                    out.extend([[{"label": str(d["label"]), "score": float(d["score"])} for d in r]
-                                for r in res])
-                except Exception:  # failed batch -> null scores for its rows
-                    out.extend([None] * len(chunk))
-            pdf = pdf.drop(columns=[tmp])
-            pdf[out_col] = out
-            yield pdf
-
-    return src.mapInPandas(run, schema=T.StructType(
-        [f for f in src.schema.fields if f.name != tmp] + [T.StructField(out_col, SCORES_TYPE)])
-    ).select(*[f.name for f in schema.fields])
+                    scores += [[{"label": str(d["label"]), "score": float(d["score"])} for d in r] for r in model(chunk)]
+                    failed += [False] * len(chunk)
+                except Exception:  # the fold makes nulls of the batch; the flag counts it
+                    scores += [None] * len(chunk)
+                    failed += [True] * len(chunk)
+            yield pd.DataFrame({"scores": scores, "failed": failed})
+
+    scored = F.pandas_udf(run, kind)(placeholder_text(text_col))
+    return (df.withColumn("__scored", scored)
+              .withColumns({out_col: F.col("__scored.scores"), f"{out_col}_failed": F.col("__scored.failed")}).drop("__scored"))
+
+
+def failures(scored: DataFrame, out_col: str = "raw_scores") -> DataFrame:
+    """One row: rows scored and rows whose batch failed. A job whose model
+    always fails is green only if nobody looks here."""
+    return scored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(f"{out_col}_failed").alias("failed"))
+
+
+def text_classifier(df: DataFrame, labelled: DataFrame, key: str, label_col: str, tokens_col: str = "tokens",
+                    num_features: int = 1 << 16, max_iter: int = 20) -> tuple[DataFrame, list[str]]:
+    """Spark ML: hashed term counts -> IDF -> logistic regression on text
+    labels. Returns (key, raw_scores array<struct<label, score>>) for every
+    row, and the labels met in training, in order. All JVM."""
+    tok = df.select(key, tokens_col)
+    names = [r[0] for r in labelled.select(label_col).distinct().orderBy(label_col).collect() if r[0] is not None]
+    number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(label_col)).cast("double") - 1
+    train = tok.join(labelled.filter(F.col(label_col).isNotNull()).select(key, number.alias("label")), key)
+    model = Pipeline(stages=[HashingTF(inputCol=tokens_col, outputCol="_tf", numFeatures=num_features),
+                             IDF(inputCol="_tf", outputCol="_features", minDocFreq=2),
+                             LogisticRegression(featuresCol="_features", labelCol="label", maxIter=max_iter,
+                                                regParam=0.01, probabilityCol="_prob")]).fit(train)
+    p = vector_to_array("_prob")
+    raw = F.array(*[F.struct(F.lit(n).alias("label"), p[i].alias("score")) for i, n in enumerate(names)])
+    return model.transform(tok).select(key, raw.alias("raw_scores")), names
 
 
 def sentiment_classifier(docs: DataFrame, labelled: DataFrame, text_col: str = "text",

@@ -9,6 +9,7 @@ from textpulse.functions import dates as D
 from textpulse.functions import text as TX
 from textpulse.functions.numeric import to_bool
 from textpulse.operators import cleaning as CL
+from textpulse.operators import langid as LID
 from textpulse.operators import sampling
 from textpulse.operators.dedup import keep_first
 from textpulse.operators.sentiment import placeholder_text
@@ -34,6 +35,17 @@ def clean_stage(spark, sf_dir):
     return clean_table(spark, sf_dir).select(*CLEAN_OUT)
 
 
+@register("clean_stage_detected")
+def clean_stage_detected(spark, sf_dir):
+    """CLN-1 in full: language id (LID-1, trained on the labelled documents)
+    and dictionary lemmas (TOK-2) inside the stage (rows-only check here; the
+    parts have their own twins)."""
+    model = LID.train(FX.read_table(spark, sf_dir, "documents"), text_col="text", label_col="lang")
+    posts = FX.posts_raw(spark, sf_dir).drop("lang_detected")
+    out = CL.clean_posts(posts, detector=LID.detector(model), lemmas=FX.lemma_df(spark))
+    return out.select(*CLEAN_OUT)
+
+
 @register("union_by_name", sql=lambda: """
 SELECT * FROM (
   SELECT doc_id AS post_id, 'documents' AS origin, lang, source, NULL::VARCHAR AS role,

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from textpulse import constants as K
 from textpulse.operators import emotions as EM
-from textpulse.operators.scoring import sentiment_classifier
+from textpulse.functions.numeric import rnd
+from textpulse.operators.scoring import score_with, sentiment_classifier, text_classifier
 from textpulse.operators.sentiment import fold_sentiment
 from textpulse.plans import fixtures as FX
 from textpulse.plans import sqlgen as S
 from textpulse.plans.registry import register
+from textpulse.sources.sinks import materialize
 from textpulse.plans.stages import clean_written, enriched_table, scored_table
 
 SENT_OUT = ["post_id", "model_key", "sentiment_label", "score_pos", "score_neu", "score_neg",
@@ -88,6 +90,40 @@ def enrich_query(spark, sf_dir):
     return enriched_table(spark, sf_dir).select(*ENRICH_OUT)
 
 
+def _count_e():
+    """A stand-in model for UDF-3: the share of the letter e."""
+    return lambda texts: [[{"label": "positive", "score": t.count("e") / len(t)}, {"label": "negative", "score": 1 - t.count("e") / len(t)}]
+                          for t in texts]
+
+
+@register("score_with_model", sql=lambda: f"""
+WITH t AS (SELECT doc_id, CASE WHEN {S.is_blank('text')} THEN '.' ELSE text END AS t FROM documents),
+s AS (SELECT doc_id, CAST(length(t) - length(replace(t, 'e', '')) AS DOUBLE) / length(t) AS p FROM t)
+SELECT doc_id, {S.rnd('p', 6)} AS positive, {S.rnd('1 - p', 6)} AS negative, false AS failed FROM s""")
+def score_with_query(spark, sf_dir):
+    """UDF-3, SEN-3, PRJ-11: a Python model over every document in batches."""
+    out = score_with(FX.read_table(spark, sf_dir, "documents"), "text", _count_e, name="count-e")
+    pick = lambda i: rnd(F.col("raw_scores")[i]["score"], 6)
+    return out.select("doc_id", pick(0).alias("positive"), pick(1).alias("negative"), F.col("raw_scores_failed").alias("failed"))
+
+
+@register("enrich_with_models")
+def enrich_with_models_query(spark, sf_dir):
+    """SEN-4, EMO-5 with trained scorers: a sentiment classifier learnt from
+    the labelled documents and an emotion classifier learnt from the posts
+    whose lexicon gives a dominant emotion score every post's own text; then
+    fold, blend and distress (rows-only check: trained models)."""
+    c = clean_written(spark, sf_dir)
+    marks = FX.read_table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("post_id"), F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative").alias("mark"))
+    sentiment, _ = text_classifier(c, marks, "post_id", "mark")
+    lex = materialize(spark, EM.lexicon_scores(c, FX.lexicon_df(spark)), "lexicon-scores")
+    emotion, _ = text_classifier(c, lex.select("post_id", "lex_dominant"), "post_id", "lex_dominant")
+    out = fold_sentiment(lex.join(sentiment.withColumnRenamed("raw_scores", "sentiment_raw"), "post_id").withColumn("model_key", F.lit("en")))
+    out = EM.model_emotion_scores(out.join(emotion.withColumnRenamed("raw_scores", "emotion_raw"), "post_id"))
+    return EM.combine_emotions(out).select(*ENRICH_OUT)
+
+
 @register("sentiment_classifier")
 def sentiment_classifier_query(spark, sf_dir):
     """SEN-3, SEN-4, UDF-3: a Spark ML text classifier trained on the

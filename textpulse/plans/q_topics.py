@@ -133,12 +133,30 @@ def lda_query(spark, sf_dir):
     return TP.lda_topics(ti, "tokens", "post_id", k=K.NR_TOPICS)
 
 
-@register("langid_ngrams")
+def _langid_sql() -> str:
+    return f"""
+WITH d AS (SELECT doc_id, lang, text, lower(text) AS t FROM documents),
+g AS (SELECT doc_id, lang, substr(t, i, 3) AS gram FROM (SELECT *, unnest(range(1, greatest(length(t) - 1, 1))) AS i FROM d)),
+c AS (SELECT lang, gram, count(*) AS c FROM g WHERE lang IS NOT NULL GROUP BY ALL),
+v AS (SELECT count(DISTINCT gram) AS v FROM c),
+l AS (SELECT lang, sum(c) AS total FROM c GROUP BY lang),
+p AS (SELECT lang, ln(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM d WHERE lang IS NOT NULL)) AS prior FROM d WHERE lang IS NOT NULL GROUP BY lang),
+m AS (SELECT c.lang, c.gram, ln((c.c + 1.0) / (l.total + v)) - ln(1.0 / (l.total + v)) AS gain FROM c JOIN l USING (lang), v),
+s AS (SELECT g.doc_id, m.lang, sum(m.gain) AS gain FROM (SELECT doc_id, gram FROM g) g JOIN m USING (gram) GROUP BY ALL),
+a AS (SELECT d.doc_id, p.lang, p.prior + greatest(length(d.t) - 2, 0) * ln(1.0 / (l.total + v)) + coalesce(s.gain, 0) AS score
+      FROM d, p JOIN l USING (lang), v LEFT JOIN s ON s.doc_id = d.doc_id AND s.lang = p.lang),
+b AS (SELECT doc_id, lang AS lang_pred FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) = 1)
+SELECT b.doc_id, lang_pred, CASE WHEN NOT {S.has_min_words('d.text', K.MIN_TOKENS)} THEN 'unknown'
+  WHEN lang_pred IN ('en', 'fr') THEN lang_pred WHEN lang_pred IS NULL THEN 'unknown' ELSE 'other' END AS lang_detected
+FROM b JOIN d USING (doc_id)"""
+
+
+@register("langid_ngrams", sql=_langid_sql)
 def langid_query(spark, sf_dir):
     """LID-1: character-trigram naive Bayes trained on the labelled
     documents, applied to every document, plus the post-rules
-    (< 5 words -> unknown; en / fr kept; else other). Rows-only check; a
-    brute-force pandas twin is in the tests."""
+    (< 5 words -> unknown; en / fr kept; else other). A brute-force pandas
+    twin is in the tests."""
     docs = FX.read_table(spark, sf_dir, "documents")
     model = LID.train(docs, text_col="text", label_col="lang")
     pred = LID.predict(docs, model, key="doc_id", text_col="text")
