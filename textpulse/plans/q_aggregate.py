@@ -114,8 +114,9 @@ def agg_topics(spark, sf_dir):
     the topic label) over the topic-model input, topics = class-based TF-IDF
     labels with the posting month as class; grouped by lang x forum."""
     from textpulse.operators import topics as TP
-    ti = TP.topic_input(enriched_table(spark, sf_dir)).withColumn(
-        "_month_class", F.col("month").cast("string"))
-    topics = TP.topic_table(ti, "_month_class")
+    from textpulse.sources.sinks import materialize
+    ti = materialize(spark, TP.topic_input(enriched_table(spark, sf_dir)).withColumn(
+        "_month_class", F.col("month").cast("string")), "topic-input")
+    topics = TP.topic_table(ti, "_month_class", vocabulary=TP.ngram_doc_freq(ti))
     labelled = TP.assign_labels(ti, topics, "_month_class")
     return A.by_lang_forum(labelled.drop("topic_id"))
