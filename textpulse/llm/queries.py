@@ -67,6 +67,34 @@ def queries() -> dict:
 
 
 SQL = {
+    "op3_mixing": f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS k FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS rank FROM d),
+n AS (SELECT k, count(*) AS n FROM d GROUP BY k),
+w AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i, (n + {mixing.BLOCK_DOCS - 1}) // {mixing.BLOCK_DOCS} AS m,
+        greatest(1, CAST(floor((CASE WHEN k = 'ssrc0' THEN CAST(0.25 AS DOUBLE) ELSE CAST(0.75 AS DOUBLE) / (SELECT count(*) FROM n WHERE k <> 'ssrc0') END)
+          * {mixing.PARTS} + CAST(0.5 AS DOUBLE)) AS BIGINT)) AS p FROM n),
+f AS (SELECT DISTINCT unnest([0, m // p, m // p + 1]) AS f FROM w),
+a AS (SELECT f, i, p, greatest(0, least(p, m - p * f)) AS a FROM f, w),
+b AS (SELECT f, i, p, a, unnest(range(a)) AS q FROM a),
+u AS (SELECT b.f, b.i, b.q, b.p, sum(least(x.a * b.p, x.p * b.q)) AS t0, sum(least(x.a * b.p, x.p * (b.q + 1))) AS t1
+      FROM b JOIN a x ON x.f = b.f GROUP BY b.f, b.i, b.q, b.p),
+v AS (SELECT f, i, q, CAST(t0 // p AS BIGINT) AS rel, CAST((t1 + p - 1) // p AS BIGINT) AS due FROM u),
+l AS (SELECT a.f, a.i, list({{'rel': v.rel, 'due': v.due}} ORDER BY v.q) FILTER (WHERE v.q IS NOT NULL) AS w
+      FROM a LEFT JOIN v ON v.f = a.f AND v.i = a.i GROUP BY a.f, a.i),
+g AS (SELECT f, list(coalesce(w, []) ORDER BY i) AS w FROM l GROUP BY f),
+e AS (SELECT f, 0 AS t, w, CAST(list_sum([len(x) FOR x IN w]) AS BIGINT) AS len, [0 FOR x IN w] AS had, CAST(-1 AS BIGINT) AS pick FROM g
+      UNION ALL
+      SELECT f, t + 1, w, len, [had[j + 1] + CASE WHEN j = pk THEN 1 ELSE 0 END FOR j IN range(len(w))], pk FROM (
+        SELECT *, list_min([w[j + 1][had[j + 1] + 1].due * 1000 + j FOR j IN range(len(w))
+                            IF had[j + 1] < len(w[j + 1]) AND w[j + 1][had[j + 1] + 1].rel <= t]) % 1000 AS pk FROM e WHERE t < len)),
+s AS (SELECT f, pick AS i, had[pick + 1] - 1 AS q, t - 1 AS slot FROM e WHERE pick >= 0),
+c AS (SELECT r.doc_id, r.source, w.i, w.p, r.rank // {mixing.BLOCK_DOCS} AS block, r.rank % {mixing.BLOCK_DOCS} AS place FROM r JOIN w USING (k)),
+k AS (SELECT *, block // p AS cycle, block - block // p * p AS q FROM c),
+z AS (SELECT cycle, (SELECT max(s.f) FROM s WHERE s.f <= cycle) AS f, (SELECT sum(least(m, p * cycle)) FROM w) AS base FROM (SELECT DISTINCT cycle FROM k))
+SELECT k.doc_id, k.source, CAST(k.block AS BIGINT) AS mix_block, CAST(z.base + s.slot AS BIGINT) AS mix_slot,
+       CAST(z.base + v.rel AS BIGINT) AS mix_release, CAST(z.base + v.due AS BIGINT) AS mix_due, CAST(k.place AS BIGINT) AS mix_place
+FROM k JOIN z USING (cycle) JOIN s ON s.f = z.f AND s.i = k.i AND s.q = k.q JOIN v ON v.f = z.f AND v.i = k.i AND v.q = k.q""",
     "op5_near_dedup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+') IF x <> ''] AS w FROM documents),
