@@ -67,9 +67,9 @@ def test_unresolved_revisit_is_an_error(spark):
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/x">Menu</a></ul></nav><!-- <article>no</article> --><div class="ad">Buy &amp; sell</div>
-<div role="main" id="content"><article class="post"><header><h1>Title&nbsp;A</h1></header><p>One <b>bold</b>ly
+<div role="main" id="content" class="page-with-sidebar"><article class="post"><header><h1>Title&nbsp;A</h1></header><p>One <b>bold</b>ly
  &lt;two&gt; &amp;amp; &eacute;&#x41;<br>three<p>four<ul><li>five<li>six</ul><form><input>no</form><aside>no</aside>
-<div class="comment-list"><p>no</p></div><div hidden>no</div><noscript>no</noscript><div class="social-share">no</div>seven</article></div>
+<div class="comment-list"><p>no</p></div><div hidden>no</div><noscript>no</noscript><div class="social-share">no</div><div class="entry-header">seven</div></article><div class="site-header">no</div></div>
 <footer>&copy; me</footer></body>"""
 
 

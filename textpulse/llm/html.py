@@ -60,14 +60,25 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|dis
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
-def _is_chrome(name: str, attrs: str) -> bool:
+#: Words that make such a mark a word about the layout ("with-sidebar").
+LAYOUT = {"has", "with", "without", "no", "layout"}
+#: Marks that an article's own parts may carry ("entry-header").
+OWN = {"header", "masthead"}
+
+
+def _is_chrome(name: str, attrs: str, main: bool) -> bool:
     if name in CHROME:
-        return True
+        return not (main and name in OWN)
     if not attrs or name in ("html", "body"):
         return False
     if _HIDDEN.search(attrs):
         return True
-    return any(w.lower() in MARKS for m in _ATTR.finditer(attrs) for w in _WORDS.findall(m[1] or m[2] or m[3] or ""))
+    for m in _ATTR.finditer(attrs):
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            words = set(_WORDS.findall(token))
+            if words & MARKS and not words & LAYOUT and not (main and not words & (MARKS - OWN)):
+                return True
+    return False
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
@@ -121,7 +132,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             elif close and not re.search(r"<body\b", page[at : close.start()], re.I):
                 at = close.end()
         elif name not in VOID and not m["attrs"].endswith("/"):
-            own = _is_chrome(name, m["attrs"]) and not (name == "header" and main)
+            own = _is_chrome(name, m["attrs"], main)
             stack.append((name, chrome or own, main or (name in MAIN and not chrome)))
         chrome, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     flush()
