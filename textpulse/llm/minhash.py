@@ -6,12 +6,15 @@
    PERMUTATIONS`` values are cut into bands of ``ROWS``; two sets that are 0.8
    alike share no band with a chance of about 5e-6.
 2. Equal sets are one node from here on, so copies cost nothing more.
-3. In each band's bucket the first node is compared with all others: as many
-   pairs as nodes. Links are confirmed on the full sets, and linked nodes get
-   one label. Then the last node of each bucket that still holds two labels is
-   compared likewise; at last, in buckets where labels still differ, all nodes
-   of different labels that have not been compared. No candidate is dropped,
-   and large groups, whose nodes have one label by then, make no pairs.
+3. Each band's bucket has a centre: its node whose buckets are the largest (the
+   original of a group of edits shares most bands with it). All others are
+   compared with the centre: as many pairs as nodes. Links are confirmed on
+   the full sets, and linked nodes get one label.
+4. Where a bucket still holds several labels, each node outside its largest
+   label is compared with all nodes of other labels, in blocks of ``BLOCK``
+   nodes by ``BLOCK``: a task counts common shingles over an index of its
+   block and gives back confirmed links only, never pairs. No candidate is
+   dropped; large groups of copies, which have one label by then, cost nothing.
 
 Sets of documents that have no partner in any bucket are never moved.
 
@@ -38,6 +41,7 @@ ROWS = 6
 PERCENT = 80
 SHINGLE_WORDS = 5
 ROW_CHUNK = 4096
+BLOCK = 512
 
 _A = (np.random.default_rng(7).integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = np.random.default_rng(8).integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -147,6 +151,48 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * common >= percent * union).select("a", "b")
 
 
+def _across_labels(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between nodes of one bucket and different labels;
+    ``known`` has (key, node, label)."""
+    per_label = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = (per_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"),
+                                          F.max(F.struct("n", "label")).alias("most"))
+             .filter("labels > 1")
+             .select("key", F.col("most.label").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rows_in"),
+                     F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("probes_in")))
+    open_rows = known.join(mixed, "key")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = open_rows.select("key", "node", "label", block("rows_in").alias("i"), every("probes_in").alias("j"), F.lit(False).alias("probe"))
+    probes = open_rows.filter("label <> main").select("key", "node", "label", every("rows_in").alias("i"), block("probes_in").alias("j"), F.lit(True).alias("probe"))
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        p, r = g[g["probe"]], g[~g["probe"]]
+        a, b = [], []
+        if len(p) and len(r):
+            own, labels = r["node"].to_numpy(), r["label"].to_numpy()
+            sizes = r["shingles"].map(len).to_numpy()
+            whole = np.concatenate(r["shingles"].to_list())
+            order = np.argsort(whole, kind="stable")
+            owner = np.repeat(np.arange(len(r)), sizes)[order]
+            values, first = np.unique(whole[order], return_index=True)
+            first = np.append(first, len(whole))
+            for node, label, s in zip(p["node"], p["label"], p["shingles"]):
+                at = np.searchsorted(values, s)
+                at = at[at < len(values)]
+                at = at[np.isin(values[at], s)]
+                n = first[at + 1] - first[at]
+                hit = owner[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                common = np.bincount(hit, minlength=len(r))
+                found = np.flatnonzero((100 * common >= percent * (sizes + len(s) - common)) & (labels != label))
+                a += np.minimum(own[found], node).tolist()
+                b += np.maximum(own[found], node).tolist()
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    dealt = rows.unionByName(probes).join(sets, "node")
+    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept, n_links (confirmed
     links of its set to other sets that were compared)."""
@@ -158,46 +204,33 @@ def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERC
     nodes = materialize(nodes, "near-nodes")
     member = (signed.select("_uid", "bands").join(nodes.select("node"), F.col("_uid") == F.col("node"), "left_semi")
               .select(F.explode("bands").alias("key"), F.col("_uid").alias("node")))
-    buckets = member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
+    buckets = member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     member = materialize(member.join(buckets, "key"), "near-buckets")
+    popular = member.join(member.groupBy("node").agg(F.sum("size").alias("pop")), "node")
+    centres = popular.groupBy("key").agg(F.max(F.struct("pop", "node"))["node"].alias("centre"))
+    pairs = (member.join(centres, "key").filter("node <> centre")
+             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
 
     sizes = nodes.select("node", "n_shingles")
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Without pairs whose sizes alone rule a link out."""
-        a, b = sizes.toDF("a", "_na"), sizes.toDF("b", "_nb")
-        small, large = F.least("_na", "_nb"), F.greatest("_na", "_nb")
-        return pairs.join(a, "a").join(b, "b").filter(100 * small >= percent * large).select("a", "b")
-
+    small, large = F.least("_na", "_nb"), F.greatest("_na", "_nb")
+    fitting = (pairs.join(sizes.toDF("a", "_na"), "a").join(sizes.toDF("b", "_nb"), "b")
+               .filter(100 * small >= percent * large).select("a", "b"))  # else sizes alone rule a link out
     partners = member.select("node").distinct().join(nodes, "node").select("node", "doc_id", "set_key")
     sets = materialize(_sets(docs, partners, words), "near-sets")
-
-    def compare(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
-        found = _confirmed(fitting(pairs), sets, percent)
-        return materialize(found if links is None else found.unionByName(links), "near-links")
-
-    first = member.filter("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
-    links = compare(first, None)
+    links = materialize(_confirmed(fitting, sets, percent), "near-links")
     labels = components(links)
 
-    def open_buckets() -> DataFrame:
-        """Members of buckets in which labels differ."""
-        known = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        return known.join(mixed, "key", "left_semi")
-
-    still = materialize(open_buckets(), "near-open")
-    top = still.select("key", F.col("node").alias("n"), F.col("label").alias("l")).join(still.select("key", "hi").distinct(), "key").filter("n = hi").select("key", F.col("l").alias("top"))
-    second = still.join(top, "key").filter("node <> hi AND label <> top AND node <> lo").select(F.col("node").alias("a"), F.col("hi").alias("b")).distinct()
-    links = compare(second, links)
-    labels = components(links)
-
-    still = materialize(open_buckets(), "near-open")
-    x = still.select("key", F.col("node").alias("a"), F.col("label").alias("la"), "lo", "hi")
-    y = still.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = (x.join(y, "key").filter("a < b AND la <> lb AND a <> lo AND b <> hi").select("a", "b").distinct())
-    links = compare(rest, links)
-    labels = components(links)
+    known = member.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    more = materialize(_across_labels(known, sets, percent), "near-links")
+    links = links.unionByName(more)
+    # A link across labels joins all that carries them.
+    name = labels.select("node", "label")
+    at = lambda c: more.join(name.toDF(c, f"_{c}"), c, "left").select("a", "b", F.coalesce(f"_{c}", c).alias(f"_{c}"))
+    of_labels = at("a").join(at("b"), ["a", "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+    merged = components(of_labels, "near-merged").toDF("label", "_merged")
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    labels = (ends.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(merged, "label", "left")
+              .select("node", F.coalesce("_merged", "label").alias("label")))
 
     degree = (links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
               .groupBy("node").agg(F.count(F.lit(1)).alias("n_links")))
