@@ -1,20 +1,40 @@
-"""Plan shape of the flagship query: column pruning at the scan, a bounded
-number of shuffles, the only Python step is the NFC UDF."""
+"""Plan shapes. The clean stage: column pruning at the scan, one shuffle of
+posts, one Python step (NFC). The flagship on the written clean table: no
+Python, no nested loop, the text steps are not run again."""
 
 import os
 
+import pytest
+
 SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
 
 
-def test_flagship_plan_shape(spark):
-    if not os.path.isdir(SF):
-        return
+def formatted(spark, df):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
+def test_clean_stage_plan(spark):
     from textpulse.plans.registry import queries
-    df = queries()["agg_season"](spark, SF)
-    plan = df._jdf.queryExecution().explainString(
-        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    plan = formatted(spark, queries()["clean_stage"](spark, SF))
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string,source:string>" in plan
-    assert plan.count("Exchange (") <= 3          # dedup, summary, final order
+    assert plan.count("Exchange (") <= 1          # dedup
     assert plan.count("ArrowEvalPython (") == 1   # NFC only
     assert "BatchEvalPython" not in plan          # no row-at-a-time Python UDF
+
+
+def test_flagship_plan_shape(spark):
+    from textpulse.plans.registry import queries
+    plan = formatted(spark, queries()["agg_season"](spark, SF))
+    assert "EvalPython" not in plan and "regexp_replace" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert plan.count("HashAggregate") >= 2       # combined in each task first
+
+
+@pytest.mark.parametrize("name", ["ngram_df_filter", "ctfidf_top_words", "topic_report", "histogram_tokens", "boxplot_lang"])
+def test_no_nested_loops_and_one_clean_chain(spark, name):
+    from textpulse.plans.registry import queries
+    plan = formatted(spark, queries()[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "EvalPython" not in plan               # the clean chain has run, once

@@ -83,14 +83,16 @@ def quality_flags(df: DataFrame) -> DataFrame:
 
 
 def _value_table(df: DataFrame, value_col: str, group: Column) -> DataFrame:
-    """(_g, _v, _n): how often each value occurs in each group. Ranges,
-    quantiles and bins all come from this one aggregate (its exchange is
-    reused), so the derivation of the value runs once. Nulls drop out after
-    the aggregate (see ``value_counts``)."""
+    """(_g, _v, _n): how often each value occurs in each group, written once.
+    Ranges, quantiles and bins all come from this small table, so the
+    derivation of the value runs once. Nulls drop out after the aggregate (see
+    ``value_counts``)."""
+    from textpulse.sources.sinks import materialize
     v = F.nanvl(F.col(value_col).cast("double"), F.lit(None).cast("double"))
-    return (df.select(group.alias("_g"), v.alias("_v")).groupBy("_g", "_v")
-              .agg(F.count(F.lit(1)).alias("_n"), F.count("_v").alias("_nn"))
-              .where(F.col("_nn") > 0).drop("_nn"))
+    counted = (df.select(group.alias("_g"), v.alias("_v")).groupBy("_g", "_v")
+                 .agg(F.count(F.lit(1)).alias("_n"), F.count("_v").alias("_nn"))
+                 .where(F.col("_nn") > 0).drop("_nn"))
+    return materialize(df.sparkSession, counted, "value-counts")
 
 
 def histogram(df: DataFrame, value_col: str, n_bins: int, group_col: str | None = None) -> DataFrame:
