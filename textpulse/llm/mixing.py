@@ -31,6 +31,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textpulse.llm.common import materialize
+
 PARTS = 256
 BLOCK_DOCS = 8
 BUCKET_DOCS = 4096
@@ -73,6 +75,8 @@ def schedule(sources: DataFrame) -> DataFrame:
     window = lambda q, p: F.struct(F.floor(used(q, p) / p).cast("long").alias("release"), F.ceil(used(q + 1, p) / p).cast("long").alias("due"))
     kinds = (kinds.withColumn("_both", F.zip_with("_a", "_all", lambda a, x: F.struct(a.alias("a"), x["_parts"].alias("p"))))
              .withColumn("_windows", F.transform("_both", lambda x: F.when(x["a"] > 0, F.transform(F.sequence(F.lit(0).cast("long"), x["a"] - 1), lambda q: window(q, x["p"]))))))
+    # Written: else the optimizer copies the windows into every step below.
+    kinds = materialize(kinds.select("_from", "_len", "_a", "_windows"), "mix-kinds")
 
     # State: blocks that each source has had, and the source of each slot so far.
     def step(state: Column, slot: Column) -> Column:
@@ -124,7 +128,7 @@ def mix(docs: DataFrame, weights: dict[str, float], source_col: str = "source",
     before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
     sources = shares(counts, weights, parts, block_docs)
-    plan = schedule(sources)
+    plan = materialize(schedule(sources), "mix-schedule")
     kinds = plan.select("_from").distinct().agg(F.sort_array(F.collect_list("_from")).alias("_starts"))
     totals = sources.agg(F.collect_list(F.struct("_blocks", "_parts")).alias("_all"))
     about = sources.select("_key", "_i", "_parts", kinds.scalar().alias("_starts"), totals.scalar().alias("_all"))
