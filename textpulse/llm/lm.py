@@ -54,7 +54,7 @@ WINDOW = 24
 ROUNDS, SHARE = 3, 24
 REPLICA_DOCS = 4000
 KNOWN_WORDS = 100_000    # counts that each task holds
-LANES = 256
+LANES = 384
 GROUP_WORDS = 600_000
 RATE = 0.01
 CHUNK = 8192             # weights a row when replicas are averaged
@@ -189,6 +189,14 @@ def _log_softmax(logits: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(1, keepdims=True))
 
 
+def _log_picked(logits: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """The picked column of each row's log softmax; ``logits`` is used up."""
+    logits -= logits.max(1, keepdims=True)
+    chosen = logits[np.arange(len(logits)), pick]
+    np.exp(logits, out=logits)
+    return chosen - np.log(logits.sum(1))
+
+
 def _by_class(sym: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """Rows of each head class."""
     rows = np.flatnonzero(sym < HEAD)
@@ -249,9 +257,9 @@ def log_probabilities(w: dict, sym: np.ndarray, off: np.ndarray, lanes: int = LA
             states.append(h)
         at, hs = np.concatenate(steps), np.concatenate(states)
         s = ln.sym[at]
-        p = _log_softmax(hs @ w["wc"] + w["bc"])[np.arange(len(s)), class_of(s)]
+        p = _log_picked(hs @ w["wc"] + w["bc"], class_of(s))
         for c, rows in _by_class(s):
-            p[rows] += _log_softmax(hs[rows] @ w["wo"][c] + w["bo"][c])[np.arange(len(rows)), s[rows] % CLASS_WORDS]
+            p[rows] += _log_picked(hs[rows] @ w["wo"][c] + w["bo"][c], s[rows] % CLASS_WORDS)
         out[ln.source[at]] = p
     return out
 
@@ -311,7 +319,8 @@ def _gradients(w: dict, ln: Lanes, steps: list[np.ndarray], h: np.ndarray) -> tu
 
 def train(w: dict, sym: np.ndarray, off: np.ndarray, rate: float = RATE) -> dict:
     """One pass over the documents with Adam."""
-    lanes = int(np.clip(len(sym) // (WINDOW * 100), 4, 128))
+    longest = int(np.diff(off).max()) if len(off) > 1 else 1
+    lanes = int(np.clip(len(sym) // max(longest, WINDOW * 100), 4, 128))  # lanes of like length
     ln = Lanes(sym, off, lanes)
     w = {k: v.copy() for k, v in w.items()}
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
@@ -345,7 +354,7 @@ def fit(train_docs: DataFrame, vocab: dict, rounds: int = ROUNDS, share: int = S
         def run(batches: Iterator[pd.DataFrame], now=now, r=r) -> Iterator[pd.DataFrame]:
             own, words = unflat(now), 0
             for b in batches:
-                for s, off in _groups(b["text"].tolist(), vocab):
+                for s, off in _groups(b["text"].tolist(), vocab, 4 * GROUP_WORDS):
                     own = train(own, s, off, RATE / (1 + r))
                     words += len(s)
             if words:
@@ -388,6 +397,7 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = unflat(weights)
         for b in batches:
+            b = b.iloc[b["text"].str.len().argsort(kind="stable")]  # lanes of like length
             ids, texts, i = b["doc_id"].astype("Int64"), b["text"].tolist(), 0
             while i < len(texts):
                 j, n = i, 0
