@@ -54,7 +54,7 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     lineage, and the rows outlive the executors that made them."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
