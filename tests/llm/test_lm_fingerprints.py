@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textpulse.llm import fingerprint as fp
 from textpulse.llm import lm
@@ -95,6 +96,14 @@ def test_counts_and_base_score(messy, docs, monkeypatch, known):
     assert lm.score(docs([])).count() == 0
 
 
+def test_every_training_document_is_trained_on(messy, docs):
+    rows = [(r.doc_id, r.text, r.source) for r in messy.collect()] + [(1000 + i, f"word{i} and more", "a") for i in range(200)]
+    training = docs(rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    vocab = lm.vocabulary(lm.counts(training))
+    _, trained = lm.fit(training, vocab)
+    assert trained == vocab["n"]
+
+
 def test_held_out_gain(spark):
     got = lm.score(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
     held = got[got["held_out"]]

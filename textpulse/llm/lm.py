@@ -13,10 +13,10 @@ add up to one. Biases begin at the logarithms of the counts, so an untrained
 model is a unigram model.
 
 Training. Truncated backpropagation over windows of ``WINDOW`` words, in
-numpy, with the state carried from window to window. Each of ``ROUNDS`` rounds
-trains on its own ``1 / SHARE`` of the training documents (by hash, whole
-texts, so it grows with the corpus), one replica for about ``REPLICA_DOCS``
-of them, and averages the replicas by their number of words.
+numpy, with the state carried from window to window. The training documents
+are dealt over ``ROUNDS`` rounds by hash, so each is trained on in one of them,
+whole. A round trains one replica for about ``REPLICA_DOCS`` of its documents
+and averages the replicas by their number of words.
 
 Scoring. All documents, whole, in lanes that carry the state from the first
 word to the end. Counts of frequent words are looked up in a table of bounded
@@ -51,7 +51,7 @@ HEADS = HEAD // CLASS_WORDS
 CLASSES = HEADS + TAILS
 START = HEAD + TAILS     # the input before a document's first word
 WINDOW = 24
-ROUNDS, SHARE = 3, 24
+ROUNDS = 3
 REPLICA_DOCS = 4000
 KNOWN_WORDS = 100_000    # counts that each task holds
 LANES = 384
@@ -339,13 +339,13 @@ def train(w: dict, sym: np.ndarray, off: np.ndarray, rate: float = RATE) -> dict
     return w
 
 
-def fit(train_docs: DataFrame, vocab: dict, rounds: int = ROUNDS, share: int = SHARE) -> dict:
+def fit(train_docs: DataFrame, vocab: dict, rounds: int = ROUNDS) -> tuple[dict, int]:
     """Rounds of replicas trained in tasks and averaged by Spark; the driver
-    holds one set of weights."""
-    w = initial(vocab)
+    holds one set of weights. With them, the number of words trained on."""
+    w, trained = initial(vocab), 0
     total = sum(int(np.prod(s)) for s in SHAPES.values())
-    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(share))
-    sizes = {r["b"]: r["n"] for r in train_docs.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # ``share`` rows
+    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
+    sizes = {r["b"]: r["n"] for r in train_docs.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # ``rounds`` rows
     for r in range(rounds):
         if not sizes.get(r):
             continue
@@ -363,10 +363,11 @@ def fit(train_docs: DataFrame, vocab: dict, rounds: int = ROUNDS, share: int = S
 
         part = train_docs.filter(bucket == r).select("text").coalesce(max(1, -(-sizes[r] // REPLICA_DOCS)))
         rows = part.mapInPandas(run, "i int, n double, v array<float>").withColumn("x", array_to_vector(F.col("v").cast("array<double>")))
-        mean = rows.groupBy("i").agg(Summarizer.mean(F.col("x"), F.col("n")).alias("m")).select("i", vector_to_array("m").alias("m")).collect()
+        mean = rows.groupBy("i").agg(Summarizer.mean(F.col("x"), F.col("n")).alias("m"), F.sum("n").alias("n")).select("i", vector_to_array("m").alias("m"), "n").collect()
         if mean:
+            trained += int(mean[0]["n"])
             w = unflat(np.concatenate([x["m"] for x in sorted(mean, key=lambda x: x["i"])]))
-    return w
+    return w, trained
 
 
 def _groups(texts: list[str], vocab: dict | None, size: int = GROUP_WORDS) -> Iterator[tuple]:
@@ -391,7 +392,7 @@ def score(docs: DataFrame) -> DataFrame:
     training = rows.filter(~held)
     counted = counts(training)
     vocab = vocabulary(counted)
-    weights = flat(fit(training, vocab))
+    weights = flat(fit(training, vocab)[0])
     norm = float(np.log10(vocab["n"] + 0.5 * (vocab["v"] + 1)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
