@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from textpulse.llm import packing, secrets
 
@@ -28,6 +29,20 @@ def test_word_memory_equals_the_tokenizer(parts):
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [reference_ids(t) for t in (text, "", "the " + text)]
 
 
+def test_added_tokens_have_their_own_ids(docs):
+    """By a tokenizer read anew from its file, as the contract has it."""
+    plain = Tokenizer.from_file(TOK)
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    texts = [f(a) for a in added for f in (lambda a: a, lambda a: f"a {a} b", lambda a: f"a{a}b {a}{a}", lambda a: f"the\n{a} \tx", lambda a: a[:-1])]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    got = packing.Encoder(TOK).ids(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert 50256 in want[1] and len(want[1]) == 4
+    rows = packing.pieces(docs([(i, t, "s") for i, t in enumerate(texts)]), TOK).collect()
+    crc = {r.doc_id: (r.length, r.ids_crc32) for r in rows}
+    assert crc == {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())) for i, ids in enumerate(want)}
+
+
 def test_pack_documents(messy):
     rows = messy.collect()
     got = packing.pack_documents(messy, sequence=64, group_pieces=40).collect()

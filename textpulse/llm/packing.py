@@ -49,9 +49,7 @@ PACKED = PIECES + ", _uid long, sequence_id long, offset long, _gap long"
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 #: White space that is neither a blank nor a line end.
@@ -76,12 +74,15 @@ class Encoder:
     The tokenizer splits a text before a blank or line end that stands alone
     between two visible characters, and no token spans that place. So a text
     whose white space is all of that kind is the sequence of its words, each
-    with the white space before it; other texts are tokenized as they are.
+    with the white space before it; other texts, and those that hold an added
+    token's content, are tokenized as they are.
     Words are told apart by 64-bit hashes; the memory of words is bounded."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         self.tok, self.most = _tokenizer(path), cache_words
         self.seen: dict[int, bytes] = {}
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_OTHER_SPACE.pattern, *map(re.escape, added)]))
         self.marks = dict(zip(" \n", self.encode([" ", "\n"])))
 
     def words(self, parts: list[str]) -> list[bytes]:
@@ -108,7 +109,7 @@ class Encoder:
         """Little-endian ids of each text."""
         plain, out = [], [b""] * len(texts)
         for i, t in enumerate(texts):
-            if _OTHER_SPACE.search(t):
+            if self.whole.search(t):
                 out[i] = self.encode([t])[0]
             elif t:
                 plain.append(i)
