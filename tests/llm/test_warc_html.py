@@ -80,6 +80,20 @@ def test_structure(pages):
     assert text == {1: (want, len(want)), 2: ("", 0), 3: ("", 0), None: ("a a", 3), 4: ("", 0)}
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<article><h2 id="related-work">Related</h2><p id="search">one<span id="share"> two</span></p></article>', "Related one two"),
+    ('<article><section id="search-methods">a</section><div class="social-history">b</div><div class="widget theory">no</div></article>', "a b"),
+    ('<article>a<div class="related-posts">no</div><div class="comment-list">no</div><div class="share">no</div></article>', "a"),
+    ('<div class="menu">no</div><div class="content sidebar-right"><h1>T</h1><article>a<div class="ad">no</div></article></div>', "T a"),
+    ('<main class="search-results"><p>a</p></main><footer>no</footer>', "a"),
+    ('<form id="page"><article>a</article><div class="comments"><article>no</article></div></form>', "a"),
+    ('<article>a</article><div class="related"><article>no</article></div>', "a"),
+    ('<div hidden class="ad"><article>no</article></div>', ""),
+])
+def test_marks_take_no_article_text(page, want):
+    assert " ".join(t for _, t in html.blocks(page)) == want
+
+
 @pytest.mark.parametrize("group", [2, 100])
 def test_repeated_runs_go_whatever_the_groups(pages, group):
     """Pages without an article: what a host repeats goes, what is unique stays."""

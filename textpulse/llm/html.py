@@ -6,7 +6,10 @@ character references decoded and white space made one space. A block is
 form, comment section, script or style; *main* if it stands in the page's
 article; else it is *open*. Chrome goes, main stays. (Repetition may not
 decide about them: menus differ from page to page of a host, and articles
-quote each other.)
+quote each other.) Within an article a class, id or role marks chrome only if
+all its words do ("social-share", not "social-history"), and ids of headings,
+paragraphs and inline elements never do. If chrome holds a page's only article,
+the elements around it are none, unless they are hidden.
 
 Open blocks, and all blocks of pages without an article, are decided by
 repetition on their host: the word streams of its pages are concatenated, a
@@ -55,7 +58,7 @@ MARKS = {"ad", "ads", "advert", "advertisement", "advertising", "sponsor", "spon
          "modal", "toolbar", "pagination", "pager", "widget"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 
@@ -66,19 +69,31 @@ LAYOUT = {"has", "with", "without", "no", "layout"}
 OWN = {"header", "masthead"}
 
 
-def _is_chrome(name: str, attrs: str, main: bool) -> bool:
+#: Words that leave such a mark whole within an article ("comment-list").
+PARTS_OF = {"area", "bar", "block", "box", "button", "buttons", "container", "content", "group", "icon", "icons", "inner", "item", "items",
+            "link", "links", "list", "outer", "panel", "post", "posts", "section", "wrap", "wrapper"}
+#: Elements whose ids are made from their text.
+TITLED = INLINE | {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
+
+
+def _is_chrome(name: str, attrs: str, main: bool) -> int:
+    """0: no, 1: yes, 2: yes, as it is hidden."""
     if name in CHROME:
-        return not (main and name in OWN)
+        return 0 if main and name in OWN else 2 if _HIDDEN.search(attrs) else 1
     if not attrs or name in ("html", "body"):
-        return False
+        return 0
     if _HIDDEN.search(attrs):
-        return True
+        return 2
     for m in _ATTR.finditer(attrs):
-        for token in (m[1] or m[2] or m[3] or "").lower().split():
+        if main and name in TITLED and m[1].lower() == "id":
+            continue
+        for token in (m[2] or m[3] or m[4] or "").lower().split():
             words = set(_WORDS.findall(token))
-            if words & MARKS and not words & LAYOUT and not (main and not words & (MARKS - OWN)):
-                return True
-    return False
+            if main and (words - MARKS - PARTS_OF or not words & (MARKS - OWN)):
+                continue
+            if words & MARKS and not words & LAYOUT:
+                return 1
+    return 0
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
@@ -87,9 +102,18 @@ def blocks(page: str) -> list[tuple[int, str]]:
     Within an article, headers belong to it (``header`` there holds its
     title); every other chrome goes. End tags close the nearest open element
     of their name, and what was left open inside it."""
+    out, around = _blocks(page, frozenset())
+    return _blocks(page, around)[0] if around else out
+
+
+def _blocks(page: str, spared: frozenset[int]) -> tuple[list[tuple[int, str]], frozenset[int]]:
+    """Blocks, where elements that begin at ``spared`` are no chrome; and, if
+    every article is inside chrome, where the chrome around the first begins."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, chrome, main
+    stack: list[tuple[str, bool, bool, int, int]] = []  # name, chrome, main, own chrome, place
     parts: list[str] = []
+    around: frozenset[int] = frozenset()
+    outside = False
     at, chrome, main = 0, False, False
     length = len(page)
 
@@ -132,11 +156,15 @@ def blocks(page: str) -> list[tuple[int, str]]:
             elif close and not re.search(r"<body\b", page[at : close.start()], re.I):
                 at = close.end()
         elif name not in VOID and not m["attrs"].endswith("/"):
-            own = _is_chrome(name, m["attrs"], main)
-            stack.append((name, chrome or own, main or (name in MAIN and not chrome)))
+            own = 0 if m.start() in spared else _is_chrome(name, m["attrs"], main)
+            stack.append((name, chrome or own > 0, main or (name in MAIN and not chrome), own, m.start()))
+            if name in MAIN:
+                outside = outside or not stack[-1][1]
+                if not around and all(x[3] < 2 for x in stack):
+                    around = frozenset(x[4] for x in stack if x[3])
         chrome, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     flush()
-    return out
+    return out, frozenset() if outside else around
 
 
 # -- repeated runs ------------------------------------------------------------
