@@ -106,6 +106,13 @@ def test_repeated_runs_go_whatever_the_groups(pages, group):
     assert got[100] == same  # another host
 
 
+@pytest.mark.parametrize("group", [1, 100])
+def test_equal_pages_keep_their_text(pages, group):
+    text = " ".join(f"w{k}" for k in range(20))
+    got = html.extract(pages([(i, f"http://h/{i}", f"<p>{text}</p>") for i in range(4)]), group_pages=group).collect()
+    assert {r.page_id: r.text for r in got} == dict.fromkeys(range(4), text)
+
+
 def test_articles_may_quote(pages):
     same = "a passage of ten words that two articles of a host share"
     got = html.extract(pages([(i, "http://h/", f"<article><p>{same}</p></article>") for i in range(3)])).collect()

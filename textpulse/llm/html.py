@@ -22,8 +22,8 @@ over the groups of a host.
 
 Defined results: null html is empty and gives the empty text; pages without
 any text too; null urls share one host; null ids and repeated rows are each
-extracted (rows of one id are one page for repetition); an empty table gives
-an empty table; extra columns are ignored.
+extracted (rows of one id or of equal blocks are one page for repetition); an
+empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -247,6 +247,12 @@ def _word_ids(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
 
+def hash_of(kinds, texts) -> int:
+    """A hash of a page's blocks."""
+    import xxhash
+    return xxhash.xxh3_64_intdigest("\0".join(f"{k}{t}" for k, t in zip(kinds, texts))) - (1 << 63)
+
+
 def windows(ids: np.ndarray, least: int) -> np.ndarray:
     """A hash of each run of ``least`` words."""
     n = len(ids) - least + 1
@@ -259,7 +265,7 @@ def windows(ids: np.ndarray, least: int) -> np.ndarray:
 
 
 PARSED = "page_id long, url string, host string, fixed boolean, kinds array<int>, texts array<string>"
-KEPT = "page_id long, url string, host string, fixed boolean, kinds array<int>, texts array<string>, marks binary, found array<long>"
+KEPT = "page_id long, url string, host string, fixed boolean, kinds array<int>, texts array<string>, marks binary, found array<long>, same long"
 OUT = "page_id long, url string, text string, n_chars long"
 
 
@@ -305,16 +311,21 @@ def extract(pages: DataFrame, least_words: int = LEAST_WORDS, group_pages: int =
     def in_group(g: pd.DataFrame) -> pd.DataFrame:
         streams = [_word_ids(_open_words(k, t)) for k, t in zip(g["kinds"], g["texts"])]
         pages_of = pd.factorize(g["page_id"], use_na_sentinel=False)[0].tolist()
-        marks = repeated(streams, pages_of, least_words)
+        # Equal pages are one page: the first of them stands for all.
+        same = pd.Series([hash_of(k, t) for k, t in zip(g["kinds"], g["texts"])])
+        first = np.flatnonzero(~same.duplicated())
+        judged_once = dict(zip(same.iloc[first], repeated([streams[i] for i in first], [pages_of[i] for i in first], least_words)))
+        marks = [judged_once[x] for x in same]
         shared = [np.unique(windows(s, least_words)).view(np.int64).tolist() if g["_groups"].iloc[0] > 1 else [] for s in streams]
-        return g.assign(marks=[np.packbits(m).tobytes() for m in marks], found=shared)[[c.split()[0] for c in KEPT.split(", ")]]
+        return g.assign(marks=[np.packbits(m).tobytes() for m in marks], found=shared, same=same.to_numpy())[[c.split()[0] for c in KEPT.split(", ")]]
 
     judged = materialize(grouped.groupBy("host", "_group").applyInPandas(in_group, KEPT), "html-groups")
     # Windows that two pages of a host share, whichever groups they are in.
-    seen = judged.select("host", "page_id", F.explode("found").alias("w"))
-    common = seen.groupBy("host", "w").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).filter("a <> b").select("host", "w")
+    seen = judged.select("host", "page_id", "same", F.explode("found").alias("w"))
+    common = (seen.groupBy("host", "w").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.min("same").alias("c"), F.max("same").alias("d"))
+              .filter("a <> b AND c <> d").select("host", "w"))
     marked = seen.join(common, ["host", "w"]).groupBy("host", "page_id").agg(F.collect_set("w").alias("shared"))
-    final = judged.drop("found").join(marked, ["host", "page_id"], "left")
+    final = judged.drop("found", "same").join(marked, ["host", "page_id"], "left")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
