@@ -58,6 +58,23 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT_KEYS = 1000
+
+
+def join_hot(rows: DataFrame, one: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined with ``one``, which has a row for each key and, in ``n``,
+    the number of rows with it. Keys with over 1 / ``HOT_KEYS`` of all rows,
+    fewer than ``HOT_KEYS`` therefore, are broadcast; so no task gathers the rows
+    of a hot key. Both frames should be written tables."""
+    total = one.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT_KEYS > total
+    few = one.filter(hot).drop(n)
+    keys = [r[0] for r in few.select(key).collect()]  # fewer than HOT_KEYS
+    apart = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    common = rows.filter(apart).join(F.broadcast(few), key)
+    return rows.filter(~apart).join(one.filter(~hot).drop(n), key).unionByName(common)
+
+
 def remainder(col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as ''."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textpulse.llm import exact, fingerprint, html, lm, minhash, mixing, packing, quality, secrets, warc
+from textpulse.llm import exact, fingerprint, html, lm, minhash, mixing, packing, quality, resample, runs, secrets, simhash, warc
 from textpulse.llm.common import table
 
 #: Target weights: the named source's share, the others share the rest equally.
@@ -54,16 +54,39 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.with_tails_repeated(table(spark, sf_dir, "documents"))
+    return runs.digests(runs.find_runs(docs))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return d.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    import corpus_pipeline  # noqa: F401  fails here, not in the query, where it is not shipped
     return {f.__name__: f for f in (
         op1_language_model, op2_fingerprints, op3_mixing, op4_quality, op5_near_dedup, op6_exact_dedup, op7_warc,
-        op8_main_text, op9_packing, op10_secrets, pipeline)}
+        op8_main_text, op9_packing, op10_secrets, op11_periodic_runs, op12_resampling, op13_simhash, pipeline)}
+
+
+#: CRC-32 in SQL, by its polynomial: a table of the 256 bytes, and a fold over a list of bytes.
+CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END) AS v FROM range(256) r(i)))"""
+
+
+def crc32(numbers: str) -> str:
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {numbers}), "
+            "lambda a, x: xor(a >> 8, crc[1 + (xor(a, x) & 255)])), CAST(4294967295 AS BIGINT))")
 
 
 SQL = {
@@ -126,6 +149,40 @@ b AS (SELECT page_id, url, replace(replace(replace(replace(replace(regexp_replac
         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM a),
 c AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM c""",
+    "op11_periodic_runs": r"""
+WITH """ + CRC_TABLE + r""",
+w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+') IF x <> ''] AS w, """ + crc32("[ascii(x) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]") + r""" AS h FROM documents, crc),
+a AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, (h // 10) % 8 AS b FROM w),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + b)) END] FOR i IN range(n)] ELSE w END AS w FROM a),
+g AS (SELECT doc_id, n, unnest(range(n - 7)) AS i, unnest([array_to_string(w[i + 1 : i + 8], ' ') FOR i IN range(n - 7)]) AS g FROM d WHERE n >= 24),
+p AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+l AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS l FROM p),
+m AS (SELECT doc_id, min(i) AS s, max(i) - min(i) + 8 + q AS n, q FROM l GROUP BY doc_id, q, l HAVING max(i) - min(i) + 8 + q >= greatest(24, 3 * q)),
+r AS (SELECT doc_id, s, n, min(q) AS q FROM m GROUP BY doc_id, s, n),
+o AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + n)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(w) AS x, unnest(range(n)) AS i FROM d) ANTI JOIN o USING (doc_id, i) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS c, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id),
+z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(n AS DOUBLE) / q DESC, s, q) AS place FROM r)
+SELECT d.doc_id, CAST(coalesce(t.c, 0) AS BIGINT) AS n_runs, CAST(z.s AS BIGINT) AS start, CAST(z.n AS BIGINT) AS length, CAST(z.q AS BIGINT) AS period,
+       CAST(1000 * z.n // z.q AS BIGINT) AS exponent_milli, sha256(coalesce(t.lines, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN z ON z.doc_id = d.doc_id AND z.place = 1""",
+    "op12_resampling": r"""
+WITH """ + CRC_TABLE + r""",
+x AS (SELECT 0 AS b, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark),
+w AS (SELECT b, doc_id, [y FOR y IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF y <> ''] AS w FROM x),
+f AS (SELECT b, doc_id, unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS f FROM w),
+u AS (SELECT f, b, doc_id, count(*) AS c FROM f GROUP BY ALL),
+e AS (SELECT f, hex(encode(f)) AS e FROM (SELECT DISTINCT f FROM u)),
+k AS (SELECT f, """ + crc32("[CAST('0x' || substr(e, 2 * i + 1, 2) AS BIGINT) FOR i IN range(len(e) // 2)]") + r""" % 10000 AS k FROM e, crc),
+n AS (SELECT k, coalesce(sum(c) FILTER (WHERE b = 0), 0) AS s, coalesce(sum(c) FILTER (WHERE b = 1), 0) AS t FROM u JOIN k USING (f) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000.0::DOUBLE)))) AS g FROM n),
+v AS (SELECT doc_id, sum(c) AS n, floor(CAST(sum(c * g) AS DOUBLE) / sum(c)) AS v FROM u JOIN k USING (f) JOIN g USING (k) WHERE b = 0 GROUP BY doc_id),
+s AS (SELECT doc_id, len(w) AS words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(v, 0) AS BIGINT) AS weight,
+             CAST(coalesce(v, 0) + floor(-1000.0::DOUBLE * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+      FROM w LEFT JOIN v USING (doc_id) WHERE b = 0),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM s WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * able // 100 THEN place END AS rank FROM s LEFT JOIN o USING (doc_id)""",
 }
 
 
