@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from textpulse import constants as K
 from textpulse.functions.numeric import rnd
+from textpulse.operators.density import density_clusters
+from textpulse.operators.numbering import number_rows
+from textpulse.sources.sinks import materialize
 
 
 def topic_input(df: DataFrame, text_col: str = "text_clean", lemma_col: str = "text_lemma") -> DataFrame:
@@ -129,18 +132,39 @@ def topic_report(topics: DataFrame, k: int = K.TOPIC_REPORT_WORDS) -> DataFrame:
 # Model-based topics (embeddings -> reduced space -> clusters)
 # ---------------------------------------------------------------------------
 
+def reduced_vectors(df: DataFrame, vec_col: str, key: str, dims: int = K.REDUCED_DIMS) -> DataFrame:
+    """ML-2: (key, x) with the vectors L2-normalised (cosine geometry) and
+    reduced by PCA; written, since every clustering reads it several times.
+    A null vector stays null."""
+    vec = df.select(key, F.col(vec_col).cast("array<double>").alias("_a"))
+    vec = materialize(df.sparkSession, vec, "topic-vectors")
+    there = vec.where("_a IS NOT NULL").withColumn("_raw", array_to_vector("_a"))
+    norm = Normalizer(inputCol="_raw", outputCol="_n", p=2.0).transform(there)
+    pca = PCA(k=dims, inputCol="_n", outputCol="_r").fit(norm)
+    red = pca.transform(norm).select(key, vector_to_array("_r").alias("x"))
+    nothing = vec.where("_a IS NULL").select(key, F.lit(None).cast("array<double>").alias("x"))
+    return materialize(df.sparkSession, red.unionByName(nothing), "topic-reduced")
+
+
+def _ids_by_size(sizes: DataFrame, cluster: str, min_size: int) -> DataFrame:
+    """(cluster, topic_id) for the clusters of at least ``min_size`` rows:
+    0, 1, 2, ... by falling size. Clusters may be many, so they are numbered
+    without a window over all of them."""
+    able = sizes.where(F.col("_size") >= min_size)
+    return number_rows(able, [F.desc("_size"), F.col(cluster)], "topic_id", "topic-sizes") \
+        .select(cluster, F.col("topic_id").cast("int").alias("topic_id"))
+
+
 def cluster_topics(df: DataFrame, vec_col: str, key: str, k: int = K.NR_TOPICS,
                    dims: int = K.REDUCED_DIMS, min_size: int = K.MIN_TOPIC_SIZE,
                    outlier_quantile: float = 0.95, seed: int = K.TOPIC_SEED) -> DataFrame:
-    """ML-1..3, ML-7: L2-normalise the embeddings (cosine geometry), reduce
-    with PCA, cluster with k-means. Points farther from their centre than the
-    ``outlier_quantile`` of all distances, and clusters smaller than
-    ``min_size``, become topic -1. Remaining ids are re-ranked by size.
-    ``topic_prob`` is the softmax of negative centre distances (its max)."""
-    vec = df.select(key, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_raw"))
-    norm = Normalizer(inputCol="_raw", outputCol="_n", p=2.0).transform(vec)
-    pca = PCA(k=dims, inputCol="_n", outputCol="_r").fit(norm)
-    red = pca.transform(norm).select(key, "_r")
+    """ML-1..3, ML-7: reduced vectors, clustered with k-means. Points farther
+    from their centre than the ``outlier_quantile`` of all distances, and
+    clusters smaller than ``min_size``, become topic -1, as do null vectors.
+    Remaining ids are re-ranked by size. ``topic_prob`` is the softmax of
+    negative centre distances (its max)."""
+    every = reduced_vectors(df, vec_col, key, dims)
+    red = every.where("x IS NOT NULL").select(key, array_to_vector("x").alias("_r"))
     km = KMeans(k=k, seed=seed, featuresCol="_r", predictionCol="_c").fit(red)
     centres = [list(map(float, c)) for c in km.clusterCenters()]  # k x dims, bounded
     pts = km.transform(red).withColumn("_x", vector_to_array("_r"))
@@ -154,12 +178,26 @@ def cluster_topics(df: DataFrame, vec_col: str, key: str, k: int = K.NR_TOPICS,
     cut = pts.approxQuantile("_dmin", [outlier_quantile], 0.001)[0]
     pts = pts.withColumn("_c", F.when(F.col("_dmin") > cut, F.lit(-1)).otherwise(F.col("_c")))
     sizes = pts.where(F.col("_c") >= 0).groupBy("_c").agg(F.count(F.lit(1)).alias("_size"))
-    w = Window.orderBy(F.desc("_size"), F.col("_c"))
-    ranked = (sizes.where(F.col("_size") >= min_size)
-                   .withColumn("topic_id", (F.row_number().over(w) - 1).cast("int")))
-    out = pts.join(ranked.select("_c", "topic_id"), "_c", "left")
+    out = pts.join(_ids_by_size(sizes, "_c", min_size), "_c", "left")
+    lost = every.where("x IS NULL").select(key, F.lit(-1).alias("topic_id"), F.lit(None).cast("double").alias("topic_prob"))
+    return out.select(key, F.coalesce("topic_id", F.lit(-1)).alias("topic_id"),
+                      rnd("_prob").alias("topic_prob")).unionByName(lost)
+
+
+def density_topics(df: DataFrame, vec_col: str, key: str, radius: float = K.DENSITY_RADIUS,
+                   min_points: int = K.DENSITY_MIN_POINTS, dims: int = K.REDUCED_DIMS,
+                   min_size: int = K.MIN_TOPIC_SIZE) -> DataFrame:
+    """ML-3 by density: reduced vectors, clustered by ``density_clusters``.
+    Noise, null vectors and clusters smaller than ``min_size`` are topic -1.
+    ``topic_prob`` is 1 for a core point, falls to 0.5 for a point a whole
+    radius away from its core point, and is 0 in topic -1."""
+    found = density_clusters(reduced_vectors(df, vec_col, key, dims), "x", key, radius, min_points)
+    found = materialize(df.sparkSession, found, "topic-density")
+    sizes = found.where("cluster IS NOT NULL").groupBy("cluster").agg(F.count(F.lit(1)).alias("_size"))
+    out = found.join(_ids_by_size(sizes, "cluster", min_size), "cluster", "left")
+    near = F.lit(1.0) - F.coalesce("distance", F.lit(0.0)) / (2 * radius)
     return out.select(key, F.coalesce("topic_id", F.lit(-1)).alias("topic_id"),
-                      rnd("_prob").alias("topic_prob"))
+                      rnd(F.when(F.col("topic_id").isNull(), 0.0).otherwise(near)).alias("topic_prob"))
 
 
 def lda_topics(df: DataFrame, tokens_col: str, key: str, k: int = K.NR_TOPICS,
@@ -185,7 +223,6 @@ def merge_topics(df: DataFrame, class_col: str, nr_topics: int, tokens_col: str
     The posts are read once, into a written table of (class, term, tf); rounds
     work on that table. The driver holds the mapping (a row per topic) and
     each round's winner. Returns (original class, merged topic id by size)."""
-    from textpulse.sources.sinks import materialize
     spark = df.sparkSession
     tf = materialize(spark, class_term_counts(df, class_col, tokens_col).withColumnRenamed("topic", "orig"), "merge-tf")
     sizes = {r["topic"]: r["count"] for r in topic_ids_by_size(df, class_col).collect()}
@@ -218,16 +255,23 @@ def text_vectors(df: DataFrame, tokens_col: str = "tokens", key: str = "post_id"
 
 
 def discover_topics(df: DataFrame, key: str = "post_id", tokens_col: str = "tokens", vectors: DataFrame | None = None,
-                    k: int = K.NR_TOPICS, min_size: int = K.MIN_TOPIC_SIZE) -> tuple[DataFrame, DataFrame]:
+                    k: int = K.NR_TOPICS, min_size: int = K.MIN_TOPIC_SIZE, cluster=None) -> tuple[DataFrame, DataFrame]:
     """ML-1..8 end to end: cluster the posts' vectors, take the vocabulary of
     uni- and bigrams, weigh it per cluster, label the clusters and put topic
-    id, probability and label on every post. Topic -1 holds the outliers.
-    Returns (posts with topic columns, topic table). ``df`` is read several
-    times: pass a written table."""
+    id, probability and label on every post (a null key is one post, as in the
+    clean stage; a post without a vector is an outlier). Topic -1 holds the
+    outliers. ``cluster`` takes (vectors, vector column, key) and gives (key,
+    topic_id, topic_prob); by default k-means with ``k`` clusters. Returns
+    (posts with topic columns, topic table). ``df`` is read several times: pass
+    a written table."""
     if vectors is None:
         vectors = text_vectors(df, tokens_col, key)
-    found = cluster_topics(vectors, "vector", key, k=k, min_size=min_size)
-    posts = df.drop("topic_id", "topic_prob", "topic_label").join(found, key)
+    found = cluster(vectors, "vector", key) if cluster else cluster_topics(vectors, "vector", key, k=k, min_size=min_size)
+    found = found.withColumnRenamed(key, "_key")
+    posts = df.drop("topic_id", "topic_prob", "topic_label")
+    posts = posts.join(found, posts[key].eqNullSafe(found["_key"]), "left").drop("_key").withColumn("topic_id", F.coalesce("topic_id", F.lit(-1)))
+    posts = materialize(df.sparkSession, posts, "topic-posts")
     topics = topic_table(posts, "topic_id", tokens_col, ngram_doc_freq(df, tokens_col), by_size=False)
+    topics = materialize(df.sparkSession, topics, "topic-table")
     labelled = posts.join(topics.select("topic_id", topic_label(F.col("topic_id"), F.col("words")).alias("topic_label")), "topic_id")
     return labelled, topics

@@ -118,6 +118,15 @@ def topic_clusters_query(spark, sf_dir):
     return TP.cluster_topics(emb, "embedding", "vec_id")
 
 
+@register("topic_density")
+def topic_density_query(spark, sf_dir):
+    """ML-2, ML-3 by density: embeddings -> PCA(5) -> neighbours by random
+    projections -> core points, their components and border points as topics,
+    the rest -1 (rows-only check; a brute-force twin is in the tests)."""
+    emb = FX.read_table(spark, sf_dir, "embeddings")
+    return TP.density_topics(emb, "embedding", "vec_id")
+
+
 @register("topic_merge")
 def topic_merge_query(spark, sf_dir):
     """ML-6: merge forum topics by c-TF-IDF similarity down to four
