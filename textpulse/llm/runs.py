@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from textpulse.llm.common import mix64, text_of
 
 LEAST_WORDS = 24
 LEAST_PERIODS = 3
-GROUP_WORDS = 1 << 17
+GROUP_WORDS = 1 << 16
 APPEND_WORDS = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,12 +160,12 @@ def find_runs(docs: DataFrame, least_words: int = LEAST_WORDS, least_periods: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = b.column(1).to_numpy(zero_copy_only=False)
+            sizes = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
             order = np.argsort(sizes, kind="stable")
             cuts = np.flatnonzero(np.diff(np.cumsum(sizes[order]) // (6 * GROUP_WORDS))) + 1 if len(order) else []
             for part in np.split(order, cuts):
                 rows = b.take(pa.array(part))
-                texts = [t.encode("utf-8", "surrogatepass").split() for t in rows.column(2).to_pylist()]
+                texts = [t.encode("utf-8", "surrogatepass").split() for t in rows.column(1).to_pylist()]
                 runs = runs_of(texts, least_words, least_periods)
                 yield pa.RecordBatch.from_arrays([
                     rows.column(0), pa.array([len(t) for t in texts], pa.int64()),
@@ -172,7 +173,7 @@ def find_runs(docs: DataFrame, least_words: int = LEAST_WORDS, least_periods: in
                     pa.array([collapse(t, r).decode("utf-8", "surrogatepass") for t, r in zip(texts, runs)], pa.string())],
                     names=["doc_id", "n_words", "runs", "collapsed"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_of()).cast("long").alias("size"), text_of().alias("text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return src.mapInArrow(run, FOUND)
 
 
@@ -185,17 +186,20 @@ def with_tails_repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, text): where the crc32 of the id ends in 0, the words from
     word a on become repeats of p words, a and p by the id and the number of words."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    g = F.floor(h / 10)
+    bound = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  a value that is used often, computed once
 
-    def repeated(w: Column) -> Column:
+    def places(w: Column) -> Column:
         n = F.size(w).cast("long")
-        a = g % n
-        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " ")
+        a = F.floor(h / 10) % n
+        return F.struct(w.alias("w"), a.alias("a"), (F.lit(1) + F.floor((n - a) / (F.lit(3) + F.floor(h / 10) % 8))).alias("p"))
+
+    def repeated(x: Column) -> Column:
+        w, a, p = x["w"], x["a"], x["p"]
+        return F.array_join(F.transform(w, lambda v, i: F.when(i < a, v).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " ")
 
     words = F.filter(F.split(text_of(), SPACE), lambda x: x != "")
-    changed = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(F.lit("")))[0]  # words bound once
-    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(text_of()).alias("text"))
+    changed = bound(words, lambda w: F.when(F.size(w) > 0, bound(places(w), repeated)).otherwise(F.lit("")))
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text").cast("string")).alias("text"))
 
 
 def digests(found: DataFrame) -> DataFrame:
