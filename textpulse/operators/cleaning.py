@@ -3,8 +3,8 @@
 One lazy plan: dedup -> expected language -> clean body -> empty flag ->
 title fallback -> source tag -> length -> category -> dates -> detected
 language -> conflict resolution -> tokens -> short flag.
-Only the dedup shuffles (on ``post_id``); everything after it is narrow and
-keeps that hash partitioning, so later per-post joins need no new exchange.
+The dedup shuffles ids and places only (see ``dedup``); everything after it is
+narrow.
 """
 
 from __future__ import annotations
@@ -94,6 +94,12 @@ def add_tokens(df: DataFrame, text_col: str = "text_clean", lang_col: str = "lan
                             "is_too_short": n < K.MIN_TOKENS})
 
 
+def _repeatable(df: DataFrame) -> bool:
+    """Whether a second read gives each row the same columns: not so where a
+    row's place is dealt as it is read (exports in CSV) or on a stream."""
+    return not df.isStreaming and bool(df._jdf.queryExecution().analyzed().deterministic())
+
+
 def clean_posts(posts: DataFrame, detector=None, compat: bool = True, lemmas: DataFrame | None = None,
                 key: str = "post_id", order_by=("file_rank", "row_pos")) -> DataFrame:
     """CLN-1: raw posts -> clean table.
@@ -102,9 +108,10 @@ def clean_posts(posts: DataFrame, detector=None, compat: bool = True, lemmas: Da
     adds ``lang_detected``; when omitted the input must carry that column.
     ``lemmas``: optional (lang, form, lemma) dictionary; tokens are replaced by
     their lemmas in ``text_lemma`` (without it, the surface tokens).
+    ``order_by``: what tells the rows of a post apart, as the readers set it.
     """
-    order = [c for c in order_by if c in posts.columns] or [key]
-    df = keep_first(posts, key, order)
+    order = [c for c in order_by if c in posts.columns]
+    df = keep_first(posts, key, order or [key], unique_order=len(order) == len(order_by) and _repeatable(posts))
     df = add_clean_columns(df, compat=compat)
     if detector is not None:
         df = detector(df, "text_clean")

@@ -62,6 +62,13 @@ def fold_sentiment(df: DataFrame, raw_col: str = "sentiment_raw",
     return tmp.withColumns({c: F.col("_sent")[c] for c in SENTIMENT_OUTPUT}).drop("_sent")
 
 
+def model_key(lang_col="lang") -> Column:
+    """FLT-3: French posts go to the French model, all others (a null language
+    too) to the English one."""
+    c = F.col(lang_col) if isinstance(lang_col, str) else lang_col
+    return F.when(c.eqNullSafe("fr"), F.lit("fr")).otherwise(F.lit("en"))
+
+
 def placeholder_text(col) -> Column:
     """PRJ-11: blank text is sent to a model as ``"."``."""
     c = F.col(col) if isinstance(col, str) else col

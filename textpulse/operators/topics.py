@@ -23,11 +23,13 @@ from textpulse.sources.sinks import materialize
 
 def topic_input(df: DataFrame, text_col: str = "text_clean", lemma_col: str = "text_lemma") -> DataFrame:
     """FLT-1, FLT-2, PRJ-10: en / fr posts with at least 5 tokens; the topic
-    text is the lemma text when it is not blank, else the clean text."""
+    text is the lemma text when it is not blank, else the clean text (none
+    where the frame has been pruned of the two)."""
+    posts = df.filter(F.col("lang").isin("en", "fr") & (F.col("n_tokens") >= K.MIN_TOKENS))
+    if not {text_col, lemma_col} <= set(df.columns):
+        return posts
     lemma = F.col(lemma_col)
-    text = F.when(F.trim(F.coalesce(lemma, F.lit(""))) != "", lemma).otherwise(F.col(text_col))
-    return (df.filter(F.col("lang").isin("en", "fr") & (F.col("n_tokens") >= K.MIN_TOKENS))
-              .withColumn("topic_text", text))
+    return posts.withColumn("topic_text", F.when(F.trim(F.coalesce(lemma, F.lit(""))) != "", lemma).otherwise(F.col(text_col)))
 
 
 def with_bigrams(df: DataFrame, tokens_col: str = "tokens", out_col: str = "terms") -> DataFrame:

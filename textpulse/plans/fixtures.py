@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from textpulse import constants as K
 from textpulse.functions import text as TX
+from textpulse.sources.readers import spread
 
 # FIXED VALUES of the posts view (shared with the SQL twin).
 FORUMS = ["etudiants", "college", "CollegeRant", "csMajors", "Student", "Students", "Misc"]
@@ -54,7 +55,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def posts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw forum export view: one row per document plus injected duplicates."""
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"))
     pid = F.col("doc_id")
     src_no = F.expr("try_cast(substr(source, 4) AS BIGINT)")
     forum = None
@@ -108,12 +109,6 @@ def _weights_struct_array(labels: list[str], mult: int, add: int, mod: int, pid:
         (weight(i) / total).cast("double").alias("score")))
 
 
-def model_key(lang_col="lang") -> Column:
-    """FLT-3: fr -> the French model; everything else -> the English one."""
-    c = F.col(lang_col) if isinstance(lang_col, str) else lang_col
-    return F.when(c.eqNullSafe("fr"), F.lit("fr")).otherwise(F.lit("en"))
-
-
 def sentiment_raw(pid_col="post_id", key_col="model_key") -> Column:
     """Stand-in sentiment model output: star labels for the French model,
     three classes for the English one; null = failed batch."""

@@ -14,6 +14,7 @@ from textpulse.operators import sampling
 from textpulse.operators.dedup import keep_first
 from textpulse.operators.sentiment import placeholder_text
 from textpulse.operators.tokens import lemmatize
+from textpulse.operators.sentiment import model_key
 from textpulse.plans import fixtures as FX
 from textpulse.plans import sqlgen as S
 from textpulse.plans.registry import register
@@ -185,7 +186,7 @@ FROM clean"""))
 def model_route_query(spark, sf_dir):
     """FLT-3 / PRJ-11: model routing and the blank-text placeholder."""
     c = clean_table(spark, sf_dir)
-    return c.select("post_id", "lang", FX.model_key("lang").alias("model_key"),
+    return c.select("post_id", "lang", model_key("lang").alias("model_key"),
                     placeholder_text("text_clean").alias("model_text"))
 
 

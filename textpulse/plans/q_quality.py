@@ -11,7 +11,7 @@ from textpulse.operators import quality as QU
 from textpulse.plans import fixtures as FX
 from textpulse.plans import sqlgen as S
 from textpulse.plans.registry import register
-from textpulse.plans.stages import clean_table, enriched_table
+from textpulse.plans.stages import clean_table, enriched_table, sentiment_table
 
 
 def _clean(select: str) -> str:
@@ -65,7 +65,7 @@ SELECT month, {_gmean_if("lang = 'en'", 'score_cont')} AS en, {_gmean_if("lang =
 FROM enriched WHERE month IS NOT NULL GROUP BY month"""))
 def mean_by_lang_query(spark, sf_dir):
     """AGG-8, CHT-2: monthly mean sentiment score, one column per language."""
-    return CH.mean_by_lang(enriched_table(spark, sf_dir), "month", "score_cont")
+    return CH.mean_by_lang(sentiment_table(spark, sf_dir), "month", "score_cont")
 
 
 @register("overview", sql=lambda: _clean(f"""
@@ -119,7 +119,7 @@ def histogram_tokens_query(spark, sf_dir):
     _hist_sql("(SELECT * FROM enriched WHERE lang IN ('en', 'fr'))", "score_cont", K.SCORE_HIST_BINS, "lang")))
 def histogram_score_query(spark, sf_dir):
     """AGG-12, CHT-2: sentiment-score histogram per language (own range), 40 bins."""
-    e = enriched_table(spark, sf_dir).filter(F.col("lang").isin("en", "fr"))
+    e = sentiment_table(spark, sf_dir).filter(F.col("lang").isin("en", "fr"))
     return QU.histogram(e, "score_cont", K.SCORE_HIST_BINS, group_col="lang")
 
 
@@ -220,7 +220,7 @@ SELECT CAST(dom.weekday AS INTEGER) AS weekday, dom.weekday_name, dom.weekday_la
 FROM dom LEFT JOIN m ON m.weekday = dom.weekday"""))
 def weekday_patterns_query(spark, sf_dir):
     """AGG-14, CHT-8, JOI-5: weekday counts (all seven) and mean score by language."""
-    return CH.weekday_patterns(enriched_table(spark, sf_dir))
+    return CH.weekday_patterns(sentiment_table(spark, sf_dir))
 
 
 @register("weekday_events", sql=lambda: f"""WITH dom AS (SELECT * FROM (VALUES {_weekday_dom()}) t(weekday, weekday_name, weekday_label)),
@@ -273,14 +273,14 @@ SELECT post_id, forum, lang, distress_score, distress_level, sentiment_label, em
 FROM enriched ORDER BY distress_score DESC NULLS LAST, post_id LIMIT 10"""))
 def top_distress_query(spark, sf_dir):
     """SRT-4, STR-13, CHT-9: the ten most distressed posts with excerpts."""
-    return CH.top_distress(enriched_table(spark, sf_dir))
+    return CH.top_distress(enriched_table(spark, sf_dir, also=("text_clean",)))
 
 
 @register("sentiment_label_counts", sql=lambda: _enriched("""
 SELECT sentiment_label, lang, count(*) AS n FROM enriched WHERE sentiment_label IS NOT NULL GROUP BY 1, 2"""))
 def sentiment_label_counts_query(spark, sf_dir):
     """CHT-2: posts per sentiment label and language (the shares of the pie)."""
-    e = enriched_table(spark, sf_dir)
+    e = sentiment_table(spark, sf_dir)
     return (e.groupBy("sentiment_label", "lang").agg(F.count(F.lit(1)).alias("n"), F.count("sentiment_label").alias("_nn"))
              .where(F.col("_nn") > 0).drop("_nn"))
 
@@ -311,4 +311,4 @@ UNION ALL SELECT 'mean_distress', {S.grid_mean('distress_score')} FROM enriched"
 def run_counters_query(spark, sf_dir):
     """AGG-16: stage run counters (duplicates removed, conflicts, short,
     empty, zero-token posts, mean tokens / score / distress)."""
-    return QU.run_counters(FX.posts_raw(spark, sf_dir), enriched_table(spark, sf_dir))
+    return QU.run_counters(FX.posts_raw(spark, sf_dir), enriched_table(spark, sf_dir, also=("text_clean",)))

@@ -41,7 +41,8 @@ def _clean(select: str) -> str:
 
 def _topic_input(spark, sf_dir):
     """Written once: the topic queries read it more than once."""
-    return materialize(spark, TP.topic_input(clean_table(spark, sf_dir)), "topic-input")
+    ti = TP.topic_input(clean_table(spark, sf_dir))
+    return materialize(spark, ti.select("post_id", "forum", "lang", "tokens"), "topic-input")
 
 
 @register("ngram_df_filter", sql=lambda: _clean(TI_CTE + f""",

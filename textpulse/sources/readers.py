@@ -9,7 +9,8 @@ from __future__ import annotations
 import fnmatch
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +70,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
     return r.format(fmt).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer parts than there are cores (few files or row groups)
+    dealt to all cores; a scan with as many parts is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def file_order(fmt: str) -> Column:
     """A row's place in its files: by path, then by row. It doesn't depend on
     how files are split into tasks."""
@@ -122,6 +130,6 @@ def pick_stage(spark: SparkSession, candidates: list[str], fmt: str = "parquet")
             df = read_table(spark, path, fmt)
             df.schema  # noqa: B018 - forces the footer read
             return df
-        except AnalysisException:  # unreadable -> try the next one
+        except (AnalysisException, SparkRuntimeException, Py4JJavaError):  # unreadable -> try the next one
             continue
     return None
