@@ -219,8 +219,9 @@ def test_ball_hashing_joins_what_brute_force_joins(spark):
     df = spark.createDataFrame([(_signed(p),) for p in prints], "print long").repartition(5)
     of = brute_groups(prints)
     want = sorted(sorted(p for p, g in zip(prints, of) if g == k) for k in set(of))
-    for hot in (2048, 3):  # 3: nearly all halves are spelt out by whole variants
-        links = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.links(df, hot_half=hot).collect()]
+    # As a rule; the larger groups by whole variants; in many turns.
+    for how in ({}, {"hot_halves": 10_000, "least_hot": 3}, {"variants": 3000}):
+        links = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.links(df, **how).collect()]
         assert all(1 <= (a ^ b).bit_count() <= 3 for a, b in links)
         at = {p: i for i, p in enumerate(prints)}
         parent = list(range(len(prints)))
@@ -235,6 +236,14 @@ def test_ball_hashing_joins_what_brute_force_joins(spark):
         assert sorted(sorted(p for p, g in zip(prints, got) if g == k) for k in set(got)) == want
 
 
+def test_hot_halves_are_found(spark):
+    prints = [7 << 32 | i for i in range(300)] + [i << 32 | i * 77 for i in range(1000, 1500)]
+    df = spark.createDataFrame([(_signed(p),) for p in prints], "print long")
+    keys = {r["key"] for r in simhash.hot_keys(df).collect()}
+    assert keys == {7} | {7 | 1 << b for b in range(3, 32)}
+    assert simhash.hot_keys(df, least_hot=400).count() == 0
+
+
 def test_links_of_a_dense_group_are_no_pairs(spark):
     """Many prints in one ball: each variant links to its centre, so links are
     bounded by variants, not by pairs."""

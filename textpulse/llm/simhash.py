@@ -9,15 +9,17 @@ value lies at most two bits from one and at most one bit from the other. Not
 all values within two bits are needed. Call the 32 upper and 32 lower bits
 halves; one half holds at most one of the differing bits. So it is enough that
 each fingerprint emits, for each half kept as it is, all variants of the other
-half within two bits; and, for each single change to the half, the value with
-that change alone. Of two linked fingerprints the one changes the bit that
-differs in the half, the other up to two bits in the rest (or, where the half is
-equal, both change the rest).
+half within two bits; and, for each zero of the half, the value with that bit
+alone set. Of two linked fingerprints whose half differs in a bit, the one with
+the zero sets it and the other changes up to two bits in the rest; where the
+half is equal, both change the rest.
 
 The shuffle key is the half of the variant. All variants with one half travel
-as one row, 66 rows for each distinct fingerprint, and a task spells out the
-whole variants of the rows it has got. A half that many fingerprints share is
-dealt out over tasks by the whole variant instead, so no group is gathered.
+as one row, about 34 rows for each distinct fingerprint, and a task spells out
+the whole variants of the rows it has got, as many at a time as its memory
+takes. Halves that over a thousandth of all fingerprints share, fewer than 2000
+therefore, are dealt out over tasks by the whole variant instead, so no such
+group is gathered.
 
 Colliding fingerprints are not paired: among those with one variant, any that
 changed at most one bit is within three bits of every other one. One such is the
@@ -33,13 +35,14 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.llm.common import LOWER, join_hot, materialize, mix64, text_of, word_spans
@@ -48,8 +51,9 @@ from textpulse.llm.minhash import components
 RADIUS = 3
 SHINGLE_WORDS = 3
 SEED = 42
-HOT_HALF = 2048      # fingerprints with one half that a task spells out by itself
-ROW_VARIANTS = 1 << 21
+HOT_HALVES = 1000        # a half with over 1 / HOT_HALVES of the prints is hot
+LEAST_HOT = 256          # and has more than so many
+VARIANTS = 1 << 18       # that a task holds
 
 _BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _ALL = np.uint64(0xFFFFFFFF)
@@ -89,31 +93,71 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED)
 
 # -- variants -------------------------------------------------------------------
 
-def emitted(prints: DataFrame) -> DataFrame:
-    """(key, bit, print): for each half of each distinct print, the half itself
-    (bit -1) and the half with one bit changed. ``key`` is the half with its side."""
+def _halves(prints: DataFrame) -> DataFrame:
+    """(side, half, print): the upper half is side 0."""
     p = F.col("print")
-    halves = F.array(F.shiftrightunsigned(p, 32), p.bitwiseAND(0xFFFFFFFF))
-    bits = F.sequence(F.lit(-1), F.lit(31))
-    rows = prints.select(p, F.posexplode(halves).alias("side", "half"))
-    rows = rows.select(p, "side", "half", F.explode(bits).alias("bit"))
-    change = F.when(F.col("bit") < 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, bit)"))
-    key = F.col("half").bitwiseXOR(change) + F.shiftleft(F.col("side").cast("long"), 32)
-    return rows.select(key.alias("key"), "bit", p)
-
-
-def _spelt(key: np.ndarray, bit: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whole variants of rows: (variant, bits changed, row). The upper half is
-    the key's half; prints whose half is the lower one have theirs swapped."""
+    return prints.select(p, F.posexplode(F.array(F.shiftrightunsigned(p, 32), p.bitwiseAND(0xFFFFFFFF))).alias("side", "half"))
+
+
+def _keys_of(half: Column) -> Column:
+    """The half, and the half with one of its zeros set."""
+    zeros = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)),
+                     lambda bit: half.bitwiseAND(bit) == 0)
+    return F.concat(F.array(half), F.transform(zeros, lambda bit: half.bitwiseOR(bit)))
+
+
+def emitted(prints: DataFrame) -> DataFrame:
+    """(key, print) for each half of each distinct print; ``key`` is the
+    variant's half and its side."""
+    return _keyed(_halves(prints)).select("key", "print")
+
+
+def _keyed(halves: DataFrame) -> DataFrame:
+    return halves.withColumn("key", F.explode(_keys_of(F.col("half")))).withColumn("key", F.col("key") + F.shiftleft(F.col("side").cast("long"), 32))
+
+
+def hot_keys(prints: DataFrame, hot_halves: int = HOT_HALVES, least_hot: int = LEAST_HOT) -> DataFrame:
+    """(key): keys to which a hot half sends rows, at most 33 for each of
+    fewer than 2 * ``hot_halves`` halves."""
+    counted = _halves(prints).groupBy("side", "half").agg(F.count(F.lit(1)).alias("n"))
+    total = prints.count()
+    hot = counted.filter((F.col("n") > least_hot) & (F.col("n") * hot_halves > total))
+    return _keyed(hot).select("key").distinct()
+
+
+def _spelt(key: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole variants of rows: (variant, bits changed, row). The upper half of
+    a variant is its key's half; prints of side 1 have their halves swapped."""
     swapped = np.where(key >> 32 == 1, prints << np.uint64(32) | prints >> np.uint64(32), prints)
-    one = np.flatnonzero(bit >= 0)
-    own = np.flatnonzero(bit < 0)
+    change = (key.view(np.uint64) & _ALL) ^ (swapped >> np.uint64(32))
+    own, one = np.flatnonzero(change == 0), np.flatnonzero(change)
     many = (swapped[own, None] ^ _LOW).ravel()
-    alone = swapped[one] ^ (_BIT[bit[one]] << np.uint64(32))
-    return (np.concatenate((many, alone)), np.concatenate((np.tile(_CHANGED, len(own)), np.ones(len(one), int))),
+    alone = swapped[one] ^ (change[one] << np.uint64(32))
+    return (np.concatenate((many, alone)), np.concatenate((np.tile(_CHANGED, len(own)), np.ones(len(one), np.int64))),
             np.concatenate((np.repeat(own, len(_LOW)), one)))
 
 
+def _weights(key: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """How many variants each row stands for."""
+    half = np.where(key >> 32 == 1, prints & _ALL, prints >> np.uint64(32))
+    return np.where(half == key.view(np.uint64) & _ALL, len(_LOW), 1)
+
+
+def _met(key: np.ndarray, prints: np.ndarray, radius: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among the rows of whole keys. Their variants are spelt out in as
+    many turns, by hash, as it takes to hold no more than about ``most``."""
+    turns = -(-int(_weights(key, prints).sum()) // most)
+    for turn in range(turns):
+        parts = []
+        for i in range(0, len(key), 4096):
+            k, p = key[i : i + 4096], prints[i : i + 4096]
+            variant, changed, row = _spelt(k, p)
+            name = mix64(variant ^ (k[row] >> 32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # sides apart
+            mine = name % np.uint64(turns) == turn if turns > 1 else slice(None)
+            parts.append((name[mine], changed[mine], p[row[mine]]))
+        yield _linked(*(np.concatenate(x) for x in zip(*parts)), radius)
+
+
 def _linked(variant: np.ndarray, changed: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified links (print, centre) among the rows with one variant."""
     order = np.lexsort((prints, changed, variant))
@@ -128,58 +172,45 @@ def _linked(variant: np.ndarray, changed: np.ndarray, prints: np.ndarray, radius
     return pairs[:, 0], pairs[:, 1]
 
 
-def _frame(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-
-def links(prints: DataFrame, radius: int = RADIUS, hot_half: int = HOT_HALF) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, hot_halves: int = HOT_HALVES, least_hot: int = LEAST_HOT, variants: int = VARIANTS) -> DataFrame:
     """Links (a, b) that join all distinct ``prints`` within ``radius`` bits."""
     rows = emitted(prints)
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    meeting = sizes.filter("n > 1")
-    rows = materialize(rows.join(meeting, "key"), "simhash-rows")
+    hot = materialize(hot_keys(prints, hot_halves, least_hot), "simhash-hot")
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by key: whole keys at a time."""
-        held: list[pd.DataFrame] = []
-        count = 0
-
-        def flush(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            if len(g):
-                key, p = g["key"].to_numpy(np.int64), g["print"].to_numpy(np.int64).view(np.uint64)
-                variant, changed, row = _spelt(key, g["bit"].to_numpy(int), p)
-                # Of one side: the variant names its key. Two sides in one batch are told apart.
-                variant = mix64(variant ^ (key[row] >> 32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                yield _frame(*_linked(variant, changed, p[row], radius))
-
-        for b in batches:
-            for i in range(0, len(b), 1 << 12):
-                part = b.iloc[i : i + (1 << 12)]
-                held.append(part)
-                count += int((part["bit"] < 0).sum()) * len(_LOW) + len(part)
-                if count >= ROW_VARIANTS:
-                    g = pd.concat(held)
-                    last = g["key"].iloc[-1]
-                    yield from flush(g[g["key"] != last])
-                    held, count = [g[g["key"] == last]], 0
-        if held:
-            yield from flush(pd.concat(held))
-
-    few = rows.filter(F.col("n") <= hot_half).select("key", "bit", "print")
+        keys, prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                keys, prints = np.concatenate((keys, b["key"].to_numpy(np.int64))), np.concatenate((prints, b["print"].to_numpy(np.int64).view(np.uint64)))
+            upto = len(keys) if b is None else int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if upto:
+                _, n = np.unique(keys[:upto], return_counts=True)
+                meeting = np.repeat(n > 1, n)  # keys with one print are done
+                k, p = keys[:upto][meeting], prints[:upto][meeting]
+                keys, prints = keys[upto:], prints[upto:]
+                # Parts of whole keys, of about as many variants as are held at a time.
+                starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, int)
+                before = (np.cumsum(_weights(k, p)) // variants)[starts - 1] if len(k) else starts
+                cuts = np.append(starts[np.concatenate(([True], np.diff(before[1:], prepend=0) > 0))], len(k)) if len(k) else starts
+                for i, j in zip(cuts, cuts[1:]):
+                    for x, y in _met(k[i:j], p[i:j], radius, variants):
+                        yield pd.DataFrame({"a": x.view(np.int64), "b": y.view(np.int64)})
+
+    few = rows.join(F.broadcast(hot), "key", "left_anti")
     found = few.repartition("key").sortWithinPartitions("key").mapInPandas(near, "a long, b long")
 
-    # Halves that many share: the whole variant is the key.
+    # Hot halves: the whole variant is the shuffle's key.
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), 1024):
-                g = b.iloc[i : i + 1024]
-                key, p = g["key"].to_numpy(np.int64), g["print"].to_numpy(np.int64).view(np.uint64)
-                variant, changed, row = _spelt(key, g["bit"].to_numpy(int), p)
+                key, p = (b[c].iloc[i : i + 1024].to_numpy(np.int64) for c in ("key", "print"))
+                variant, changed, row = _spelt(key, p.view(np.uint64))
                 yield pd.DataFrame({"variant": variant.view(np.int64), "side": (key[row] >> 32).astype(np.int32),
-                                    "changed": changed.astype(np.int32), "print": p[row].view(np.int64)})
+                                    "changed": changed.astype(np.int32), "print": p[row]})
 
-    hot = rows.filter(F.col("n") > hot_half).select("key", "bit", "print")
-    met = hot.mapInPandas(spell, "variant long, side int, changed int, print long")
+    met = rows.join(F.broadcast(hot), "key", "left_semi").mapInPandas(spell, "variant long, side int, changed int, print long")
+    met = materialize(met, "simhash-spelt")
     centre = met.groupBy("variant", "side").agg(F.min(F.struct("changed", "print")).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND c.changed <= 1")
     pairs = met.join(centre, ["variant", "side"]).select(F.col("print").alias("a"), F.col("c.print").alias("b")).filter("a <> b")
     pairs = pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
