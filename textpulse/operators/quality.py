@@ -1,10 +1,11 @@
 """Quality profile (AGG-6, AGG-7, AGG-9..13, AGG-16, STR-15, SRT-3, SRT-5).
 
 Everything is a distributed aggregate. Statistics that need a per-group
-parameter (histogram range, box-plot fences) work on one table of (group,
-value, count), so the posts are read once. Quantiles use Spark's exact
-``percentile`` over those counts: memory grows with the number of distinct
-values (token counts), not with rows.
+parameter (histogram range, box-plot fences) work on one narrow table of
+(group, value), so the posts are read once. Quantiles per group are exact and
+come from range refinement, for any number of distinct values; the overview's
+median of token counts uses Spark's ``percentile``, whose memory grows with
+the number of distinct counts (bounded by the longest text), not with rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from textpulse.functions.numeric import bin_edges, hist_bin, pct, rnd
 from textpulse.functions.text import format_count_pct
+from textpulse.operators.quantiles import exact_quantiles, number_or_null
+from textpulse.sources.sinks import materialize
 
 
 def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
@@ -82,27 +85,27 @@ def quality_flags(df: DataFrame) -> DataFrame:
     return out.withColumn("valid_ref", F.col("total") - F.col("n_empty") - F.col("n_too_short"))
 
 
-def _value_table(df: DataFrame, value_col: str, group: Column) -> DataFrame:
-    """(_g, _v, _n): how often each value occurs in each group, written once.
-    Ranges, quantiles and bins all come from this small table, so the
-    derivation of the value runs once. Nulls drop out after the aggregate (see
-    ``value_counts``)."""
-    from textpulse.sources.sinks import materialize
-    v = F.nanvl(F.col(value_col).cast("double"), F.lit(None).cast("double"))
-    counted = (df.select(group.alias("_g"), v.alias("_v")).groupBy("_g", "_v")
-                 .agg(F.count(F.lit(1)).alias("_n"), F.count("_v").alias("_nn"))
-                 .where(F.col("_nn") > 0).drop("_nn"))
-    return materialize(df.sparkSession, counted, "value-counts")
+def _values(df: DataFrame, value_col: str, group: Column, written: bool) -> DataFrame:
+    """(_g, _v): group and value of each row, written once if the value has a
+    costly derivation (``written`` False: a column of a table that is read
+    straight). Null and NaN values stay, as nulls: a filter here would pull the
+    derivation into itself (see ``value_counts``)."""
+    narrow = df.select(group.alias("_g"), number_or_null(value_col).alias("_v"))
+    return materialize(df.sparkSession, narrow, "values") if written else narrow
 
 
-def histogram(df: DataFrame, value_col: str, n_bins: int, group_col: str | None = None) -> DataFrame:
+def histogram(df: DataFrame, value_col: str, n_bins: int, group_col: str | None = None, written: bool = True) -> DataFrame:
     """AGG-12: ``n_bins`` equal bins over each group's [min, max] (last bin
-    closed), densified so empty bins report 0. Output: group, bin, lo, hi, n."""
-    values = _value_table(df, value_col, F.col(group_col) if group_col else F.lit(0))
-    stats = values.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    binned = values.join(stats, "_g")
+    closed), densified so empty bins report 0. Output: group, bin, lo, hi, n.
+
+    Two aggregates over the values, the range and the bins; both combine in
+    each task to a row a group or bin, whatever the number of distinct values."""
+    values = _values(df, value_col, F.col(group_col) if group_col else F.lit(0), written)
+    stats = materialize(df.sparkSession, values.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+                        .where(F.col("_lo").isNotNull()), "ranges")
+    binned = values.where(F.col("_v").isNotNull()).join(stats, "_g")
     counts = (binned.withColumn("bin", hist_bin("_v", "_lo", "_hi", n_bins))
-                    .groupBy("_g", "bin").agg(F.sum("_n").alias("n")))
+                    .groupBy("_g", "bin").agg(F.count(F.lit(1)).alias("n")))
     domain = stats.select("_g", "_lo", "_hi",
                           F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     lo, hi = bin_edges("_lo", "_hi", "bin", n_bins)
@@ -112,20 +115,21 @@ def histogram(df: DataFrame, value_col: str, n_bins: int, group_col: str | None
     return out.orderBy(*([group_col] if group_col else []), "bin")
 
 
-def boxplot(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
-    """AGG-13: quartiles (linear), 1.5 IQR whiskers and outlier count per group."""
-    values = _value_table(df, value_col, F.col(group_col))
-    q = (values.groupBy("_g").agg(F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("_q"))
-               .where(F.col("_g").isNotNull()))
-    q = q.select("_g", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    j = values.join(q, "_g")
+def boxplot(df: DataFrame, value_col: str, group_col: str, written: bool = True) -> DataFrame:
+    """AGG-13: quartiles (linear), 1.5 IQR whiskers and outlier count per group
+    that is not null. The quartiles are exact and come from range refinement
+    (``quantiles``); no task holds a group's values."""
+    values = _values(df, value_col, F.col(group_col), written)
+    q = exact_quantiles(values.where(F.col("_g").isNotNull()), "_v", [0.25, 0.5, 0.75], "_g")
+    q = q.select("_g", F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("median"), F.col("quantiles")[2].alias("q3"))
+    j = values.where(F.col("_v").isNotNull()).join(q, "_g")
     lo_f = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     out = j.groupBy("_g", "q1", "median", "q3").agg(
         F.min(F.when(F.col("_v") >= lo_f, F.col("_v"))).alias("whisker_lo"),
         F.max(F.when(F.col("_v") <= hi_f, F.col("_v"))).alias("whisker_hi"),
-        F.sum(F.when((F.col("_v") < lo_f) | (F.col("_v") > hi_f), F.col("_n")).otherwise(0)).alias("n_outliers"),
-        F.sum("_n").alias("n"))
+        F.count_if((F.col("_v") < lo_f) | (F.col("_v") > hi_f)).alias("n_outliers"),
+        F.count(F.lit(1)).alias("n"))
     return out.withColumnRenamed("_g", group_col).orderBy(group_col)
 
 

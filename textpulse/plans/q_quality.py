@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from textpulse import constants as K
 from textpulse.functions import dates as D
+from textpulse.functions.numeric import rnd
 from textpulse.operators import charts as CH
 from textpulse.operators import quality as QU
+from textpulse.operators.quantiles import exact_quantiles
 from textpulse.plans import fixtures as FX
 from textpulse.plans import sqlgen as S
 from textpulse.plans.registry import register
@@ -135,7 +137,38 @@ def histogram_distress_query(spark, sf_dir):
 def histogram_event_query(spark, sf_dir):
     """AGG-12 on the events table: value histogram per event type."""
     ev = FX.read_table(spark, sf_dir, "events")
-    return QU.histogram(ev, "value", K.SCORE_HIST_BINS, group_col="event_type")
+    return QU.histogram(ev, "value", K.SCORE_HIST_BINS, group_col="event_type", written=False)
+
+
+@register("boxplot_event_value", sql=lambda: f"""WITH
+b AS (SELECT event_type, CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL),
+q AS (SELECT event_type, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
+      FROM b GROUP BY event_type)
+SELECT b.event_type, {S.rnd('q1', 6)} AS q1, {S.rnd('median', 6)} AS median, {S.rnd('q3', 6)} AS q3,
+  min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) THEN v END) AS whisker_lo,
+  max(CASE WHEN v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_hi,
+  count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS n_outliers,
+  count(*) AS n
+FROM b JOIN q USING (event_type) GROUP BY b.event_type, q1, median, q3""")
+def boxplot_event_query(spark, sf_dir):
+    """AGG-13, SRT-5 on a continuous column: box-plot statistics of the event
+    values by event type, by range refinement."""
+    ev = FX.read_table(spark, sf_dir, "events")
+    out = QU.boxplot(ev, "value", "event_type", written=False)
+    return out.withColumns({c: rnd(c, 6) for c in ("q1", "median", "q3")})
+
+
+@register("order_price_quantiles", sql=lambda: f"""
+SELECT o_orderpriority, count(*) AS n, min(v) AS least, max(v) AS greatest,
+  {S.rnd('quantile_cont(v, 0.01)', 6)} AS p01, {S.rnd('quantile_cont(v, 0.5)', 6)} AS p50, {S.rnd('quantile_cont(v, 0.999)', 6)} AS p999
+FROM (SELECT o_orderpriority, CAST(o_totalprice AS DOUBLE) AS v FROM orders) WHERE v IS NOT NULL GROUP BY o_orderpriority""")
+def order_quantiles_query(spark, sf_dir):
+    """AGG-9, SRT-5 on nearly distinct values: exact quantiles of order prices
+    by priority, by range refinement."""
+    o = FX.read_table(spark, sf_dir, "orders")
+    q = exact_quantiles(o, "o_totalprice", [0.01, 0.5, 0.999], "o_orderpriority")
+    return q.select("o_orderpriority", "n", "least", "greatest",
+                    *[rnd(F.col("quantiles")[i], 6).alias(c) for i, c in enumerate(("p01", "p50", "p999"))])
 
 
 @register("boxplot_lang", sql=lambda: _clean("""
@@ -232,7 +265,6 @@ def weekday_events_query(spark, sf_dir):
     """AGG-14, DAT-4, DAT-5, JOI-5 on the events table: events per weekday
     (all seven) and mean value."""
     ev = FX.read_table(spark, sf_dir, "events")
-    from textpulse.functions.numeric import rnd
     m = (ev.filter(F.col("ts").isNotNull()).groupBy(D.weekday_num("ts").alias("weekday"))
            .agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("value")).alias("mean_value")))
     dom = spark.createDataFrame([(i, n) for i, n in enumerate(K.WEEKDAY_NAMES)],
