@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from textpulse import constants as K
 from textpulse.functions import dates as D
 from textpulse.functions.numeric import grid_mean, grid_std, pct, rnd
+from textpulse.sources.sinks import materialize
 
 SENTIMENT_SCORES = ["score_pos", "score_neu", "score_neg", "score_cont"]
 
@@ -98,10 +99,52 @@ def by_lang_forum(df: DataFrame) -> DataFrame:
     return summarize(df, ["lang", "forum"]).orderBy("lang", "forum")
 
 
-def all_summaries(df: DataFrame) -> dict[str, DataFrame]:
-    """SNK-3 input: the four summaries from one persisted frame (the four
-    passes read the same enriched table; persisting it once avoids
-    recomputing the enrichment four times)."""
-    base = df.persist()
-    return {"by_month": by_month(base), "by_season": by_season(base),
-            "by_weekday": by_weekday(base), "global": by_lang_forum(base)}
+#: The four summaries: their keys, and the order of their rows.
+SUMMARIES = {
+    "by_month": ["month", "lang", "forum"],
+    "by_season": ["season", "lang", "forum"],
+    "by_weekday": ["weekday_name", "weekday", "lang"],
+    "global": ["lang", "forum"],
+}
+SUMMARY_KEYS = ["month", "season", "weekday_name", "weekday", "lang", "forum"]
+
+
+def with_summary_keys(df: DataFrame, ts_col: str = "posted_at") -> DataFrame:
+    """The keys of all summaries that ``df`` doesn't have yet."""
+    return df.withColumns({"season": D.season("month"), "weekday_name": D.weekday_name(ts_col), "weekday": D.weekday_num(ts_col)})
+
+
+def summaries_in_one(df: DataFrame, ts_col: str = "posted_at") -> DataFrame:
+    """AGG-2..5 in one pass: ``GROUPING SETS`` over the four key sets. One scan
+    of ``df`` and one shuffle of partial sums; a row of the result has its
+    table's name in ``summary`` and null in the keys of the others. A row with
+    a null key drops out of the tables that have this key (FLT-6)."""
+    keyed = with_summary_keys(df, ts_col)
+    # Copies, so that a measure may read a column that is also a key.
+    copies = {f"_{k}": F.col(k) for k in SUMMARY_KEYS}
+    grouped = keyed.withColumns(copies).groupingSets([[f"_{k}" for k in keys] for keys in SUMMARIES.values()], *[f"_{k}" for k in SUMMARY_KEYS])
+    out = grouped.agg(F.grouping_id().alias("_set"), *measures(df.columns))
+    # The bits of a grouping id are the keys that its set leaves out.
+    ids = {name: sum(1 << (len(SUMMARY_KEYS) - 1 - i) for i, k in enumerate(SUMMARY_KEYS) if k not in keys) for name, keys in SUMMARIES.items()}
+    name = there = None
+    for n, keys in SUMMARIES.items():
+        mine = F.col("_set") == ids[n]
+        whole = mine
+        for k in keys:
+            whole = whole & F.col(f"_{k}").isNotNull()
+        name = F.when(mine, n) if name is None else name.when(mine, n)
+        there = whole if there is None else there | whole
+    out = out.where(there).withColumn("summary", name)
+    return out.select("summary", *[F.col(f"_{k}").alias(k) for k in SUMMARY_KEYS],
+                      *[c for c in out.columns if not c.startswith("_") and c != "summary"])
+
+
+def all_summaries(df: DataFrame, ts_col: str = "posted_at") -> dict[str, DataFrame]:
+    """SNK-3 input: the four tables, as ``by_month`` and its like give them,
+    cut from one written pass over ``df``."""
+    one = materialize(df.sparkSession, summaries_in_one(df, ts_col), "summaries")
+    cut = lambda name: one.where(F.col("summary") == name).drop("summary", *[k for k in SUMMARY_KEYS if k not in SUMMARIES[name]])
+    return {"by_month": cut("by_month").withColumn("period", D.period_label("month")).orderBy("month", "lang", "forum"),
+            "by_season": cut("by_season").orderBy(D.season_ordinal("season"), "lang", "forum"),
+            "by_weekday": cut("by_weekday").orderBy("weekday", "lang"),
+            "global": cut("global").orderBy("lang", "forum")}

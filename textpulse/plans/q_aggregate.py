@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from textpulse import constants as K
 from textpulse.operators import aggregate as A
+from textpulse.operators import rollup as R
 from textpulse.plans import sqlgen as S
 from textpulse.plans.registry import register
 from textpulse.plans.stages import enriched_table
+from textpulse.sources.sinks import materialize
 
 
 def _with(cte: str, select: str) -> str:
@@ -94,6 +96,41 @@ def agg_global(spark, sf_dir):
     return A.by_lang_forum(enriched_table(spark, sf_dir))
 
 
+def _all_sql() -> str:
+    """The four summaries as one long table."""
+    src = (f"SELECT *, {S.season('month')} AS season, dayname(posted_at) AS weekday_name, "
+           "CAST((dayofweek(posted_at) + 6) % 7 AS INTEGER) AS weekday FROM enriched")
+    parts = []
+    for name, keys in A.SUMMARIES.items():
+        body = measures_sql("src", keys).lstrip(", \n")
+        parts.append(f"t_{name} AS (WITH {body})")
+    rows = " UNION ALL BY NAME ".join(f"SELECT '{name}' AS summary, * FROM t_{name}" for name in A.SUMMARIES)
+    return "WITH " + S.enriched_cte() + f", src AS ({src}), " + ", ".join(parts) + f" {rows}"
+
+
+@register("agg_all", sql=_all_sql)
+def agg_all(spark, sf_dir):
+    """SNK-3, AGG-2..5 in one pass by grouping sets: the four summaries as one
+    long table."""
+    return A.summaries_in_one(enriched_table(spark, sf_dir))
+
+
+@register("agg_rollup", sql=_all_sql)
+def agg_rollup(spark, sf_dir):
+    """AGG-1..5, AGG-18 by roll-up: daily state and label counts, written once
+    for either half of the posts, merged, and rolled up to the four summaries."""
+    e = materialize(spark, enriched_table(spark, sf_dir).drop("tokens"), "enriched")
+    half = F.col("post_id") % 2 == 0
+    states = [materialize(spark, R.daily_state(e.where(h)), "state") for h in (half, ~F.coalesce(half, F.lit(False)))]
+    values = [materialize(spark, R.daily_values(e.where(h)), "values") for h in (half, ~F.coalesce(half, F.lit(False)))]
+    state, value = R.merge_states(*states), R.merge_values(*values)
+    out = None
+    for name in A.SUMMARIES:
+        one = R.roll_up(state, value, name).drop("dominant_topic", "nb_unique_topics").withColumn("summary", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
 def _agg_topics_sql() -> str:
     from textpulse.plans.q_topics import CTFIDF_CTE
     cte = CTFIDF_CTE.replace("FROM clean WHERE", "FROM enriched WHERE") \
@@ -114,7 +151,6 @@ def agg_topics(spark, sf_dir):
     the topic label) over the topic-model input, topics = class-based TF-IDF
     labels with the posting month as class; grouped by lang x forum."""
     from textpulse.operators import topics as TP
-    from textpulse.sources.sinks import materialize
     ti = materialize(spark, TP.topic_input(enriched_table(spark, sf_dir)).withColumn(
         "_month_class", F.col("month").cast("string")), "topic-input")
     topics = TP.topic_table(ti, "_month_class", vocabulary=TP.ngram_doc_freq(ti))
