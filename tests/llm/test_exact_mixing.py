@@ -52,8 +52,8 @@ def test_hot_group(docs):
 def test_less_than_a_block_from_target(docs, weights):
     counts = {"a": 90, "b": 40, "c": 13, None: 7}
     rows = [(1000 * k + i, "t", s) for k, (s, n) in enumerate(counts.items()) for i in range(n)]
-    block, parts = 2, 16
-    got = mixing.mix(docs(rows), weights, block_docs=block, parts=parts, bucket_docs=9).collect()
+    block = 2
+    got = mixing.mix(docs(rows), weights, block_docs=block, bucket_docs=9).collect()
     assert len(got) == len(rows) and {r.doc_id for r in got} == {r[0] for r in rows}
     slots = {}
     for r in got:
@@ -66,8 +66,7 @@ def test_less_than_a_block_from_target(docs, weights):
     left = 1 - sum(weights.values())
     names = sorted((s for s in counts if s is not None)) + [None]
     free = [s for s in names if s not in weights]
-    share = {s: weights.get(s, left / len(free) if free else 0) for s in names}
-    p = {s: max(1, int(share[s] * parts + 0.5)) for s in names}
+    p = {s: weights.get(s, max(left, 1 / 256) / len(free) if free else 0) for s in names}  # targets, not rounded
     m = {s: -(-counts[s] // block) for s in names}
     had = defaultdict(int)
     for t in range(len(slots)):
@@ -90,9 +89,41 @@ def test_interleave(messy):
     assert order[:6].count("a") == 3
 
 
-def test_too_many_sources(docs):
+@pytest.mark.parametrize("sources, weights", [(20, {"s0": 0.25}), (120, {"s0": 0.25, "s1": 0.1}), (400, {"s0": 0.25}), (7, {"s0": 0.3, "s3": 0.125})])
+def test_on_target_over_many_cycles(spark, sources, weights):
+    """Thousands of slots; until a source runs out each is less than one block
+    from its target as it was given."""
+    each = 8 if sources > 100 else 130
+    counts = {f"s{i}": each for i in range(sources)} | {k: int(1.2 * each * sources * v) for k, v in weights.items()}
+    rows = [(1000_000 * k + i, s) for k, (s, n) in enumerate(counts.items()) for i in range(n)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_docs=1)
+    order = [r.source for r in got.orderBy("mix_slot").collect()]
+    assert len(order) == len(rows)
+    left = (1 - sum(weights.values())) / (sources - len(weights))
+    had, t = Counter(), 0
+    for t, s in enumerate(order, 1):
+        had[s] += 1
+        if t % 7 == 0 or t < 100:
+            assert all(abs(had[x] - weights.get(x, left) * t) < 1 + 1e-9 for x in counts), t
+        if had[s] == counts[s]:
+            break
+    assert t > len(rows) / 3
+
+
+def test_parts_add_up():
+    for share in (["0.25", *["0.0394736842105"] * 19], ["0.123457", "0.876543"], ["0.999999", "0.000001"], ["1"]):
+        parts = mixing.whole_parts([mixing.Fraction(x) / sum(map(mixing.Fraction, share)) for x in share], 64)
+        assert min(parts) >= 1 and sum(parts) <= max(64, 4 * len(share)) + len(share)
+    assert mixing.whole_parts(mixing.targets(["sa", "sb", "sc", "z"], {"a": 0.25})) == [1, 1, 1, 1]
+    assert mixing.whole_parts(mixing.targets(["sa", *[f"s{i}" for i in range(19)]], {"a": 0.25})) == [19, *[3] * 19]
+    with pytest.raises(ValueError, match="above 0"):
+        mixing.targets(["sa"], {"a": 0.0})
+
+
+def test_too_many_sources(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
     with pytest.raises(ValueError, match="more than 2 sources"):
-        mixing.mix(docs([(1, "t", "a"), (2, "t", "b"), (3, "t", "c")]), {}, parts=2)
+        mixing.mix(docs([(1, "t", "a"), (2, "t", "b"), (3, "t", "c")]), {})
 
 
 def test_native_plans(messy):

@@ -27,6 +27,9 @@ def test_gradients():
     lanes = lm.Lanes(sym, off, 2)
     steps, h = next(lanes.windows(lm.WINDOW)), np.zeros((2, lm.HIDDEN))
     g, _, _ = lm._gradients(w, lanes, steps, h)
+    rows, sparse = g["x"]
+    g["x"] = np.zeros_like(w["x"])
+    g["x"][rows] = sparse
     n = sum(map(len, steps))
     for k in lm.SHAPES:
         flat = w[k].ravel()
@@ -49,7 +52,7 @@ def test_state_is_carried_over_whole_documents():
     for s, e in zip(off, off[1:]):
         h, x = np.zeros((1, lm.HIDDEN)), lm.START
         for t in sym[s:e]:
-            h = lm._step(w, np.array([x]), h)[0]
+            h = lm._step(w, w["x"][[x]] + w["b"], h)[0]
             p = lm._log_softmax(h @ w["wc"] + w["bc"])[0, lm.class_of(np.array([t]))[0]]
             if t < lm.HEAD:
                 c = t // lm.CLASS_WORDS
@@ -98,12 +101,28 @@ def test_counts_and_base_score(messy, docs, monkeypatch, known):
 
 def test_every_training_document_is_trained_on(messy, docs):
     rows = [(r.doc_id, r.text, r.source) for r in messy.collect()] + [(1000 + i, f"word{i} and more", "a") for i in range(200)]
-    training = docs(rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    vocab = lm.vocabulary(lm.counts(training))
-    _, trained = lm.fit(training, vocab)
+    every = docs(rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    vocab = lm.vocabulary(lm.counts(every.filter(lm.remainder("doc_id", lm.HELD_OUT) != lm.HELD_OUT_IS)))
+    numbers = lm.coded(every, vocab)
+    assert numbers.count() == len(rows) and numbers.filter("round IS NULL").count() == sum(zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 == 1 for r in rows)
+    _, trained = lm.fit(numbers, vocab)
     assert trained == vocab["n"]
 
 
+def test_far_logits_keep_their_softmax():
+    """Shifted only where float32 would overflow; rows that are far apart too."""
+    for spread in (1, 30, 200):
+        x = (np.random.default_rng(spread).standard_normal((50, 9)) * spread).astype(np.float32)
+        x[0] += 500
+        pick = np.arange(50) % 9
+        want = lm._log_softmax(x.astype(float))[np.arange(50), pick]
+        assert np.allclose(lm._picked(x.copy(), pick)[0], want, rtol=1e-5, atol=1e-3)
+        loss, slope = lm._loss_and_slope(x.copy(), pick, np.float32(1 / 50))
+        soft = np.exp(lm._log_softmax(x.astype(float)))
+        soft[np.arange(50), pick] -= 1
+        assert np.allclose(slope, soft / 50, atol=1e-6) and loss == pytest.approx(-want.sum(), rel=1e-4)
+
+
 def test_held_out_gain(spark):
     got = lm.score(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
     held = got[got["held_out"]]

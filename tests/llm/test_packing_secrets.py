@@ -7,6 +7,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -43,6 +44,38 @@ def test_added_tokens_have_their_own_ids(docs):
     assert crc == {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())) for i, ids in enumerate(want)}
 
 
+def test_packing_follows_an_order(docs):
+    """Round trip, near the lower bound, and each run of sequences holds
+    documents from one stretch of the order: its shares are the stretch's."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    source = ["a" if i < n // 2 else "b" for i in range(n)]  # the order is far from a mix, to be told apart
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 90, rng.integers(1, 60))) for _ in range(n)]
+    texts[17] = texts[2500] = " ".join(["long"] * 700)
+    d = docs([(i, t, s) for i, (t, s) in enumerate(zip(texts, source))]).withColumn("place", F.col("doc_id")).repartition(6)
+    got = packing.pack_documents(d, TOK, sequence=128, group_pieces=200, order_col="place").collect()
+    plain = packing.pack_documents(d, TOK, sequence=128, group_pieces=200).collect()
+    key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+    assert sorted(map(key, got)) == sorted(map(key, plain))
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append(r)
+    assert sorted(bins) == list(range(len(bins)))
+    for b in bins.values():
+        at = 0
+        for r in sorted(b, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 128
+    assert len(bins) <= len({r.sequence_id for r in plain}) * 1.02 + 2
+    means = [np.mean([r.doc_id for r in bins[i]]) for i in range(len(bins))]
+    assert means == sorted(means)
+    near = [max(r.doc_id for r in b) - min(r.doc_id for r in b) for b in bins.values()]
+    assert np.quantile(near, 0.9) < 400  # two ranges' width, but for the few sequences of exchange
+    share = [sum(r.length for r in bins[i] if r.doc_id < n // 2) / sum(r.length for r in bins[i]) for i in range(len(bins))]
+    assert np.mean(share[: len(bins) // 3]) > 0.97 and np.mean(share[-len(bins) // 3 :]) < 0.03
+
+
 def test_pack_documents(messy):
     rows = messy.collect()
     got = packing.pack_documents(messy, sequence=64, group_pieces=40).collect()

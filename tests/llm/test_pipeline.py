@@ -74,7 +74,23 @@ def test_pack(stages):
     assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(fill.values()) // 2048) + 1
 
 
+def test_sequences_follow_the_mix(spark, docs):
+    """A hot source with most documents: the first sequences have the mix's
+    shares, not the table's, until the others run out."""
+    rows = [(i, f"text number {i} of some words", "src0" if i % 10 else f"src{i // 10 % 4 + 1}") for i in range(4000)]
+    table = docs(rows).select("doc_id", "text", "lang", "source", "n_chars").repartition(5)
+    mixed = corpus_pipeline.mix_sources(spark, table, SF)
+    got = corpus_pipeline.pack_sequences(spark, mixed, SF).collect()
+    of = {i: s for i, _, s in rows}
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id, r.offset))]
+    assert sorted(order) == sorted(of)
+    mix = [r.doc_id for r in mixing.mix(table, corpus_pipeline.TARGETS).orderBy("mix_slot", "mix_place").collect()]
+    for stretch in (slice(0, 500), slice(1000, 2000)):
+        want = [of[d] for d in mix[stretch]].count("src0") / len(mix[stretch])
+        assert [of[d] for d in order[stretch]].count("src0") / len(order[stretch]) == pytest.approx(want, abs=0.2)
+
+
 def test_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
     assert set(queries.oracle_sql()) <= set(names)

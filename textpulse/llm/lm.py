@@ -16,7 +16,9 @@ Training. Truncated backpropagation over windows of ``WINDOW`` words, in
 numpy, with the state carried from window to window. The training documents
 are dealt over ``ROUNDS`` rounds by hash, so each is trained on in one of them,
 whole. A round trains one replica for about ``REPLICA_DOCS`` of its documents
-and averages the replicas by their number of words.
+and averages the replicas by their number of words. Texts are cut into tokens
+twice, for the counts and for a written table of each document's input numbers,
+which training and scoring read.
 
 Scoring. All documents, whole, in lanes that carry the state from the first
 word to the end. Counts of frequent words are looked up in a table of bounded
@@ -54,7 +56,8 @@ WINDOW = 24
 ROUNDS = 3
 REPLICA_DOCS = 4000
 KNOWN_WORDS = 100_000    # counts that each task holds
-LANES = 384
+LANES = 768
+TRAIN_LANES = 128
 GROUP_WORDS = 600_000
 RATE = 0.01
 CHUNK = 8192             # weights a row when replicas are averaged
@@ -172,16 +175,24 @@ def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
-
-
-def _step(w: dict, x: np.ndarray, h: np.ndarray) -> tuple:
-    g, a, k = w["x"][x] + w["b"], h @ w["u"], HIDDEN
-    zr = _sigmoid(g[:, : 2 * k] + a[:, : 2 * k])
-    z, r, an = zr[:, :k], zr[:, k:], a[:, 2 * k :]
-    n = np.tanh(g[:, 2 * k :] + r * an)
-    return n + z * (h - n), z, r, n, an
+def _step(w: dict, gates: np.ndarray, h: np.ndarray) -> tuple:
+    """One step from the state ``h``; ``gates`` are the rows of its inputs with
+    the biases added. (new state, update and reset gate, candidate, its part
+    from the state)."""
+    k, a = HIDDEN, h @ w["u"]
+    zr = gates[:, : 2 * k] + a[:, : 2 * k]
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    an = a[:, 2 * k :]
+    n = zr[:, k:] * an
+    n += gates[:, 2 * k :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= zr[:, :k]
+    new += n
+    return new, zr, n, an
 
 
 def _log_softmax(logits: np.ndarray) -> np.ndarray:
@@ -189,21 +200,49 @@ def _log_softmax(logits: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(1, keepdims=True))
 
 
-def _log_picked(logits: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """The picked column of each row's log softmax; ``logits`` is used up."""
-    logits -= logits.max(1, keepdims=True)
+FAR = 80.0  # float32 holds the exponential of anything nearer to 0, and its sums
+
+
+def _picked(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The picked column of each row's log softmax, and each row's sum of the
+    exponentials, which take the place of ``logits``. Rows are shifted by their
+    greatest only where some logit is far from 0."""
+    if len(logits) and (logits.max() > FAR or logits.min() < -FAR):
+        logits -= logits.max(1, keepdims=True)
     chosen = logits[np.arange(len(logits)), pick]
     np.exp(logits, out=logits)
-    return chosen - np.log(logits.sum(1))
+    total = logits.sum(1)
+    return chosen - np.log(total), total
+
+
+def _loss_and_slope(logits: np.ndarray, pick: np.ndarray, scale: np.floating) -> tuple[float, np.ndarray]:
+    """Minus the sum of the picked log softmax, and the slope of its mean over
+    1 / ``scale`` rows by the logits, which are used up."""
+    chosen, total = _picked(logits, pick)
+    logits *= (scale / total)[:, None]
+    logits[np.arange(len(logits)), pick] -= scale
+    return -float(chosen.sum()), logits
+
+
+class HeadRows:
+    """The rows whose word is in the head, class after class."""
 
+    def __init__(self, sym: np.ndarray):
+        rows = np.flatnonzero(sym < HEAD)
+        cls = sym[rows] // CLASS_WORDS
+        order = np.argsort(cls, kind="stable")
+        self.rows, n = rows[order], np.bincount(cls, minlength=HEADS)
+        self.word = sym[self.rows] % CLASS_WORDS
+        ends = np.cumsum(n)
+        self.parts = [(c, i, j) for c, (i, j) in enumerate(zip((ends - n).tolist(), ends.tolist())) if j > i]
 
-def _by_class(sym: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Rows of each head class."""
-    rows = np.flatnonzero(sym < HEAD)
-    cls = sym[rows] // CLASS_WORDS
-    rows = rows[np.argsort(cls, kind="stable")]
-    parts = np.split(rows, np.cumsum(np.bincount(cls, minlength=HEADS))[:-1])
-    return [(c, p) for c, p in enumerate(parts) if len(p)]
+    def logits(self, w: dict, states: np.ndarray) -> np.ndarray:
+        """Of the words of each row's class; ``states`` are the rows' own."""
+        out = np.empty((len(self.rows), CLASS_WORDS), states.dtype)
+        for c, i, j in self.parts:
+            np.matmul(states[i:j], w["wo"][c], out=out[i:j])
+            out[i:j] += w["bo"][c]
+        return out
 
 
 def class_of(sym: np.ndarray) -> np.ndarray:
@@ -247,80 +286,94 @@ def log_probabilities(w: dict, sym: np.ndarray, off: np.ndarray, lanes: int = LA
     token; the state runs through each whole document."""
     ln = Lanes(sym, off, lanes)
     out = np.zeros(len(sym))
-    h = np.zeros((len(ln.length), HIDDEN), np.float32)
+    h = np.zeros((len(ln.length), HIDDEN), w["u"].dtype)
+    inputs = w["x"] + w["b"]
     for steps in ln.windows(WINDOW):
-        states = []
-        for at in steps:
-            h = h[: len(at)].copy()  # the state before has been emitted
-            h[ln.first[at]] = 0
-            h = _step(w, ln.input[at], h)[0]
+        at, states, i = np.concatenate(steps), [], 0
+        gates, first = inputs[ln.input[at]], ln.first[at]
+        for n in map(len, steps):
+            h = h[:n].copy()  # the state before has been emitted
+            h[first[i : i + n]] = 0
+            h = _step(w, gates[i : i + n], h)[0]
             states.append(h)
-        at, hs = np.concatenate(steps), np.concatenate(states)
+            i += n
+        hs = np.concatenate(states)
         s = ln.sym[at]
-        p = _log_picked(hs @ w["wc"] + w["bc"], class_of(s))
-        for c, rows in _by_class(s):
-            p[rows] += _log_picked(hs[rows] @ w["wo"][c] + w["bo"][c], s[rows] % CLASS_WORDS)
+        logits = hs @ w["wc"]
+        logits += w["bc"]
+        p = _picked(logits, class_of(s))[0]
+        head = HeadRows(s)
+        p[head.rows] += _picked(head.logits(w, hs[head.rows]), head.word)[0]
         out[ln.source[at]] = p
     return out
 
 
 def _gradients(w: dict, ln: Lanes, steps: list[np.ndarray], h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Truncated backpropagation through one window from the state ``h``."""
-    k, seen = HIDDEN, []
-    for at in steps:
-        h = h[: len(at)].copy()
-        h[ln.first[at]] = 0
-        new, z, r, n, an = _step(w, ln.input[at], h)
-        seen.append((h, z, r, n, an))
-        h = new
-    outs = [n + z * (h0 - n) for h0, z, _, n, _ in seen]  # before the next step resets some
-    at, hs = np.concatenate(steps), np.concatenate(outs)
+    """Truncated backpropagation through one window from the state ``h``.
+
+    The input rows' gradient is sparse: ``g["x"]`` is (rows, their gradients).
+    The window's tokens lie in flat arrays, step after step, so that only what
+    depends on the step before runs step by step."""
+    k, at = HIDDEN, np.concatenate(steps)
+    n, x, first, kind = len(at), ln.input[at], ln.first[at], w["u"].dtype
+    cuts = np.cumsum([0, *map(len, steps)]).tolist()
+    gates = w["x"][x]
+    gates += w["b"]
+    h0, hs, zr, cand, an = (np.empty((n, c), kind) for c in (k, k, 2 * k, k, k))
+    for i, j in zip(cuts, cuts[1:]):
+        h0[i:j] = h[: j - i]
+        h0[i:j][first[i:j]] = 0
+        h, zr[i:j], cand[i:j], an[i:j] = _step(w, gates[i:j], h0[i:j])
+        hs[i:j] = h
     s = ln.sym[at]
-    g = {x: np.zeros_like(w[x]) for x in SHAPES}
-    scale = np.float32(1.0 / len(s))
-    logp = _log_softmax(hs @ w["wc"] + w["bc"])
-    cls, rows_all = class_of(s), np.arange(len(s))
-    loss = -float(logp[rows_all, cls].sum())
-    d = np.exp(logp)
-    d[rows_all, cls] -= 1
-    d *= scale
+    g = {}
+    scale = kind.type(1.0 / n)
+    logits = hs @ w["wc"]
+    logits += w["bc"]
+    loss, d = _loss_and_slope(logits, class_of(s), scale)
     g["wc"], g["bc"], dh = hs.T @ d, d.sum(0), d @ w["wc"].T
-    for c, rows in _by_class(s):
-        lp = _log_softmax(hs[rows] @ w["wo"][c] + w["bo"][c])
-        pick, own = s[rows] % CLASS_WORDS, np.arange(len(rows))
-        loss -= float(lp[own, pick].sum())
-        d = np.exp(lp)
-        d[own, pick] -= 1
-        d *= scale
-        g["wo"][c], g["bo"][c] = hs[rows].T @ d, d.sum(0)
-        dh[rows] += d @ w["wo"][c].T
-    cuts = np.cumsum([len(a) for a in steps])[:-1]
-    after = np.zeros((0, k), np.float32)
-    inputs, gates = [], []
-    for at, own, (h0, z, r, n, an) in zip(reversed(steps), reversed(np.split(dh, cuts)), reversed(seen)):
-        dnew = own.copy()
-        dnew[: len(after)] += after
-        dn = dnew * (1 - z) * (1 - n * n)
-        dz = dnew * (h0 - n) * z * (1 - z)
-        dr = dn * an * r * (1 - r)
-        da = np.concatenate((dz, dr, dn * r), 1)
-        g["u"] += h0.T @ da
-        after = dnew * z + da @ w["u"].T
-        after[ln.first[at]] = 0
-        inputs.append(ln.input[at])
-        gates.append(np.concatenate((dz, dr, dn), 1))
-    dx, x = np.concatenate(gates), np.concatenate(inputs)
+    g["wo"], g["bo"] = np.zeros_like(w["wo"]), np.zeros_like(w["bo"])
+    head = HeadRows(s)
+    own = hs[head.rows]
+    more, d = _loss_and_slope(head.logits(w, own), head.word, scale)
+    back = np.empty_like(own)
+    for c, i, j in head.parts:
+        np.matmul(own[i:j].T, d[i:j], out=g["wo"][c])
+        g["bo"][c] = d[i:j].sum(0)
+        np.matmul(d[i:j], w["wo"][c].T, out=back[i:j])
+    dh[head.rows] += back
+    loss += more
+    # Slopes of each step's state by its candidate and gates, for all steps at once.
+    z, r = zr[:, :k], zr[:, k:]
+    by_cand = (1 - z) * (1 - cand * cand)
+    by_z = (h0 - cand) * z * (1 - z)
+    by_r = an * r * (1 - r)
+    da, after, ut = np.empty((n, 3 * k), kind), np.zeros((0, k), kind), np.ascontiguousarray(w["u"].T)
+    dcand = np.empty((n, k), kind)
+    for i, j in zip(reversed(cuts[:-1]), reversed(cuts[1:])):
+        new, part, dn = dh[i:j], da[i:j], dcand[i:j]
+        new[: len(after)] += after
+        np.multiply(new, by_cand[i:j], out=dn)
+        np.multiply(new, by_z[i:j], out=part[:, :k])
+        np.multiply(dn, by_r[i:j], out=part[:, k : 2 * k])
+        np.multiply(dn, r[i:j], out=part[:, 2 * k :])
+        after = part @ ut
+        after += new * z[i:j]
+        after[first[i:j]] = 0
+    g["u"] = h0.T @ da
+    da[:, 2 * k :] = dcand
     order = np.argsort(x, kind="stable")
-    u, first = np.unique(x[order], return_index=True)
-    g["x"][u] = np.add.reduceat(dx[order], first, axis=0)
-    g["b"] = dx.sum(0)
+    rows, begin = np.unique(x[order], return_index=True)
+    g["x"] = rows, np.add.reduceat(da[order], begin, axis=0)
+    g["b"] = da.sum(0)
     return g, h, loss
 
 
 def train(w: dict, sym: np.ndarray, off: np.ndarray, rate: float = RATE) -> dict:
-    """One pass over the documents with Adam."""
+    """One pass over the documents with Adam; of the input rows only those that
+    a window has met take a step."""
     longest = int(np.diff(off).max()) if len(off) > 1 else 1
-    lanes = int(np.clip(len(sym) // max(longest, WINDOW * 100), 4, 128))  # lanes of like length
+    lanes = int(np.clip(len(sym) // max(longest, WINDOW * 100), 4, TRAIN_LANES))  # lanes of like length
     ln = Lanes(sym, off, lanes)
     w = {k: v.copy() for k, v in w.items()}
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
@@ -328,25 +381,88 @@ def train(w: dict, sym: np.ndarray, off: np.ndarray, rate: float = RATE) -> dict
     for steps in ln.windows(WINDOW):
         g, h, _ = _gradients(w, ln, steps, h)
         t += 1
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        clip = min(1.0, 1.0 / max(norm, 1e-9))
-        step = rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
-        for k in w:
-            x = g[k] * np.float32(clip)
-            m[k] += np.float32(0.1) * (x - m[k])
-            v[k] += np.float32(0.01) * (x * x - v[k])
-            w[k] -= np.float32(step) * m[k] / (np.sqrt(v[k]) + np.float32(1e-6))
+        at, g["x"] = g["x"]
+        norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+        clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+        step = np.float32(rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t))
+        for k, x in g.items():
+            here = at if k == "x" else slice(None)
+            x *= clip
+            first, second = m[k][here], v[k][here]
+            first *= np.float32(0.9)
+            first += np.float32(0.1) * x
+            x *= x
+            second *= np.float32(0.99)
+            second += np.float32(0.01) * x
+            np.sqrt(second, out=x)
+            x += np.float32(1e-6)
+            np.divide(first, x, out=x)
+            x *= step
+            if k == "x":
+                m[k][here], v[k][here] = first, second
+            w[k][here] -= x
     return w
 
 
-def fit(train_docs: DataFrame, vocab: dict, rounds: int = ROUNDS) -> tuple[dict, int]:
+# -- documents as numbers -------------------------------------------------------
+
+CODED = "doc_id long, n_tokens long, found long, base double, tails double, rest array<long>, sym binary"
+
+
+def coded(docs: DataFrame, vocab: dict) -> DataFrame:
+    """Each document's input numbers (``sym``, 16 bits a token) and what of its
+    scores needs no network: tokens, those of the count table that occur in
+    training, the logarithms of their smoothed counts (``base``), those of
+    tokens in tail classes within their class (``tails``), and the tokens that
+    are not in the table (``rest``). Texts are read and cut into tokens here
+    once; training and scoring read the numbers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 1000):
+                part = b.iloc[i : i + 1000]
+                h, tail, off = tokens(part["text"].tolist())
+                sym = symbols(vocab, h, tail)
+                at, there = _find(vocab["known"], h)
+                smooth = np.where(there, np.log10(vocab["known_c"][at] + 0.5), 0.0) if len(vocab["known"]) else np.zeros(len(h))
+                met = there & (vocab["known_c"][at] > 0)
+                is_tail = sym >= HEAD
+                tails = np.where(is_tail, smooth - vocab["tail_norm"][np.where(is_tail, sym - HEAD, 0)], 0.0)
+                per = lambda x: np.add.reduceat(x, off[:-1])  # noqa: E731  each document has a token
+                cuts = np.cumsum(per((~there).astype(np.int64)))[:-1]
+                raw = sym.astype("<u2")
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").reset_index(drop=True), "n_tokens": np.diff(off), "found": per(met.astype(np.int64)),
+                                    "base": per(smooth), "tails": per(tails), "rest": np.split(h[~there], cuts),
+                                    "sym": [raw[s:e].tobytes() for s, e in zip(off[:-1].tolist(), off[1:].tolist())]})
+
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    bucket = F.pmod(F.xxhash64("doc_id", F.xxhash64("sym")), F.lit(ROUNDS))
+    held = remainder("doc_id", HELD_OUT) == HELD_OUT_IS
+    out = src.mapInPandas(run, CODED).withColumns({"_uid": F.monotonically_increasing_id(), "round": F.when(~held, bucket)})
+    return materialize(out, "lm-coded")
+
+
+def _groups(syms: list[bytes], size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Documents i to j, of about ``size`` tokens: (i, j, tokens, where each
+    document begins, with one more for the end)."""
+    i = 0
+    while i < len(syms):
+        j, n = i, 0
+        while j < len(syms) and (n == 0 or n < 2 * size):
+            n += len(syms[j])
+            j += 1
+        yield i, j, np.frombuffer(b"".join(syms[i:j]), "<u2").astype(np.int32), np.concatenate(([0], np.cumsum([len(x) // 2 for x in syms[i:j]])))
+        i = j
+
+
+def fit(numbers: DataFrame, vocab: dict) -> tuple[dict, int]:
     """Rounds of replicas trained in tasks and averaged by Spark; the driver
-    holds one set of weights. With them, the number of words trained on."""
+    holds one set of weights. With them, the number of words trained on.
+    ``numbers`` has each document's ``sym`` and its round (null: held out)."""
     w, trained = initial(vocab), 0
     total = sum(int(np.prod(s)) for s in SHAPES.values())
-    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
-    sizes = {r["b"]: r["n"] for r in train_docs.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # ``rounds`` rows
-    for r in range(rounds):
+    sizes = {r["round"]: r["n"] for r in numbers.groupBy("round").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each round
+    for r in range(ROUNDS):
         if not sizes.get(r):
             continue
         now = flat(w)
@@ -354,14 +470,14 @@ def fit(train_docs: DataFrame, vocab: dict, rounds: int = ROUNDS) -> tuple[dict,
         def run(batches: Iterator[pd.DataFrame], now=now, r=r) -> Iterator[pd.DataFrame]:
             own, words = unflat(now), 0
             for b in batches:
-                for s, off in _groups(b["text"].tolist(), vocab, 4 * GROUP_WORDS):
+                for _, _, s, off in _groups(b["sym"].tolist(), 4 * GROUP_WORDS):
                     own = train(own, s, off, RATE / (1 + r))
                     words += len(s)
             if words:
                 v = flat(own)
                 yield pd.DataFrame({"i": range(-(-total // CHUNK)), "n": float(words), "v": [v[i : i + CHUNK] for i in range(0, total, CHUNK)]})
 
-        part = train_docs.filter(bucket == r).select("text").coalesce(max(1, -(-sizes[r] // REPLICA_DOCS)))
+        part = numbers.filter(F.col("round") == r).select("sym").coalesce(max(1, -(-sizes[r] // REPLICA_DOCS)))
         rows = part.mapInPandas(run, "i int, n double, v array<float>").withColumn("x", array_to_vector(F.col("v").cast("array<double>")))
         mean = rows.groupBy("i").agg(Summarizer.mean(F.col("x"), F.col("n")).alias("m"), F.sum("n").alias("n")).select("i", vector_to_array("m").alias("m"), "n").collect()
         if mean:
@@ -370,60 +486,35 @@ def fit(train_docs: DataFrame, vocab: dict, rounds: int = ROUNDS) -> tuple[dict,
     return w, trained
 
 
-def _groups(texts: list[str], vocab: dict | None, size: int = GROUP_WORDS) -> Iterator[tuple]:
-    """Texts in groups of about ``size`` words (6 bytes a word)."""
-    group, n = [], 0
-    for i, t in enumerate(texts):
-        group.append(t)
-        n += len(t)
-        if n >= 6 * size or i == len(texts) - 1:
-            h, tail, off = tokens(group)
-            yield symbols(vocab, h, tail), off
-            group, n = [], 0
-
-
-SCORED = "doc_id long, n_tokens long, found long, base double, neural double, rest array<long>"
+SCORED = "doc_id long, n_tokens long, found long, base double, neural double, _uid long"
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     held = remainder("doc_id", HELD_OUT) == HELD_OUT_IS
-    training = rows.filter(~held)
-    counted = counts(training)
+    counted = counts(rows.filter(~held))
     vocab = vocabulary(counted)
-    weights = flat(fit(training, vocab)[0])
+    numbers = coded(rows, vocab)
+    weights = flat(fit(numbers, vocab)[0])
     norm = float(np.log10(vocab["n"] + 0.5 * (vocab["v"] + 1)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = unflat(weights)
         for b in batches:
-            b = b.iloc[b["text"].str.len().argsort(kind="stable")]  # lanes of like length
-            ids, texts, i = b["doc_id"].astype("Int64"), b["text"].tolist(), 0
-            while i < len(texts):
-                j, n = i, 0
-                while j < len(texts) and (n == 0 or n < 6 * GROUP_WORDS):
-                    n += len(texts[j]) + 1
-                    j += 1
-                h, tail, off = tokens(texts[i:j])
-                sym = symbols(vocab, h, tail)
-                at, there = _find(vocab["known"], h)
-                smooth = np.where(there, np.log10(vocab["known_c"][at] + 0.5), 0.0)
-                is_tail = sym >= HEAD
-                p = log_probabilities(w, sym, off) / np.log(10) + np.where(is_tail, smooth - vocab["tail_norm"][np.where(is_tail, sym - HEAD, 0)], 0.0)
-                per = lambda x: np.add.reduceat(x, off[:-1])  # noqa: E731  each document has a token
-                missing, met = ~there, there & (vocab["known_c"][at] > 0)
-                cuts = np.cumsum(per(missing.astype(np.int64)))[:-1]
-                yield pd.DataFrame({"doc_id": ids[i:j].reset_index(drop=True), "n_tokens": np.diff(off), "found": per(met.astype(np.int64)),
-                                    "base": per(smooth), "neural": per(p), "rest": np.split(h[missing], cuts)})
-                i = j
-
-    scored = materialize(rows.mapInPandas(run, SCORED).withColumn("_uid", F.monotonically_increasing_id()), "lm-scored")
-    rare = scored.select("_uid", F.explode("rest").alias("h"))
+            b = b.iloc[b["n_tokens"].argsort(kind="stable")].reset_index(drop=True)  # lanes of like length
+            for i, j, sym, off in _groups(b["sym"].tolist(), GROUP_WORDS):
+                p = np.add.reduceat(log_probabilities(w, sym, off), off[:-1]) / np.log(10)
+                part = b.iloc[i:j]
+                yield part.drop(columns=["sym", "tails"]).assign(doc_id=part["doc_id"].astype("Int64"), neural=p + part["tails"])[[c.split()[0] for c in SCORED.split(", ")]]
+
+    narrow = numbers.select("doc_id", "n_tokens", "found", "base", "tails", "_uid", "sym")
+    scored = materialize(narrow.mapInPandas(run, SCORED), "lm-scored")
+    rare = numbers.select("_uid", F.explode("rest").alias("h"))
     c = F.coalesce(F.col("c"), F.lit(0))
     added = (rare.join(counted.select("h", "c"), "h", "left").groupBy("_uid")
              .agg(F.sum(F.log10(c + 0.5)).alias("more"), F.count(F.when(c > 0, 1)).alias("seen")))
-    out = scored.drop("rest").join(added, "_uid", "left")
+    out = scored.join(added, "_uid", "left")
     more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", (F.col("found") + seen).alias("n_known"),
                       F.lit(vocab["n"]).cast("long").alias("train_tokens"),

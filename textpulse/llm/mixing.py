@@ -1,8 +1,10 @@
 """Mixing sources to target weights by Pfair scheduling (DataFrame only).
 
 Every source is cut into blocks of ``block_docs`` documents, in a
-pseudo-random order of its documents. Target weights are whole parts p_i of a
-cycle. An ideal, divisible schedule would give source i in each cycle p_i
+pseudo-random order of its documents. Target weights become whole parts p_i of
+a cycle: their numerators over a common denominator, so nothing is rounded and
+every cycle ends exactly on target (weights whose common denominator is beyond
+``CYCLE`` are the exception, see ``whole_parts``). An ideal, divisible schedule would give source i in each cycle p_i
 blocks at an even pace; a source that runs out stops there, and the others
 share its time in proportion to their weights. Written as t(v), the slots
 that the ideal schedule has used when it is a share v through the cycle, block
@@ -27,13 +29,16 @@ table gives an empty table; extra columns are kept, whatever their names.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textpulse.llm.common import materialize
 
-PARTS = 256
+CYCLE = 4096         # most slots of a cycle
+MOST_SOURCES = 1024
+LEAST_LEFT = Fraction(1, 256)  # what sources without a target share if the targets leave less
 BLOCK_DOCS = 8
 BUCKET_DOCS = 4096
 
@@ -42,21 +47,41 @@ def order_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
 
 
-def shares(counts: DataFrame, weights: dict[str, float], parts: int, block_docs: int) -> DataFrame:
-    """One row per source: index, blocks, parts of a cycle (at least one).
-
-    Sources that ``weights`` doesn't name share what it leaves equally."""
-    named = F.coalesce(*[F.when(F.col("_key") == f"s{k}", F.lit(float(v))) for k, v in sorted(weights.items())], F.lit(None).cast("double")) \
-        if weights else F.lit(None).cast("double")
-    everything = Window.partitionBy(F.lit(0))  # a row per source: no more than ``parts`` rows
-    left = max(0.0, 1.0 - sum(weights.values()))
-    unnamed = F.sum(F.col("_named").isNull().cast("int")).over(everything)
-    share = F.coalesce("_named", F.lit(left) / unnamed)
-    return (counts.withColumn("_named", named)
-            .withColumn("_share", share)
-            .withColumn("_i", F.row_number().over(everything.orderBy("_key")) - 1)
-            .select("_key", "_i", "_n", F.ceil(F.col("_n") / block_docs).cast("long").alias("_blocks"),
-                    F.greatest(F.lit(1), F.floor(F.col("_share") * parts + 0.5)).cast("long").alias("_parts")))
+def targets(keys: list[str], weights: dict[str, float]) -> list[Fraction]:
+    """The exact target of each source that is there ('s' and its name, or 'z'
+    for the null source); they add up to one. A weight is taken as it is
+    written in decimals. Sources without a weight share what the others leave
+    equally, ``LEAST_LEFT`` at least."""
+    if any(not v > 0 for v in weights.values()):
+        raise ValueError("weights must be above 0")
+    named = {f"s{k}": Fraction(str(v)) for k, v in weights.items()}
+    free = [k for k in keys if k not in named]
+    left = max(Fraction(1) - sum(named.values()), LEAST_LEFT) / len(free) if free else Fraction(0)
+    share = [named.get(k, left) for k in keys]
+    return [x / sum(share) for x in share]
+
+
+def whole_parts(share: list[Fraction], cycle: int = CYCLE) -> list[int]:
+    """Parts of a cycle: the numerators over the common denominator. If that is
+    over ``cycle`` (and over four slots a source), whole parts of so many slots,
+    one at least, by largest remainder; they add up, but the mix then moves
+    away from the targets by less than a block each cycle."""
+    slots = math.lcm(*[x.denominator for x in share]) if share else 1
+    most = max(cycle, 4 * len(share))
+    if slots <= most:
+        return [int(x * slots) for x in share]
+    parts = [max(1, math.floor(x * most)) for x in share]
+    by_remainder = sorted(range(len(share)), key=lambda i: parts[i] - share[i] * most)
+    for i in by_remainder[: max(0, most - sum(parts))]:
+        parts[i] += 1
+    return parts
+
+
+def with_parts(spark: SparkSession, counts: dict[str, int], weights: dict[str, float], cycle: int, block_docs: int) -> DataFrame:
+    """One row per source: key, index, documents, blocks, parts of a cycle."""
+    keys = sorted(counts)
+    rows = [(k, i, counts[k], -(-counts[k] // block_docs), p) for i, (k, p) in enumerate(zip(keys, whole_parts(targets(keys, weights), cycle)))]
+    return spark.createDataFrame(rows, "_key string, _i int, _n long, _blocks long, _parts long")
 
 
 def schedule(sources: DataFrame) -> DataFrame:
@@ -75,8 +100,10 @@ def schedule(sources: DataFrame) -> DataFrame:
     window = lambda q, p: F.struct(F.floor(used(q, p) / p).cast("long").alias("release"), F.ceil(used(q + 1, p) / p).cast("long").alias("due"))
     kinds = (kinds.withColumn("_both", F.zip_with("_a", "_all", lambda a, x: F.struct(a.alias("a"), x["_parts"].alias("p"))))
              .withColumn("_windows", F.transform("_both", lambda x: F.when(x["a"] > 0, F.transform(F.sequence(F.lit(0).cast("long"), x["a"] - 1), lambda q: window(q, x["p"]))))))
-    # Written: else the optimizer copies the windows into every step below.
-    kinds = materialize(kinds.select("_from", "_len", "_a", "_windows"), "mix-kinds")
+    # Written: else the optimizer copies the windows into every step below. Kinds
+    # are dealt to tasks by number, as their rows are few but their work isn't.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = materialize(kinds.select("_from", "_len", "_a", "_windows").repartition(tasks, "_from"), "mix-kinds")
 
     # State: blocks that each source has had, and the source of each slot so far.
     def step(state: Column, slot: Column) -> Column:
@@ -100,14 +127,15 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict[str, float], source_col: str = "source", id_col: str = "doc_id",
-        block_docs: int = BLOCK_DOCS, parts: int = PARTS, bucket_docs: int = BUCKET_DOCS, seed: int = 1) -> DataFrame:
+        block_docs: int = BLOCK_DOCS, cycle: int = CYCLE, bucket_docs: int = BUCKET_DOCS, seed: int = 1) -> DataFrame:
     """``docs`` with mix_block (the block within its source), mix_slot (the
     slot of that block in the whole mix), mix_release and mix_due (the slots it
     must lie between), mix_place (the place in the block). Sorting by (mix_slot,
     mix_place) gives the mix. A column of such a name in ``docs`` is replaced.
 
-    The number of sources may not exceed ``parts``: more is an error. With
-    that, the broadcast tables have at most (2 * parts + 1) * parts rows.
+    The number of sources may not exceed ``MOST_SOURCES``: more is an error.
+    The broadcast tables have at most a row for each slot of each kind of
+    cycle: (2 * sources + 1) * the larger of ``cycle`` and 4 * sources.
     """
     docs = docs.drop("mix_block", "mix_slot", "mix_release", "mix_due", "mix_place")
     names = docs.columns
@@ -117,17 +145,17 @@ def mix(docs: DataFrame, weights: dict[str, float], source_col: str = "source",
     key = F.when(source.isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), source))  # 'z' > 's...'
     d = d.withColumn("_key", key).withColumn("_order", order_key(at[id_col], seed))
     counts = d.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = [r["_n"] for r in counts.select("_n").limit(parts + 1).collect()]
-    if len(sizes) > parts:
-        raise ValueError(f"more than {parts} sources: give more parts")
-    buckets = max(1, math.ceil(sum(sizes) / bucket_docs))
+    sizes = {r["_key"]: r["_n"] for r in counts.limit(MOST_SOURCES + 1).collect()}
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    buckets = max(1, math.ceil(sum(sizes.values()) / bucket_docs))
     leading = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long")
     d = d.withColumn("_bucket", F.floor(leading * buckets / 4294967296.0).cast("int"))
 
     per_bucket = d.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    sources = shares(counts, weights, parts, block_docs)
+    sources = with_parts(docs.sparkSession, sizes, weights, cycle, block_docs)
     plan = materialize(schedule(sources), "mix-schedule")
     kinds = plan.select("_from").distinct().agg(F.sort_array(F.collect_list("_from")).alias("_starts"))
     totals = sources.agg(F.collect_list(F.struct("_blocks", "_parts")).alias("_all"))

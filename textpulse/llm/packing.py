@@ -11,6 +11,11 @@ anew among fewer partitions and packed again. Rounds end when nothing is left,
 or when a round within one partition, or without gain, shows that exchange has
 no more to give; a round never makes the packing worse.
 
+With an order (a mix, say) partitions are ranges of consecutive documents, and
+each round joins neighbouring ranges into wider ones, so that a sequence holds
+documents from one stretch of the order; sequences are then numbered by the
+mean place of their pieces. Without one, pieces are dealt by hash.
+
 Only lengths and ids move between partitions, never texts.
 
 Defined results: null or empty text is the end id alone; null ids are packed
@@ -33,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.llm.common import materialize, span_hashes, text_of
+from textpulse.operators.numbering import number_rows
 
 SEQUENCE = 2048
 END_ID = 0
@@ -40,8 +46,11 @@ GROUP_PIECES = 65536
 CACHE_WORDS = 600_000
 CHUNK_CHARS = 3_000_000
 
+ORDERED_PIECES = 4096
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", _uid long, sequence_id long, offset long, _gap long"
+CUT = PIECES + ", _at long"
+PACKED = CUT + ", _uid long, sequence_id long, offset long, _gap long"
 
 
 
@@ -178,20 +187,22 @@ def cut(ids: bytes, sequence: int = SEQUENCE) -> list[tuple[int, int, int, int]]
     return [(k, s, e - s, zlib.crc32(ids[4 * s : 4 * e])) for k, (s, e) in enumerate(zip(bounds, bounds[1:]))]
 
 
-def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """One row per piece of each document."""
+def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, order_col: str | None = None) -> DataFrame:
+    """One row per piece of each document; ``_at`` is the document's
+    ``order_col``, its place from 0 on (null without one)."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(tokenizer)
         for b in batches:
-            rows = [(d, *p) for d, ids in zip(b["doc_id"], enc.ids(b["text"].tolist())) for p in cut(ids + end, sequence)]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
+            rows = [(d, *p, at) for d, at, ids in zip(b["doc_id"], b["_at"], enc.ids(b["text"].tolist())) for p in cut(ids + end, sequence)]
+            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "_at"])
+            out["doc_id"], out["_at"] = out["doc_id"].astype("Int64"), out["_at"].astype("Int64")
             yield out
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return src.mapInPandas(run, PIECES)
+    at = F.col(order_col).cast("long") if order_col else F.lit(None).cast("long")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), at.alias("_at"))
+    return src.mapInPandas(run, CUT)
 
 
 # -- lower bounds -------------------------------------------------------------
@@ -272,31 +283,48 @@ def _pack_groups(rows: DataFrame, round_no: int, sequence: int) -> DataFrame:
 PACKED_COLS = [c.split()[0] for c in PACKED.split(", ")]
 
 
-def pack(found: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Pieces (see ``pieces``) with sequence_id and offset."""
+def pack(found: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES, ordered: bool = False) -> DataFrame:
+    """Pieces (see ``pieces``) with sequence_id and offset. ``ordered``: by their
+    ``_at``, and sequences numbered 0, 1, 2, ... along it."""
     rows = found.withColumn("_uid", F.monotonically_increasing_id()) \
         .withColumn("sequence_id", F.lit(None).cast("long")).withColumn("offset", F.lit(None).cast("long"))
     rows = materialize(rows, "pack-pieces")
-    n, settled, round_no, before = rows.count(), [], 0, None
+    n, last = rows.agg(F.count(F.lit(1)), F.coalesce(F.max("_at"), F.lit(0))).first()
+    settled, round_no, before, groups = [], 0, None, -(-n // group_pieces)
+    width = -(-(last + 1) // max(groups, 1))  # places in a range
     while n:
-        groups = -(-n // group_pieces)
-        # Pieces that share a bin stay together, so a kept packing stays whole.
-        key = F.xxhash64(F.lit(round_no), F.col("sequence_id") if round_no else F.col("_uid"))
-        packed = materialize(_pack_groups(rows.withColumn("_group", F.pmod(key, F.lit(groups))), round_no, sequence), "pack-round")
+        if ordered:
+            group = F.floor(F.coalesce("_at", F.lit(0)) / width).cast("long")
+            groups = last // width + 1
+        else:
+            # Pieces that share a bin stay together, so a kept packing stays whole.
+            key = F.xxhash64(F.lit(round_no), F.col("sequence_id") if round_no else F.col("_uid"))
+            groups = -(-n // group_pieces)
+            group = F.pmod(key, F.lit(groups))
+        packed = materialize(_pack_groups(rows.withColumn("_group", group), round_no, sequence), "pack-round")
         bins, left, n = packed.agg(F.count_distinct("sequence_id"), F.count_distinct(F.when(F.col("_gap") > 0, F.col("sequence_id"))),
                                    F.count(F.when(F.col("_gap") > 0, 1))).first()
-        stuck = groups == 1 or (round_no and bins >= before)
+        stuck = groups == 1 or (round_no and bins >= before and not ordered)
         settled.append(packed if stuck else packed.filter("_gap = 0"))
         if stuck:
             break
         rows, before, round_no = packed.filter("_gap > 0").drop("_gap"), left, round_no + 1
+        # Whole ranges are joined, so a bin's pieces stay in one.
+        width *= max(2, group_pieces * groups // max(n, 1))
     names = [c.split()[0] for c in PIECES.split(", ")] + ["sequence_id", "offset"]
     if not settled:
         return rows.select(*names)
     out = settled[0]
     for s in settled[1:]:
         out = out.unionByName(s)
-    return out.select(*names)
+    return _numbered(out).select(*names) if ordered else out.select(*names)
+
+
+def _numbered(packed: DataFrame) -> DataFrame:
+    """Sequences numbered by the mean place of their pieces' documents."""
+    place = packed.groupBy("sequence_id").agg(F.avg("_at").alias("_mean"), F.min("_uid").alias("_least"))
+    numbers = number_rows(place, [F.col("_mean"), F.col("_least")], "_number", "pack-numbers").select("sequence_id", "_number")
+    return packed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("_number"))
 
 
 def default_tokenizer() -> str:
@@ -305,5 +333,8 @@ def default_tokenizer() -> str:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE,
-                   end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    return pack(pieces(docs, tokenizer or default_tokenizer(), sequence, end_id), sequence, group_pieces)
+                   end_id: int = END_ID, group_pieces: int | None = None, order_col: str | None = None) -> DataFrame:
+    """The packing of ``docs``; with ``order_col`` (whole places from 0 on)
+    along that order, in ranges of ``ORDERED_PIECES`` pieces."""
+    found = pieces(docs, tokenizer or default_tokenizer(), sequence, end_id, order_col)
+    return pack(found, sequence, group_pieces or (ORDERED_PIECES if order_col else GROUP_PIECES), order_col is not None)

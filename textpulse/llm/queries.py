@@ -94,9 +94,9 @@ SQL = {
 WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS k FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS rank FROM d),
 n AS (SELECT k, count(*) AS n FROM d GROUP BY k),
+o AS (SELECT count(*) AS o, count(*) < (SELECT count(*) FROM n) AS named FROM n WHERE k <> 'ssrc0'),
 w AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i, (n + {mixing.BLOCK_DOCS - 1}) // {mixing.BLOCK_DOCS} AS m,
-        greatest(1, CAST(floor((CASE WHEN k = 'ssrc0' THEN CAST(0.25 AS DOUBLE) ELSE CAST(0.75 AS DOUBLE) / (SELECT count(*) FROM n WHERE k <> 'ssrc0') END)
-          * {mixing.PARTS} + CAST(0.5 AS DOUBLE)) AS BIGINT)) AS p FROM n),
+        CASE WHEN o = 0 OR NOT named THEN 1 WHEN k = 'ssrc0' THEN o // gcd(o, 3) ELSE 3 // gcd(o, 3) END AS p FROM n, o),
 f AS (SELECT DISTINCT unnest([0, m // p, m // p + 1]) AS f FROM w),
 a AS (SELECT f, i, p, greatest(0, least(p, m - p * f)) AS a FROM f, w),
 b AS (SELECT f, i, p, a, unnest(range(a)) AS q FROM a),
@@ -109,8 +109,8 @@ g AS (SELECT f, list(coalesce(w, []) ORDER BY i) AS w FROM l GROUP BY f),
 e AS (SELECT f, 0 AS t, w, CAST(list_sum([len(x) FOR x IN w]) AS BIGINT) AS len, [0 FOR x IN w] AS had, CAST(-1 AS BIGINT) AS pick FROM g
       UNION ALL
       SELECT f, t + 1, w, len, [had[j + 1] + CASE WHEN j = pk THEN 1 ELSE 0 END FOR j IN range(len(w))], pk FROM (
-        SELECT *, list_min([w[j + 1][had[j + 1] + 1].due * 1000 + j FOR j IN range(len(w))
-                            IF had[j + 1] < len(w[j + 1]) AND w[j + 1][had[j + 1] + 1].rel <= t]) % 1000 AS pk FROM e WHERE t < len)),
+        SELECT *, list_min([w[j + 1][had[j + 1] + 1].due * 10000 + j FOR j IN range(len(w))
+                            IF had[j + 1] < len(w[j + 1]) AND w[j + 1][had[j + 1] + 1].rel <= t]) % 10000 AS pk FROM e WHERE t < len)),
 s AS (SELECT f, pick AS i, had[pick + 1] - 1 AS q, t - 1 AS slot FROM e WHERE pick >= 0),
 c AS (SELECT r.doc_id, r.source, w.i, w.p, r.rank // {mixing.BLOCK_DOCS} AS block, r.rank % {mixing.BLOCK_DOCS} AS place FROM r JOIN w USING (k)),
 k AS (SELECT *, block // p AS cycle, block - block // p * p AS q FROM c),
