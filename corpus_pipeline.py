@@ -8,7 +8,9 @@ stage's documents:
 2. exact:   of equal texts the row with the largest id stays.
 3. near:    of documents alike in 0.8 of their 5-word shingles one stays.
 4. mix:     all documents, in the order of a Pfair mix of their sources.
-5. pack:    token pieces with their place in sequences of 2048 tokens.
+5. pack:    token pieces with their place in sequences of 2048 tokens; the
+   sequences follow the mix, whose places are computed again from the same
+   documents (the order of a table's rows isn't relied on).
 
 All stages but the last return the columns of documents.
 """
@@ -16,6 +18,7 @@ All stages but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textpulse.llm import exact, minhash, mixing, packing, quality
 from textpulse.llm.common import fresh_path, table
@@ -41,7 +44,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    mixed = mixing.mix(docs.select("doc_id", "text", "source"), TARGETS)
+    place = F.col("mix_slot") * mixing.BLOCK_DOCS + F.col("mix_place")
+    return packing.pack_documents(mixed.select("doc_id", "text", place.alias("place")), order_col="place")
 
 
 STAGES = [
