@@ -52,12 +52,12 @@ TAILS = 96
 HEADS = HEAD // CLASS_WORDS
 CLASSES = HEADS + TAILS
 START = HEAD + TAILS     # the input before a document's first word
-WINDOW = 24
+WINDOW = 12
 ROUNDS = 3
 REPLICA_DOCS = 4000
 KNOWN_WORDS = 100_000    # counts that each task holds
-LANES = 768
-TRAIN_LANES = 128
+LANES = 256
+TRAIN_LANES = 256
 GROUP_WORDS = 600_000
 RATE = 0.01
 CHUNK = 8192             # weights a row when replicas are averaged
