@@ -94,6 +94,51 @@ def test_marks_take_no_article_text(page, want):
     assert " ".join(t for _, t in html.blocks(page)) == want
 
 
+@pytest.mark.parametrize("name", ["reader-comments", "user-comments", "comment-thread", "ad-slot", "advert-top", "related-articles", "share-this",
+                                  "comments", "ads", "comment_list", "sponsored-links", "newsletter-box"])
+def test_comments_and_adverts_inside_an_article_go(name):
+    for attr in (f'class="{name}"', f"id='{name}'", f"class='x {name} y'"):
+        assert html.blocks(f"<article><p>one<div {attr}><p>no <b>no</b><ul><li>no</ul></div><p>two</article>") == [(1, "one"), (1, "two")]
+
+
+@pytest.mark.parametrize("inside, goes", [
+    ("<p>The social history of the town is long.</p>", False),
+    ("<ul><li><a href=x>first story</a><li><a href=y>second story</a></ul>", True),
+    ("<p>Tell us <input name=a> now</p>", True),
+    ("<div><span class=author>A</span> wrote well</div><div><time>1 May</time> B agrees</div>", True),
+    ("<p>See <a href=x>one</a> of the many long sources of this part</p>", False),
+])
+def test_content_decides_about_suspects(inside, goes):
+    got = html.blocks(f'<article><p>one</p><section class="social-history">{inside}</section><p>two</p></article>')
+    assert [t for k, t in got if k == html.MAIN_TEXT] == ["one", "two"]
+    assert any(k == html.DOUBTFUL for k, _ in got) == (not goes)
+
+
+def test_doubtful_blocks_go_where_the_host_repeats_them(pages):
+    same = "join our weekly letter of news for all friends of this fine paper"
+    rows = [(i, f"http://h/{i}", f"<article><p>page {i} text</p><div class='subscribe-teaser'>{same}</div></article>") for i in range(4)]
+    rows += [(None, "http://h/n", f"<article><p>page null text</p><div class='subscribe-teaser'>{same}</div></article>")]
+    rows += [(9, "http://h/9", "<article><p>page 9 text</p><div class='search-theory'>the theory of search is told in this one part of the page alone</div></article>")]
+    for group in (1, 100):
+        got = {r.page_id: r.text for r in html.extract(pages(rows), group_pages=group).collect()}
+        assert got == {i: f"page {i} text" for i in range(4)} | {None: "page null text", 9: "page 9 text the theory of search is told in this one part of the page alone"}
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '", "<!x", "<![CDATA[", "<!--", "<head>", "<head><body>", "<div>", "</p>", "<p><div>", "</div>", "<i><div><b>",
+                                   "<article hidden>", "<article>", '<div class="ad ', "<script", "<textarea>", "&amp", "<a<b", '<div class="social-history">',
+                                   '<article><div class="social-history">x'])
+def test_time_is_linear_in_malformed_pages(piece):
+    import time
+
+    def spent(n):
+        page = "<i><div><p>" + piece * (n // len(piece)) + "</i></p>" * 10 + "</q>" * (n // 40) + "</p>" * (n // 40)
+        t = time.process_time()
+        html.blocks(page)
+        return time.process_time() - t
+    small, large = min(spent(50_000) for _ in range(2)), spent(800_000)
+    assert large < 0.5 + 40 * small and large < 20
+
+
 @pytest.mark.parametrize("group", [2, 100])
 def test_repeated_runs_go_whatever_the_groups(pages, group):
     """Pages without an article: what a host repeats goes, what is unique stays."""

@@ -6,13 +6,18 @@ character references decoded and white space made one space. A block is
 form, comment section, script or style; *main* if it stands in the page's
 article; else it is *open*. Chrome goes, main stays. (Repetition may not
 decide about them: menus differ from page to page of a host, and articles
-quote each other.) Within an article a class, id or role marks chrome only if
-all its words do ("social-share", not "social-history"), and ids of headings,
-paragraphs and inline elements never do. If chrome holds a page's only article,
-the elements around it are none, unless they are hidden.
-
-Open blocks, and all blocks of pages without an article, are decided by
-repetition on their host: the word streams of its pages are concatenated, a
+quote each other.) If chrome holds a page's only article, the elements around
+it are none, unless they are hidden.
+
+Within an article a class, id or role whose words are all marks or parts of a
+page ("reader-comments", "ad-slot") is chrome, and ids of headings, paragraphs
+and inline elements say nothing. A mark among other words ("social-history",
+"sponsor-quiz") makes its element a suspect, which its content decides: form
+controls, two signed or dated entries, or half of its words in links make it
+chrome. Without such evidence its blocks are *doubtful*.
+
+Open and doubtful blocks are decided by repetition on their host: the word
+streams of its pages are concatenated, a
 suffix array over them gives all runs of at least ``LEAST_WORDS`` words that
 occur on two distinct pages, covered words are boilerplate and go, and what is
 unique stays. Hosts are worked through in groups of ``GROUP_PAGES`` pages, so
@@ -30,6 +35,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +63,11 @@ MARKS = {"ad", "ads", "advert", "advertisement", "advertising", "sponsor", "spon
          "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "related", "share", "sharing", "social", "popup",
          "modal", "toolbar", "pagination", "pager", "widget"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+# A tag's attributes end at the next tag's beginning, and nothing is tried twice
+# (possessive), so a page is read in time proportional to its length however
+# malformed it is.
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/<>]*+)"
+                  r"(?P<attrs>(?:[^<>\"']|<(?![A-Za-z/!?])|\"[^\"]*\"|'[^']*')*+)>|<[!?][^<>]*+>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
@@ -69,102 +79,188 @@ LAYOUT = {"has", "with", "without", "no", "layout"}
 OWN = {"header", "masthead"}
 
 
-#: Words that leave such a mark whole within an article ("comment-list").
-PARTS_OF = {"area", "bar", "block", "box", "button", "buttons", "container", "content", "group", "icon", "icons", "inner", "item", "items",
-            "link", "links", "list", "outer", "panel", "post", "posts", "section", "wrap", "wrapper"}
+#: Words that leave such a mark whole within an article ("comment-list",
+#: "reader-comments", "ad-slot"): parts of a page, places, and who writes.
+PARTS_OF = {"area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "center", "column", "container", "content", "count",
+            "feed", "form", "group", "holder", "icon", "icons", "inline", "inner", "item", "items", "left", "link", "links", "list", "main",
+            "message", "middle", "module", "more", "outer", "panel", "place", "placeholder", "post", "posts", "right", "row", "section",
+            "slot", "space", "stories", "story", "text", "this", "thread", "threads", "title", "tool", "tools", "top", "unit", "wrap",
+            "wrapper", "zone", "article", "articles", "page", "pages", "reader", "readers", "user", "users", "visitor", "visitors", "guest"}
 #: Elements whose ids are made from their text.
 TITLED = INLINE | {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
+CONTROLS = {"input", "button", "select", "textarea", "form", "fieldset", "iframe"}
+#: Words of a class that belong to a signed and dated entry.
+SIGNED = {"author", "avatar", "byline", "date", "datetime", "posted", "timestamp", "username", "vcard"}
+LINK_SHARE = 0.5
+
+OPEN, MAIN_TEXT, DOUBTFUL = 0, 1, 2
+NO, YES, HIDDEN, SUSPECT = 0, 1, 2, 3
 
 
 def _is_chrome(name: str, attrs: str, main: bool) -> int:
-    """0: no, 1: yes, 2: yes, as it is hidden."""
+    """NO, YES, HIDDEN (yes, and whatever is inside), or SUSPECT: within an
+    article a mark stands among words of another kind ("social-history")."""
     if name in CHROME:
-        return 0 if main and name in OWN else 2 if _HIDDEN.search(attrs) else 1
+        return NO if main and name in OWN else HIDDEN if _HIDDEN.search(attrs) else YES
     if not attrs or name in ("html", "body"):
-        return 0
+        return NO
     if _HIDDEN.search(attrs):
-        return 2
+        return HIDDEN
+    found = NO
     for m in _ATTR.finditer(attrs):
         if main and name in TITLED and m[1].lower() == "id":
             continue
         for token in (m[2] or m[3] or m[4] or "").lower().split():
             words = set(_WORDS.findall(token))
-            if main and (words - MARKS - PARTS_OF or not words & (MARKS - OWN)):
+            if not words & (MARKS - OWN if main else MARKS) or words & LAYOUT:
                 continue
-            if words & MARKS and not words & LAYOUT:
-                return 1
-    return 0
+            if not main or not words - MARKS - PARTS_OF:
+                return YES
+            found = SUSPECT
+    return found if name not in TITLED else NO
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
-    """(kind, text) of each non-empty block in page order; kind 0: open, 1: main.
+    """(kind, text) of each non-empty block in page order.
 
     Within an article, headers belong to it (``header`` there holds its
     title); every other chrome goes. End tags close the nearest open element
     of their name, and what was left open inside it."""
-    out, around = _blocks(page, frozenset())
-    return _blocks(page, around)[0] if around else out
-
-
-def _blocks(page: str, spared: frozenset[int]) -> tuple[list[tuple[int, str]], frozenset[int]]:
-    """Blocks, where elements that begin at ``spared`` are no chrome; and, if
-    every article is inside chrome, where the chrome around the first begins."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, bool, int, int]] = []  # name, chrome, main, own chrome, place
-    parts: list[str] = []
-    around: frozenset[int] = frozenset()
-    outside = False
-    at, chrome, main = 0, False, False
-    length = len(page)
-
-    def flush() -> None:
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+    out, around = _Reader(page, frozenset()).read()
+    return _Reader(page, around).read()[0] if around else out
+
+
+class _Reader:
+    """One pass over a page; elements that begin at ``spared`` are no chrome.
+
+    The stack holds (name, chrome, main, own verdict, place, counts at its
+    begin). Counts of open names, overall and since the last container, say
+    whether an end tag has something to close, so that a page of unmatched tags
+    takes no longer than another."""
+
+    def __init__(self, page: str, spared: frozenset[int]):
+        self.page, self.spared = page, spared
+        self.out: list[tuple[int, str]] = []
+        self.parts: list[str] = []
+        self.stack: list[tuple] = []
+        self.open: Counter = Counter()
+        self.inline: list[Counter] = [Counter()]
+        self.hidden = self.links = 0
+        # What suspects are judged by: words, words in links, controls, signs of entries.
+        self.words = self.linked = self.controls = self.signed = 0
+        self.chrome = self.main = self.head_seen = self.first_seen = self.outside = False
+        self.around: frozenset[int] = frozenset()
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join(entities.unescape("".join(self.parts)).split())
             if text:
-                out.append((1 if main else 0, text))
-            parts.clear()
-
-    while at < length:
-        m = _TAG.search(page, at)
-        if m is None:
-            if not chrome:
-                parts.append(page[at:])
-            break
-        if not chrome and m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None and not chrome:
-            parts.append(m["cdata"].replace("&", "&amp;"))
-        if m["name"] is None:
-            continue
-        name = m["name"].lower()
-        if name not in INLINE:
-            flush()
-        if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    # An inline or paragraph end tag doesn't reach out of its container.
-                    if name in INLINE or name == "p":
-                        if any(x[0] not in INLINE and x[0] != "p" for x in stack[i + 1 :]):
-                            break
-                    del stack[i:]
-                    break
-        elif name in RAW and not m["attrs"].endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if name != "head":
-                at = close.end() if close else length
-            elif close and not re.search(r"<body\b", page[at : close.start()], re.I):
-                at = close.end()
-        elif name not in VOID and not m["attrs"].endswith("/"):
-            own = 0 if m.start() in spared else _is_chrome(name, m["attrs"], main)
-            stack.append((name, chrome or own > 0, main or (name in MAIN and not chrome), own, m.start()))
-            if name in MAIN:
-                outside = outside or not stack[-1][1]
-                if not around and all(x[3] < 2 for x in stack):
-                    around = frozenset(x[4] for x in stack if x[3])
-        chrome, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-    flush()
-    return out, frozenset() if outside else around
+                self.out.append((MAIN_TEXT if self.main else OPEN, text))
+            self.parts.clear()
+
+    def text(self, raw: str) -> None:
+        if self.chrome or not raw:
+            return
+        self.parts.append(raw)
+        n = len(raw.split())
+        self.words += n
+        self.linked += n if self.links else 0
+
+    def push(self, name: str, attrs: str, place: int) -> None:
+        own = NO if place in self.spared else _is_chrome(name, attrs, self.main)
+        self.controls += name in CONTROLS
+        if self.main and not self.chrome:
+            signs = {w for m in _ATTR.finditer(attrs) for w in _WORDS.findall((m[2] or m[3] or m[4] or "").lower())}
+            self.signed += name == "time" or bool(signs & SIGNED)
+        begin = (len(self.out), self.words, self.linked, self.controls, self.signed) if own == SUSPECT else None
+        self.stack.append((name, self.chrome or own in (YES, HIDDEN), self.main or (name in MAIN and not self.chrome), own, place, begin))
+        self.open[name] += 1
+        self.hidden += own == HIDDEN
+        self.links += name == "a"
+        if name in INLINE or name == "p":
+            self.inline[-1][name] += 1
+        else:
+            self.inline.append(Counter())
+        if name in MAIN:
+            self.outside = self.outside or not self.stack[-1][1]
+            if not self.first_seen and not self.hidden:
+                self.first_seen = True
+                self.around = frozenset(x[4] for x in self.stack if x[3] in (YES, HIDDEN))
+
+    def pop(self) -> str:
+        name, _, _, own, _, begin = self.stack.pop()
+        self.open[name] -= 1
+        self.hidden -= own == HIDDEN
+        self.links -= name == "a"
+        if name in INLINE or name == "p":
+            self.inline[-1][name] -= 1
+        else:
+            self.inline.pop()
+        if begin:
+            at, words, linked, controls, signed = begin
+            n = self.words - words
+            if self.controls > controls or self.signed - signed >= 2 or (n and (self.linked - linked) >= LINK_SHARE * n):
+                del self.out[at:]
+                self.doubted = min(self.doubted, at)
+            else:
+                for i in range(max(at, self.doubted), len(self.out)):
+                    self.out[i] = (DOUBTFUL, self.out[i][1])
+                self.doubted = len(self.out)
+        return name
+
+    #: Blocks before it have had their doubt; so nested suspects mark each once.
+    doubted = 0
+
+    def close(self, name: str) -> None:
+        # An inline or paragraph end tag doesn't reach out of its container.
+        there = self.inline[-1] if name in INLINE or name == "p" else self.open
+        if there[name]:
+            while self.pop() != name:
+                pass
+
+    def raw(self, name: str, at: int) -> int:
+        """Where reading goes on after the begin of an element without text."""
+        if name == "head":
+            if self.head_seen:
+                return at
+            self.head_seen = True
+        close = re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(self.page, at)
+        if name != "head":
+            return close.end() if close else len(self.page)
+        return close.end() if close and not re.compile(r"<body\b", re.I).search(self.page, at, close.start()) else at
+
+    def read(self) -> tuple[list[tuple[int, str]], frozenset[int]]:
+        """Blocks; and, if every article is inside chrome, where the chrome
+        around the first begins."""
+        page, at, length = self.page, 0, len(self.page)
+        while at < length:
+            m = _TAG.search(page, at)
+            if m is None:
+                self.text(page[at:])
+                break
+            self.text(page[at : m.start()])
+            at = m.end()
+            if m["cdata"] is not None:
+                self.text(m["cdata"].replace("&", "&amp;"))
+            if m["name"] is None:
+                continue
+            name, attrs = m["name"].lower(), m["attrs"]
+            if name not in INLINE:
+                self.flush()
+            if m["end"]:
+                self.close(name)
+            elif name in RAW and not attrs.endswith("/"):
+                self.controls += name in CONTROLS
+                at = self.raw(name, at)
+            elif name in VOID or attrs.endswith("/"):
+                self.controls += name in CONTROLS
+            else:
+                self.push(name, attrs, m.start())
+            self.chrome, self.main = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, False)
+        self.flush()
+        while self.stack:
+            self.pop()
+        return self.out, frozenset() if self.outside else self.around
 
 
 # -- repeated runs ------------------------------------------------------------
@@ -282,10 +378,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             rows = []
             for p, u, h in zip(b["page_id"], b["url"], b["html"]):
                 found = blocks(h)
-                if any(k for k, _ in found):  # pages with an article: open blocks outside it stay candidates
-                    fixed = all(k for k, _ in found)
-                else:
-                    fixed = not found
+                fixed = all(k == MAIN_TEXT for k, _ in found)
                 rows.append((p, u, host_of(u), fixed, [k for k, _ in found], [t for _, t in found]))
             out = pd.DataFrame(rows, columns=["page_id", "url", "host", "fixed", "kinds", "texts"])
             out["page_id"] = out["page_id"].astype("Int64")
@@ -297,7 +390,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 
 def _open_words(kinds, texts) -> list[str]:
-    return [w for k, t in zip(kinds, texts) if k == 0 for w in t.split(" ")]
+    return [w for k, t in zip(kinds, texts) if k != MAIN_TEXT for w in t.split(" ")]
 
 
 def extract(pages: DataFrame, least_words: int = LEAST_WORDS, group_pages: int = GROUP_PAGES) -> DataFrame:
@@ -321,11 +414,12 @@ def extract(pages: DataFrame, least_words: int = LEAST_WORDS, group_pages: int =
 
     judged = materialize(grouped.groupBy("host", "_group").applyInPandas(in_group, KEPT), "html-groups")
     # Windows that two pages of a host share, whichever groups they are in.
-    seen = judged.select("host", "page_id", "same", F.explode("found").alias("w"))
-    common = (seen.groupBy("host", "w").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.min("same").alias("c"), F.max("same").alias("d"))
+    judged = judged.withColumn("_page", F.coalesce(F.col("page_id").cast("string"), F.lit("")))  # a null id is a page too
+    seen = judged.select("host", "_page", "same", F.explode("found").alias("w"))
+    common = (seen.groupBy("host", "w").agg(F.min("_page").alias("a"), F.max("_page").alias("b"), F.min("same").alias("c"), F.max("same").alias("d"))
               .filter("a <> b AND c <> d").select("host", "w"))
-    marked = seen.join(common, ["host", "w"]).groupBy("host", "page_id").agg(F.collect_set("w").alias("shared"))
-    final = judged.drop("found", "same").join(marked, ["host", "page_id"], "left")
+    marked = seen.join(common, ["host", "w"]).groupBy("host", "_page").agg(F.collect_set("w").alias("shared"))
+    final = judged.drop("found", "same").join(marked, ["host", "_page"], "left")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -339,7 +433,7 @@ def extract(pages: DataFrame, least_words: int = LEAST_WORDS, group_pages: int =
                         gone[hit + k] = True
                 out, at = [], 0
                 for k, t in zip(kinds, parts):
-                    if k == 0:
+                    if k != MAIN_TEXT:
                         own = t.split(" ")
                         t = " ".join(w for w, g in zip(own, gone[at : at + len(own)]) if not g)
                         at += len(own)
