@@ -8,6 +8,8 @@ broadcast back onto the posts.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import IDF, PCA, HashingTF, NGram, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -202,51 +204,123 @@ def density_topics(df: DataFrame, vec_col: str, key: str, radius: float = K.DENS
                       rnd(F.when(F.col("topic_id").isNull(), 0.0).otherwise(near)).alias("topic_prob"))
 
 
-def lda_topics(df: DataFrame, tokens_col: str, key: str, k: int = K.NR_TOPICS,
-               seed: int = K.TOPIC_SEED, max_iter: int = 20, features: int = 1 << 16) -> DataFrame:
-    """ML-9: Spark ML LDA over term counts; dominant topic and its weight.
-
-    Terms are hashed into ``features`` counts, so no term is left out and no
-    vocabulary is gathered; terms that share a place count together."""
-    tf = HashingTF(inputCol=tokens_col, outputCol="_tf", numFeatures=features)
-    feats = tf.transform(df.select(key, tokens_col))
-    model = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="_tf",
-                topicDistributionCol="_td").fit(feats)
-    td = model.transform(feats).withColumn("_p", vector_to_array("_td"))
-    return td.select(key, F.array_position("_p", F.array_max("_p")).cast("int").alias("_pos"),
-                     rnd(F.array_max("_p")).alias("topic_prob")) \
-             .select(key, (F.col("_pos") - 1).alias("topic_id"), "topic_prob")
-
-
-def merge_topics(df: DataFrame, class_col: str, nr_topics: int, tokens_col: str = "tokens") -> DataFrame:
-    """ML-6: merge the smallest topic into its most similar one (cosine of
-    c-TF-IDF vectors) until ``nr_topics`` remain; -1 leaves them as they are.
-
-    The posts are read once, into a written table of (class, term, tf); rounds
-    work on that table. The driver holds the mapping (a row per topic) and
-    each round's winner. Returns (original class, merged topic id by size)."""
+def term_numbers(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """(term, number, df): every term once, numbered 0, 1, 2, ... by falling
+    document frequency and then by term. Numbers are dealt by partition and
+    place in it, so no vocabulary is gathered anywhere."""
+    counted = (df.select(F.explode(F.array_distinct(tokens_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    return number_rows(counted, [F.desc("df"), F.col("term")], "number", "terms")
+
+
+def count_vectors(df: DataFrame, terms: DataFrame, key: str, tokens_col: str = "tokens") -> DataFrame:
+    """(key, features): sparse counts over the term numbers, for every row; a
+    row without tokens has the zero vector. A null key is one row."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    size = max(1, terms.count())
+    counts = (df.select(F.col(key).alias("_key"), F.explode(tokens_col).alias("term")).groupBy("_key", "term").agg(F.count(F.lit(1)).alias("n"))
+              .join(terms.select("term", "number"), "term"))
+    rows = counts.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("number", "n"))).alias("_c"))  # a text's own distinct terms
+    sparse = F.udf(lambda c: Vectors.sparse(size, [x["number"] for x in c or ()], [float(x["n"]) for x in c or ()]), VectorUDT())
+    every = df.select(key)
+    return every.join(rows, every[key].eqNullSafe(rows["_key"]), "left").select(key, sparse("_c").alias("features"))
+
+
+def lda_model(df: DataFrame, tokens_col: str, key: str, k: int = K.NR_TOPICS, seed: int = K.TOPIC_SEED,
+              max_iter: int = 20, n_words: int = K.TOPIC_REPORT_WORDS) -> tuple[DataFrame, DataFrame]:
+    """ML-9: Spark ML LDA over the counts of all terms. Returns (key, topic_id,
+    topic_prob) with each row's dominant topic (-1 without tokens), and the
+    topics as ``topic_table`` gives them: topic, topic_id, count, words and
+    weights, the words by ``describeTopics`` joined with the term numbers."""
+    spark = df.sparkSession
+    terms = term_numbers(df, tokens_col)
+    feats = materialize(spark, count_vectors(df, terms, key, tokens_col), "lda-counts")
+    model = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="features", topicDistributionCol="_td").fit(feats)
+    p = model.transform(feats).withColumn("_p", vector_to_array("_td"))
+    best = F.array_max("_p")
+    found = p.select(key, F.when(best > 0, F.array_position("_p", best).cast("int") - 1).otherwise(-1).alias("topic_id"),
+                     F.when(best > 0, rnd(best)).alias("topic_prob"))
+    found = materialize(spark, found, "lda-topics")
+    described = model.describeTopics(n_words).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("w"))  # k x n_words rows
+    named = described.join(terms, F.col("w.termIndices") == F.col("number")).groupBy("topic") \
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("w.termWeights")).alias("order"), "term", F.col("w.termWeights").alias("weight")))).alias("_w"))
+    sizes = found.groupBy("topic_id").agg(F.count(F.lit(1)).alias("count"))
+    topics = named.join(sizes, F.col("topic") == F.col("topic_id"), "left").select(
+        "topic", F.col("topic").cast("int").alias("topic_id"), F.coalesce("count", F.lit(0)).alias("count"),
+        F.transform("_w", lambda x: x["term"]).alias("words"), F.transform("_w", lambda x: x["weight"]).alias("weights"))
+    return found, topics
+
+
+def lda_topics(df: DataFrame, tokens_col: str, key: str, k: int = K.NR_TOPICS, seed: int = K.TOPIC_SEED, max_iter: int = 20) -> DataFrame:
+    """ML-9: dominant LDA topic and its weight for every row."""
+    return lda_model(df, tokens_col, key, k, seed, max_iter)[0]
+
+
+def topic_similarities(tf: DataFrame) -> DataFrame:
+    """(a, b, dot) for topics a <= b that share a term: scalar products of
+    their class-based TF-IDF vectors, by one self-join on the term."""
+    w = ctfidf(tf).select("topic", "term", "weight")
+    other = w.select(F.col("topic").alias("b"), "term", F.col("weight").alias("_wb"))
+    return (w.withColumnRenamed("topic", "a").join(other, "term").where(F.col("a") <= F.col("b"))
+             .groupBy("a", "b").agg(F.sum(F.col("weight") * F.col("_wb")).alias("dot")))
+
+
+def merge_order(sizes: dict, dots: dict) -> list[tuple]:
+    """(from, into, similarity) of each merge down to one topic: the smallest
+    topic goes into its most similar one (cosine; without a shared term the
+    largest). Term weights stay those of the topics found, so a merged topic's
+    vector is the sum and its products are sums of products."""
+    names = sorted(sizes, key=str)
+    dot = {a: {b: dots.get((a, b), dots.get((b, a), 0.0)) for b in names} for a in names}
+    size, out = dict(sizes), []
+    while len(size) > 1:
+        small = min(size, key=lambda t: (size[t], str(t)))
+        others = [t for t in size if t != small]
+        cosine = lambda t: dot[small][t] / math.sqrt(dot[small][small] * dot[t][t]) if dot[small][t] > 0 else 0.0
+        best = max(cosine(t) for t in others)
+        into = min((t for t in others if cosine(t) == best), key=str) if best > 0 else min(others, key=lambda t: (-size[t], str(t)))
+        out.append((small, into, best))
+        own = dot[into][into] + 2 * dot[small][into] + dot[small][small]
+        for t in others:
+            if t != into:
+                dot[into][t] = dot[t][into] = dot[into][t] + dot[small][t]
+        dot[into][into] = own
+        size[into] += size.pop(small)
+    return out
+
+
+def automatic_number(merges: list[tuple], topics: int) -> int:
+    """Where the merge tree is cut if no number is given: before the merge
+    with the largest fall in similarity against the one before it (at least
+    two topics stay; without any fall, all)."""
+    falls = [(merges[i - 1][2] - merges[i][2], -i) for i in range(1, len(merges) - 1)]
+    best = max(falls, default=(0.0, 0))
+    return topics + best[1] if best[0] > 0 else topics
+
+
+def merge_topics(df: DataFrame, class_col: str, nr_topics: int, tokens_col: str = "tokens", outlier=None) -> DataFrame:
+    """ML-6: reduce the topics to ``nr_topics`` (see ``merge_order``); -1
+    chooses the number by ``automatic_number``. Rows of class ``outlier`` are
+    no topic and stay apart.
+
+    Two jobs whatever the number of merges: the term counts of each class,
+    written, and the products of all pairs of topics. The driver holds those, a
+    number for each pair of topics. Returns (original class, merged topic id by
+    size; -1 for the outliers)."""
     spark = df.sparkSession
-    tf = materialize(spark, class_term_counts(df, class_col, tokens_col).withColumnRenamed("topic", "orig"), "merge-tf")
-    sizes = {r["topic"]: r["count"] for r in topic_ids_by_size(df, class_col).collect()}
+    posts = df if outlier is None else df.where(~F.col(class_col).eqNullSafe(F.lit(outlier)))
+    tf = materialize(spark, class_term_counts(posts, class_col, tokens_col), "merge-tf")
+    sizes = {r["topic"]: r["count"] for r in topic_ids_by_size(posts, class_col).select("topic", "count").collect()}
     kind = df.schema[class_col].dataType.simpleString()
+    dots = {(r["a"], r["b"]): r["dot"] for r in topic_similarities(tf).collect()}
+    merges = merge_order(sizes, dots)
+    left = len(sizes) if nr_topics == 0 else automatic_number(merges, len(sizes)) if nr_topics < 0 else min(nr_topics, len(sizes))
     mapping = {t: t for t in sizes}
-
-    def size(topic) -> int:
-        return sum(sizes[o] for o, t in mapping.items() if t == topic)
-
-    while nr_topics > 0 and len(set(mapping.values())) > nr_topics:
-        smallest = min(set(mapping.values()), key=lambda t: (size(t), str(t)))
-        now = spark.createDataFrame(list(mapping.items()), f"orig {kind}, topic {kind}")
-        wts = ctfidf(tf.join(now, "orig").groupBy("topic", "term").agg(F.sum("tf").alias("tf"))).select("topic", "term", "weight")
-        a = wts.where(F.col("topic") == smallest).select("term", F.col("weight").alias("wa"))
-        sims = (wts.where(F.col("topic") != smallest).join(a, "term", "left").groupBy("topic")
-                   .agg((F.sum(F.col("weight") * F.coalesce("wa", F.lit(0.0))) / F.sqrt(F.sum(F.col("weight") * F.col("weight")))).alias("sim")))
-        best = sims.orderBy(F.desc("sim"), F.col("topic")).first()
-        others = set(mapping.values()) - {smallest}
-        target = best["topic"] if best and best["sim"] else max(others, key=lambda t: (size(t), str(t)))
-        mapping = {o: target if t == smallest else t for o, t in mapping.items()}
-    order = sorted(set(mapping.values()), key=lambda t: (-size(t), str(t)))
-    return spark.createDataFrame([(o, order.index(t)) for o, t in mapping.items()], f"{class_col} {kind}, topic_id int")
+    for small, into, _ in merges[: len(sizes) - left]:
+        mapping = {o: into if t == small else t for o, t in mapping.items()}
+    total = {t: sum(sizes[o] for o, x in mapping.items() if x == t) for t in set(mapping.values())}
+    order = {t: i for i, t in enumerate(sorted(total, key=lambda t: (-total[t], str(t))))}
+    rows = [(o, order[t]) for o, t in mapping.items()] + ([] if outlier is None else [(outlier, -1)])
+    return spark.createDataFrame(rows, f"{class_col} {kind}, topic_id int")
 
 
 def text_vectors(df: DataFrame, tokens_col: str = "tokens", key: str = "post_id", dims: int = 256) -> DataFrame:

@@ -131,11 +131,33 @@ def topic_density_query(spark, sf_dir):
 @register("topic_merge")
 def topic_merge_query(spark, sf_dir):
     """ML-6: merge forum topics by c-TF-IDF similarity down to four
-    (iterative; rows-only check)."""
+    (rows-only check; brute force in the tests)."""
     ti = _topic_input(spark, sf_dir)
     return TP.merge_topics(ti, "forum", nr_topics=4)
 
 
+@register("topic_similarity", sql=lambda: _clean(CTFIDF_CTE + f"""
+SELECT x.topic AS a, y.topic AS b, {S.rnd('sum(x.weight * y.weight) / sqrt(any_value(x.n) * any_value(y.n))', 6)} AS similarity
+FROM (SELECT *, sum(weight * weight) OVER (PARTITION BY topic) AS n FROM ww) x
+JOIN (SELECT *, sum(weight * weight) OVER (PARTITION BY topic) AS n FROM ww) y ON x.term = y.term AND x.topic < y.topic
+GROUP BY x.topic, y.topic"""))
+def topic_similarity_query(spark, sf_dir):
+    """ML-6: cosine similarities of all pairs of forum topics, by one self-join
+    of their weighted terms."""
+    ti = _topic_input(spark, sf_dir)
+    d = materialize(spark, TP.topic_similarities(TP.class_term_counts(ti, "forum", vocabulary=TP.ngram_doc_freq(ti))), "similarities")
+    norm = d.where("a = b").select(F.col("a").alias("t"), F.sqrt("dot").alias("n"))
+    out = d.where("a <> b").join(norm.toDF("a", "_na"), "a").join(norm.toDF("b", "_nb"), "b")
+    return out.select("a", "b", rnd(F.col("dot") / (F.col("_na") * F.col("_nb")), 6).alias("similarity"))
+
+
+@register("topic_merge_auto")
+def topic_merge_auto_query(spark, sf_dir):
+    """ML-6 with nr_topics = -1: the number of topics by the largest fall in
+    the merge tree (rows-only check; brute force in the tests)."""
+    return TP.merge_topics(_topic_input(spark, sf_dir), "forum", nr_topics=-1)
+
+
 @register("lda_topics")
 def lda_query(spark, sf_dir):
     """ML-9: LDA topics over the topic-model input (rows-only check)."""
@@ -143,6 +165,22 @@ def lda_query(spark, sf_dir):
     return TP.lda_topics(ti, "tokens", "post_id", k=K.NR_TOPICS)
 
 
+@register("lda_report")
+def lda_report_query(spark, sf_dir):
+    """ML-9 with ML-8: report of the LDA topics with their words (rows-only
+    check: iterative ML)."""
+    ti = _topic_input(spark, sf_dir)
+    return TP.topic_report(TP.lda_model(ti, "tokens", "post_id", k=K.NR_TOPICS)[1])
+
+
+@register("term_numbers", sql=lambda: _clean(TI_CTE + """,
+t AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS term FROM ti) GROUP BY term)
+SELECT term, df, row_number() OVER (ORDER BY df DESC, term) - 1 AS number FROM t"""))
+def term_numbers_query(spark, sf_dir):
+    """ML-9: dense numbers of all terms, by document frequency and term."""
+    return TP.term_numbers(_topic_input(spark, sf_dir)).select("term", "df", "number")
+
+
 def _langid_sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, lang, text, lower(text) AS t FROM documents),
