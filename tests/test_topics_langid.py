@@ -64,3 +64,36 @@ def test_langid_matches_brute_force(spark):
     want = _brute_force(train, test)
     assert [pred[i]["lang_pred"] for i in range(len(test))] == want
     assert pred[0]["lang_detected"] == "en" and pred[3]["lang_detected"] == "unknown"
+
+
+def test_compact_model_equals_brute_force(spark):
+    """The same labels as the exact model on the driver's documents, and its rules on edges."""
+    import os
+
+    import pytest
+    train = [("the cat sat on the mat with the hat", "en"), ("this is the house that jack built", "en"),
+             ("le chat est sur le tapis avec le chapeau", "fr"), ("ceci est la maison que jacques a construite", "fr"),
+             ("der hund ist in dem haus mit dem hut", "de")]
+    test = ["The Hat is on the cat", "le chapeau est sur le chat", "das haus ist mit dem hund", "zzz", "", None, "été 漢字 🙂 " * 3]
+    tr = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(train)], "doc_id int, text string, lang string")
+    te = spark.createDataFrame([(i, t) for i, t in enumerate(test)], "doc_id int, text string")
+    exact = {r["doc_id"]: (r["lang_pred"], r["lang_detected"]) for r in LID.predict(te, LID.train(tr)).collect()}
+    got = {r["doc_id"]: (r["lang_pred"], r["lang_detected"]) for r in LID.predict_compact(te, LID.train_compact(tr)).collect()}
+    assert {i: exact[i] for i in (0, 1, 2, 3, 4, 6)} == {i: got[i] for i in (0, 1, 2, 3, 4, 6)}
+    assert got[5][1] in ("unknown",) and len(got) == len(test)
+    none = LID.train_compact(tr.limit(0))
+    assert {r["lang_detected"] for r in LID.predict_compact(te, none).collect()} == {"unknown"}
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("driver test data not present")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    exact = {r["doc_id"]: r["lang_detected"] for r in LID.predict(docs, LID.train(docs)).collect()}
+    for bits in (20, 16):
+        got = {r["doc_id"]: r["lang_detected"] for r in LID.predict_compact(docs, LID.train_compact(docs, bits=bits)).collect()}
+        assert sum(got[i] == exact[i] for i in exact) >= 0.999 * len(exact)
+
+
+def test_compact_prediction_has_no_exchange(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en")], "doc_id int, text string, lang string")
+    plan = LID.predict_compact(docs, LID.train_compact(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

@@ -2,9 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+LONGEST_SUFFIX = 6
+LEAST_SUPPORT = 2
+LEAST_SHARE = 0.5
+
+
+def _common_prefix(a: str, b: str) -> Column:
+    """Characters that two strings begin with alike."""
+    n = F.least(F.length(a), F.length(b))
+    same = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col(a), i, F.lit(1)) == F.substring(F.col(b), i, F.lit(1)))
+    differs = F.array_position(same, F.lit(False))
+    return F.when(n == 0, 0).when(differs == 0, n).otherwise(differs - 1).cast("int")
+
+
+def lemma_rules(dictionary: DataFrame, longest: int = LONGEST_SUFFIX, support: int = LEAST_SUPPORT, share: float = LEAST_SHARE) -> DataFrame:
+    """TOK-2: suffix rules learnt from a (lang, form, lemma) table.
+
+    An entry's edit takes the end that the form doesn't share with its lemma and
+    puts the lemma's end there. Each ending of the form that holds the edit, up
+    to ``longest`` characters, votes for it. A rule is an ending's most frequent
+    edit (ties: the shorter cut, then the smaller end), kept if it has
+    ``support`` votes and ``share`` of the ending's. Returns (lang, suffix, cut,
+    add, votes)."""
+    d = dictionary.where("form IS NOT NULL AND lemma IS NOT NULL AND form <> ''").select("lang", "form", "lemma").dropDuplicates(["lang", "form"])
+    p = d.withColumn("_p", _common_prefix("form", "lemma"))
+    cut, add = (F.length("form") - F.col("_p")).cast("int"), F.expr("substr(lemma, _p + 1)")
+    p = p.withColumns({"cut": cut, "add": add, "_long": F.least(F.length("form"), F.lit(longest))})
+    ends = p.where(F.col("_long") >= F.greatest(F.col("cut"), F.lit(1))) \
+        .withColumn("_k", F.explode(F.sequence(F.greatest(F.col("cut"), F.lit(1)), F.col("_long")))) \
+        .withColumn("suffix", F.expr("substr(form, length(form) - _k + 1)"))
+    votes = ends.groupBy("lang", "suffix", "cut", "add").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("lang", "suffix").agg(F.sum("votes").alias("_all"), F.min(F.struct((-F.col("votes")).alias("v"), "cut", "add")).alias("_b"))
+    kept = best.where((-F.col("_b.v") >= support) & (-F.col("_b.v") >= share * F.col("_all")))
+    return kept.select("lang", "suffix", "_b.cut", "_b.add", (-F.col("_b.v")).alias("votes"))
+
+
+def lemmas_of_forms(forms: DataFrame, dictionary: DataFrame, rules: DataFrame, longest: int = LONGEST_SUFFIX) -> DataFrame:
+    """(lang, form, lemma, source) for each distinct (lang, form): by the
+    dictionary, else by the rule with the longest ending that leaves a
+    character, else the form itself. Works on distinct forms, so its shuffles
+    grow with the vocabulary, not with the tokens."""
+    known = dictionary.where("form IS NOT NULL AND lemma IS NOT NULL").select("lang", "form", "lemma").dropDuplicates(["lang", "form"])
+    each = forms.where("form IS NOT NULL AND lang IS NOT NULL").select("lang", "form").distinct().join(known, ["lang", "form"], "left")
+    new = each.where("lemma IS NULL").select("lang", "form")
+    ends = new.where("form <> ''").withColumn("_k", F.explode(F.sequence(F.lit(1), F.least(F.length("form"), F.lit(longest))))) \
+        .withColumn("suffix", F.expr("substr(form, length(form) - _k + 1)"))
+    made = F.concat(F.expr("substr(form, 1, length(form) - cut)"), F.col("add"))
+    hits = ends.join(rules, ["lang", "suffix"]).withColumn("_made", made).where(F.col("_made") != "")
+    ruled = hits.groupBy("lang", "form").agg(F.max_by("_made", "_k").alias("_ruled"))
+    out = each.join(ruled, ["lang", "form"], "left")
+    source = F.when(F.col("lemma").isNotNull(), "dictionary").when(F.col("_ruled").isNotNull(), "rule").otherwise("form")
+    return out.select("lang", "form", F.coalesce("lemma", "_ruled", "form").alias("lemma"), source.alias("source"))
+
+
+def lemma_table(df: DataFrame, dictionary: DataFrame, tokens_col: str = "tokens", lang_col: str = "lang", **how) -> DataFrame:
+    """A (lang, form, lemma) table of all tokens of ``df`` for ``lemmatize``,
+    unseen forms by rules that are learnt from ``dictionary``."""
+    forms = df.select(F.col(lang_col).alias("lang"), F.explode(tokens_col).alias("form"))
+    return lemmas_of_forms(forms, dictionary, lemma_rules(dictionary, **how)).select("lang", "form", "lemma")
+
 
 def lemmatize(df: DataFrame, dictionary: DataFrame, key: str = "post_id",
               tokens_col: str = "tokens", lang_col: str = "lang",

@@ -12,14 +12,15 @@ from textpulse.operators import cleaning as CL
 from textpulse.operators import langid as LID
 from textpulse.operators import sampling
 from textpulse.operators.dedup import keep_first
-from textpulse.operators.sentiment import placeholder_text
+from textpulse.operators import tokens as TK
+from textpulse.operators.sentiment import model_key, placeholder_text
 from textpulse.operators.tokens import lemmatize
-from textpulse.operators.sentiment import model_key
 from textpulse.plans import fixtures as FX
 from textpulse.plans import sqlgen as S
 from textpulse.plans.registry import register
 from textpulse.plans.stages import clean_table
 from textpulse.sources.readers import union_by_name
+from textpulse.sources.sinks import materialize
 
 CLEAN_OUT = ["post_id", "forum", "title", "category", "text_clean", "text_source", "text_lemma",
              "n_tokens", "year", "month", "lang", "lang_detected", "lang_conflict",
@@ -39,11 +40,13 @@ def clean_stage(spark, sf_dir):
 @register("clean_stage_detected")
 def clean_stage_detected(spark, sf_dir):
     """CLN-1 in full: language id (LID-1, trained on the labelled documents)
-    and dictionary lemmas (TOK-2) inside the stage (rows-only check here; the
-    parts have their own twins)."""
-    model = LID.train(FX.read_table(spark, sf_dir, "documents"), text_col="text", label_col="lang")
+    and lemmas (TOK-2, unseen forms by rule) inside the stage (rows-only check
+    here; the parts have their own twins)."""
+    model = LID.train_compact(FX.read_table(spark, sf_dir, "documents"), text_col="text", label_col="lang")
     posts = FX.posts_raw(spark, sf_dir).drop("lang_detected")
-    out = CL.clean_posts(posts, detector=LID.detector(model), lemmas=FX.lemma_df(spark))
+    out = materialize(spark, CL.clean_posts(posts, detector=LID.detector(model)), "clean-detected")
+    known = materialize(spark, corpus_dictionary(out), "lemma-dictionary")
+    out = CL.with_lemmas(out, TK.lemma_table(out, known))
     return out.select(*CLEAN_OUT)
 
 
@@ -160,6 +163,55 @@ def lemma_query(spark, sf_dir):
                       F.size("lemmas").alias("n_lemmas"))
 
 
+#: Endings by which the corpus' own forms are paired with shorter ones, longest first.
+CORPUS_ENDINGS = [("en", "ing"), ("en", "ed"), ("en", "es"), ("en", "s"), ("fr", "ment"), ("fr", "es"), ("fr", "er"), ("fr", "s")]
+
+
+def corpus_dictionary(tokens):
+    """(lang, form, lemma) of the forms of which the corpus also has a shorter
+    one without one of the endings (the longest that leaves such a form)."""
+    forms = tokens.select("lang", F.explode("tokens").alias("form")).distinct()
+    pairs = None
+    for k, (lang, end) in enumerate(CORPUS_ENDINGS):
+        one = forms.where((F.col("lang") == lang) & F.col("form").endswith(end) & (F.length("form") >= len(end) + 3)) \
+            .select("lang", "form", F.expr(f"substr(form, 1, length(form) - {len(end)})").alias("lemma"), F.lit(k).alias("_k"))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    there = pairs.join(forms.select("lang", F.col("form").alias("lemma")), ["lang", "lemma"], "left_semi")
+    return there.groupBy("lang", "form").agg(F.min_by("lemma", "_k").alias("lemma"))
+
+
+def _lemma_rules_sql() -> str:
+    pairs = " UNION ALL ".join(f"SELECT lang, form, substr(form, 1, length(form) - {len(e)}) AS lemma, {k} AS k FROM forms "
+                               f"WHERE lang = '{lg}' AND form LIKE '%{e}' AND length(form) >= {len(e) + 3}" for k, (lg, e) in enumerate(CORPUS_ENDINGS))
+    return _with(S.clean_cte() + f""",
+forms AS (SELECT DISTINCT lang, unnest(tokens) AS form FROM clean),
+pairs AS ({pairs}),
+dict AS (SELECT lang, form, arg_min(lemma, k) AS lemma FROM pairs p WHERE EXISTS (SELECT 1 FROM forms f WHERE f.lang = p.lang AND f.form = p.lemma) GROUP BY lang, form),
+e AS (SELECT *, (SELECT count(*) FROM range(1, least(length(form), length(lemma)) + 1) r(i) WHERE substr(form, 1, i) = substr(lemma, 1, i)) AS p FROM dict),
+x AS (SELECT lang, form, length(form) - p AS cut, substr(lemma, CAST(p + 1 AS BIGINT)) AS add FROM e),
+s AS (SELECT lang, form, cut, add, unnest(range(greatest(cut, 1), least(length(form), {TK.LONGEST_SUFFIX}) + 1)) AS k FROM x),
+v AS (SELECT lang, right(form, k) AS suffix, cut, add, count(*) AS votes FROM s GROUP BY ALL),
+r AS (SELECT lang, suffix, cut, add FROM (SELECT *, sum(votes) OVER w AS total, row_number() OVER (w ORDER BY votes DESC, cut, add) AS place
+      FROM v WINDOW w AS (PARTITION BY lang, suffix)) WHERE place = 1 AND votes >= {TK.LEAST_SUPPORT} AND votes >= {TK.LEAST_SHARE} * total),
+n AS (SELECT lang, form, unnest(range(1, least(length(form), {TK.LONGEST_SUFFIX}) + 1)) AS k FROM forms WHERE (lang, form) NOT IN (SELECT (lang, form) FROM dict)),
+h AS (SELECT n.lang, n.form, n.k, left(n.form, CAST(length(n.form) - r.cut AS BIGINT)) || r.add AS made FROM n JOIN r ON r.lang = n.lang AND r.suffix = right(n.form, n.k)),
+m AS (SELECT lang, form, arg_max(made, k) AS made FROM h WHERE made <> '' GROUP BY lang, form)""",
+        """SELECT f.lang, f.form, coalesce(d.lemma, m.made, f.form) AS lemma,
+  CASE WHEN d.lemma IS NOT NULL THEN 'dictionary' WHEN m.made IS NOT NULL THEN 'rule' ELSE 'form' END AS source
+FROM forms f LEFT JOIN dict d ON d.lang = f.lang AND d.form = f.form LEFT JOIN m ON m.lang = f.lang AND m.form = f.form
+WHERE f.lang IS NOT NULL""")
+
+
+@register("lemma_rules", sql=_lemma_rules_sql)
+def lemma_rules_query(spark, sf_dir):
+    """TOK-2 for unseen forms: a dictionary of the corpus' own forms, suffix
+    rules learnt from it, and the lemma of every distinct form."""
+    c = materialize(spark, clean_table(spark, sf_dir).select("lang", "tokens"), "lemma-tokens")
+    known = materialize(spark, corpus_dictionary(c), "lemma-dictionary")
+    forms = c.select("lang", F.explode("tokens").alias("form"))
+    return TK.lemmas_of_forms(forms, known, TK.lemma_rules(known))
+
+
 @register("bool_coerce", sql=lambda: _with(S.clean_cte(), """
 SELECT post_id,
   coalesce(lower(CASE WHEN post_id % 3 = 0 THEN upper(CAST(is_empty AS VARCHAR))

@@ -15,6 +15,7 @@ from textpulse.plans import fixtures as FX
 from textpulse.plans import sqlgen as S
 from textpulse.plans.registry import register
 from textpulse.plans.stages import clean_table
+from textpulse.sources.readers import spread
 from textpulse.sources.sinks import materialize
 
 TI_CTE = f", ti AS (SELECT * FROM clean WHERE lang IN ('en', 'fr') AND n_tokens >= {K.MIN_TOKENS})"
@@ -209,3 +210,12 @@ def langid_query(spark, sf_dir):
     model = LID.train(docs, text_col="text", label_col="lang")
     pred = LID.predict(docs, model, key="doc_id", text_col="text")
     return pred.select("doc_id", "lang_pred", "lang_detected")
+
+
+@register("langid_compact", sql=_langid_sql)
+def langid_compact_query(spark, sf_dir):
+    """LID-1 with the weight table of fixed size: trained on the labelled
+    documents, applied to every document where it is read."""
+    docs = FX.read_table(spark, sf_dir, "documents")
+    out = LID.predict_compact(spread(docs), LID.train_compact(docs))
+    return out.select("doc_id", "lang_pred", "lang_detected")
