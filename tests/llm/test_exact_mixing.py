@@ -23,8 +23,13 @@ def test_decisions(messy, digest):
     """A digest under which different texts collide gives the same groups."""
     rows = [(r.doc_id, r.text, r.source) for r in messy.collect()]
     got = exact.decisions(messy, salts=3, digest=digest).collect()
-    assert {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got} == brute(rows)
-    assert sum(r.copies for r in got) == len(rows)
+    want, once = brute(rows), set()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got} == {(a, b, c, e) for a, b, c, _, e in want}
+    assert Counter((r.doc_id, r.text_sha256) for r in got) == Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in rows)
+    for r in got:  # of rows that repeat, one stays
+        assert not r.kept or (r.keep_id == r.doc_id and r.text_sha256 not in once)
+        once |= {r.text_sha256} if r.kept else set()
+    assert len(once) == len({e for *_, e in want})
 
 
 def test_deduplicate_keeps_rows_whole(messy):

@@ -9,9 +9,10 @@ because the content itself is a grouping key:
 3. globally: the salt winners, at most ``salts`` a content, meet by digest.
 
 Defined results: null text equals the empty text; a null id is smaller than
-any id; rows with the same id and the same text are one document (``copies``
-counts them); an empty table gives an empty table; extra columns of any name
-are kept by ``deduplicate`` and ignored by ``decisions``.
+any id; rows with the same id and the same text are each returned, and one of
+them is kept (``copies`` counts them); an empty table gives an empty table;
+extra columns of any name are kept by ``deduplicate`` and ignored by
+``decisions``.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textpulse.llm.common import materialize
+from textpulse.llm.common import join_hot, materialize
 
 SALTS = 64
 
@@ -43,7 +44,7 @@ def _winners(keyed: DataFrame, salts: int) -> DataFrame:
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per document: id, keep_id, group_size, copies, kept, text_sha256.
+    """One row per row of ``docs``: id, keep_id, group_size, copies, kept, text_sha256.
 
     Rows find their group by digest. That is exact because step 3 has counted
     the different contents of every digest; if any digest holds two contents,
@@ -55,16 +56,20 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of_digest = Window.partitionBy("_digest")
     narrow = won.select("_digest", "keep_id", "group_size", F.count(F.lit(1)).over(of_digest).alias("_contents"))
     groups = materialize(narrow, "exact-groups")
+    count = F.count(F.lit(1)).alias("copies")
     if groups.filter("_contents > 1").isEmpty():
-        rows = (keyed.groupBy("_id", "_digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.sha2("_content", 256)).alias("text_sha256"))
-                if digest is not sha256 else
-                keyed.groupBy("_id", "_digest").agg(F.count(F.lit(1)).alias("copies")).withColumn("text_sha256", F.lower(F.hex("_digest"))))
-        out = rows.join(groups, "_digest")
+        if digest is sha256:
+            rows = keyed.groupBy("_id", "_digest").agg(count).withColumn("text_sha256", F.lower(F.hex("_digest")))
+        else:
+            rows = keyed.groupBy("_id", "_digest").agg(count, F.min(F.sha2("_content", 256)).alias("text_sha256"))
+        # A text that a third of all rows have is joined without gathering them.
+        out = join_hot(materialize(rows, "exact-rows"), groups.withColumn("_rows", F.col("group_size")), "_digest", "_rows")
     else:
-        rows = keyed.groupBy("_id", "_digest", "_content").agg(F.count(F.lit(1)).alias("copies"))
+        rows = keyed.groupBy("_id", "_digest", "_content").agg(count)
         out = rows.join(won, ["_digest", "_content"]).withColumn("text_sha256", F.sha2("_content", 256))
-    return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", "copies",
-                      F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    each = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select(F.col("_id").alias(id_col), "keep_id", "group_size", "copies",
+                       (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

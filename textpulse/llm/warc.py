@@ -2,15 +2,16 @@
 
 Archives are written by Spark's text writer with the record end
 ``CR LF CR LF`` as its line separator: a row is a record, files are committed
-by the job, and any store that Spark writes to will do. They are read back as
-whole files (``archive_bytes`` bounds them) and framed by Content-Length, so
-payloads may hold anything.
+by the job, and any store that Spark writes to will do. A file takes as many
+records as come to about ``archive_bytes``. Archives are read back as whole
+compressed files, unpacked piece by piece and framed by Content-Length, so
+payloads may hold anything and a task holds one record of plain bytes at a time.
 
 Revisit resolution works on headers alone: they are shuffled by payload
 digest and length, the smallest id of a group becomes the response, and the
 others become revisits that name it. A group's response is found by an
-aggregate, which combines in each task first, so a payload with a third of
-all records is no hot spot. Payloads are never shuffled by digest.
+aggregate, which combines in each task first, and a payload with over a
+thousandth of all records is joined by broadcast, so it is no hot spot. Payloads are never shuffled by digest.
 
 Defined results: a null payload is empty; a null id is written as an empty
 record id and ranks last; rows that repeat (same id, same payload) are one
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -30,13 +32,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpulse.llm.common import fresh_path, materialize
+from textpulse.llm.common import fresh_path, join_hot, materialize
 
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_id string, page_id long, record_type string, target string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 HEADERS = RECORD.removesuffix(", payload binary")
 
+ARCHIVE_BYTES = 1 << 28
+
 
 def _digests(rows: DataFrame) -> DataFrame:
     """id, url, payload and its length and base32 SHA-1."""
@@ -57,8 +61,12 @@ def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     _uid, page_id, digest, payload_bytes. Payloads under ``least_bytes`` are
     always responses."""
     rank = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), F.col("_uid"))
-    groups = headers.filter(F.col("payload_bytes") >= least_bytes).groupBy("digest", "payload_bytes").agg(F.min(rank).alias("_first"))
-    joined = headers.join(groups, ["digest", "payload_bytes"], "left")
+    able = headers.filter(F.col("payload_bytes") >= least_bytes)
+    groups = able.groupBy("digest").agg(F.min(rank).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    groups = materialize(groups, "warc-groups")
+    small = headers.filter(F.col("payload_bytes") < least_bytes)
+    # A payload that a third of all records have is joined without gathering them.
+    joined = join_hot(able, groups, "digest", "_n").unionByName(small, allowMissingColumns=True)
     revisit = F.col("_first").isNotNull() & (F.col("_first._uid") != F.col("_uid"))
     return joined.select("_uid", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
                          F.when(revisit, F.col("_first.page_id")).alias("refers_page"), F.when(revisit, F.col("_first._uid")).alias("refers_uid"))
@@ -81,7 +89,7 @@ def _record(payload: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url",
-                   payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", files: int | None = None) -> None:
+                   payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", files: int | None = None, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """One record a row, deduplicated by payload, as gzipped archives in ``path``."""
     url = F.regexp_replace(F.col(url_col).cast("string"), "[\\r\\n]", "%0A")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"),
@@ -92,31 +100,55 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
     full = found.join(types, "_uid").withColumn("date", F.lit(date))
     if files:
         full = full.repartition(files)
-    full.select(_record(F.col("payload")).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    mean = found.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
+    records = max(1, int(archive_bytes / (mean + 512)))
+    (full.select(_record(F.col("payload")).alias("value")).write.option("lineSep", END).option("compression", "gzip")
+         .option("maxRecordsPerFile", records).text(path))
+
+
+def _plain(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The plain bytes of an archive, gzipped (in one or many members) or not,
+    piece by piece."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    z, at = zlib.decompressobj(31), 0
+    while at < len(data):
+        yield z.decompress(data[at : at + step])
+        at += step
+        while z.eof and (z.unused_data or at < len(data)):
+            rest, z = z.unused_data, zlib.decompressobj(31)
+            if not rest:
+                break
+            yield z.decompress(rest)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive, gzipped (in one or many
-    members) or plain."""
-    if data[:2] == b"\x1f\x8b":
-        out = []
-        while data:
-            z = zlib.decompressobj(31)
-            out.append(z.decompress(data))
-            data = z.unused_data
-        data = b"".join(out)
-    at, end = 0, END.encode()
-    while at < len(data):
-        stop = data.index(end, at)
-        lines = data[at:stop].decode("utf-8", "surrogateescape").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}: {quote(lines[0][:40])}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        at = stop + 4 + int(headers["content-length"])
-        yield headers, data[stop + 4 : at]
-        if data[at : at + 4] != end:
-            raise ValueError(f"record not closed at byte {at}")
-        at += 4
+    """Headers and block of each record of an archive."""
+    held, end, done = bytearray(), END.encode(), 0
+    for piece in itertools.chain(_plain(data), [None]):
+        if piece is not None:
+            held += piece
+        at = 0
+        while True:
+            stop = held.find(end, at)
+            if stop < 0:
+                break
+            lines = bytes(held[at:stop]).decode("utf-8", "surrogateescape").split("\r\n")
+            if not lines[0].startswith("WARC/"):
+                raise ValueError(f"no record at byte {done + at}: {quote(lines[0][:40])}")
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            last = stop + 4 + int(headers["content-length"])
+            if len(held) < last + 4:
+                break
+            if held[last : last + 4] != end:
+                raise ValueError(f"record not closed at byte {done + last}")
+            yield headers, bytes(held[stop + 4 : last])
+            at = last + 4
+        done += at
+        del held[:at]
+    if held:
+        raise ValueError(f"record not closed at byte {done + len(held)}")
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
