@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from textpulse.functions.text import raw_tokens
 from textpulse.operators.sentiment import fold_sentiment, placeholder_text
+from textpulse.sources.sinks import materialize
 
 SCORES_TYPE = T.ArrayType(T.StructType([T.StructField("label", T.StringType()),
                                         T.StructField("score", T.DoubleType())]))
@@ -82,6 +83,13 @@ def failures(scored: DataFrame, out_col: str = "raw_scores") -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(f"{out_col}_failed").alias("failed"))
 
 
+def attach(df: DataFrame, scores: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with the ``raw_scores`` of (key, raw_scores) as column ``name``;
+    every row stays, a null key's too (SEN-4)."""
+    other = scores.select(F.col(key).alias("_key"), F.col("raw_scores").alias(name))
+    return df.join(other, df[key].eqNullSafe(other["_key"]), "left").drop("_key")
+
+
 def text_classifier(df: DataFrame, labelled: DataFrame, key: str, label_col: str, tokens_col: str = "tokens",
                     num_features: int = 1 << 16, max_iter: int = 20) -> tuple[DataFrame, list[str]]:
     """Spark ML: hashed term counts -> IDF -> logistic regression on text
@@ -97,7 +105,7 @@ def text_classifier(df: DataFrame, labelled: DataFrame, key: str, label_col: str
                                                 regParam=0.01, probabilityCol="_prob")]).fit(train)
     p = vector_to_array("_prob")
     raw = F.array(*[F.struct(F.lit(n).alias("label"), p[i].alias("score")) for i, n in enumerate(names)])
-    return model.transform(tok).select(key, raw.alias("raw_scores")), names
+    return materialize(df.sparkSession, model.transform(tok).select(key, raw.alias("raw_scores")), "raw-scores"), names
 
 
 def sentiment_classifier(docs: DataFrame, labelled: DataFrame, text_col: str = "text",

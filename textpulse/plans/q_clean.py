@@ -19,8 +19,8 @@ from textpulse.plans import fixtures as FX
 from textpulse.plans import sqlgen as S
 from textpulse.plans.registry import register
 from textpulse.plans.stages import clean_table
-from textpulse.sources.readers import union_by_name
-from textpulse.sources.sinks import materialize
+from textpulse.sources.readers import pick_stage, read_exports, union_by_name
+from textpulse.sources.sinks import export_clean, fresh_dir, materialize, write_stage
 
 CLEAN_OUT = ["post_id", "forum", "title", "category", "text_clean", "text_source", "text_lemma",
              "n_tokens", "year", "month", "lang", "lang_detected", "lang_conflict",
@@ -68,6 +68,42 @@ def union_query(spark, sf_dir):
     return union_by_name([docs, conv]).select("post_id", "origin", "lang", "source", "role", "n_chars")
 
 
+def _export_of(forum: str) -> str:
+    return f"posts_of_{forum if forum != 'CollegeRant' else 'collegerant'}_new"
+
+
+def _exports_sql() -> str:
+    rank = {f: K.EXPORT_NAMES.index(_export_of(f)) for f in FX.FORUMS if _export_of(f) in K.EXPORT_NAMES}
+    return _with(S.posts_cte(), f"""SELECT post_id, forum, title, text, {S.case_map('forum', rank)} AS file_rank
+FROM posts_raw WHERE forum IN ({', '.join(S.q(f) for f in rank)})""")
+
+
+@register("exports_read", sql=_exports_sql)
+def exports_query(spark, sf_dir):
+    """SRC-1, SRC-2, SRC-3, SET-1: one export a forum, the first with a numeric
+    prefix, written, found by name, read back and united
+    (a forum without an export is skipped)."""
+    posts = materialize(spark, FX.posts_raw(spark, sf_dir).select("post_id", "forum", "title", "text"), "posts")
+    folder = fresh_dir(spark, "exports")
+    for forum in FX.FORUMS:
+        if _export_of(forum) in K.EXPORT_NAMES:
+            name = _export_of(forum) if forum != "college" else "01_" + _export_of(forum)
+            write_stage(posts.where(F.col("forum") == forum), f"{folder}/{name}.parquet")
+    return read_exports(spark, folder).select("post_id", "forum", "title", "text", "file_rank")
+
+
+@register("stage_export", sql=lambda: _with(S.clean_cte(), "SELECT post_id, lang, text_clean, n_tokens, is_empty, year FROM clean"))
+def stage_export_query(spark, sf_dir):
+    """SNK-1, SNK-2, PRJ-9, SRC-4: the clean table's known columns written,
+    partitioned by language, and found again as the best stage that is there."""
+    folder = fresh_dir(spark, "stages")
+    c = clean_table(spark, sf_dir).withColumn("scratch", F.lit(1))
+    export_clean(c, f"{folder}/clean", partition_by=["lang"])
+    stage = pick_stage(spark, [f"{folder}/enriched", f"{folder}/clean"])
+    assert "scratch" not in stage.columns
+    return stage.select("post_id", "lang", "text_clean", "n_tokens", "is_empty", "year")
+
+
 @register("dedup_keep_first", sql=lambda: _with(S.posts_cte(), """
 SELECT post_id, title, file_rank, row_pos FROM (
   SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY file_rank, row_pos) AS rn FROM posts_raw)

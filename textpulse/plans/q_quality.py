@@ -13,6 +13,7 @@ from textpulse.operators.quantiles import exact_quantiles
 from textpulse.plans import fixtures as FX
 from textpulse.plans import sqlgen as S
 from textpulse.plans.registry import register
+from textpulse.sources.sinks import materialize
 from textpulse.plans.stages import clean_table, enriched_table, sentiment_table
 
 
@@ -344,3 +345,17 @@ def run_counters_query(spark, sf_dir):
     """AGG-16: stage run counters (duplicates removed, conflicts, short,
     empty, zero-token posts, mean tokens / score / distress)."""
     return QU.run_counters(FX.posts_raw(spark, sf_dir), enriched_table(spark, sf_dir, also=("text_clean",)))
+
+
+@register("observed_counters", sql=lambda: _clean("""
+SELECT 'conflicts' AS counter, CAST(count(*) FILTER (WHERE lang_conflict) AS DOUBLE) AS value FROM clean
+UNION ALL SELECT 'too_short', CAST(count(*) FILTER (WHERE is_too_short) AS DOUBLE) FROM clean
+UNION ALL SELECT 'empty_after_fallback', CAST(count(*) FILTER (WHERE text_clean = '') AS DOUBLE) FROM clean
+UNION ALL SELECT 'zero_token_posts', CAST(count(*) FILTER (WHERE n_tokens = 0) AS DOUBLE) FROM clean
+UNION ALL SELECT 'mean_tokens', """ + S.rnd('CAST(sum(n_tokens) AS DOUBLE) / count(n_tokens)') + """ FROM clean"""))
+def observed_counters_query(spark, sf_dir):
+    """AGG-16 without a job of its own: the counters are filled in while the
+    clean table is written."""
+    seen, counters = QU.observe_counters(clean_table(spark, sf_dir))
+    materialize(spark, seen, "clean-observed")
+    return spark.createDataFrame([(k, float(v)) for k, v in counters.get.items()], "counter string, value double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textpulse import constants as K
 from textpulse.operators import emotions as EM
 from textpulse.functions.numeric import rnd
-from textpulse.operators.scoring import score_with, sentiment_classifier, text_classifier
+from textpulse.operators.scoring import attach, score_with, sentiment_classifier, text_classifier
 from textpulse.operators.sentiment import fold_sentiment
 from textpulse.plans import fixtures as FX
 from textpulse.plans import sqlgen as S
@@ -119,8 +119,8 @@ def enrich_with_models_query(spark, sf_dir):
     sentiment, _ = text_classifier(c, marks, "post_id", "mark")
     lex = materialize(spark, EM.lexicon_scores(c, FX.lexicon_df(spark)), "lexicon-scores")
     emotion, _ = text_classifier(c, lex.select("post_id", "lex_dominant"), "post_id", "lex_dominant")
-    out = fold_sentiment(lex.join(sentiment.withColumnRenamed("raw_scores", "sentiment_raw"), "post_id").withColumn("model_key", F.lit("en")))
-    out = EM.model_emotion_scores(out.join(emotion.withColumnRenamed("raw_scores", "emotion_raw"), "post_id"))
+    out = attach(lex.withColumn("model_key", F.lit("en")), sentiment, "post_id", "sentiment_raw")
+    out = EM.model_emotion_scores(attach(fold_sentiment(out), emotion, "post_id", "emotion_raw"))
     return EM.combine_emotions(out).select(*ENRICH_OUT)
 
 

@@ -42,9 +42,9 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         w.format(fmt).save(path)
 
 
-def export_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def export_clean(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """SNK-1: project the known clean columns and write them."""
-    write_stage(project_known(df), path, fmt)
+    write_stage(project_known(df), path, fmt, partition_by)
 
 
 def write_summaries(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet") -> None:
@@ -53,13 +53,17 @@ def write_summaries(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parq
         write_stage(t, f"{out_dir.rstrip('/')}/{name}", fmt)
 
 
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new path under the cluster's checkpoint folder."""
+    from textpulse.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet under the cluster's checkpoint folder
     (``spark.checkpoint.dir``) and read it back: a reliable copy that cuts
     the lineage and survives executor loss, so several downstream queries
     can share one computation of an expensive stage."""
-    from textpulse.session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    path = fresh_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
