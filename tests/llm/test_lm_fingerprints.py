@@ -130,11 +130,12 @@ def test_held_out_gain(spark):
     assert (held["score"] > held["base_score"]).mean() > 0.8
 
 
-def test_fingerprints_equal_brute_force(docs):
+@pytest.mark.parametrize("parts", [None, 1, 13])
+def test_fingerprints_equal_brute_force(docs, parts):
     rng = np.random.default_rng(3)
     rows = [(int(i), " ".join(f"w{x}é" for x in rng.integers(0, 50, rng.integers(0, 80)))) for i in rng.permutation(400)[:150] ** 2]
     rows += [(999_999, None), (1_000_000, ""), (1_000_001, "ab"), (1_000_002, "abc")]
-    got = {r.doc_id: r for r in fp.fingerprints(docs([(d, t, "s") for d, t in rows]).repartition(4), range_docs=11).collect()}
+    got = {r.doc_id: r for r in fp.fingerprints(docs([(d, t, "s") for d, t in rows]).repartition(4), partitions=parts).collect()}
     order = sorted(rows, reverse=True)
     assert len(got) == len(rows)
     for (d, t), (_, nxt) in zip(order, order[1:] + order[:1]):
@@ -146,12 +147,32 @@ def test_fingerprints_equal_brute_force(docs):
 
 
 def test_fingerprint_edges(messy, docs):
-    assert fp.fingerprints(messy, range_docs=2).count() == 11
+    assert fp.fingerprints(messy, partitions=5).count() == 11
     assert fp.fingerprints(docs([])).count() == 0
     r = fp.fingerprints(docs([(5, "only one here", "s")])).collect()
     assert len(r) == 1 and r[0].near_next == 1.0  # its own neighbour
 
 
+def test_short_texts_are_told_apart():
+    texts = ["a", "b", "ab", "ba", "secret one", "public two", "one two three", "x" * 47, "y" * 47]
+    digests = [fp.digest(t.encode()) for t in texts]
+    assert len(set(digests)) == len(texts)
+    assert fp.likeness(fp.digest(b"secret one"), fp.digest(b"public two")) < 0.99
+    assert fp.digest(b"") == fp.digest(b"") and fp.likeness(fp.digest(b"secret one"), fp.digest(b"secret one")) == 1.0
+
+
+def test_a_far_id_and_a_hot_id_fill_no_range(spark):
+    """One id far from all others, a third of all rows with one id and text:
+    the ranges stay even, and every row comes back."""
+    rows = [(i, f"text of row {i} with a few words") for i in range(1200)] + [(10**15, "far away")] + [(-7, "the same text again")] * 600
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = fp.fingerprints(df, partitions=6)
+    assert got.count() == len(rows) and got.filter("doc_id = -7").count() == 600
+    src = df.withColumn("_uid", F.monotonically_increasing_id())
+    sizes = src.repartitionByRange(6, F.desc_nulls_last("doc_id"), F.xxhash64("text"), "_uid").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 1.7 * len(rows) / 6
+
+
 def test_chunks_do_not_change_counts(monkeypatch):
     data = np.random.default_rng(4).integers(0, 256, 5000).astype(np.uint8).tobytes()
     whole = fp.counts(data)

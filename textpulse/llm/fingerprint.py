@@ -3,7 +3,9 @@
 Hashed byte triplets are counted in ``BUCKETS`` buckets. Triplets are taken
 from a sliding window: its first byte with two of the later ones, for each
 pair of distances in ``PAIRS``. (Distances are wide on purpose: close bytes
-mostly tell the language, bytes further apart the document.) The digest holds, for each bucket,
+mostly tell the language, bytes further apart the document. Texts of fewer than
+``SHORT`` bytes are taken with ``NEAR`` distances and zeros after their end, so
+that every byte counts.) The digest holds, for each bucket,
 in which quarter of the buckets' counts its count lies (two bits), and the
 length on a logarithmic scale (one byte).
 
@@ -11,9 +13,8 @@ Two digests differ by the summed distance of the quarters (0 to 3 a bucket,
 where a step of three counts twice) and by a bounded penalty for length; the
 likeness is 1 at no difference and 0 at ``WORST`` or beyond.
 
-Defined results: null text is empty; texts shorter than a triplet count
-nothing and get the digest of no counts with their length, so empty texts are
-alike; equal texts have equal digests; null ids come last in descending
+Defined results: null text is empty; empty texts count nothing and are alike;
+equal texts have equal digests; null ids come last in descending
 order; rows that repeat stand side by side; an empty table gives an empty
 table; extra columns are ignored.
 """
@@ -25,27 +26,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textpulse.llm.common import text_of
+from textpulse.llm.common import materialize, text_of
 
 BUCKETS = 256
 #: Distances from a window's first byte to the other two of a triplet.
 PAIRS = ((5, 11), (7, 13))
 CHUNK = 1 << 18
 WORST_SHARE = 0.75  # of a difference of two quarters in every bucket
-RANGE_DOCS = 2048
-CELLS = 65536
+SHORT = 48
+NEAR = ((1, 2), (1, 3), (2, 3))
 
 
 def counts(data: bytes, buckets: int = BUCKETS) -> np.ndarray:
     """Counts of hashed triplets by bucket, worked through in chunks."""
-    out, reach = np.zeros(buckets, np.int64), max(b for _, b in PAIRS)
+    pairs = PAIRS if len(data) >= SHORT else NEAR
+    out, reach = np.zeros(buckets, np.int64), max(b for _, b in pairs)
+    if 0 < len(data) < SHORT:
+        data += bytes(reach)
     a = np.frombuffer(data, np.uint8).astype(np.uint32)
     for s in range(0, len(a), CHUNK):
         x = a[s : s + CHUNK + reach]
-        for k, (i, j) in enumerate(PAIRS):
+        for k, (i, j) in enumerate(pairs):
             n = min(CHUNK, len(x) - j)
             if n > 0:
                 h = x[:n] | x[i : i + n] << 8 | x[j : j + n] << 16
@@ -90,65 +95,61 @@ FINGERPRINTS = ("doc_id long, n_chars long, edited_sha256 string, fingerprint st
                 "near_edited double, near_next double")
 
 
-def _dealt(src: DataFrame, range_docs: int) -> DataFrame:
-    """Rows with _to (the range of doc_id that they go to) and _copy: the first
-    rows of each range go to the range before it too, as copies.
-
-    Ranges are runs of ``CELLS`` equal cells between the least and the greatest
-    id, cut by a histogram of at most that many rows, so what the driver and
-    each task hold about them is bounded. Null ids have the last cell."""
-    lo, hi = src.agg(F.min("doc_id"), F.max("doc_id")).first()
-    cell = F.lit(CELLS)
-    if lo is not None:
-        cell = F.coalesce(F.floor((F.lit(hi) - F.col("doc_id")) / F.lit(float(hi - lo + 1)) * CELLS).cast("int"), cell)
-    hist = sorted(src.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("head")).collect())
-    cells, heads, filled = [], [], 0
-    for r in hist:
-        at = filled // range_docs
-        if not heads or heads[-1][0] != at:
-            heads.append((at, r["head"]))
-        cells.append((r["c"], at))
-        filled += r["n"]
-    spark = src.sparkSession
-    known = spark.createDataFrame(cells, "_cell int, _range int")
-    # The head of each range is also sent to the range before; the first one's to the last.
-    also = [(c, heads[i - 1][0], h) for i, (at, h) in enumerate(heads) for c in [next(c for c, a in cells if a == at)]]
-    copies = spark.createDataFrame(also, "_cell int, _also int, _head long")
-    ranged = src.withColumn("_cell", cell).join(F.broadcast(known), "_cell").join(F.broadcast(copies), "_cell", "left")
-    to = F.array(F.struct(F.col("_range").alias("to"), F.lit(False).alias("copy")),
-                 F.when(F.col("_also").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_head")), F.struct(F.col("_also").alias("to"), F.lit(True).alias("copy"))))
-    return ranged.select("doc_id", "text", F.explode(F.array_compact(to)).alias("_t")).select("doc_id", "text", F.col("_t.to").alias("_to"), F.col("_t.copy").alias("_copy"))
-
-
-def fingerprints(docs: DataFrame, range_docs: int = RANGE_DOCS, buckets: int = BUCKETS) -> DataFrame:
+#: 0: a finished row; 1: the first row of a partition; 2: the last.
+WORKED = FINGERPRINTS + ", _part int, _kind int, _text string"
+
+
+def _row(d, text: str, own: str, following: str, theirs: str, buckets: int) -> tuple:
+    e = edited(text, following).encode("utf-8", "surrogatepass")
+    f = digest(e, buckets)
+    return (d, len(text), hashlib.sha256(e).hexdigest(), own, f, likeness(own, f, buckets), likeness(own, theirs, buckets))
+
+
+def _of(text: str, buckets: int) -> str:
+    return digest(text.encode("utf-8", "surrogatepass"), buckets)
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+    out["doc_id"] = out["doc_id"].astype("Int64")
+    return out
+
+
+def fingerprints(docs: DataFrame, buckets: int = BUCKETS, partitions: int | None = None) -> DataFrame:
     """Each document with its own fingerprint, that of its edited text, and the
     likeness to that and to the next document, in descending order of doc_id
     (after the last: the first; rows of one id by their texts' hash).
 
-    Documents are dealt by ranges of doc_id and sorted there; the head of each
-    range is also sent to the range before, so a range has all neighbours and
-    every text moves once. Tasks stream over their rows."""
+    Documents are sorted by range: Spark cuts the ranges by quantiles of (id,
+    text hash, row), so neither a far id nor a repeated one fills a range, and
+    every text moves once. A task streams over its range; what is left are the
+    first and the last row of each range, one pair a range, which are joined by
+    the range's number. ``partitions`` fixes the number of ranges."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None  # (range, id, text, digest) that waits for its neighbour
+        part, last = TaskContext.get().partitionId(), None  # (id, text, digest) that waits for its neighbour
         for b in batches:
             rows = []
-            for d, t, to, copy in zip(b["doc_id"], b["text"], b["_to"], b["_copy"]):
-                if copy and (last is None or last[0] != to):
-                    continue  # a second copy
-                now = digest(t.encode("utf-8", "surrogatepass"), buckets)
-                if last is not None and last[0] == to:
-                    e = edited(last[2], t).encode("utf-8", "surrogatepass")
-                    f = digest(e, buckets)
-                    rows.append((last[1], len(last[2]), hashlib.sha256(e).hexdigest(), last[3], f,
-                                 likeness(last[3], f, buckets), likeness(last[3], now, buckets)))
-                last = None if copy else (to, d, t, now)
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in FINGERPRINTS.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    if src.isEmpty():
-        return docs.sparkSession.createDataFrame([], FINGERPRINTS)
-    dealt = _dealt(src, range_docs).repartition("_to")
-    return dealt.sortWithinPartitions("_to", "_copy", F.desc_nulls_last("doc_id"), F.xxhash64("text")).mapInPandas(run, FINGERPRINTS)
+            for d, t in zip(b["doc_id"], b["text"]):
+                now = _of(t, buckets)
+                rows.append((*_row(*last, t, now, buckets), part, 0, None) if last else (d, 0, "", now, "", 0.0, 0.0, part, 1, t))
+                last = (d, t, now)
+            yield _frame(rows, WORKED)
+        if last:
+            yield _frame([(last[0], 0, "", last[2], "", 0.0, 0.0, part, 2, last[1])], WORKED)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield _frame([_row(d, t, own, following, theirs, buckets) for d, t, own, following, theirs in
+                          zip(b["doc_id"], b["_text"], b["fingerprint"], b["_following"], b["_theirs"])], FINGERPRINTS)
+
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.monotonically_increasing_id().alias("_uid"))
+    order = [F.desc_nulls_last("doc_id"), F.xxhash64("text"), F.col("_uid")]
+    ranged = src.repartitionByRange(partitions, *order).sortWithinPartitions(*order) if partitions else src.orderBy(*order)
+    worked = materialize(ranged.select("doc_id", "text").mapInPandas(run, WORKED), "fingerprints")
+    names = [c.split()[0] for c in FINGERPRINTS.split(", ")]
+    parts = sorted(r["_part"] for r in worked.filter("_kind = 2").select("_part").collect())  # a number for each range
+    after = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "_part int, _next int")
+    first = worked.filter("_kind = 1").select(F.col("_part").alias("_next"), F.col("_text").alias("_following"), F.col("fingerprint").alias("_theirs"))
+    edge = worked.filter("_kind = 2").join(after, "_part").join(first, "_next").mapInPandas(finish, FINGERPRINTS)
+    return worked.filter("_kind = 0").select(*names).unionByName(edge)
