@@ -418,13 +418,22 @@ def coded(docs: DataFrame, vocab: dict) -> DataFrame:
     once; training and scoring read the numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # What a word of the count table has: its logarithm, and its place in the head (-1: none).
+        logs = np.log10(vocab["known_c"] + 0.5)
+        place, there = _find(vocab["head"], vocab["known"])
+        head = np.where(there, vocab["head_id"][place], -1).astype(np.int32)
+        whole = bool(np.isin(vocab["head"], vocab["known"]).all())
         for b in batches:
             for i in range(0, len(b), 1000):
                 part = b.iloc[i : i + 1000]
                 h, tail, off = tokens(part["text"].tolist())
-                sym = symbols(vocab, h, tail)
                 at, there = _find(vocab["known"], h)
-                smooth = np.where(there, np.log10(vocab["known_c"][at] + 0.5), 0.0) if len(vocab["known"]) else np.zeros(len(h))
+                if whole:
+                    sym = np.where(there, head[at], -1)
+                    sym = np.where(sym < 0, HEAD + tail, sym)
+                else:
+                    sym = symbols(vocab, h, tail)
+                smooth = np.where(there, logs[at], 0.0)
                 met = there & (vocab["known_c"][at] > 0)
                 is_tail = sym >= HEAD
                 tails = np.where(is_tail, smooth - vocab["tail_norm"][np.where(is_tail, sym - HEAD, 0)], 0.0)
