@@ -39,3 +39,13 @@ def test_materialize_and_csv(spark):
     write_stage(df, f"{d}/out", fmt="csv")
     back = spark.read.option("header", True).option("escape", '"').csv(f"{d}/out").first()
     assert back["toks"] == '["a","b"]'
+
+
+def test_written_tables_can_be_released(spark):
+    from textpulse.sources.sinks import fresh_dir, materialize, release
+    kept = spark.createDataFrame([(1,)], "a int")
+    paths = [materialize(spark, kept, "release").inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:") for _ in range(2)]
+    assert all(os.path.isdir(p) for p in paths)
+    fresh_dir(spark, "never-written")
+    assert release(spark) >= 3 and not any(os.path.exists(p) for p in paths)
+    assert release(spark) == 0 and materialize(spark, kept, "again").count() == 1

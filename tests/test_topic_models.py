@@ -135,3 +135,44 @@ def test_lda_names_its_words(spark):
         assert set(words[t]["words"]) <= own and words[t]["weights"] == sorted(words[t]["weights"], reverse=True)
     assert sum(r["count"] for r in words.values()) == 150
     assert TP.topic_report(topics).count() == 3
+
+
+def _synonyms(spark, n=600, seed=6):
+    """Three topics of 100 words each; a post has five of them, among eight of 80 words that all topics share."""
+    rng = random.Random(seed)
+    rows = [(i, i % 3, rng.sample(rng.sample([f"t{i % 3}w{k}" for k in range(100)], 5) + rng.sample([f"x{k}" for k in range(80)], 8), 13)) for i in range(n)]
+    return spark.createDataFrame(rows, "post_id int, topic int, tokens array<string>")
+
+
+def _nearest_agree(vectors, topic):
+    """Share of posts whose nearest other post, by cosine, is of their topic."""
+    import numpy as np
+    ids = sorted(vectors)
+    x = np.array([vectors[i] for i in ids])
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    return sum(topic[ids[i]] == topic[ids[j]] for i, j in enumerate(s.argmax(1))) / len(ids)
+
+
+def test_learned_vectors_beat_hashed_counts(spark):
+    df = _synonyms(spark, 900)
+    topic = {r["post_id"]: r["topic"] for r in df.collect()}
+    read = lambda v: {r["post_id"]: r["vector"] for r in v.collect()}
+    learned, hashed = read(TP.learned_vectors(df, dims=16)), read(TP.text_vectors(df, dims=256))
+    good, plain = _nearest_agree(learned, topic), _nearest_agree(hashed, topic)
+    assert good > 0.9 and good > plain + 0.05
+
+
+def test_learned_vectors_of_odd_rows(spark):
+    """Null key, no tokens, unknown words; no common direction is left; no word is frequent enough."""
+    import numpy as np
+    df = _synonyms(spark, 150).select("post_id", "tokens").unionByName(
+        spark.createDataFrame([(None, ["t0w1", "x1"]), (900, []), (901, None), (902, ["onceonly"])], "post_id int, tokens array<string>"))
+    got = {r["post_id"]: np.array(r["vector"]) for r in TP.learned_vectors(df, dims=8).collect()}
+    assert len(got) == 154 and all(v.shape == (8,) for v in got.values())
+    assert all((got[i] == 0).all() for i in (900, 901, 902)) and (got[None] != 0).any()
+    x = np.stack(list(got.values()))
+    assert np.linalg.eigvalsh(x.T @ x)[0] < 1e-9 * np.linalg.eigvalsh(x.T @ x)[-1]
+    rare = TP.learned_vectors(df.where("post_id = 902"), dims=8).collect()
+    assert rare[0]["vector"] == [0.0] * 8

@@ -160,6 +160,7 @@ NR_TOPICS = 12
 MIN_TOPIC_SIZE = 20
 TOPIC_SEED = 42
 REDUCED_DIMS = 5
+EMBEDDING_DIMS = 64
 DENSITY_RADIUS = 0.15    # of unit vectors in the reduced space
 DENSITY_MIN_POINTS = 10
 NGRAM_MIN_DF = 5

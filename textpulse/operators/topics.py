@@ -9,10 +9,14 @@ broadcast back onto the posts.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import IDF, PCA, HashingTF, NGram, Normalizer
+from pyspark.ml.feature import IDF, PCA, HashingTF, NGram, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -324,12 +328,60 @@ def merge_topics(df: DataFrame, class_col: str, nr_topics: int, tokens_col: str
 
 
 def text_vectors(df: DataFrame, tokens_col: str = "tokens", key: str = "post_id", dims: int = 256) -> DataFrame:
-    """(key, vector): hashed, IDF-weighted term counts, all in the JVM. Stands
-    where an embedding model would: any (key, vector) table clusters the same."""
+    """(key, vector): hashed, IDF-weighted term counts, all in the JVM and without
+    training: the quick alternative to ``learned_vectors``."""
     tf = HashingTF(inputCol=tokens_col, outputCol="_tf", numFeatures=dims).transform(df.select(key, tokens_col))
     return IDF(inputCol="_tf", outputCol="_v").fit(tf).transform(tf).select(key, vector_to_array("_v").alias("vector"))
 
 
+def learned_vectors(df: DataFrame, tokens_col: str = "tokens", key: str = "post_id", dims: int = K.EMBEDDING_DIMS,
+                    min_count: int = K.NGRAM_MIN_DF, smooth: float = 1e-3, seed: int = K.TOPIC_SEED) -> DataFrame:
+    """ML-1: (key, vector) from word vectors that are learnt on these posts.
+
+    Spark ML's Word2Vec learns a vector for each word that occurs ``min_count``
+    times. A post's vector is the mean of its words' vectors, each weighted by
+    smooth / (smooth + the word's share of all words), so frequent words count
+    little; then what all posts have in common, the first direction of their
+    second moments (a ``dims`` x ``dims`` matrix summed in tasks), is taken out.
+    A post without a known word has the zero vector; a null key is one row."""
+    spark = df.sparkSession
+    posts = materialize(spark, df.select(F.col(key).alias("_key"), F.coalesce(tokens_col, F.array().cast("array<string>")).alias("_tokens")), "vector-tokens")
+    n = posts.count()
+    words = posts.select("_key", F.explode("_tokens").alias("word"))
+    counted = materialize(spark, words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "vector-words")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    zero = F.array_repeat(F.lit(0.0), dims)
+    if counted.where(F.col("n") >= min_count).isEmpty():
+        return df.select(key, zero.alias("vector"))
+    parts = max(1, min(64, n // 20_000))
+    model = Word2Vec(vectorSize=dims, minCount=min_count, windowSize=5, maxIter=max(1, min(10, 200_000 // max(n, 1))), numPartitions=parts,
+                     seed=seed, inputCol="_tokens", outputCol="_v").fit(posts)
+    weight = F.lit(smooth) / (F.lit(smooth) + F.col("n") / F.lit(float(total)))
+    vectors = materialize(spark, model.getVectors().join(counted, "word").select("word", "vector", weight.alias("_w")), "word-vectors")
+    each = words.groupBy("_key", "word").agg(F.count(F.lit(1)).alias("_n")).join(vectors, "word")
+    mean = each.groupBy("_key").agg(Summarizer.mean(F.col("vector"), F.col("_w") * F.col("_n")).alias("_m"))
+    mean = materialize(spark, mean.select("_key", vector_to_array("_m").alias("_m")), "post-means")
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((dims, dims))
+        for b in batches:
+            if len(b):
+                x = np.stack(b["_m"].to_list())
+                out += x.T @ x
+        yield pd.DataFrame({"i": np.repeat(np.arange(dims), dims), "j": np.tile(np.arange(dims), dims), "s": out.ravel()})
+
+    second = np.zeros((dims, dims))
+    for r in mean.select("_m").mapInPandas(moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():  # dims x dims rows
+        second[r["i"], r["j"]] = r["s"]
+    common = np.linalg.eigh(second)[1][:, -1]
+    direction = F.array(*[F.lit(float(c)) for c in common])
+    along = F.aggregate(F.zip_with("_m", direction, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    clean = F.zip_with("_m", F.transform(direction, lambda c: c * F.col("_along")), lambda a, b: a - b)
+    own = mean.withColumn("_along", along).select("_key", clean.alias("_vector"))
+    out = df.select(key)
+    return out.join(own, out[key].eqNullSafe(own["_key"]), "left").select(key, F.coalesce("_vector", zero).alias("vector"))
+
+
 def discover_topics(df: DataFrame, key: str = "post_id", tokens_col: str = "tokens", vectors: DataFrame | None = None,
                     k: int = K.NR_TOPICS, min_size: int = K.MIN_TOPIC_SIZE, cluster=None) -> tuple[DataFrame, DataFrame]:
     """ML-1..8 end to end: cluster the posts' vectors, take the vocabulary of
@@ -341,7 +393,7 @@ def discover_topics(df: DataFrame, key: str = "post_id", tokens_col: str = "toke
     (posts with topic columns, topic table). ``df`` is read several times: pass
     a written table."""
     if vectors is None:
-        vectors = text_vectors(df, tokens_col, key)
+        vectors = learned_vectors(df, tokens_col, key)
     found = cluster(vectors, "vector", key) if cluster else cluster_topics(vectors, "vector", key, k=k, min_size=min_size)
     found = found.withColumnRenamed(key, "_key")
     posts = df.drop("topic_id", "topic_prob", "topic_label")

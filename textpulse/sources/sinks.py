@@ -53,10 +53,26 @@ def write_summaries(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parq
         write_stage(t, f"{out_dir.rstrip('/')}/{name}", fmt)
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path under the cluster's checkpoint folder."""
     from textpulse.session import ensure_checkpoint_dir
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this application has written so far
+    and say how many there were. Frames that read them can't be used any more:
+    call it between jobs of a long-lived session."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str = "stage") -> DataFrame:
