@@ -99,7 +99,8 @@ def test_counters_are_observed_without_a_job(spark):
     from textpulse.operators import quality as QU
     df = spark.createDataFrame([(True, False, "", 0), (False, True, "a b", 2), (False, False, "c", 4)],
                                "lang_conflict boolean, is_too_short boolean, text_clean string, n_tokens int")
-    seen, counters = QU.observe_counters(df)
+    own = spark.newSession()
+    seen, counters = QU.observe_counters(own.createDataFrame(df.collect(), df.schema))
     assert seen.count() == 3
     assert counters.get == {"conflicts": 1.0, "too_short": 1.0, "empty_after_fallback": 1.0, "zero_token_posts": 1.0, "mean_tokens": 2.0}
 

@@ -18,17 +18,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textpulse.functions.text import raw_tokens
 from textpulse.operators.sentiment import fold_sentiment, placeholder_text
-from textpulse.sources.sinks import materialize
+from textpulse.sources.sinks import fresh_dir, materialize
 
 SCORES_TYPE = T.ArrayType(T.StructType([T.StructField("label", T.StringType()),
                                         T.StructField("score", T.DoubleType())]))
@@ -90,6 +90,15 @@ def attach(df: DataFrame, scores: DataFrame, key: str, name: str) -> DataFrame:
     return df.join(other, df[key].eqNullSafe(other["_key"]), "left").drop("_key")
 
 
+def _stored(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """The model, saved and loaded: without its training summary, which holds
+    the session and can't be sent to tasks once the session has observed
+    metrics."""
+    path = fresh_dir(spark, "model")
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
 def text_classifier(df: DataFrame, labelled: DataFrame, key: str, label_col: str, tokens_col: str = "tokens",
                     num_features: int = 1 << 16, max_iter: int = 20) -> tuple[DataFrame, list[str]]:
     """Spark ML: hashed term counts -> IDF -> logistic regression on text
@@ -103,6 +112,7 @@ def text_classifier(df: DataFrame, labelled: DataFrame, key: str, label_col: str
                              IDF(inputCol="_tf", outputCol="_features", minDocFreq=2),
                              LogisticRegression(featuresCol="_features", labelCol="label", maxIter=max_iter,
                                                 regParam=0.01, probabilityCol="_prob")]).fit(train)
+    model = _stored(model, df.sparkSession)
     p = vector_to_array("_prob")
     raw = F.array(*[F.struct(F.lit(n).alias("label"), p[i].alias("score")) for i, n in enumerate(names)])
     return materialize(df.sparkSession, model.transform(tok).select(key, raw.alias("raw_scores")), "raw-scores"), names
@@ -121,7 +131,7 @@ def sentiment_classifier(docs: DataFrame, labelled: DataFrame, text_col: str = "
     idf = IDF(inputCol="_tf", outputCol="_features", minDocFreq=2)
     lr = LogisticRegression(featuresCol="_features", labelCol="label", maxIter=max_iter,
                             regParam=0.01, probabilityCol="_prob")
-    model = Pipeline(stages=[tf, idf, lr]).fit(train)
+    model = _stored(Pipeline(stages=[tf, idf, lr]).fit(train), docs.sparkSession)
     scored = model.transform(tok).withColumn("_p", vector_to_array("_prob"))
     raw = F.array(F.struct(F.lit("negative").alias("label"), F.col("_p")[0].alias("score")),
                   F.struct(F.lit("positive").alias("label"), F.col("_p")[1].alias("score")))

@@ -356,6 +356,7 @@ UNION ALL SELECT 'mean_tokens', """ + S.rnd('CAST(sum(n_tokens) AS DOUBLE) / cou
 def observed_counters_query(spark, sf_dir):
     """AGG-16 without a job of its own: the counters are filled in while the
     clean table is written."""
-    seen, counters = QU.observe_counters(clean_table(spark, sf_dir))
-    materialize(spark, seen, "clean-observed")
+    own = spark.newSession()  # a session that has observed can't send some ML models to tasks
+    seen, counters = QU.observe_counters(clean_table(own, sf_dir))
+    materialize(own, seen, "clean-observed")
     return spark.createDataFrame([(k, float(v)) for k, v in counters.get.items()], "counter string, value double")
