@@ -285,7 +285,8 @@ FROM clean WHERE lang IN ('en', 'fr') AND n_tokens >= {K.MIN_TOKENS}"""))
 def en_fr_query(spark, sf_dir):
     """FLT-1, FLT-2, PRJ-10: the topic-model input filter and text choice."""
     from textpulse.operators.topics import topic_input
-    return topic_input(clean_table(spark, sf_dir)).select("post_id", "lang", "n_tokens", "topic_text")
+    clean = clean_table(spark, sf_dir).select("post_id", "lang", "n_tokens", "text_clean", "text_lemma")
+    return topic_input(TX.settled(clean)).select("post_id", "lang", "n_tokens", "topic_text")
 
 
 @register("sample_n")
