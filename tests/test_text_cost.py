@@ -75,3 +75,11 @@ def test_topic_queries_filter_behind_the_tokens(spark, tmp_path):
                           "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     plan = registry.queries()["en_fr_min_tokens"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 2  # an English and a French branch, once
+
+
+def test_word_vectors_are_dealt_by_words_not_posts(spark):
+    from textpulse.operators import topics as TP
+    # 39,000 posts of 500 words were one task's work for each iteration.
+    assert TP.training_parts(39_000 * 500) == 39
+    assert TP.training_parts(0) == TP.training_parts(1000) == 1
+    assert TP.training_parts(10**12) == 64
