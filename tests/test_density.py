@@ -156,3 +156,24 @@ def test_discovered_topics_by_density_keep_every_post(spark):
     assert [len({got[i] for i in range(k, 90, 3)}) for k in range(3)] == [1, 1, 1] and len({got[0], got[1], got[2]}) == 3
     assert got[None] == got[0]
     assert {r["topic_id"] for r in topics.collect()} == set(got.values())
+
+
+def test_dense_points_are_not_all_compared(spark, monkeypatch):
+    """Where each point is near hundreds of others, few are compared with all
+    of the cells around; the clusters stay those of brute force. Two dense groups
+    side by side stay apart, a bridge of few points joins two others."""
+    rng = np.random.default_rng(4)
+    dense = rng.normal(0, 0.1, (2000, 5))
+    beside = rng.normal(0, 0.02, (300, 5)) + [1.0, 0, 0, 0, 0]
+    parted = rng.normal(0, 0.02, (300, 5)) + [1.0, 0.35, 0, 0, 0]
+    bridge = np.stack([np.linspace(0, 1, 200), *[np.zeros(200)] * 4], 1)
+    x = np.concatenate([dense, beside, parted, bridge, rng.uniform(-3, 3, (100, 5))])
+    sent, keep = [], DN._met
+    monkeypatch.setattr(DN, "_met", lambda left, home, pairs: sent.append(left.count()) or keep(left, home, pairs))
+    _compare(DN.density_clusters(_frame(spark, x), "v", "id", 0.15, 10, block=64), brute_dbscan(x, 0.15, 10), len(x))
+    assert len(sent) == 2 and sent[0] < len(x) / 4 and sent[1] < len(x) / 2
+
+
+def test_vectors_longer_than_a_grid_meet_in_bands(spark):
+    x = _planted(np.random.default_rng(6), dims=DN.GRID_DIMS + 2)
+    _compare(DN.density_clusters(_frame(spark, x), "v", "id", 0.5, 5), brute_dbscan(x, 0.5, 5), len(x))
