@@ -69,3 +69,24 @@ def test_argmax_tie_first_wins(spark):
     from textpulse.functions.numeric import argmax_name
     df = spark.createDataFrame([(0.1, 0.1)], "a double, b double")
     assert df.select(argmax_name({"anger": F.col("a"), "disgust": F.col("b")})).first()[0] == "anger"
+
+
+def test_the_join_with_a_small_lexicon_shuffles_no_tokens(spark, tmp_path):
+    """The written lexicon's size is known when the join is planned, also next
+    to tokens that are too large to broadcast."""
+    from pyspark.sql import functions as F
+    from textpulse.operators.emotions import lexicon_hits, prepare_lexicon
+    path = str(tmp_path / "posts")
+    spark.range(3000).select(F.col("id").alias("post_id"), F.array(F.lit("sad"), F.md5(F.col("id").cast("string")), F.lit("sad")).alias("tokens")) \
+        .write.parquet(path)
+    lex = prepare_lexicon(spark.createDataFrame([("sad", "sadness", 1), ("sad", "fear", 1), ("ok", "joy", 1)], "word string, emotion string, association int"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        hits = lexicon_hits(spark.read.parquet(path), lex, "post_id", "tokens")
+        plan = hits._jdf.queryExecution().sparkPlan().toString()
+        assert "/lexicon-" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        rows = hits.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert len(rows) == 3000 and {(r["_h_sadness"], r["_h_fear"], r["_h_joy"]) for r in rows} == {(2, 2, 0)}

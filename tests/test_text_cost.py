@@ -83,3 +83,30 @@ def test_word_vectors_are_dealt_by_words_not_posts(spark):
     assert TP.training_parts(39_000 * 500) == 39
     assert TP.training_parts(0) == TP.training_parts(1000) == 1
     assert TP.training_parts(10**12) == 64
+
+
+def test_content_tokens_equal_filtered_ones_without_a_test_for_each(spark):
+    rng = random.Random(8)
+    bits = ["a", "b1", "12", "7", "İ", "Ⅳ", "\xb2", "_", "́", "\U00020000", "\U0001d7ce", " ", "-", "Σ", "The"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 6))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.filter(TX.raw_tokens("t"), lambda t: (F.length(t) > 1) & ~t.rlike(r"^\p{N}+$"))
+    got = TX.drop_stop_words(plain, "english")
+    assert df.where(~TX.tokens_for("t", F.lit("en")).eqNullSafe(got)).count() == 0
+    assert "RLIKE" not in df.select(TX.tokens_for("t", F.lit("en")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mentions_behind_letters_of_any_plane(spark):
+    texts = ["\U00020000u/bob", "\U0001F600u/bob", "u/a u/b", "xu/bob", "/r/c-u/d", "u/", "eau/lait"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_replace(F.regexp_replace("t", r"(^|[^\p{L}\p{N}_])u/[\p{L}\p{N}_]+", "$1"), r"(^|[^\p{L}\p{N}_])r/[\p{L}\p{N}_]+", "$1")
+    assert df.where(TX.remove_mentions("t") != plain).count() == 0
+    assert "(^|" not in df.select(TX.remove_mentions("t"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contractions_run_only_where_they_occur(spark):
+    df = spark.createDataFrame([("it's",), ("SHAN'T we y'ALL",), ("l'eau",), ("'shan't's",), ("can't've",)], "t string")
+    rows = [r[0] for r in df.select(TX.expand_contractions("t")).collect()]
+    assert rows == [brute(t) for t in ("it's", "SHAN'T we y'ALL", "l'eau", "'shan't's", "can't've")]
+    plan = df.select(TX.expand_contractions("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f", {p})" in plan for p, _ in K.CONTRACTIONS if "'" in p)  # Contains(low, p) before each

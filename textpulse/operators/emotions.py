@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from textpulse import constants as K
 from textpulse.functions.numeric import argmax_name, distress_level, distress_score, rnd
 from textpulse.functions.text import bind, bind_many
+from textpulse.sources.sinks import materialize
 
 
 def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
@@ -28,11 +29,14 @@ def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
 
 def lexicon_hits(df: DataFrame, lex: DataFrame, key: str, tokens_col: str) -> DataFrame:
     """Per key with a hit, the lexicon hits of each emotion. No size decides
-    how: tokens are exploded and joined with the lexicon (which side is small
-    enough to broadcast is the planner's matter, from runtime sizes), and the
-    counts of a post combine in its task before they are shuffled."""
+    how: tokens are exploded and joined with the lexicon, and the counts of a
+    post combine in its task before they are shuffled. The lexicon is written
+    first, so that the planner knows its size before it plans the join: by
+    runtime sizes alone it would learn of a small one when all tokens have been
+    shuffled."""
     on = ["word", "lang"] if "lang" in lex.columns else ["word"]
     words = lex.groupBy(*on).agg(*[F.count_if(F.col("emotion") == e).alias(f"_e_{e}") for e in K.EMOTIONS])
+    words = materialize(df.sparkSession, words, "lexicon")
     cols = [F.col(key).alias("_hit_key"), *([F.col("lang")] if "lang" in on else []), F.explode(F.col(tokens_col)).alias("word")]
     return (df.select(*cols).join(words, on).groupBy("_hit_key")
               .agg(*[F.sum(f"_e_{e}").alias(f"_h_{e}") for e in K.EMOTIONS]))
