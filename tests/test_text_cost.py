@@ -110,3 +110,10 @@ def test_contractions_run_only_where_they_occur(spark):
     assert rows == [brute(t) for t in ("it's", "SHAN'T we y'ALL", "l'eau", "'shan't's", "can't've")]
     plan = df.select(TX.expand_contractions("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert all(f", {p})" in plan for p, _ in K.CONTRACTIONS if "'" in p)  # Contains(low, p) before each
+
+
+def test_the_emoji_hint_is_the_same_set_behind_one_wide_range(spark):
+    want = {0xA9, 0xAE, 0xFE0F, *range(0x2000, 0x329A), *range(0x1F000, 0x1FB00), *range(0xE0020, 0xE0080)}
+    df = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("t"))
+    assert {r["id"] for r in df.where(F.col("t").rlike(K.EMOJI_HINT)).collect()} == want
+    assert K.EMOJI_HINT.startswith(r"[\x{A9}-\x{E007F}&&")

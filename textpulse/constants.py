@@ -186,8 +186,10 @@ WS_CHARS_NOT_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
                       + "\u2028\u2029\u202f\u205f\u3000")
 # Ranges around the white space that the JVM's \\s doesn't know.
 WS_HINT = r"[\x{1C}-\x{1F}\x{85}-\x{A0}\x{1680}-\x{3000}]"
-# Characters whose presence means a value may hold an emoji.
-EMOJI_HINT = r"[\x{A9}\x{AE}\x{2000}-\x{3299}\x{FE0F}\x{1F000}-\x{1FAFF}\x{E0020}-\x{E007F}]"
+# Characters whose presence means a value may hold an emoji. One wide range is
+# tested first: nothing else is tested for a plain letter.
+EMOJI_HINT = (r"[\x{A9}-\x{E007F}&&[\x{A9}\x{AE}\x{2000}-\x{3299}\x{FE0F}\x{1F000}-\x{1FAFF}"
+              r"\x{E0020}-\x{E007F}]]")
 # Word character in the sense of Python's Unicode \w.
 WORD_CLASS = r"\p{L}\p{N}_"
 # Token pattern: letters, marks, digits, underscore.
