@@ -123,6 +123,22 @@ def test_far_logits_keep_their_softmax():
         assert np.allclose(slope, soft / 50, atol=1e-6) and loss == pytest.approx(-want.sum(), rel=1e-4)
 
 
+@pytest.mark.parametrize("k", ["wc", "wo", "bc", "bo"])
+def test_far_weights_are_noticed(k):
+    """Weights that may give logits far from 0 have their rows shifted; a bound
+    is told from the weights, without looking through all logits."""
+    rng = np.random.default_rng(7)
+    w = {n: v.astype(np.float32) for n, v in some_weights(rng).items()}
+    near = lambda: (lm._are_near(w["wc"], w["bc"]), lm._are_near(w["wo"], w["bo"]))
+    assert near() == (True, True)
+    w[k] += np.float32(500)
+    assert near() == (k[1] != "c", k[1] != "o")
+    sym, off = rng.integers(0, lm.HEAD + lm.TAILS, 60).astype(np.int32), np.array([0, 7, 20, 60])
+    p = lm.log_probabilities(w, sym, off)
+    ln = lm.Lanes(sym, off, 2)
+    assert np.isfinite(p).all() and np.isfinite(lm._gradients(w, ln, next(ln.windows(12)), np.zeros((2, lm.HIDDEN), np.float32))[2])
+
+
 def test_held_out_gain(spark):
     got = lm.score(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
     held = got[got["held_out"]]

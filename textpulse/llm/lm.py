@@ -175,24 +175,30 @@ def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _step(w: dict, gates: np.ndarray, h: np.ndarray) -> tuple:
+def _room(n: int, kind: np.dtype) -> tuple:
+    """What ``_step`` fills for ``n`` rows: see there."""
+    return tuple(np.empty((n, c * HIDDEN), kind) for c in (1, 2, 1, 3))
+
+
+def _step(w: dict, gates: np.ndarray, h: np.ndarray, room: tuple | None = None) -> tuple:
     """One step from the state ``h``; ``gates`` are the rows of its inputs with
-    the biases added. (new state, update and reset gate, candidate, its part
-    from the state)."""
-    k, a = HIDDEN, h @ w["u"]
-    zr = gates[:, : 2 * k] + a[:, : 2 * k]
+    the biases added. (new state, update and reset gate, candidate, the gates'
+    part from the state)."""
+    k = HIDDEN
+    new, zr, n, a = room or _room(len(h), h.dtype)
+    np.matmul(h, w["u"], out=a)
+    np.add(gates[:, : 2 * k], a[:, : 2 * k], out=zr)
     np.negative(zr, out=zr)
     np.exp(zr, out=zr)
     zr += 1
     np.reciprocal(zr, out=zr)
-    an = a[:, 2 * k :]
-    n = zr[:, k:] * an
+    np.multiply(zr[:, k:], a[:, 2 * k :], out=n)
     n += gates[:, 2 * k :]
     np.tanh(n, out=n)
-    new = h - n
+    np.subtract(h, n, out=new)
     new *= zr[:, :k]
     new += n
-    return new, zr, n, an
+    return new, zr, n, a
 
 
 def _log_softmax(logits: np.ndarray) -> np.ndarray:
@@ -203,11 +209,16 @@ def _log_softmax(logits: np.ndarray) -> np.ndarray:
 FAR = 80.0  # float32 holds the exponential of anything nearer to 0, and its sums
 
 
-def _picked(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _are_near(weights: np.ndarray, biases: np.ndarray) -> bool:
+    """Whether no state gives logits far from 0. A state is in -1 to 1."""
+    return float((np.abs(weights).sum(-2) + np.abs(biases)).max()) < FAR - 1
+
+
+def _picked(logits: np.ndarray, pick: np.ndarray, near: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The picked column of each row's log softmax, and each row's sum of the
     exponentials, which take the place of ``logits``. Rows are shifted by their
-    greatest only where some logit is far from 0."""
-    if len(logits) and (logits.max() > FAR or logits.min() < -FAR):
+    greatest only where some logit is far from 0; ``near``: none is."""
+    if not near and len(logits) and (logits.max() > FAR or logits.min() < -FAR):
         logits -= logits.max(1, keepdims=True)
     chosen = logits[np.arange(len(logits)), pick]
     np.exp(logits, out=logits)
@@ -215,10 +226,10 @@ def _picked(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return chosen - np.log(total), total
 
 
-def _loss_and_slope(logits: np.ndarray, pick: np.ndarray, scale: np.floating) -> tuple[float, np.ndarray]:
+def _loss_and_slope(logits: np.ndarray, pick: np.ndarray, scale: np.floating, near: bool = False) -> tuple[float, np.ndarray]:
     """Minus the sum of the picked log softmax, and the slope of its mean over
     1 / ``scale`` rows by the logits, which are used up."""
-    chosen, total = _picked(logits, pick)
+    chosen, total = _picked(logits, pick, near)
     logits *= (scale / total)[:, None]
     logits[np.arange(len(logits)), pick] -= scale
     return -float(chosen.sum()), logits
@@ -230,7 +241,7 @@ class HeadRows:
     def __init__(self, sym: np.ndarray):
         rows = np.flatnonzero(sym < HEAD)
         cls = sym[rows] // CLASS_WORDS
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         self.rows, n = rows[order], np.bincount(cls, minlength=HEADS)
         self.word = sym[self.rows] % CLASS_WORDS
         ends = np.cumsum(n)
@@ -275,35 +286,42 @@ class Lanes:
 
     def windows(self, size: int) -> Iterator[list[np.ndarray]]:
         """For each window, the tokens' places of each step."""
-        t, most = 0, int(self.length[0]) if len(self.length) else 0
+        t, most, shorter = 0, int(self.length[0]) if len(self.length) else 0, -self.length
         while t < most:
-            yield [self.start[: np.searchsorted(-self.length, -s, "left")] + s for s in range(t, min(t + size, most))]
+            steps = range(t, min(t + size, most))
+            yield [self.start[:n] + s for s, n in zip(steps, np.searchsorted(shorter, [-s for s in steps], "left").tolist())]
             t += size
 
 
+def _any(first: np.ndarray, steps: list[np.ndarray]) -> list[bool]:
+    """Whether a document begins in each step."""
+    return np.logical_or.reduceat(first, np.cumsum([0, *map(len, steps[:-1])])).tolist()
+
+
 def log_probabilities(w: dict, sym: np.ndarray, off: np.ndarray, lanes: int = LANES) -> np.ndarray:
     """Natural log of the class, and in head classes of the word, for each
     token; the state runs through each whole document."""
-    ln = Lanes(sym, off, lanes)
+    ln, k, kind = Lanes(sym, off, lanes), HIDDEN, w["u"].dtype
     out = np.zeros(len(sym))
-    h = np.zeros((len(ln.length), HIDDEN), w["u"].dtype)
-    inputs = w["x"] + w["b"]
+    h, rooms = np.zeros((len(ln.length), k), kind), [_room(len(ln.length), kind) for _ in range(2)]
+    inputs, near = w["x"] + w["b"], (_are_near(w["wc"], w["bc"]), _are_near(w["wo"], w["bo"]))
     for steps in ln.windows(WINDOW):
-        at, states, i = np.concatenate(steps), [], 0
-        gates, first = inputs[ln.input[at]], ln.first[at]
-        for n in map(len, steps):
-            h = h[:n].copy()  # the state before has been emitted
-            h[first[i : i + n]] = 0
-            h = _step(w, gates[i : i + n], h)[0]
-            states.append(h)
+        at, i = np.concatenate(steps), 0
+        gates, first, hs = np.take(inputs, ln.input[at], axis=0), ln.first[at], np.empty((len(at), k), kind)
+        for n, new in zip(map(len, steps), _any(first, steps)):
+            h = h[:n]
+            if new:
+                h[first[i : i + n]] = 0
+            rooms.reverse()  # the state before is in the other one
+            h = _step(w, gates[i : i + n], h, tuple(x[:n] for x in rooms[0]))[0]
+            hs[i : i + n] = h
             i += n
-        hs = np.concatenate(states)
         s = ln.sym[at]
         logits = hs @ w["wc"]
         logits += w["bc"]
-        p = _picked(logits, class_of(s))[0]
+        p = _picked(logits, class_of(s), near[0])[0]
         head = HeadRows(s)
-        p[head.rows] += _picked(head.logits(w, hs[head.rows]), head.word)[0]
+        p[head.rows] += _picked(head.logits(w, hs[head.rows]), head.word, near[1])[0]
         out[ln.source[at]] = p
     return out
 
@@ -317,20 +335,22 @@ def _gradients(w: dict, ln: Lanes, steps: list[np.ndarray], h: np.ndarray) -> tu
     k, at = HIDDEN, np.concatenate(steps)
     n, x, first, kind = len(at), ln.input[at], ln.first[at], w["u"].dtype
     cuts = np.cumsum([0, *map(len, steps)]).tolist()
-    gates = w["x"][x]
+    gates = np.take(w["x"], x, axis=0)
     gates += w["b"]
-    h0, hs, zr, cand, an = (np.empty((n, c), kind) for c in (k, k, 2 * k, k, k))
-    for i, j in zip(cuts, cuts[1:]):
+    h0, room, begins = np.empty((n, k), kind), _room(n, kind), _any(first, steps)
+    for i, j, new in zip(cuts, cuts[1:], begins):
         h0[i:j] = h[: j - i]
-        h0[i:j][first[i:j]] = 0
-        h, zr[i:j], cand[i:j], an[i:j] = _step(w, gates[i:j], h0[i:j])
-        hs[i:j] = h
+        if new:
+            h0[i:j][first[i:j]] = 0
+        h = _step(w, gates[i:j], h0[i:j], tuple(x[i:j] for x in room))[0]
+    hs, zr, cand, a = room
+    an = a[:, 2 * k :]
     s = ln.sym[at]
     g = {}
     scale = kind.type(1.0 / n)
     logits = hs @ w["wc"]
     logits += w["bc"]
-    loss, d = _loss_and_slope(logits, class_of(s), scale)
+    loss, d = _loss_and_slope(logits, class_of(s), scale, _are_near(w["wc"], w["bc"]))
     g["wc"], g["bc"], dh = hs.T @ d, d.sum(0), d @ w["wc"].T
     g["wo"], g["bo"] = np.zeros_like(w["wo"]), np.zeros_like(w["bo"])
     head = HeadRows(s)
@@ -344,13 +364,13 @@ def _gradients(w: dict, ln: Lanes, steps: list[np.ndarray], h: np.ndarray) -> tu
     dh[head.rows] += back
     loss += more
     # Slopes of each step's state by its candidate and gates, for all steps at once.
-    z, r = zr[:, :k], zr[:, k:]
+    z, r = zr[:, :k].copy(), zr[:, k:].copy()
     by_cand = (1 - z) * (1 - cand * cand)
     by_z = (h0 - cand) * z * (1 - z)
     by_r = an * r * (1 - r)
     da, after, ut = np.empty((n, 3 * k), kind), np.zeros((0, k), kind), np.ascontiguousarray(w["u"].T)
     dcand = np.empty((n, k), kind)
-    for i, j in zip(reversed(cuts[:-1]), reversed(cuts[1:])):
+    for i, j, begin in zip(cuts[-2::-1], cuts[:0:-1], begins[::-1]):
         new, part, dn = dh[i:j], da[i:j], dcand[i:j]
         new[: len(after)] += after
         np.multiply(new, by_cand[i:j], out=dn)
@@ -359,12 +379,14 @@ def _gradients(w: dict, ln: Lanes, steps: list[np.ndarray], h: np.ndarray) -> tu
         np.multiply(dn, r[i:j], out=part[:, 2 * k :])
         after = part @ ut
         after += new * z[i:j]
-        after[first[i:j]] = 0
+        if begin:
+            after[first[i:j]] = 0
     g["u"] = h0.T @ da
     da[:, 2 * k :] = dcand
-    order = np.argsort(x, kind="stable")
-    rows, begin = np.unique(x[order], return_index=True)
-    g["x"] = rows, np.add.reduceat(da[order], begin, axis=0)
+    order = np.argsort(x.astype(np.int16), kind="stable")
+    own = x[order]
+    begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    g["x"] = own[begin], np.add.reduceat(np.take(da, order, axis=0), begin, axis=0)
     g["b"] = da.sum(0)
     return g, h, loss
 
@@ -386,9 +408,9 @@ def train(w: dict, sym: np.ndarray, off: np.ndarray, rate: float = RATE) -> dict
         clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
         step = np.float32(rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t))
         for k, x in g.items():
-            here = at if k == "x" else slice(None)
-            x *= clip
-            first, second = m[k][here], v[k][here]
+            if clip < 1:
+                x *= clip
+            first, second = (np.take(m[k], at, axis=0), np.take(v[k], at, axis=0)) if k == "x" else (m[k], v[k])
             first *= np.float32(0.9)
             first += np.float32(0.1) * x
             x *= x
@@ -399,8 +421,10 @@ def train(w: dict, sym: np.ndarray, off: np.ndarray, rate: float = RATE) -> dict
             np.divide(first, x, out=x)
             x *= step
             if k == "x":
-                m[k][here], v[k][here] = first, second
-            w[k][here] -= x
+                m[k][at], v[k][at] = first, second
+                w[k][at] = np.subtract(np.take(w[k], at, axis=0), x, out=x)
+            else:
+                w[k] -= x
     return w
 
 
