@@ -176,3 +176,19 @@ def test_learned_vectors_of_odd_rows(spark):
     assert np.linalg.eigvalsh(x.T @ x)[0] < 1e-9 * np.linalg.eigvalsh(x.T @ x)[-1]
     rare = TP.learned_vectors(df.where("post_id = 902"), dims=8).collect()
     assert rare[0]["vector"] == [0.0] * 8
+
+
+def test_word_passes_dont_fall_with_the_posts(spark, monkeypatch):
+    """Every post is learnt from as often in a large table as in a small one."""
+    asked = []
+
+    class Recorded(TP.Word2Vec):
+        def __init__(self, **kw):
+            asked.append(kw["maxIter"])
+            super().__init__(**kw)
+
+    monkeypatch.setattr(TP, "Word2Vec", Recorded)
+    for n in (20, 41_000):
+        df = spark.range(n).select(F.col("id").alias("post_id"), F.array(F.lit("a"), F.lit("b")).alias("tokens"))
+        assert TP.learned_vectors(df, dims=2).count() == n
+    assert asked == [TP.WORD_PASSES, TP.WORD_PASSES] == [10, 10]
