@@ -9,23 +9,24 @@ The state of a term after some steps is ``d * (first + sum of its gains) + e``:
 ``first`` is its random start, drawn from its number, ``d`` and ``e`` are one
 number for all terms, and only the terms of a step's texts gain. So each step
 writes the gains of its own terms, and a term's state is its gains added up. The
-driver holds a few numbers for each topic; a task holds one Arrow batch and the
-rows of the text that goes on in the next.
+driver holds a few numbers for each topic; a task holds one block of texts and the
+rows of its distinct terms (``blocks``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textpulse.operators.blocks import deal, meet
 from textpulse.sources.sinks import materialize
 
 TAU, KAPPA, FRACTION, SHAPE = 1024.0, 0.51, 0.05, 100.0
 CLOSE = 1e-3  # mean change of a text's topics at which inference ends
+CELLS_AT_ONCE = 60_000  # counts of texts that are worked on together
+GAINS_APART = 4  # steps whose gains are read one by one before they are added up
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -57,33 +58,49 @@ def first_weights(numbers: np.ndarray, k: int, seed: int) -> np.ndarray:
     return (1 - 1 / (9 * SHAPE) + z / (3 * np.sqrt(SHAPE))) ** 3
 
 
-def infer(beta: np.ndarray, counts: np.ndarray, alpha: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(topics of the text, exp of their expected logarithm, counts over the
-    norm) for a text's rows of ``beta``."""
+def infer(beta: np.ndarray, counts: np.ndarray, sizes: np.ndarray, alpha: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(topics, exp of their expected logarithm, counts over the norm) of texts,
+    whose ``sizes`` columns of ``beta`` follow each other; each text goes on until
+    its own topics change little."""
+    gammas, thetas, ratios = np.empty_like(start), np.empty_like(start), np.empty(len(counts))
+    text, cell, ended = np.arange(len(sizes)), np.arange(len(counts)), np.zeros(len(sizes), bool)
+
+    def step(gamma):
+        theta = np.exp(digamma(gamma) - digamma(gamma.sum(1))[:, None])
+        return theta, counts / (np.einsum("ij,ij->j", beta, np.repeat(theta.T, sizes, axis=1)) + 1e-100)
+
     gamma = start
-    theta = np.exp(digamma(gamma) - digamma(gamma.sum()))
-    ratio = counts / (beta @ theta + 1e-100)
+    theta, ratio = step(gamma)
     while True:
-        was, gamma = gamma, theta * (beta.T @ ratio) + alpha
-        theta = np.exp(digamma(gamma) - digamma(gamma.sum()))
-        ratio = counts / (beta @ theta + 1e-100)
-        if np.abs(gamma - was).mean() <= CLOSE:
-            return gamma, theta, ratio
-
-
-def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each text's rows, from rows sorted by ``uid``."""
-    held = None
-    for b in batches:
-        if not len(b):
-            continue
-        held = b if held is None else pd.concat([held, b], ignore_index=True)
-        cuts = np.flatnonzero(np.diff(held["uid"].to_numpy())) + 1
-        for i, j in zip(np.append(0, cuts[:-1]), cuts):
-            yield held.iloc[i:j]
-        held = held.iloc[cuts[-1]:] if len(cuts) else held
-    if held is not None:
-        yield held
+        at = np.cumsum(sizes) - sizes
+        was, gamma = gamma, theta * np.add.reduceat(beta * ratio, at, axis=1).T + alpha
+        theta, ratio = step(gamma)
+        done = (np.abs(gamma - was).mean(1) <= CLOSE) & ~ended
+        if done.any():
+            own = np.repeat(done, sizes)
+            gammas[text[done]], thetas[text[done]], ratios[cell[own]] = gamma[done], theta[done], ratio[own]
+            ended |= done
+            if ended.all():
+                return gammas, thetas, ratios
+            if ended.sum() >= 0.25 * len(ended):
+                go, on = ~ended, np.repeat(~ended, sizes)
+                beta, counts, ratio, cell = beta[:, on], counts[on], ratio[on], cell[on]
+                sizes, text, gamma, theta, ended = sizes[go], text[go], gamma[go], theta[go], ended[go]
+
+
+def infer_block(beta: np.ndarray, place: np.ndarray, counts: np.ndarray, sizes: np.ndarray, alpha: np.ndarray, start: np.ndarray):
+    """``infer`` for any number of texts, some at a time; ``place`` is each
+    count's row of ``beta``."""
+    gammas, thetas, ratios = np.empty_like(start), np.empty_like(start), np.empty(len(counts))
+    ends = np.cumsum(sizes)
+    i = 0
+    while i < len(sizes):
+        first = ends[i] - sizes[i]
+        j = max(i + 1, int(np.searchsorted(ends, first + CELLS_AT_ONCE, "right")))
+        c = slice(first, ends[j - 1])
+        gammas[i:j], thetas[i:j], ratios[c] = infer(np.ascontiguousarray(beta[place[c]].T), counts[c], sizes[i:j], alpha, start[i:j])
+        i = j
+    return gammas, thetas, ratios
 
 
 class Topics:
@@ -105,74 +122,90 @@ class Topics:
 
         total = terms.select("number").mapInPandas(firsts, self.kind).agg(*[F.sum(c).alias(c) for c in self.columns]).first()
         self.first = np.array([x or 0.0 for x in total])
-        self.size, self.texts = terms.count(), docs.where("size(numbers) > 0").count()
+        self.size = terms.count()
+        r = docs.where("size(numbers) > 0").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("numbers")).alias("cells")).first()
+        self.texts, self.cells = r["n"], r["cells"] or 0
 
     def sums(self) -> np.ndarray:
         return self.d * (self.first + self.gained) + self.size * self.e
 
+    def _gained(self) -> DataFrame | None:
+        """(number, w0, w1, ...): the gains of each term that has any."""
+        if not self.gains:
+            return None
+        gains = self.gains[0]
+        for g in self.gains[1:]:
+            gains = gains.unionByName(g)
+        return gains if len(self.gains) == 1 else gains.groupBy("number").agg(*[F.sum(c).alias(c) for c in self.columns])
+
+    def _state(self):
+        """A function of (numbers, rows with their gains) to the terms' state, or
+        to the exp of its expected logarithm."""
+        k, seed, d, e, columns, total = self.k, self.seed, self.d, self.e, self.columns, digamma(self.sums())
+
+        def state(rows: pd.DataFrame, logarithms: bool) -> np.ndarray:
+            x = first_weights(rows["number"].to_numpy(), k, seed)
+            if columns[0] in rows:
+                x = x + rows[columns].fillna(0.0).to_numpy()
+            return np.exp(digamma(d * x + e) - total) if logarithms else d * x + e
+
+        return state
+
     def weights(self, numbers: DataFrame, logarithms: bool) -> DataFrame:
         """(number, w0, w1, ...) of distinct numbers: the state, or the exp of
         its expected logarithm."""
-        k, seed, d, e, columns, total = self.k, self.seed, self.d, self.e, self.columns, digamma(self.sums())
-        rows = numbers.select("number")
-        if self.gains:
-            gains = self.gains[0]
-            for g in self.gains[1:]:
-                gains = gains.unionByName(g)
-            summed = gains.join(rows, "number", "left_semi").groupBy("number").agg(*[F.sum(c).alias(c) for c in columns])
-            rows = rows.join(summed, "number", "left")
-        else:
-            rows = rows.select("number", *[F.lit(0.0).alias(c) for c in columns])
-
-        def state(batches):
+        rows, gained, columns, state = numbers.select("number"), self._gained(), self.columns, self._state()
+        if gained is not None:
+            rows = rows.join(gained, "number", "left")
+
+        def given(batches):
             for b in batches:
-                n = b["number"].to_numpy()
-                x = d * (first_weights(n, k, seed) + b[columns].fillna(0.0).to_numpy()) + e
-                yield pd.DataFrame(np.exp(digamma(x) - total) if logarithms else x, columns=columns).assign(number=n)
+                yield pd.DataFrame(state(b, logarithms), columns=columns).assign(number=b["number"].to_numpy())
+
+        return rows.mapInPandas(given, f"number long, {self.kind}")
+
+    def _inferred(self, docs: DataFrame, turn: int, work, schema: str) -> DataFrame:
+        """``work`` on each block of ``docs`` (uid, numbers, counts, block), given
+        its texts, its distinct terms with the exp of their expected logarithm, and
+        what ``infer`` finds; random starts by uid and ``turn``."""
+        k, seed, alpha, state = self.k, self.seed, self.alpha, self._state()
 
-        return rows.mapInPandas(state, f"number long, {self.kind}")
+        def block(texts: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("number")
+            numbers, beta = rows["number"].to_numpy(), state(rows, True)
+            sizes = texts["numbers"].map(len).to_numpy()
+            place = np.searchsorted(numbers, np.concatenate(texts["numbers"].to_list()))
+            counts = np.concatenate(texts["counts"].to_list()).astype(float)
+            start = first_weights(texts["uid"].to_numpy(), k, seed + 7919 * turn)
+            return work(texts, numbers, beta, place, sizes, *infer_block(beta, place, counts, sizes, alpha, start))
 
-    def _counted(self, docs: DataFrame) -> DataFrame:
-        """A row for each text and term, sorted by text, with the term's weights."""
-        rows = docs.select("uid", F.inline(F.arrays_zip(F.col("numbers").alias("number"), F.col("counts").alias("n"))))
-        weights = self.weights(rows.select("number").distinct(), True)
-        return rows.join(weights, "number").repartition("uid").sortWithinPartitions("uid", "number")
+        return meet(docs, "numbers", self._gained(), "number", "left", block, schema)
 
     def step(self, t: int) -> None:
         """One minibatch."""
-        k, seed, alpha, columns = self.k, self.seed, self.alpha, self.columns
-        batch = self.docs.where("size(numbers) > 0").sample(True, FRACTION, seed + t).withColumn("uid", F.monotonically_increasing_id())
-        batch = materialize(self.spark, batch, "lda-batch")
+        k, columns = self.k, self.columns
+        batch = self.docs.where("size(numbers) > 0").sample(True, FRACTION, self.seed + t).select("numbers", "counts").withColumn("uid", F.monotonically_increasing_id())
+        batch = materialize(self.spark, deal(batch, int(self.cells * FRACTION)), "lda-batch")
         n = batch.count()
         if not n:
             return
 
-        def learn(batches):
-            mine = np.zeros(k)
-            held: list[pd.DataFrame] = []
-            rows = 0
-            for g in texts(batches):
-                beta = g[columns].to_numpy()
-                start = first_weights(g["uid"].to_numpy()[:1], k, seed + 7919 * (t + 1))[0]
-                gamma, theta, ratio = infer(beta, g["n"].to_numpy(), alpha, start)
-                mine += digamma(gamma) - digamma(gamma.sum())
-                held.append(pd.DataFrame(np.outer(ratio, theta) * beta, columns=columns).assign(number=g["number"].to_numpy()))
-                rows += len(g)
-                if rows >= 50_000:
-                    yield pd.concat(held)
-                    held, rows = [], 0
-            held.append(pd.DataFrame([mine], columns=columns).assign(number=np.int64(-1)))
-            yield pd.concat(held)
-
-        found = self._counted(batch).mapInPandas(learn, f"number long, {self.kind}").groupBy("number").agg(*[F.sum(c).alias(c) for c in columns])
+        def learn(texts, numbers, beta, place, sizes, gamma, theta, ratio):
+            gains = [np.bincount(place, ratio * np.repeat(theta[:, i], sizes), len(numbers)) for i in range(k)]
+            mine = (digamma(gamma) - digamma(gamma.sum(1))[:, None]).sum(0)
+            return pd.DataFrame(np.vstack([np.column_stack(gains) * beta, mine]), columns=columns).assign(number=np.append(numbers, -1))
+
+        found = self._inferred(batch, t + 1, learn, f"{self.kind}, number long").groupBy("number").agg(*[F.sum(c).alias(c) for c in columns])
         found = materialize(self.spark, found, "lda-found")
+        total = {r["prior"]: np.array(r[1:]) for r in found.groupBy((F.col("number") < 0).alias("prior")).agg(*[F.sum(c) for c in columns]).collect()}  # two rows
         rho = (TAU + t + 1) ** -KAPPA
         self.d, self.e = self.d * (1 - rho), self.e * (1 - rho) + rho * self.eta
         scale = rho * self.texts / n / self.d
-        gains = found.where("number >= 0").select("number", *[(F.col(c) * scale).alias(c) for c in columns])
-        self.gained += np.array(gains.agg(*[F.sum(c) for c in columns]).first())
-        self.gains.append(gains)
-        self._prior(np.array(found.where("number = -1").select(*columns).first()) / n, n, rho)
+        self.gained += total[False] * scale
+        self.gains.append(found.where("number >= 0").select("number", *[(F.col(c) * scale).alias(c) for c in columns]))
+        if len(self.gains) > GAINS_APART:
+            self.gains = [materialize(self.spark, self._gained(), "lda-gains")]
+        self._prior(total[True] / n, n, rho)
 
     def _prior(self, mean: np.ndarray, n: int, rho: float) -> None:
         """A weighted Newton step on the texts' prior, while it stays positive."""
@@ -185,20 +218,12 @@ class Topics:
 
     def found(self, key: str) -> DataFrame:
         """(key, topic, weight) for every text; both null without tokens."""
-        k, seed, alpha, columns = self.k, self.seed, self.alpha, self.columns
-        docs = materialize(self.spark, self.docs.withColumn("uid", F.monotonically_increasing_id()), "lda-texts")
-
-        def best(batches):
-            out = []
-            for g in texts(batches):
-                gamma = infer(g[columns].to_numpy(), g["n"].to_numpy(), alpha, first_weights(g["uid"].to_numpy()[:1], k, seed)[0])[0]
-                out.append((int(g["uid"].iloc[0]), int(gamma.argmax()), float(gamma.max() / gamma.sum())))
-                if len(out) >= 10_000:
-                    yield pd.DataFrame(out, columns=["_uid", "topic", "weight"])
-                    out = []
-            yield pd.DataFrame(out, columns=["_uid", "topic", "weight"])
-
-        named = self._counted(docs).mapInPandas(best, "_uid long, topic int, weight double")
+        docs = materialize(self.spark, deal(self.docs.withColumn("uid", F.monotonically_increasing_id()), self.cells), "lda-texts")
+
+        def best(texts, numbers, beta, place, sizes, gamma, theta, ratio):
+            return pd.DataFrame({"_uid": texts["uid"].to_numpy(), "topic": gamma.argmax(1).astype(np.int32), "weight": gamma.max(1) / gamma.sum(1)})
+
+        named = self._inferred(docs.where("size(numbers) > 0").select("uid", "numbers", "counts", "block"), 0, best, "_uid long, topic int, weight double")
         return docs.select(key, "uid").join(named, F.col("uid") == F.col("_uid"), "left").select(key, "topic", "weight")
 
     def described(self, n_words: int) -> DataFrame:
