@@ -3,6 +3,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from textpulse.operators import tokens as TK
 
 
@@ -72,3 +74,33 @@ def test_empty_dictionary(spark):
     df = spark.createDataFrame([("en", "cats")], "lang string, form string")
     assert TK.lemma_rules(none).count() == 0
     assert [tuple(r) for r in TK.lemmas_of_forms(df, none, TK.lemma_rules(none)).collect()] == [("en", "cats", "cats", "form")]
+
+
+def test_lemma_texts_of_odd_rows(spark):
+    """In place, as ``lemmatize`` has them: null key, null or unknown language, no tokens, every column kept."""
+    from textpulse.operators import cleaning as CL
+    rng = random.Random(8)
+    table = spark.createDataFrame([("en", "ends", "end"), ("en", "made", "make"), ("fr", "ends", "fin"), (None, "ends", "no"), ("en", "void", None)], "lang string, form string, lemma string")
+    words = ["ends", "made", "void", "other", "é"]
+    rows = [(i, rng.choice(["en", "fr", None]), rng.choices(words, k=rng.randint(0, 9)), 2 * i if i % 3 else None, i % 2 == 0) for i in range(60)]
+    rows += [(None, "en", ["ends", "made"], 1, None), (2**60 + 1, "en", None, 2, True), (70, "xx", ["ends"], 3, True)]
+    df = spark.createDataFrame(rows, "post_id long, lang string, tokens array<string>, n long, flag boolean").withColumn("text_lemma", F.lit("old"))
+    want = {r["post_id"]: " ".join(r["lemmas"]) for r in TK.lemmatize(df, table).collect()}
+    got = CL.with_lemmas(df, table).collect()
+    assert {r["post_id"]: r["text_lemma"] for r in got} == want and len(got) == len(rows)
+    assert sorted((r["post_id"], r["lang"], r["tokens"], r["n"], r["flag"]) for r in got if r["post_id"]) == sorted(r for r in rows if r[0])
+    assert want[None] == "end make" and want[70] == "ends"
+
+
+def test_the_detected_clean_stage_writes_no_raw_text(spark, tmp_path, monkeypatch):
+    from textpulse.plans import q_clean as Q
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(["walk", "walks", "walked", "the", "house", "houses"], k=12)), rng.choice(["en", "fr"]), f"src{i % 9}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    written, plain = {}, Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda s, d, name="stage": written.setdefault(name, plain(s, d, name)))
+    out = Q.clean_stage_detected(spark, str(tmp_path))
+    assert out.columns == Q.CLEAN_OUT and out.count() == 40
+    assert not {"text", "text_lemma", "posted_raw"} & set(written["clean-detected"].columns)
+    assert all(len(r["text_lemma"].split()) == r["n_tokens"] for r in out.collect())

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TERMS_A_BLOCK = 1_000_000
 
@@ -23,11 +23,12 @@ def deal(texts: DataFrame, terms: int) -> DataFrame:
     return texts.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int"))
 
 
-def meet(texts: DataFrame, terms_col: str, table: DataFrame | None, term: str, how: str,
-         work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def meet(texts: DataFrame, terms: Column | str, table: DataFrame | None, term: str, how: str,
+         work: Callable, schema: str | StructType, arrow: bool = False) -> DataFrame:
     """``work`` on each block of ``texts`` (see ``deal``; read twice: pass a written
     table) and the rows of ``table`` that its terms have, or its distinct terms alone."""
-    needed = texts.select(F.col("block").alias("_block"), F.explode(terms_col).alias(term)).distinct()
+    needed = texts.select(F.col("block").alias("_block"), F.explode(terms).alias(term)).distinct()
     if table is not None:
         needed = needed.join(table, term, how)
-    return texts.groupBy("block").cogroup(needed.groupBy("_block")).applyInPandas(work, schema)
+    both = texts.groupBy("block").cogroup(needed.groupBy("_block"))
+    return both.applyInArrow(work, schema) if arrow else both.applyInPandas(work, schema)

@@ -121,11 +121,9 @@ def clean_posts(posts: DataFrame, detector=None, compat: bool = True, lemmas: Da
 
 def with_lemmas(df: DataFrame, lemmas: DataFrame, key: str = "post_id") -> DataFrame:
     """TOK-2 on clean posts: ``text_lemma`` from a (lang, form, lemma) table.
-    ``df`` is read twice: pass a written table."""
-    from textpulse.operators.tokens import lemmatize
-    found = lemmatize(df, lemmas, key=key).select(F.col(key).alias("_key"), F.array_join("lemmas", " ").alias("_lemmas"))
-    return (df.join(found, df[key].eqNullSafe(found["_key"]), "left")
-              .withColumn("text_lemma", F.coalesce("_lemmas", F.lit(""))).drop("_key", "_lemmas"))
+    ``df`` is read three times: pass a written table."""
+    from textpulse.operators.tokens import lemma_texts
+    return lemma_texts(df, lemmas, key)
 
 
 CLEAN_COLUMNS = ["post_id", "forum", "author", "title", "text", "category",

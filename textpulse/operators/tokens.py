@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textpulse.operators.blocks import deal, meet
+
 LONGEST_SUFFIX = 6
 LEAST_SUPPORT = 2
 LEAST_SHARE = 0.5
@@ -89,3 +94,35 @@ def lemmatize(df: DataFrame, dictionary: DataFrame, key: str = "post_id",
     grouped = joined.groupBy(key, lang_col).agg(F.collect_list(item).alias("_items"))
     return grouped.select(key, lang_col,
                           F.transform(F.array_sort("_items"), lambda x: x["l"]).alias(out_col))
+
+
+def lemma_texts(df: DataFrame, dictionary: DataFrame, key: str = "post_id", tokens_col: str = "tokens",
+                lang_col: str = "lang", out_col: str = "text_lemma") -> DataFrame:
+    """TOK-2 in place: ``df`` with each row's own lemmas, joined by spaces, as
+    ``out_col``. The tokens travel as they lie in their rows, and a block of rows
+    gets each of its (lang, form) pairs once (``blocks``). ``df`` is read three
+    times: pass a written table."""
+    d = dictionary.where("lang IS NOT NULL AND form IS NOT NULL").dropDuplicates(["lang", "form"]) \
+        .select(F.struct("lang", "form").alias("_pair"), "lemma")
+    carried = [c for c in df.columns if c != out_col]
+    schema = df.select(*carried, F.lit("").alias(out_col)).schema
+    total = df.agg(F.sum(F.greatest(F.size(tokens_col), F.lit(0)))).first()[0] or 0
+    rows = deal(df.select(F.struct(*carried).alias("row"), F.xxhash64(key, tokens_col).alias("uid")), total)
+    pairs = F.transform(F.col("row")[tokens_col], lambda t: F.struct(F.col("row")[lang_col].alias("lang"), t.alias("form")))
+
+    def work(texts: pa.Table, found: pa.Table) -> pa.Table:
+        row, known = texts.column("row").combine_chunks(), found.column("_pair").combine_chunks()
+        columns = dict(zip(carried, row.flatten()))
+        tokens, at = columns[tokens_col], columns[lang_col]
+        parent, form = pc.list_parent_indices(tokens), tokens.flatten()
+        there = form.is_valid()
+        parent, form = parent.filter(there), form.filter(there)
+        name = lambda a, b: pc.binary_join_element_wise(a, b, "\x00")
+        place = pc.index_in(name(at.take(parent), form), value_set=name(known.field("lang"), known.field("form")), skip_nulls=True)
+        lemma = pc.coalesce(found.column("lemma").combine_chunks().take(place), form)
+        ends = np.bincount(parent.to_numpy(), minlength=len(row)).cumsum()
+        lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), lemma)
+        columns[out_col] = pc.binary_join(lists, " ")
+        return pa.table({f.name: columns[f.name] for f in schema})
+
+    return meet(rows.drop("uid"), pairs, d, "_pair", "inner", work, schema, arrow=True)

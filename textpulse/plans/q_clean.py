@@ -44,7 +44,8 @@ def clean_stage_detected(spark, sf_dir):
     here; the parts have their own twins)."""
     model = LID.train_compact(FX.read_table(spark, sf_dir, "documents"), text_col="text", label_col="lang")
     posts = FX.posts_raw(spark, sf_dir).drop("lang_detected")
-    out = materialize(spark, CL.clean_posts(posts, detector=LID.detector(model)), "clean-detected")
+    clean = CL.clean_posts(posts, detector=LID.detector(model))
+    out = materialize(spark, clean.select(*[c for c in CLEAN_OUT if c != "text_lemma"], "tokens"), "clean-detected")
     known = materialize(spark, corpus_dictionary(out), "lemma-dictionary")
     out = CL.with_lemmas(out, TK.lemma_table(out, known))
     return out.select(*CLEAN_OUT)
@@ -206,7 +207,7 @@ CORPUS_ENDINGS = [("en", "ing"), ("en", "ed"), ("en", "es"), ("en", "s"), ("fr",
 def corpus_dictionary(tokens):
     """(lang, form, lemma) of the forms of which the corpus also has a shorter
     one without one of the endings (the longest that leaves such a form)."""
-    forms = tokens.select("lang", F.explode("tokens").alias("form")).distinct()
+    forms = materialize(tokens.sparkSession, tokens.select("lang", F.explode("tokens").alias("form")).distinct(), "corpus-forms")
     pairs = None
     for k, (lang, end) in enumerate(CORPUS_ENDINGS):
         one = forms.where((F.col("lang") == lang) & F.col("form").endswith(end) & (F.length("form") >= len(end) + 3)) \
