@@ -192,3 +192,38 @@ def test_word_passes_dont_fall_with_the_posts(spark, monkeypatch):
         df = spark.range(n).select(F.col("id").alias("post_id"), F.array(F.lit("a"), F.lit("b")).alias("tokens"))
         assert TP.learned_vectors(df, dims=2).count() == n
     assert asked == [TP.WORD_PASSES, TP.WORD_PASSES] == [10, 10]
+
+
+def test_learned_vectors_go_by_no_order(spark):
+    """The same vectors however the posts are dealt; a repeated key's posts count together."""
+    import numpy as np
+    df = _synonyms(spark, 120).select("post_id", "tokens").unionByName(spark.createDataFrame([(7, ["t0w1", "x1"]), (None, ["x2"]), (None, ["x3", "t1w2"])], "post_id int, tokens array<string>"))
+    runs = [sorted(((r["post_id"] is None, r["post_id"], r["vector"]) for r in TP.learned_vectors(d, dims=4).collect()), key=str)
+            for d in (df, df.repartition(7), df.orderBy(F.desc("post_id")))]
+    for other in runs[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in runs[0]]
+        np.testing.assert_allclose(np.abs([r[2] for r in other]), np.abs([r[2] for r in runs[0]]), atol=1e-9)
+    own = {}
+    for _, k, v in runs[0]:
+        own.setdefault(k, set()).add(tuple(v))
+    assert len(own[7]) == len(own[None]) == 1
+
+
+def test_post_means_are_weighted_means_of_their_words(spark, monkeypatch):
+    """Against brute force from the word vectors that were written; texts without a known word are zero."""
+    import numpy as np
+    kept = {}
+    plain = TP.materialize
+    monkeypatch.setattr(TP, "materialize", lambda s, d, name="stage": kept.setdefault(name, plain(s, d, name)))
+    df = _synonyms(spark, 150).select("post_id", "tokens").unionByName(spark.createDataFrame([(900, ["onceonly"]), (901, [])], "post_id int, tokens array<string>"))
+    assert TP.learned_vectors(df, dims=4).count() == 152
+    word = {r["word"]: (np.array(r["vector"], float), r["_w"]) for r in kept["word-vectors"].collect()}
+    got = {r["_key"]: np.array(r["_m"]) for r in kept["post-means"].collect()}
+    want = {}
+    for r in df.collect():
+        own = [word[t] for t in r["tokens"] if t in word]
+        if own:
+            want[r["post_id"]] = sum(v * w for v, w in own) / sum(w for _, w in own)
+    assert set(got) == set(want) and not {900, 901} & set(got)
+    for k, v in want.items():
+        np.testing.assert_allclose(got[k], v, rtol=1e-6, atol=1e-9)
